@@ -30,6 +30,25 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly_score")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import count_documents
+
+    return count_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")).select("doc_id", "n_tokens")
+
+
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_store import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def tokenizer_path(name: str) -> str:
+    """A vocabulary file of the public tokenizers on this machine; executors read their own copy."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
