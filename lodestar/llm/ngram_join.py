@@ -4,7 +4,7 @@ Words are runs without white space, A-Z lower-cased; a document's set holds its
 sequence as one shingle where it has fewer words).  Two documents link when their sets' Jaccard similarity is at least
 the threshold.  Every link between different sets is found:
 
-1. `sets`: size, a 128-bit fingerprint and a few min-hashes of each document's set, and how often shingles fall in
+1. `sets`: size, a 128-bit fingerprint, a few min-hashes and a bitmap of each document's set, and how often shingles fall in
    each of 2**HIST hash cells (a table of fixed size over all documents).  Equal sets become one vertex.
 2. `tiles`: shingles ordered by (cell count, hash), rare ones first; two sets that link share a shingle in their first
    n - ceil(t n) + 1 (prefix filter).  Prefixes meet by shingle, as packed arrays; the sets that share one are cut
@@ -97,7 +97,7 @@ def sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << HIST, np.uint32)
-        schema = pa.schema([("id", pa.int64()), ("size", pa.int64()), ("fp", pa.int64()), ("fq", pa.int64()), ("low", pa.list_(pa.int64())), ("cells", pa.binary())])
+        schema = pa.schema([("id", pa.int64()), ("size", pa.int64()), ("fp", pa.int64()), ("fq", pa.int64()), ("low", pa.list_(pa.int64())), ("bits", pa.binary()), ("cells", pa.binary())])
         for batch in batches:
             for lo, hi, raw, offsets in pieces(batch, "text"):
                 own = shingle_sets(raw, offsets, n)
@@ -106,11 +106,11 @@ def sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
                 one, two, low = _fingerprints(own)
                 sizes = np.array([len(s) for s in own], np.int64)
                 minima = pa.ListArray.from_arrays(np.arange(hi - lo + 1, dtype=np.int32) * STARS, pa.array(_signed(low.ravel())))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes), pa.array(_signed(one)), pa.array(_signed(two)), minima, pa.nulls(hi - lo, pa.binary())], schema=schema)
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1]), pa.array([0]), pa.array([0]), pa.array([None], pa.list_(pa.int64())), pa.array([cells.tobytes()], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes), pa.array(_signed(one)), pa.array(_signed(two)), minima, pa.array([bitmap(x) for x in own], pa.binary()), pa.nulls(hi - lo, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1]), pa.array([0]), pa.array([0]), pa.array([None], pa.list_(pa.int64())), pa.nulls(1, pa.binary()), pa.array([cells.tobytes()], pa.binary())], schema=schema)
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(run, "id long, size long, fp long, fq long, low array<long>, cells binary")
+    return own.mapInArrow(run, "id long, size long, fp long, fq long, low array<long>, bits binary, cells binary")
 
 
 def _cell_counts(found: DataFrame) -> np.ndarray:
@@ -278,8 +278,8 @@ def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _vertex_sets(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """fp, size, bitmap and packed set of each vertex in reps (fp, rep)."""
+def _elements(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """Packed set of each vertex in reps (fp, rep), from the text of the document that stands for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,21 +288,25 @@ def _vertex_sets(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, n
                 one, _, _ = _fingerprints(own)
                 want = batch.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
                 hit = np.flatnonzero((_signed(one) == want) & np.array([len(s) > 0 for s in own], bool))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(_signed(one)[hit]), pa.array(np.array([len(own[i]) for i in hit], np.int64)),
-                    pa.array([bitmap(own[i]) for i in hit], pa.binary()), pa.array([own[i].tobytes() for i in hit], pa.binary()),
-                ], names=["fp", "size", "bits", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(one)[hit]), pa.array([own[i].tobytes() for i in hit], pa.binary())], names=["fp", "elements"])
 
     reps = materialise(reps, "reps")
     if reps.count() <= BROADCAST_IDS:
         reps = F.broadcast(reps)
     text = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    found = text.join(reps, "rep").select("fp", "text").mapInArrow(run, "fp long, size long, bits binary, elements binary")
-    return materialise(found.dropDuplicates(["fp"]), "sets")
+    found = text.join(reps, "rep").select("fp", "text").mapInArrow(run, "fp long, elements binary")
+    return materialise(found.dropDuplicates(["fp"]), "elements")
 
 
-def _verify(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b) those that link."""
+def _both(pairs: DataFrame, table: DataFrame, *cols: tuple[str, str]) -> DataFrame:
+    """Columns of both vertices of each pair."""
+    for side in ("a", "b"):
+        pairs = pairs.join(table.select(F.col("fp").alias(side), *(F.col(c).alias(f"{short}{side}") for c, short in cols)), side)
+    return pairs
+
+
+def _verify(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """Of distinct pairs (a, b) those that link: by bitmaps first, then by the sets of those that bitmaps leave."""
 
     def by_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,14 +320,11 @@ def _verify(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
             keep = [links(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), percent) for x, y in zip(ea, eb, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def both(p: DataFrame, *cols: tuple[str, str]) -> DataFrame:
-        for side in ("a", "b"):
-            p = p.join(vertices.select(F.col("fp").alias(side), *(F.col(c).alias(f"{short}{side}") for c, short in cols)), side)
-        return p
-
-    near = both(pairs, ("bits", "b"), ("size", "n")).where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    near = _both(pairs, vertices, ("bits", "b"), ("size", "n")).where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     near = materialise(near.select("a", "b", "ba", "bb", "na", "nb").mapInArrow(by_bits, "a long, b long"), "near")
-    return materialise(both(near, ("elements", "e")).select("a", "b", "ea", "eb").mapInArrow(exactly, "a long, b long"), "links")
+    ends = near.select(F.col("a").alias("fp")).union(near.select("b")).distinct()
+    elements = _elements(docs, vertices.select("fp", "rep").join(ends, "fp"), id_col, text_col, n)
+    return materialise(_both(near, elements, ("elements", "e")).select("a", "b", "ea", "eb").mapInArrow(exactly, "a long, b long"), "links")
 
 
 def _across(tiles: DataFrame, vertices: DataFrame, own: DataFrame, percent: int, most: int) -> tuple[DataFrame, DataFrame]:
@@ -409,23 +410,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     # min() and max() order fingerprints as signed, tiles as unsigned: put both the same way round
     pairs = materialise(stars.unionByName(small.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "pairs")
 
-    def fps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            every = [np.frombuffer(x.as_buffer(), MEMBER)["fp"] for x in batch.column(0)]
-            if every:
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.unique(np.concatenate(every))))], names=["fp"])
-
-    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(tiles.select("members").mapInArrow(fps, "fp long")).distinct()
     reps = vertex.groupBy("fp").agg(F.min("id").alias("rep"))
-    vertices = _vertex_sets(docs, reps.join(wanted, "fp"), id_col, text_col, n)
+    vertices = vertex.select("fp", F.col("id").alias("rep"), "size", "bits").join(reps, ["fp", "rep"]).dropDuplicates(["fp"])
+    vertices = materialise(vertices, "vertices")
 
-    linked = _verify(pairs, vertices, percent)
+    linked = _verify(pairs, vertices, docs, id_col, text_col, n, percent)
     most = 4
     while True:
         own = components(linked, "clusters").withColumnRenamed("v", "fp")
         more, cut = _across(tiles, vertices, own, percent, most)
         more = more.join(linked, ["a", "b"], "left_anti")
-        fresh = _verify(more, vertices, percent)
+        fresh = _verify(more, vertices, docs, id_col, text_col, n, percent)
         again = not cut.isEmpty()
         linked = linked.unionByName(fresh)
         if not again:
@@ -435,7 +430,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     shared = vertex.groupBy("id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y")
     shared = vertex.join(shared.select("id", "x"), "id").where("fp <> x").select(F.col("fp").alias("a"), F.col("x").alias("b"))
     final = components(linked.select("a", "b").unionByName(shared), "components").withColumnRenamed("v", "fp")
-    labelled = reps.join(final, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    labelled = vertices.select("fp", "rep").join(final, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_set = labelled.join(least, "component").select("fp", "component_id")
     out = rows.join(by_set, "fp", "left")
