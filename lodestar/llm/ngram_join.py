@@ -437,3 +437,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     return out.select(
         F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when((F.col("size") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.col("fp").alias("set_id")
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of docs without those that link to a document of lesser id, all columns as they were.
+
+    Rows that share an id are one document and stay or go together; rows with a null id or without words stay."""
+    found = classes(docs, id_col, text_col, n, percent)
+    gone = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct()
+    gone = materialise(gone, "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
