@@ -14,6 +14,7 @@ import os
 import re
 
 import numpy as np
+import pandas as pd
 
 from . import textvec as tv
 
@@ -42,10 +43,11 @@ def parts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         punct = PUNCT[raw]
         cut = np.flatnonzero((punct[:-1] & begins[1:]) | (stops[:-1] & punct[1:])) + 1
         edge = np.zeros(len(raw) + 1, bool)
-        edge[starts] = True
-        cut = cut[~edge[cut]]
-        starts = np.sort(np.concatenate([starts, cut]), kind="stable")
-        ends = np.sort(np.concatenate([ends, cut]), kind="stable")
+        edge[starts] = edge[cut] = True
+        starts = np.flatnonzero(edge)
+        edge[:] = False
+        edge[ends] = edge[cut] = True
+        ends = np.flatnonzero(edge)
     return starts, ends, tv.owner(starts, offsets)
 
 
@@ -101,7 +103,7 @@ class WordEncoder:
             raw = tv.lower_ascii(raw)
             starts, ends, own = parts(raw, offsets)
             h = tv.span_hash(raw, ~tv.SPACE[raw], starts, ends)
-        different, back = np.unique(h, return_inverse=True)
+        back, different = pd.factorize(h)
         if len(self.keys) > REMEMBER:
             self._forget()
         at = np.searchsorted(self.keys, different)
@@ -116,8 +118,9 @@ class WordEncoder:
             got = self._encode([data[i:j].decode("utf-8", "replace") for i, j in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)])
             size = np.array([len(x) for x in got], np.int64)
             self.start = np.concatenate([self.start, len(self.ids) + np.concatenate([[0], np.cumsum(size)[:-1]])])
-            self.slot = np.insert(self.slot, at[~known], len(self.size) + np.arange(len(got)))
-            self.keys = np.insert(self.keys, at[~known], different[~known])
+            order = np.argsort(different[~known])
+            self.slot = np.insert(self.slot, at[~known][order], len(self.size) + order)
+            self.keys = np.insert(self.keys, at[~known][order], different[~known][order])
             self.size = np.concatenate([self.size, size])
             self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(got), np.int32, int(size.sum()))])
             at = np.searchsorted(self.keys, different)

@@ -19,28 +19,33 @@ MAGIC = b"LRP1"
 _HEAD = struct.Struct("<4sIIQQIB")
 
 
-def compress(seq: np.ndarray, first: int, barrier: int, rounds: int = 5, per_round: int = 3000, least: int = 24) -> tuple[np.ndarray, np.ndarray]:
+def compress(seq: np.ndarray, first: int, barrier: int, rounds: int = 3, per_round: int = 5000, least: int = 24) -> tuple[np.ndarray, np.ndarray]:
     """The shortened sequence and the rules: symbol first + k expands to rules[k]."""
-    seq = seq.astype(np.int64)
+    seq = seq.astype(np.uint32)
     rules = np.empty((0, 2), np.int64)
+    # ids and rules below 65,536 make keys of 32 bits, which sort faster
+    small = first + rounds * per_round <= 1 << 16
+    shift, kind = (np.uint32(16), np.uint32) if small else (U(32), U)
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        at = np.flatnonzero((seq[:-1] != barrier) & (seq[1:] != barrier))
-        key = (seq[at] << 32) | seq[at + 1]
+        wide = seq if small else seq.astype(U)
+        key = (wide[:-1] << shift) | wide[1:]
+        free = seq != barrier
         with np.errstate(over="ignore"):
-            cell = (key.view(U) * U(0x9E3779B97F4A7C15)) >> U(44)
-        cell = cell.astype(np.int64)
-        often = np.bincount(cell, minlength=1 << 20)[cell] >= least  # a cell counts its pairs together: no frequent pair is missed
-        at, key = at[often], key[often]
+            cell = (key * kind(0x9E3779B1)) >> kind(12) if small else (key * U(0x9E3779B97F4A7C15)) >> U(44)
+        # a cell counts its pairs together: no frequent pair is missed
+        often = np.bincount(cell, minlength=1 << 20)[cell] >= least
+        at = np.flatnonzero(often & free[:-1] & free[1:])
+        key = key[at]
         pair, count = np.unique(key, return_counts=True)
-        pair, count = pair[count >= least], count[count >= least]
+        pair, count = pair[count >= least].astype(np.int64), count[count >= least]
         if not len(pair):
             break
         best = np.lexsort((pair, -count))[:per_round]
-        chosen = np.sort(pair[best])
+        chosen = np.sort(pair[best].astype(kind))
         rank = np.empty(len(chosen), np.int64)
-        rank[np.searchsorted(chosen, pair[best])] = np.arange(len(best))
+        rank[np.searchsorted(chosen, pair[best].astype(kind))] = np.arange(len(best))
         where = np.minimum(np.searchsorted(chosen, key), len(chosen) - 1)
         hit = chosen[where] == key
         at, r = at[hit], rank[where[hit]]
@@ -54,8 +59,10 @@ def compress(seq: np.ndarray, first: int, barrier: int, rounds: int = 5, per_rou
         stay[at + 1] = False
         seq = seq[stay]
         by_rank = pair[best]
-        rules = np.concatenate([rules, np.column_stack([by_rank >> 32, by_rank & 0xFFFFFFFF])])
-    return seq, rules
+        by_rank = by_rank.astype(U)
+        low = U((1 << int(shift)) - 1)
+        rules = np.concatenate([rules, np.column_stack([by_rank >> U(shift), by_rank & low]).astype(np.int64)])
+    return seq.astype(np.int64), rules
 
 
 def lengths(rules: np.ndarray, first: int) -> np.ndarray:

@@ -50,29 +50,6 @@ STRETCH = np.dtype([("lo", "<u4"), ("hi", "<u4")])
 #: Set in `span` where the anchor's own segment is settled already.
 KNOWN = 1 << 15
 
-_inverse = U(pow(int(tv.BASE), -1, 1 << 64))
-_backward = np.ones(1, U)
-
-
-def _backwards(n: int) -> np.ndarray:
-    global _backward
-    if len(_backward) < n:
-        with np.errstate(over="ignore"):
-            _backward = np.concatenate([np.ones(1, U), np.cumprod(np.full(max(n, 1 << 16), _inverse, U))])
-    return _backward
-
-
-def _sums(raw: np.ndarray) -> np.ndarray:
-    """Prefix sums from which the hash of any stretch follows."""
-    with np.errstate(over="ignore"):
-        return np.concatenate([np.zeros(1, U), np.cumsum(tv.BYTES[raw] * tv.powers(len(raw) + 1)[: len(raw)], dtype=U)])
-
-
-def _hash(sums: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (sums[hi] - sums[lo]) * _backwards(len(sums) + 1)[lo]
-
-
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Least of each `width` consecutive values."""
     n = len(x) - width + 1
@@ -86,9 +63,9 @@ def anchors(raw: np.ndarray, size: int = SIZE, k: int = K) -> np.ndarray:
     """ANCHOR rows of one text without uid."""
     if len(raw) < size:
         return np.empty(0, ANCHOR)
-    sums = _sums(raw)
+    sums = tv.prefix_sums(raw)
     at = np.arange(len(raw) - k + 1)
-    kmers = tv.mix(_hash(sums, at, at + k))
+    kmers = tv.mix(tv.stretch_hash(sums, at, at + k))
     best = _sliding_min((kmers >> U(32) << U(32)) | at.astype(U), size - k + 1) & U(0xFFFFFFFF)
     lo = np.flatnonzero(np.r_[True, best[1:] != best[:-1]])
     hi = np.r_[lo[1:], len(best)] - 1
@@ -96,7 +73,7 @@ def anchors(raw: np.ndarray, size: int = SIZE, k: int = K) -> np.ndarray:
     out = np.empty(len(lo), ANCHOR)
     out["kmer"], out["lo"], out["span"], out["at"] = kmers[a], lo, hi - lo, a - lo
     with np.errstate(over="ignore"):
-        out["seg"] = tv.mix(_hash(sums, lo, hi + size) + (((hi - lo) << 16) | (a - lo)).astype(U))
+        out["seg"] = tv.mix(tv.stretch_hash(sums, lo, hi + size) + (((hi - lo) << 16) | (a - lo)).astype(U))
     return out
 
 
@@ -346,7 +323,7 @@ def _match_exact(m, raw, starts, span, size, covered) -> None:
     todo = np.flatnonzero((count[cls] > 2) & open_class[cls])
     todo = todo[np.argsort(cls[todo], kind="stable")]
     total = np.cumsum(span[todo] + 1)
-    sums = _sums(raw) if len(todo) else None
+    sums = tv.prefix_sums(raw) if len(todo) else None
     i = 0
     while i < len(todo):
         j = int(np.searchsorted(total, (total[i - 1] if i else 0) + (1 << 21), "right"))
@@ -357,7 +334,7 @@ def _match_exact(m, raw, starts, span, size, covered) -> None:
         n = span[part] + 1
         p = np.repeat(starts[part] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         with np.errstate(over="ignore"):
-            h = tv.mix(tv.mix(_hash(sums, p, p + size)) + np.repeat(m["kmer"][part], n))
+            h = tv.mix(tv.mix(tv.stretch_hash(sums, p, p + size)) + np.repeat(m["kmer"][part], n))
         order = np.argsort(h, kind="stable")
         same = h[order][1:] == h[order][:-1]
         twice = np.zeros(len(p), bool)

@@ -59,8 +59,39 @@ def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def owner(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Index of the text in which each position lies."""
-    return np.searchsorted(offsets, starts, "right") - 1
+    """Index of the text in which each of these ascending positions lies."""
+    cuts = np.searchsorted(starts, offsets)
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(cuts))
+
+
+_INVERSE = U(pow(int(BASE), -1, 1 << 64))
+_backward = np.ones(1, U)
+#: Runs of texts beyond this size would make the tables of powers too large; their spans are hashed one power row each.
+SUMS_UP_TO = 1 << 23
+
+
+def backward_powers(n: int) -> np.ndarray:
+    """Powers of BASE's inverse."""
+    global _backward
+    if len(_backward) < n:
+        with np.errstate(over="ignore"):
+            _backward = np.concatenate([np.ones(1, U), np.cumprod(np.full(max(n, 1 << 16), _INVERSE, U))])
+    return _backward
+
+
+def prefix_sums(raw: np.ndarray) -> np.ndarray:
+    """Sums from which the hash of any stretch follows."""
+    out = np.empty(len(raw) + 1, U)
+    out[0] = 0
+    with np.errstate(over="ignore"):
+        np.cumsum(BYTES[raw] * powers(len(raw) + 1)[: len(raw)], out=out[1:])
+    return out
+
+
+def stretch_hash(sums: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hash of raw[lo:hi] without its length, not yet mixed."""
+    with np.errstate(over="ignore"):
+        return (sums[hi] - sums[lo]) * backward_powers(len(sums) + 1)[lo]
 
 
 def span_hash(raw: np.ndarray, mask: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -68,6 +99,9 @@ def span_hash(raw: np.ndarray, mask: np.ndarray, starts: np.ndarray, ends: np.nd
     if not len(starts):
         return np.empty(0, U)
     lens = ends - starts
+    if len(raw) <= SUMS_UP_TO:
+        with np.errstate(over="ignore"):
+            return mix(stretch_hash(prefix_sums(raw), starts, ends) + lens.astype(U))
     first = np.concatenate([[0], np.cumsum(lens)[:-1]])
     within = np.arange(first[-1] + lens[-1]) - np.repeat(first, lens)
     with np.errstate(over="ignore"):
