@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import materialise, pieces, shuffle_width, text_array
+from .common import give_back, materialise, pieces, shuffle_width, text_array
 
 U = np.uint64
 SIZE = 400
@@ -134,11 +134,13 @@ def _anchors(docs: DataFrame, buckets: int, size: int, k: int) -> DataFrame:
                         e["uid"] = uid[lo + i]
                         held.append(e)
                         rows += len(e)
-                if rows > 1_000_000:
+                if rows > 400_000:
                     yield from flush(held)
                     held, rows = [], 0
         if held:
             yield from flush(held)
+        held = []
+        give_back()
 
     return docs.select("uid", "text").mapInArrow(run, FOUND)
 
@@ -242,21 +244,23 @@ def _segments(docs: DataFrame, want: DataFrame, buckets: int, size: int) -> Data
 
         for batch in batches:
             texts = text_array(batch, "text")
-            for i, (uid, lists) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), strict=True)):
-                data = texts[i].as_py().encode("utf-8", "surrogatepass")
-                own = np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in lists.values), WANT)
+            for i, (uid, rows) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), strict=True)):
+                data = texts[i].as_buffer().to_pybytes()
+                own = np.frombuffer(rows.as_buffer(), WANT)
                 head = uid.to_bytes(8, "little", signed=True)
                 for w in own:
                     lo, span = int(w["lo"]), int(w["span"]) & (KNOWN - 1)
                     held.append((int(w["kmer"] % U(buckets)), head + w.tobytes(), data[lo : lo + span + size]))
                     volume += span + size
-                if volume > 16 << 20:
+                if volume > 8 << 20:
                     yield from flush()
                     held, volume = [], 0
         if held:
             yield from flush()
+        held = []
+        give_back()
 
-    return docs.join(want, "uid").select("uid", "text", "lists").mapInArrow(run, "bucket int, rows binary")
+    return docs.join(want, "uid").select("uid", "text", "rows").mapInArrow(run, "bucket int, rows binary")
 
 
 MEMBER = np.dtype([("uid", "<u8"), ("kmer", "<u8"), ("lo", "<u4"), ("span", "<u2"), ("at", "<u2")])
@@ -289,6 +293,7 @@ def _match(segments: DataFrame, size: int) -> DataFrame:
             s["lo"] = m["lo"][who] + (lo - starts[who])
             s["hi"] = m["lo"][who] + (hi - 1 - starts[who]) + size
             yield from _found(1, list(_packed(m["uid"][who], s)))
+        give_back()
 
     return segments.mapInArrow(run, FOUND)
 
@@ -344,26 +349,43 @@ def _match_exact(m, raw, starts, span, size, covered) -> None:
         i = j
 
 
+def _gathered(found: DataFrame, merge: bool) -> DataFrame:
+    """(uid, rows): what was found for each document as one binary; stretches are merged where they touch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for lists in batch.column(1):
+                rows = b"".join(x.as_buffer().to_pybytes() for x in lists.values)
+                if merge:
+                    s = np.sort(np.frombuffer(rows, STRETCH), order=["lo", "hi"])
+                    high = np.maximum.accumulate(s["hi"])
+                    head = np.flatnonzero(np.r_[True, s["lo"][1:] > high[:-1]])
+                    joined = np.empty(len(head), STRETCH)
+                    joined["lo"], joined["hi"] = s["lo"][head], high[np.r_[head[1:] - 1, len(s) - 1]]
+                    rows = joined.tobytes()
+                out.append(rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["uid", "rows"])
+
+    return found.groupBy("uid").agg(F.collect_list("rows").alias("lists")).mapInArrow(run, "uid long, rows binary")
+
+
 def _maybe_broadcast(lists: DataFrame) -> DataFrame:
-    n = lists.agg(F.count("*"), F.sum(F.aggregate("lists", F.lit(0).cast("long"), lambda a, x: a + F.length(x) + 16))).first()
+    n = lists.agg(F.count("*"), F.sum(F.length("rows"))).first()
     return F.broadcast(lists) if n[0] <= BROADCAST_ROWS and (n[1] or 0) <= BROADCAST_BYTES else lists
 
 
 def covered_stretches(docs: DataFrame, size: int = SIZE, k: int = K) -> DataFrame:
-    """(uid, lists): packed stretches to remove, for documents (uid, text) that have any."""
+    """(uid, rows): packed stretches to remove, for documents (uid, text) that have any."""
     width = shuffle_width(docs.sparkSession)
     first = materialise(_anchors(docs, 4 * width, size, k), "anchors")
     buckets = first.where("kind = 0").repartition(width, "bucket").sortWithinPartitions("bucket")
     second = materialise(_settle(buckets, size), "settled")
-
-    def lists(found: DataFrame) -> DataFrame:
-        return found.groupBy("uid").agg(F.collect_list("rows").alias("lists"))
-
-    want = materialise(lists(second.where("kind = 2").select("uid", "rows")), "wanted")
+    want = materialise(_gathered(second.where("kind = 2").select("uid", "rows"), False), "wanted")
     segments = _segments(docs, _maybe_broadcast(want), 4 * width, size)
     third = materialise(_match(segments.repartition(width, "bucket").sortWithinPartitions("bucket"), size), "matched")
     every = first.where("kind = 1").unionByName(second.where("kind = 1")).unionByName(third).select("uid", "rows")
-    return materialise(lists(every), "stretches")
+    return materialise(_gathered(every, True), "stretches")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, k: int = K, with_text: bool = False) -> DataFrame:
@@ -377,18 +399,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             texts = text_array(batch, "text")
             out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans")}
-            for text, lists in zip(texts, batch.column(2), strict=True):
+            for text, rows in zip(texts, batch.column(2), strict=True):
                 data = text.as_buffer().to_pybytes()
                 kept, spans = data, []
-                if lists.is_valid:
-                    s = np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in lists.values), STRETCH)
-                    step = np.zeros(len(data) + 1, np.int64)
-                    np.add.at(step, s["lo"], 1)
-                    np.add.at(step, s["hi"], -1)
-                    mask = np.cumsum(step[:-1]) > 0
-                    lo, hi = tv.runs(mask, np.array([0, len(data)]))
-                    spans = np.column_stack([lo, hi]).ravel().tolist()
-                    kept = np.frombuffer(data, np.uint8)[~mask].tobytes()
+                if rows.is_valid:
+                    s = np.frombuffer(rows.as_buffer(), STRETCH)
+                    spans = [x for pair in s.tolist() for x in pair]
+                    edges = [0, *spans, len(data)]
+                    kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 out["n_bytes"].append(len(data))
                 out["n_removed"].append(len(data) - len(kept))
                 out["n_spans"].append(len(spans) // 2)
@@ -400,7 +418,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if with_text:
                 cols |= {"kept": pa.array(out["kept"], pa.binary()), "spans": pa.array(out["spans"], pa.list_(pa.int64()))}
             yield pa.RecordBatch.from_pydict(cols)
+        give_back()
 
-    met = own.join(_maybe_broadcast(gone), "uid", "left").select("id", "text", "lists")
+    met = own.join(_maybe_broadcast(gone), "uid", "left").select("id", "text", "rows")
     schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<long>" * with_text
     return met.mapInArrow(cut, schema)
