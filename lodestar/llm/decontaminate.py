@@ -102,6 +102,8 @@ class Finder:
 
     def candidates(self, form: bytes) -> Iterator[tuple[int, int, int]]:
         """(item, from, to): stretches of a normal form around piece hits; near ones of an item are joined."""
+        if not self.items.forms:
+            return
         seen: dict[int, list[int]] = {}
         for end, (size, where) in self.auto.iter(form.decode("latin-1")):
             for n, offset in where:

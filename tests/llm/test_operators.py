@@ -1,0 +1,441 @@
+"""Each operator against a plain version, with nulls, empty and long texts, repeated rows, no rows, and clashing columns."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestar.llm import decontaminate, encoder, line_dedup, ngram_join, pii, quality, repair, sentencepiece_lattice, suffix_dedup, textvec, token_counts, token_store, toxicity
+from lodestar.llm.queries import tokenizer_path
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+A = " ".join(f"word{i} and{i % 7}" for i in range(60))
+B = " ".join(f"other{i}, thing{i % 5}." for i in range(300))
+LINES = "\n".join(f"line number {i}" for i in range(8))
+ROWS = [
+    (1, A), (1, A), (2, None), (3, ""), (4, " \n\t "), (None, A), (5, A + " more"), (6, B * 20), (7, LINES), (8, "head\n" + LINES + "\ntail"), (9, "one two three"), (10, "one two three"),
+    (11, "x" * 3000), (12, "y" + "x" * 2500), (13, "a\na\na\na\na"), (14, "Ünïcode é 日本語 😀 ▁ text\r\n"), (15, B), (16, "Mail a.b+c@x-y.example.com, 10.0.0.255 or 4111 1111 1111 1111 and +1 (017) 555-7713."),
+]
+CLASH = ["id", "rows", "uid", "size", "bits", "kept", "score", "n_words", "unit", "block", "pos", "key", "label", "component_id", "n_tokens", "__label", "lines", "mark"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    d = spark.createDataFrame(ROWS, "doc_id long, text string")
+    return d.select("*", *(F.lit(None).cast("string").alias(c) if i % 2 else F.lit(i).alias(c) for i, c in enumerate(CLASH)))
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+def rows(df, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+
+
+def windows(text, n):
+    return [text[i : i + n] for i in range(len(text) - n + 1)]
+
+
+# 1
+
+
+def plain_lines(items):
+    first = {}
+    for key, text in sorted({(i, t) for i, t in items if t is not None}, key=lambda x: (x[0] is None, x[0] or 0)):
+        ls = text.split("\n")
+        for p in range(len(ls) - 2):
+            if WORD.search("".join(ls[p : p + 3])):
+                first.setdefault(tuple(ls[p : p + 3]), (key, text, p))
+    out = []
+    for key, text in items:
+        if text is None:
+            out.append((key, None, 0, 0))
+            continue
+        ls = text.split("\n")
+        gone = {q for p in range(len(ls) - 2) if WORD.search("".join(ls[p : p + 3])) and first[tuple(ls[p : p + 3])] != (key, text, p) for q in (p, p + 1, p + 2)}
+        out.append((key, "\n".join(x for i, x in enumerate(ls) if i not in gone), len(ls), len(gone)))
+    return sorted(out, key=repr)
+
+
+def test_line_dedup(docs, none):
+    assert rows(line_dedup.dedup_lines(docs), "doc_id", "text", "n_lines", "n_removed") == plain_lines(ROWS)
+    assert line_dedup.dedup_lines(none).count() == 0
+    kept = line_dedup.remove_repeats(docs)
+    assert kept.columns == docs.columns and kept.where("doc_id = 8").first()["text"] == "head\ntail"
+
+
+def test_line_dedup_without_broadcast(docs, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_WINDOWS", 0)
+    assert rows(line_dedup.dedup_lines(docs), "doc_id", "text", "n_lines", "n_removed") == plain_lines(ROWS)
+
+
+# 2
+
+
+def plain_spans(t):
+    out = [(0, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(1, m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [(2, m.start(), m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and pii.luhn(d)]
+    return out + [(3, m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+def test_pii(docs, none):
+    for r in pii.personal_data(docs).collect():
+        text = next(t for i, t in ROWS if i == r["doc_id"]) or ""
+        base = plain_spans(text)
+        assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == tuple(sum(k == j for k, _, _ in base) for j in range(4))
+        assert r["base_sha256"] == hashlib.sha256(pii.joined(base).encode()).hexdigest()
+        assert set(pii.joined(base).split(",")) <= set(r["spans"].split(","))
+    assert pii.personal_data(none).count() == 0
+
+
+def test_pii_patterns_at_random():
+    rng = np.random.default_rng(1)
+    for _ in range(20_000):
+        t = "".join(rng.choice(list("ab1290@@..--+ ()é\n25"), rng.integers(0, 40)))
+        assert plain_spans(t) == pii.base_spans(t), t
+
+
+def test_pii_field_reaches_a_distant_repeat():
+    card = "4111111111111111"
+    texts = [f"pay {card} now\nthen {card} again {i}" for i in range(50)]
+    counts = Counter()
+    for t in texts:
+        pii.count_text(t, counts)
+    text = f"pay {card} now. " + "filler words here " * 200 + f"list {card} 4012888888881881 end"
+    base = pii.base_spans(text)
+    added = pii.added_spans(text, base, pii.build(counts))
+    assert any(text[a:b] == card and k == 2 for k, a, b in added)
+    assert not pii.added_spans("nothing but 12 words", [], pii.build(counts))
+
+
+# 3
+
+
+def plain_removal(texts, size):
+    counts = Counter(w for t in texts for w in windows(t, size))
+    out = []
+    for t in texts:
+        gone = bytearray(len(t))
+        for i, w in enumerate(windows(t, size)):
+            if counts[w] > 1:
+                gone[i : i + size] = b"\1" * size
+        out.append((len(t), sum(gone), len(re.findall(b"\1+", gone)), hashlib.sha256(bytes(c for c, g in zip(t, gone, strict=True) if not g)).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize(("size", "k"), [(400, 32), (60, 12)])
+def test_suffix_dedup(docs, none, size, k):
+    found = suffix_dedup.remove_repeats(docs, size=size, k=k, with_text=True)
+    want = plain_removal([(t or "").encode() for _, t in ROWS], size)
+    assert rows(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(((i, *w) for (i, _), w in zip(ROWS, want, strict=True)), key=repr)
+    assert suffix_dedup.remove_repeats(none).count() == 0
+
+
+def test_suffix_dedup_of_edited_copies(spark):
+    rng = np.random.default_rng(5)
+    base = "".join(rng.choice(list("abcd efgh"), 3000))
+    made = []
+    for i in range(60):
+        t = list(base)
+        for p in rng.integers(0, len(t), rng.integers(1, 25)):
+            t[p] = rng.choice(list("xyz"))
+        made.append((i, "".join(rng.choice(list("lmnop"), rng.integers(0, 80))) + "".join(t[rng.integers(0, 500) :])))
+    want = plain_removal([t.encode() for _, t in made], 400)
+    found = suffix_dedup.remove_repeats(spark.createDataFrame(made, "doc_id long, text string").repartition(5))
+    assert rows(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(((i, *w) for (i, _), w in zip(made, want, strict=True)), key=repr)
+
+
+def test_suffix_levels_merge_geometrically():
+    pairs = []
+    text = b"abcdefgh" * 4
+    levels = suffix_dedup.SuffixLevels([b""] * 16, 8, lambda a, b, left, right: pairs.append((a, b)))
+    for i in range(16):
+        levels.add([(text[i % 5 :], i)])
+    assert len(levels.levels) <= 5 and pairs and all(level == sorted(level) for level in levels.levels)
+
+
+# 4
+
+
+def test_toxicity(spark, docs, none):
+    bad, good = ["idiot", "moron", "scum"], ["table", "river", "stone", "cloud"]
+    rng = np.random.default_rng(2)
+    made = []
+    for i in range(600):
+        words = list(rng.choice(good, rng.integers(5, 40)))
+        if i % 4 == 0:
+            for p in rng.integers(0, len(words), 2):
+                words[p] = rng.choice(bad)
+        made.append((i, " ".join(words), int(i % 4 == 0)))
+    d = spark.createDataFrame(made, "doc_id long, text string, toxic int")
+    lexicon = toxicity.fit(d.drop("toxic"), d.select("doc_id", "toxic", F.lit(1).alias("quality")))
+    assert {"idiot$", "moron$", "scum$"} & set(lexicon.weights) or {w[:3] for w in lexicon.weights} >= {"idi", "mor", "scu"}
+    scored = toxicity.score_documents(d, lexicon).join(d.select("doc_id", "toxic"), "doc_id").where("held_out").collect()
+    assert scored and sum(r["predicted"] == r["toxic"] for r in scored) >= 0.98 * len(scored)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in toxicity.score_documents(d, lexicon).collect())
+    matcher = toxicity.Matcher(lexicon)
+    assert matcher.hits(toxicity.fold("you 1D10T, mоrоn"))[1] == 2
+    lexicon.exceptions = ("pond scum",)
+    assert toxicity.Matcher(lexicon).hits("pond scum is green")[1] == 0
+    assert toxicity.score_documents(docs, lexicon).count() == len(ROWS)
+    labels = d.select("doc_id", "toxic").limit(0)
+    assert {r["score"] for r in toxicity.toxicity(docs, labels).collect()} == {0.0}
+    assert toxicity.toxicity(none, labels).count() == 0
+
+
+# 5
+
+
+def plain_components(items):
+    sets = {}
+    for i, t in items:
+        if i is None:
+            continue
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    return {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+def edited(seed, n=120):
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(200)]
+    made = []
+    for i in range(n):
+        w = list(base) if i % 3 else [f"v{i % 4}_{k}" for k in range(150)]
+        for p in rng.integers(0, len(w), rng.integers(0, 12)):
+            w[p] = f"e{rng.integers(0, 1000)}"
+        made.append((i, " ".join(w[: len(w) - rng.integers(0, 20)])))
+    return made
+
+
+def test_ngram_join(docs, none):
+    want = plain_components(ROWS)
+    for r in ngram_join.classes(docs).collect():
+        assert (r["n_shingles"], r["component_id"]) == (want[r["doc_id"]] if r["doc_id"] is not None else (want[1][0], None))
+    assert ngram_join.classes(none).count() == 0
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns and {5, 10}.isdisjoint({r["doc_id"] for r in kept.select("doc_id").collect()})
+
+
+def test_ngram_join_of_edited_copies(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+    made = edited(3)
+    want = plain_components(made)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.classes(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 300)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 63, rng.integers(0, 20)).astype(np.uint64)]))
+        if len(b) and ngram_join.links(a, b, 75):
+            assert ngram_join.may_link(ngram_join.bitmap(a), ngram_join.bitmap(b), len(a), len(b), 75)
+
+
+# 6
+
+
+def plain_distance(p, t):
+    before = [0] * (len(t) + 1)
+    for i, c in enumerate(p):
+        now = [i + 1]
+        for j, x in enumerate(t):
+            now.append(min(before[j] + (c != x), before[j + 1] + 1, now[j] + 1))
+        before = now
+    return min(before)
+
+
+def test_myers_distance():
+    rng = np.random.default_rng(6)
+    forms = [bytes(rng.choice(list(b"abc"), n).astype(np.uint8)) for n in (1, 5, 63, 64, 65, 130, 200)]
+    finder = decontaminate.Finder(decontaminate.Items(list(range(len(forms))), forms))
+    texts = [bytes(rng.choice(list(b"abc"), rng.integers(0, 150)).astype(np.uint8)) for _ in forms]
+    got, _ = finder.distances(np.arange(len(forms)), texts)
+    assert got.tolist() == [plain_distance(f, t) for f, t in zip(forms, texts, strict=True)]
+
+
+def test_decontamination(spark, docs, none):
+    rng = np.random.default_rng(7)
+    items = [(i, " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(20))) for i in range(12)] + [(None, "a null id with a passage of its own kind here"), (20, None), (21, ""), (0, "again")]
+    made = []
+    for i in range(80):
+        text = " ".join("".join(rng.choice(list("ijklmnop"), 5)) for _ in range(40))
+        if i % 4 == 0:
+            form = list(items[i % 12][1])
+            for p in rng.integers(0, len(form), i % 9):
+                form[p] = "Z"
+            text = text[:80] + "  " + "".join(form).upper() + "!\n" + text[80:]
+        made.append((i, text))
+    d, b = spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = set()
+    for i, t in made:
+        for k, form in items:
+            f = decontaminate.normal(form)
+            if f and len(f) > 20 and plain_distance(f, decontaminate.normal(t)) <= int(decontaminate.RATE * len(f)):
+                want.add((i, k))
+    assert want and {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(d, b).collect()} == want
+    kept = decontaminate.filter_documents(d, b)
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in made} - {i for i, _ in want}
+    assert decontaminate.matches(docs, b.limit(0)).count() == 0 and decontaminate.matches(none, b).count() == 0
+    assert decontaminate.filter_documents(docs, b).columns == docs.columns
+
+
+# 7
+
+
+def plain_encoding(v, text):
+    table = {p: (w, i) for p, i, w in zip(v.pieces, v.ids, v.weights, strict=True)}
+    longest, out = max(map(len, table)), []
+    for unit in sentencepiece_lattice.UNITS.findall(f" {text}") if text else []:
+        best = [(0, 0, [])]
+        for hi in range(1, len(unit) + 1):
+            ways = []
+            for lo in range(max(0, hi - longest), hi):
+                if (s := unit[lo:hi]) in table:
+                    ways.append((best[lo][0] + table[s][0], best[lo][1] - 1, [*best[lo][2], table[s][1]]))
+                elif hi - lo == 1:
+                    ways.append((best[lo][0] + sentencepiece_lattice.UNKNOWN, best[lo][1] - 1, [*best[lo][2], -ord(s)]))
+            best.append(max(ways))
+        out += [j for i in best[-1][2] for j in ([i] if i >= 0 else [v.byte_zero + b for b in chr(-i).encode()])]
+    return out
+
+
+def test_sentencepiece(docs, none, monkeypatch):
+    monkeypatch.setattr(sentencepiece_lattice, "BLOCK_UNITS", 50)
+    model = tokenizer_path("piece_bpe_32k.model")
+    v = sentencepiece_lattice.Vocabulary.load(model)
+    found = sentencepiece_lattice.encode(docs, model)
+    want = sorted(((i, plain_encoding(v, t)) for i, t in ROWS), key=repr)
+    assert rows(found, "doc_id", "ids") == want
+    assert all(r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) and r["n_tokens"] == len(r["ids"]) for r in found.collect())
+    assert rows(sentencepiece_lattice.decode(found, model), "doc_id", "text") == sorted(((i, t or "") for i, t in ROWS), key=repr)
+    assert sentencepiece_lattice.encode(none, model).count() == 0
+
+
+# 8
+
+
+def plain_statistics(t):
+    w = WORD.findall(t)
+    grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    twice = {k for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for k in range(i, i + 5)}
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(twice)
+
+
+def test_quality(spark, docs, none):
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(1, 17)], "doc_id long, quality int, toxic int")
+    for r in quality.apply_rules(docs, labels).collect():
+        text = next(t for i, t in ROWS if i == r["doc_id"]) or ""
+        want = plain_statistics(text)
+        assert tuple(r[c] for c in quality.BASE) == want
+        assert r["base_failed"] == (want[0] < 10 or 100 * want[4] > 20 * want[0]) and not (r["base_failed"] and r["kept"])
+    assert quality.filter_documents(docs, labels).columns == docs.columns
+    assert all(r["kept"] != r["base_failed"] for r in quality.apply_rules(docs, labels.limit(0)).collect())
+    assert quality.apply_rules(none, labels).count() == 0
+
+
+def test_forest_finds_anomalies():
+    rng = np.random.default_rng(8)
+    good, bad = rng.uniform(0, 0.1, (500, 5)), rng.uniform(0, 0.1, (60, 5))
+    bad[:, 2] = rng.uniform(0.6, 1, 60)
+    forest = quality.calibrate(quality.grow(good), np.vstack([good, bad]), np.r_[np.ones(500, bool), np.zeros(60, bool)])
+    assert (forest.score(bad) >= forest.cut).mean() > 0.95 and (forest.score(good) >= forest.cut).mean() < 0.03
+
+
+# 9 and 10
+
+
+def plain_ids(text):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path("word_bpe_49k.json")).encode(text or "", add_special_tokens=False).ids
+
+
+def test_encoder_equals_the_library():
+    texts = ["a<|endoftext|>b <|startoftext|>", "İSTANBUL Σίσυφος ΣΑΣ é é", "ab—,cd ×,a ÷,b é,É don't WE'LL", "a,́b", "日本語 12345", "", " \n\t", "K Å ß"]
+    e = encoder.WordEncoder(tokenizer_path("word_bpe_49k.json"))
+    for part in (texts, texts[1:]):
+        data = [t.encode() for t in part]
+        ids, at = e.encode(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]))
+        assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(part))] == [plain_ids(t) for t in part]
+
+
+def test_repair_round_trip():
+    rng = np.random.default_rng(9)
+    for first in (300, 70_000):
+        seq = np.where(rng.random(20_000) < 0.5, rng.integers(0, 5, 20_000), rng.integers(0, first, 20_000))
+        ends = np.flatnonzero(seq == 2) + 1
+        offsets = np.unique(np.concatenate([[0], ends, [len(seq)]]))
+        shard = repair.Shard.of(np.arange(len(offsets) - 1), np.ones(len(offsets) - 1, bool), seq, offsets, first, 2)
+        again = repair.Shard.from_bytes(shard.to_bytes())
+        assert (again.all_ids() == seq).all() and (again.starts() == offsets).all() and len(again.symbols) < len(seq)
+        assert all((again.document(k) == seq[offsets[k] : offsets[k + 1]]).all() for k in range(0, len(offsets) - 1, 97))
+        with pytest.raises(ValueError):
+            repair.Shard.from_bytes(shard.to_bytes()[:-5] + b"12345")
+
+
+def test_token_store(spark, docs, none, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "SHARD_IDS", 500)
+    path = tokenizer_path("word_bpe_49k.json")
+    start, want = 0, []
+    for i, t in sorted(ROWS, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
+        ids = [*plain_ids(t), 2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids))
+        start += len(ids)
+    assert rows(token_store.round_trip(docs, path, with_ids=True), "doc_id", "start", "n_tokens", "ids_crc32", "ids") == sorted(want, key=repr)
+    assert token_store.round_trip(none, path).count() == 0
+    token_store.write(docs, path, f"{tmp_path}/t")
+    assert rows(token_store.read_documents(spark, f"{tmp_path}/t", [6, 14]), "doc_id", "ids") == sorted(((i, x) for i, _, _, _, x in want if i in (6, 14)), key=repr)
+
+
+def test_token_counts(spark, docs, none, monkeypatch):
+    path = tokenizer_path("word_bpe_49k.json")
+    want = sorted(((i, len(plain_ids(t))) for i, t in ROWS), key=repr)
+    assert rows(token_counts.count_documents(docs, path), "doc_id", "n_tokens") == want
+    monkeypatch.setattr(token_counts, "BLOCK_IDS", 64)  # documents over many blocks
+    assert rows(token_counts.count_documents(docs, path), "doc_id", "n_tokens") == want
+    assert token_counts.count_documents(none, path).count() == 0
+
+
+def test_token_counts_of_flat_files(spark, tmp_path):
+    stream = np.array([5, 6, 49407, 49407, 7, 8, 9, 49407, 1, 2], "<u2")
+    (tmp_path / "a.bin").write_bytes(stream.tobytes())
+    files = spark.read.format("binaryFile").load(str(tmp_path / "a.bin"))
+    found = token_counts.scan(token_counts.blocks_of_files(files, 3))
+    assert rows(found, "ordinal", "n_tokens") == [(0, 2), (1, 0), (2, 3), (3, 2)]
+
+
+def test_hashes_of_words_depend_on_content_alone(monkeypatch):
+    data = "ab cd ab\nabc ab".encode()
+    raw, offsets = np.frombuffer(data, np.uint8), np.array([0, 8, len(data)])
+    one = textvec.words(raw, offsets)
+    monkeypatch.setattr(textvec, "SUMS_UP_TO", 0)
+    two = textvec.words(raw, offsets)
+    assert (one[3] == two[3]).all() and one[3][0] == one[3][2] == one[3][4] != one[3][3] and one[2].tolist() == [0, 0, 0, 1, 1]
