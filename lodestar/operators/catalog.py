@@ -224,3 +224,35 @@ def visible(rows: DataFrame, user: str | None, owner: str = "user_id", public: s
 
 def distinct_rank(order: list[Column], *partition: str) -> Column:
     return F.dense_rank().over(Window.partitionBy(*partition).orderBy(*order))
+
+
+def autocomplete(rows: DataFrame, word: str, limit: int = 10) -> DataFrame:
+    """Few columns of the rows that a name finds, with whether each has a guide."""
+    from lodestar.functions.formats import guide_key
+
+    found = rows.where(like_any(["title"], word, "aliases")).orderBy(*sorts()["hot"]).limit(min(20, max(1, limit)))
+    return found.select("id", "code", "title", "author", "cover_url", guide_key(F.col("extra")).isNotNull().alias("has_guide"))
+
+
+def items(rows: DataFrame, options: DataFrame, labels: dict[str, str], arrays: dict[str, str]) -> DataFrame:
+    """Catalogue rows as they are shown: labels of codes (an unknown code of an array stands for itself, a single one
+    gives null), texts of players and duration, and defaults for what is missing."""
+    from lodestar.functions.formats import duration_text, guide_key, players_text
+
+    for column, category in labels.items():
+        rows = label_of(rows, options, column, category, f"{column}_label")
+    for column, category in arrays.items():
+        rows = labels_of(rows, options, column, category, f"{column}_labels", echo=True)
+    return rows.select(
+        "*", players_text(*(F.col(c) for c in ("player_min", "player_max", "male_count", "female_count", "flexible_count"))).alias("players_text"),
+        duration_text(F.col("duration_min"), F.col("duration_max")).alias("duration_text"), guide_key(F.col("extra")).isNotNull().alias("has_guide"),
+    ).fillna({"play_count": 0, "rating_count": 0})
+
+
+def seed_violations(rows: DataFrame, options: DataFrame, columns: dict[str, str], pairs: list[tuple[str, str, int]]) -> DataFrame:
+    """(id, problem) of rows to be loaded: codes used twice, unknown dictionary codes, ranges, ratings beyond 0 to 10."""
+    twice = rows.groupBy("code").agg(F.count("*").alias("n")).where("n > 1").select("code")
+    out = rows.join(twice, "code", "left_semi").select("id", F.lit("code used twice").alias("problem"))
+    out = out.unionByName(unknown_codes(rows, options, columns).select("id", F.concat(F.lit("unknown "), "column", F.lit(": "), "codes").alias("problem")))
+    out = out.unionByName(range_violations(rows, pairs).select("id", F.concat(F.lit("range: "), F.array_join("wrong", ", ")).alias("problem")))
+    return out.unionByName(rows.where("rating < 0 or rating > 10").select("id", F.lit("rating").alias("problem")))

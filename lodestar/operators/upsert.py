@@ -85,3 +85,33 @@ def stale(tasks: DataFrame, now: Column, hours: int) -> DataFrame:
     """Uploads that haven't moved for some hours fail; a message that is there stays."""
     late = (F.col("status") == "uploading") & (F.col("updated_at") < now - F.make_interval(hours=F.lit(hours)))
     return update_where(tasks, late, status=F.lit("failed"), error_message=F.coalesce("error_message", F.lit("expired")), updated_at=now)
+
+
+def backfill_code(rows: DataFrame, scripts: DataFrame) -> DataFrame:
+    """A blank script_code becomes the script's code."""
+    own = scripts.select(F.col("id").alias("script_id"), F.col("code").alias("__code"))
+    return rows.join(own, "script_id", "left").withColumn("script_code", F.coalesce(F.nullif(F.trim("script_code"), F.lit("")), "__code")).drop("__code")
+
+
+def recount(documents: DataFrame, chunks: DataFrame, qa: DataFrame) -> DataFrame:
+    """Counters of documents set to the rows there are, vectors counted where they are there."""
+
+    def count(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias(f"total_{name}"), F.count("embedding").alias(f"embedded_{name}"))
+
+    out = documents.drop("total_chunks", "total_qa", "embedded_chunks", "embedded_qa").join(count(chunks, "chunks"), "id", "left").join(count(qa, "qa"), "id", "left")
+    return out.fillna(0, ["total_chunks", "embedded_chunks", "total_qa", "embedded_qa"])
+
+
+def latest_job(jobs: DataFrame, code: str, ident: str, object_key: str | None = None) -> DataFrame:
+    """The newest job of a code, or of the id where the code has none; of an object key where one is given."""
+    from lodestar.operators.retrieval import by_code_or_id
+
+    own = by_code_or_id(jobs, code, ident)
+    own = own.where(F.col("object_key") == object_key) if object_key else own
+    return own.orderBy(F.desc("created_at"), F.desc("id")).limit(1)
+
+
+def running(jobs: DataFrame) -> DataFrame:
+    """The newest job of each script that hasn't ended."""
+    return latest_per_key(jobs.where(~F.col("status").isin(*TERMINAL)), ["script_id"], "created_at", "id")

@@ -244,3 +244,24 @@ def test_streams(spark, tmp_path):
     rows = pipelines.file_stream(spark, f"{tmp_path}/in", df.schema)
     assert pipelines.run_once(pipelines.dedup_stream(rows, ["k", "v"])).count() == 2
     assert {r["k"]: r["n"] for r in pipelines.run_once(pipelines.counter_stream(rows, "k"), "complete").collect()} == {1: 2, 2: 1}
+
+
+def test_items_and_seeds(spark):
+    options = spark.createDataFrame([("kind", "a", "A", 1), ("theme", "t", "T", 2)], "category_code string, code string, label string, sort_order int")
+    rows = spark.createDataFrame(
+        [("1", "c", "Red", "me", None, [], "a", ["t", "?"], 4, 6, 2, 2, 0, 180, 240, None, None, '{"dmGuide": "k"}', 11), ("2", "c", "Blue", None, None, ["red"], "z", [], 9, 6, None, None, None, None, None, 5, 1, None, 3)],
+        "id string, code string, title string, author string, cover_url string, aliases array<string>, kind string, theme array<string>, player_min int, player_max int, male_count int, female_count int, flexible_count int, duration_min int, duration_max int, play_count int, rating_count int, extra string, rating int",
+    )
+    got = {r["id"]: r for r in catalog.items(rows, options, {"kind": "kind"}, {"theme": "theme"}).collect()}
+    assert got["1"]["kind_label"] == "A" and got["1"]["theme_labels"] == ["T", "?"] and got["1"]["players_text"] == "4-6人（2男2女）" and got["1"]["has_guide"] and got["2"]["kind_label"] is None and got["1"]["play_count"] == 0
+    assert sorted(r["problem"].split(":")[0] for r in catalog.seed_violations(rows, options, {"kind": "kind", "theme": "theme"}, [("player_min", "player_max", 50)]).collect()) == ["code used twice", "code used twice", "range", "rating", "unknown kind", "unknown theme"]
+    assert [r["id"] for r in catalog.autocomplete(rows, "red").collect()] == ["2", "1"]
+
+
+def test_jobs_and_counts(spark):
+    jobs = spark.createDataFrame([("1", "s", "", "k", "failed", 1), ("2", "s", "", "l", "embedding", 2), ("3", "s", "", "k", "extracting", 3)], "id string, script_id string, script_code string, object_key string, status string, created_at int")
+    assert upsert.latest_job(jobs, "none", "s", "k").first()["id"] == "3" and [r["id"] for r in upsert.running(jobs).collect()] == ["3"]
+    assert upsert.backfill_code(jobs, spark.createDataFrame([("s", "code")], "id string, code string")).first()["script_code"] == "code"
+    docs = spark.createDataFrame([("d", 9)], "id string, total_chunks int")
+    parts = spark.createDataFrame([("d", None), ("d", 1)], "document_id string, embedding int")
+    assert upsert.recount(docs, parts, parts.limit(0)).select("total_chunks", "embedded_chunks", "total_qa").first() == (2, 1, 0)
