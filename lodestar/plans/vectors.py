@@ -38,7 +38,7 @@ def _hits(spark: SparkSession, d: str) -> DataFrame:
 
 _HITS = f"""WITH {_Q}, r AS (
   SELECT CASE WHEN vec_id % 2 = 0 THEN 'qa' ELSE 'chunk' END AS kind, vec_id AS id, round(sim, 4) AS raw,
-         row_number() OVER (PARTITION BY vec_id % 2 ORDER BY sim DESC, vec_id) AS pos
+         row_number() OVER (PARTITION BY vec_id % 2 ORDER BY sim DESC, vec_id)::INT AS pos
   FROM s WHERE sim >= 0.05 AND vec_id > 0),
 h AS (SELECT kind, id, raw, round(raw * CASE WHEN kind = 'qa' THEN 1.12 ELSE 1.0 END, 4) AS score, pos
       FROM r WHERE pos <= CASE WHEN kind = 'qa' THEN 8 ELSE 3 END)"""
