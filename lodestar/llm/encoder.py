@@ -2,7 +2,7 @@
 
 The tokenizer drops white space, lower-cases, and never joins letters and punctuation, so a text's ids are the ids of
 its parts end to end: white-space separated words, cut between ASCII punctuation (but the apostrophe) and Latin letters.
-Each task encodes each different part once and gathers the rest with numpy; the parts a task remembers are bounded,
+Each worker encodes each different part once and gathers the rest with numpy; the parts a worker remembers are bounded,
 older ones are encoded again.  Runs of texts that hold "<|", which may begin a special token, are cut at white space only
 and keep their case.
 """
@@ -18,7 +18,7 @@ import pandas as pd
 
 from . import textvec as tv
 
-#: Parts remembered by a task.
+#: Parts remembered by a worker (some 45 bytes each).
 REMEMBER = 1_000_000
 
 #: Parts that are one piece for the tokenizer: its model takes them as they are, without normaliser and splitter.
@@ -104,6 +104,10 @@ class WordEncoder:
             starts, ends, own = parts(raw, offsets)
             h = tv.span_hash(raw, ~tv.SPACE[raw], starts, ends)
         back, different = pd.factorize(h)
+        order = np.argsort(different)  # a sorted search stays in the cache
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        back, different = rank[back], different[order]
         if len(self.keys) > REMEMBER:
             self._forget()
         at = np.searchsorted(self.keys, different)
@@ -118,9 +122,8 @@ class WordEncoder:
             got = self._encode([data[i:j].decode("utf-8", "replace") for i, j in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)])
             size = np.array([len(x) for x in got], np.int64)
             self.start = np.concatenate([self.start, len(self.ids) + np.concatenate([[0], np.cumsum(size)[:-1]])])
-            order = np.argsort(different[~known])
-            self.slot = np.insert(self.slot, at[~known][order], len(self.size) + order)
-            self.keys = np.insert(self.keys, at[~known][order], different[~known][order])
+            self.slot = np.insert(self.slot, at[~known], len(self.size) + np.arange(len(got)))
+            self.keys = np.insert(self.keys, at[~known], different[~known])
             self.size = np.concatenate([self.size, size])
             self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(got), np.int32, int(size.sum()))])
             at = np.searchsorted(self.keys, different)
@@ -131,3 +134,14 @@ class WordEncoder:
         ids = self.ids[np.repeat(self.start[slot] - (ends_at - size), size) + np.arange(total)]
         words_before = np.searchsorted(own, np.arange(len(offsets)))
         return ids, np.concatenate([[0], ends_at])[words_before]
+
+
+_shared: dict[tuple[str, bool], WordEncoder] = {}
+
+
+def shared(path: str, ordinary: bool = False) -> WordEncoder:
+    """The encoder of this Python worker: it lives on from task to task with what it remembers."""
+    key = (path, ordinary)
+    if key not in _shared:
+        _shared[key] = WordEncoder(path, ordinary)
+    return _shared[key]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import pieces, shared_dir
-from .encoder import WordEncoder
+from .encoder import shared
 
 #: Ids in a block.
 BLOCK_IDS = 1 << 20
@@ -34,7 +34,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, separator: int = 49407, id
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer, ordinary=True)
+        encoder = shared(tokenizer, ordinary=True)
         file, block = TaskContext.get().partitionId(), 0
         held, rows = [], 0
         names: list[pa.Array] = []

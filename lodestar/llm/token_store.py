@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import CLEANUP, pieces, shared_dir, shuffle_width
-from .encoder import WordEncoder
+from .encoder import shared
 from .repair import Shard
 
 #: Ids after which a shard is closed.
@@ -36,7 +36,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, vocabular
     own = own.repartitionByRange(shuffle_width(spark), "id").sortWithinPartitions("id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = shared(tokenizer)
         part, shard = TaskContext.get().partitionId(), 0
         held: list[tuple] = []
         rows = 0
