@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import give_back, pieces
 
 U = np.uint64
 #: Edits allowed for each byte of an item.
@@ -161,7 +161,7 @@ def find(docs: DataFrame, items: Items, id_col: str = "doc_id", text_col: str =
         finder = Finder(items)
         names = pa.array([i for i, _ in kept], pa.int64())
         for batch in batches:
-            for lo, hi, raw, offsets in pieces(batch, text_col, 8 << 20):
+            for lo, hi, raw, offsets in pieces(batch, text_col):
                 low, at, place = normal_bytes(raw, offsets)
                 data = low.tobytes()
                 row, which, starts, texts = [], [], [], []
@@ -235,7 +235,7 @@ def filter_documents(docs: DataFrame, benchmark: DataFrame, rate: float = RATE)
         def keep(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             finder = Finder(items)
             for batch in batches:
-                for lo, hi, raw, offsets in pieces(batch, "text", 8 << 20):
+                for lo, hi, raw, offsets in pieces(batch, "text"):
                     low, at, _ = normal_bytes(raw, offsets)
                     data = low.tobytes()
                     clean = np.ones(hi - lo, bool)
@@ -256,6 +256,7 @@ def filter_documents(docs: DataFrame, benchmark: DataFrame, rate: float = RATE)
                             if d <= finder.budget[n] and (finder.budget[n] or _whole(data[at[row[i]] : at[row[i] + 1]], starts[i] + e - len(items.forms[n]), starts[i] + e)):
                                 clean[row[i]] = False
                     yield batch.slice(lo, hi - lo).filter(pa.array(clean))
+            give_back()
 
         docs = docs.mapInArrow(keep, docs.schema)
     return docs

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import materialise, pieces, shuffle_width
+from .common import give_back, materialise, pieces, shuffle_width
 from .components import components
 
 U = np.uint64
@@ -158,6 +158,8 @@ def _postings(docs: DataFrame, cells, id_col: str, text_col: str, n: int, percen
                     yield from _pack(held, buckets)
                     held, rows = [], 0
         yield from _pack(held, buckets)
+        held = []
+        give_back()
 
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"))
     return own.mapInArrow(run, "bucket int, postings binary")
@@ -192,6 +194,8 @@ def _tiles(postings: DataFrame, percent: int) -> DataFrame:
                 held.append(np.frombuffer(x.as_buffer(), POSTING).copy())
         if held:
             yield from _meet(held, percent)
+        held = []
+        give_back()
 
     return postings.mapInArrow(run, "a long, b long, g1 long, g2 long, members binary")
 
