@@ -1,8 +1,8 @@
-"""A training corpus from `documents`: quality rules, line dedup, near-duplicate removal, decontamination, encoding.
+"""A training corpus from `documents`: quality rules, line dedup, near-duplicate removal, decontamination, encoding and decoding.
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame.  `run` writes each
 stage's rows as Parquet into the shared folder and reads them back as the next one's docs.  All but the last stage
-return the columns of docs; the last returns doc_id, n_tokens, ids_crc32 and ids.
+return the columns of docs; the last returns doc_id, n_tokens, ids_crc32, ids and text_md5, of the text decoded from ids.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepiece_lattice.encode(docs, tokenizer_path("piece_bpe_32k.model"))
+    return sentencepiece_lattice.round_trip(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
 STAGES = [

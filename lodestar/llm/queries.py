@@ -48,9 +48,9 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sentencepiece_lattice import encode
+    from .sentencepiece_lattice import round_trip
 
-    return encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,8 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count
+from hashlib import md5
+from itertools import count, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +85,26 @@ class Vocabulary:
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(zip(self.pieces, self.ids, self.weights, strict=True)), "piece string, piece_id int, weight long")
 
+    def pairs(self) -> list[str]:
+        """All two characters that stand side by side in a piece."""
+        return sorted({p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)})
+
+    def lookup(self) -> dict[str, tuple[int, int]]:
+        """Weight and id of each piece."""
+        out: dict[str, tuple[int, int]] = {}
+        for p, i, w in zip(self.pieces, self.ids, self.weights, strict=True):
+            out[p] = max(out.get(p, (w, i)), (w, i))
+        return out
+
+    def names(self) -> pa.LargeBinaryArray:
+        """What each id stands for."""
+        names = [b""] * (1 + max([*self.ids, self.byte_zero + 255]))
+        for b in range(256):
+            names[self.byte_zero + b] = bytes([b])
+        for i, p in zip(self.ids, self.pieces, strict=True):
+            names[i] = p.encode()
+        return pa.array(names, pa.large_binary())
+
     def decode(self, ids) -> str:
         if not len(ids):
             return ""
@@ -252,8 +273,9 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 SORTED = "spark.sql.execution.useObjectHashAggregateExec"
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit numbers) and, if asked for, ids."""
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, decoded: bool = False) -> DataFrame:
+    """id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit numbers) and, if asked for, ids and text_md5 of the
+    text that they decode to."""
     spark = docs.sparkSession
     vocabulary = Vocabulary.load(model)
     byte_zero = vocabulary.byte_zero
@@ -279,6 +301,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, numbers, sizes, flats = None, [], [], []
         table = None
+        names = vocabulary.names() if decoded else None
 
         def build() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             number, size = np.concatenate(numbers), np.concatenate(sizes)
@@ -318,26 +341,45 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 view = memoryview(ids).cast("B") if total else memoryview(b"")
                 check = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 cols = [pa.array(keys, mask=~valid), pa.array(np.diff(at)), pa.array(check, pa.int64())]
+                if with_ids or decoded:
+                    lists = pa.ListArray.from_arrays(at.astype(np.int32), pa.array(ids.astype(np.int32)))
                 if with_ids:
-                    cols.append(pa.ListArray.from_arrays(at.astype(np.int32), pa.array(ids.astype(np.int32))))
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])])
+                    cols.append(lists)
+                if decoded:
+                    cols.append(pa.array([md5(t.encode()).hexdigest() for t in _texts(lists, names).to_pylist()], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "n_tokens", "ids_crc32", *["ids"] * with_ids, *["text_md5"] * decoded])
         numbers, sizes, flats, table = [], [], [], None
         give_back()
 
-    out = every.mapInArrow(gather, "id long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    out = every.mapInArrow(gather, "id long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids + ", text_md5 string" * decoded)
     return out.withColumnRenamed("id", id_col)
 
 
+def _texts(ids: pa.ListArray, names: pa.LargeBinaryArray) -> pa.StringArray:
+    """The texts of lists of ids, null for null; names holds the bytes of each id."""
+    # the pieces of all ids end to end; a text begins where its ids begin
+    data = names.take(ids.flatten())
+    at = np.concatenate([[0], np.cumsum(pc.fill_null(ids.value_lengths(), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    starts = np.frombuffer(data.buffers()[1], np.int64, len(data) + 1, 8 * data.offset) if len(data) else np.zeros(1, np.int64)
+    texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(starts[at].tobytes()), data.buffers()[2] or pa.py_buffer(b"")])
+    texts = pc.utf8_slice_codeunits(texts.cast(pa.large_string()), 1).cast(pa.string())
+    return pc.if_else(ids.is_valid(), texts, pa.scalar(None, pa.string()))
+
+
 def decode(encoded: DataFrame, model: str, id_col: str = "doc_id") -> DataFrame:
     """id and text of ids."""
     vocabulary = Vocabulary.load(model)
     kind = dict(encoded.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = {i: p.encode() for i, p in zip(vocabulary.ids, vocabulary.pieces, strict=True)}
-        names |= {vocabulary.byte_zero + b: bytes([b]) for b in range(256)}
+        names = vocabulary.names()
         for batch in batches:
-            texts = [None if ids is None else b"".join([names[i] for i in ids]).decode("utf-8")[1:] for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _texts(batch.column(1), names)], names=[id_col, "text"])
 
     return encoded.select(F.col(id_col), "ids").mapInArrow(run, f"`{id_col}` {kind}, text string")
+
+
+def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encode and decode: id, n_tokens, ids_crc32, ids, and text_md5 of the text that `decode` makes of ids; the ids are
+    decoded in the worker that has them, which saves a second worker's memory."""
+    return encode(docs, model, id_col, text_col, decoded=True)

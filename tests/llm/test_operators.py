@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, encoder, line_dedup, ngram_join, pii, quality, repair, sentencepiece_lattice, suffix_dedup, textvec, token_counts, token_store, toxicity
+import corpus_pipeline
+from lodestar.llm import decontaminate, encoder, line_dedup, ngram_join, pii, quality, queries, repair, sentencepiece_lattice, suffix_dedup, textvec, token_counts, token_store, toxicity
 from lodestar.llm.queries import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -334,6 +335,19 @@ def test_sentencepiece(docs, none, monkeypatch):
     assert sentencepiece_lattice.encode(none, model).count() == 0
 
 
+WHITE = ["if x:\n        return {\r\n    }\r\n" + " " * 40 + "end  .", "a" * 50 + "international" * 20, " " * 100, "=" * 77 + "\r\n\t\t x", "\u65e5\u672c" * 30 + "\u2581\U0001f600 12345678901234567890123456789012345", "\r\r\n  \r \r"]
+
+
+def test_sentencepiece_query_decodes(spark, tmp_path):
+    items = [(i, t) for i, t in ROWS + list(enumerate(WHITE, 100))]
+    spark.createDataFrame(items, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted(((i, hashlib.md5((t or "").encode()).hexdigest()) for i, t in items), key=repr)
+    found = queries.op7_sentencepiece(spark, str(tmp_path))
+    assert rows(found, "doc_id", "text_md5") == want and all(len(r["ids"]) == r["n_tokens"] for r in found.collect())
+    stage = corpus_pipeline.encoding(spark, spark.createDataFrame(items, "doc_id long, text string"), str(tmp_path))
+    assert rows(stage, "doc_id", "text_md5") == want
+
+
 # 8
 
 
