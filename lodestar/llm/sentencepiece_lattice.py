@@ -1,16 +1,17 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-A text gets a blank in front and is cut into units: runs of Latin letters, or of all other signs, each with the one
-blank before it, at most `UNIT` characters; other white space alone.  No piece that matters crosses a unit.  The distinct units of
-each block of documents meet in one table; there
+A text gets a blank in front and is cut into units between any two characters that stand side by side in no piece of
+the vocabulary, so no piece crosses a cut and the best paths of the units make the best path of the text.  The distinct
+units of each block of documents meet in one table; there
 
-- each unit is exploded into its substrings up to the longest piece,
+- each unit of at most `UNIT` characters is exploded into its substrings up to the longest piece,
 - these are equi-joined to the piece table (bounded by the vocabulary, so it is broadcast),
 - the edges that match are grouped by unit, and
 - a fold over the end positions (Viterbi, with Spark's higher-order `aggregate`) keeps the best path to each: most
   weight, then fewest pieces, then the greatest list of ids.
 
-The units' ids go back to their blocks, where documents, held as unit numbers, gather them.  A character without a
+Longer units (rare) are folded one by one in Python, from the last character to the first, in time that grows with
+their length (`best_path`); the result is the same.  The units' ids go back to their blocks, where documents, held as unit numbers, gather them.  A character without a
 piece becomes its byte pieces.  Weights are whole numbers: of a model of ranks (byte-pair encoding) the logarithm of a
 Zipf law over its ranks, of a unigram model its scores, in millionths.
 
@@ -31,15 +32,18 @@ from itertools import count, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import give_back, materialise, shuffle_width, text_array
 
+#: Most characters of a unit that is folded in columns.
 UNIT = 32
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
-UNITS = re.compile(rf" ?(?:[{LATIN}]{{1,{UNIT}}}|[^{LATIN}\s]{{1,{UNIT}}})|\s")
+#: A coarser cut for plain versions, exact for a vocabulary whose pieces all match it as a whole.
+UNITS = re.compile(rf" *(?:[{LATIN}]+|(?:[^{LATIN}\s]|\r)+)| +|\s")
 #: Distinct units of a block.
 BLOCK_UNITS = 600_000
 #: Weight of a character without a piece.
@@ -113,6 +117,62 @@ class Vocabulary:
         return out.decode("utf-8")[1:]
 
 
+class Cuts:
+    """Cuts texts into units.  Pairs are known by a hash cell: two in one cell leave a unit longer, never cut a piece."""
+
+    def __init__(self, pairs: list[str]) -> None:
+        self.inner = np.zeros(1 << 20, bool)
+        if pairs:
+            x = np.frombuffer("".join(pairs).encode("utf-32-le"), "<u4")
+            self.inner[self.cell(x[::2], x[1::2])] = True
+
+    @staticmethod
+    def cell(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(12)
+
+    def cut(self, text: str) -> list[str]:
+        x = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        ends = np.flatnonzero(~self.inner[self.cell(x[:-1], x[1:])]) + 1
+        return [text[a:b] for a, b in pairwise([0, *ends.tolist(), len(text)])]
+
+
+def best_path(unit: str, lookup: dict[str, tuple[int, int]], longest: int) -> list[int]:
+    """What `viterbi` finds, for a unit of any length.  From the end on, paths that tie differ in their first id."""
+    n = len(unit)
+    weight, less, step, ids = [0] * (n + 1), [0] * (n + 1), [0] * n, [0] * n
+    for lo in range(n - 1, -1, -1):
+        best = None
+        for hi in range(lo + 1, min(n, lo + longest) + 1):
+            found = lookup.get(unit[lo:hi])
+            if found is None:
+                if hi > lo + 1:
+                    continue
+                found = UNKNOWN, -ord(unit[lo])
+            way = weight[hi] + found[0], less[hi] - 1, found[1], hi
+            if best is None or way > best:
+                best = way
+        weight[lo], less[lo], ids[lo], step[lo] = best
+    out, at = [], 0
+    while at < n:
+        out.append(ids[at])
+        at = step[at]
+    return out
+
+
+def _long_paths(units: DataFrame, vocabulary: Vocabulary, longest: int) -> DataFrame:
+    """(block, number, path) of units of any length, each by itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                lookup = lookup or vocabulary.lookup()
+                path = best_path(batch.column(2)[k].as_py(), lookup, longest)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([path], pa.list_(pa.int32()))], names=["block", "number", "path"])
+
+    return units.select("block", "number", "unit").mapInArrow(run, "block long, number int, path array<int>")
+
+
 def viterbi(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     """(unit, path) of each distinct unit; path holds ids, or minus the code point of a character without a piece.
 
@@ -174,12 +234,13 @@ def numbered() -> dict[str, int]:
     return defaultdict(count().__next__)
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
+def _blocks(docs: DataFrame, pairs: list[str]) -> DataFrame:
     """Distinct units of each block (number, unit) and its documents as numbers (payload)."""
     schema = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("unit", pa.string()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 20
+        cuts = Cuts(pairs)
         known = numbered()
         keys, counts, held, rows = [], [], [], 0
 
@@ -197,7 +258,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 for key, text in zip(part.column(0).to_pylist(), text_array(part, "text").to_pylist(), strict=True):
-                    found = UNITS.findall(f" {text}") if text else []
+                    found = cuts.cut(f" {text}") if text else []
                     own = np.fromiter(map(known.__getitem__, found), np.uint32, len(found))
                     keys.append(key)
                     counts.append(len(own))
@@ -282,15 +343,16 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     longest = max(map(len, vocabulary.pieces))
     width = shuffle_width(spark)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    held = materialise(_blocks(own), "units", compression="zstd")
-    units = held.where("unit is not null").select("block", "number", "unit").repartition(FINE * width, "unit")
+    held = materialise(_blocks(own, vocabulary.pairs()), "units", compression="zstd")
+    units = held.where(F.length("unit") <= UNIT).select("block", "number", "unit").repartition(FINE * width, "unit")
     # asking for all columns lets this branch read the same exchange as the join below
     different = units.groupBy("unit").agg(F.min("block").alias("block"), F.min("number").alias("number")).where("block >= 0 and number >= 0")
     paths = viterbi(different.select("unit"), vocabulary.table(spark), longest)
     before = spark.conf.get(SORTED, "true")
     spark.conf.set(SORTED, "false")
     try:
-        found = materialise(_packed(units.join(paths, "unit")), "paths", compression="uncompressed")
+        every = units.join(paths, "unit").select("block", "number", "path").unionByName(_long_paths(held.where(F.length("unit") > UNIT), vocabulary, longest))
+        found = materialise(_packed(every), "paths", compression="uncompressed")
     finally:
         spark.conf.set(SORTED, before)
     # the units of a block come before its documents

@@ -338,6 +338,31 @@ def test_sentencepiece(docs, none, monkeypatch):
 WHITE = ["if x:\n        return {\r\n    }\r\n" + " " * 40 + "end  .", "a" * 50 + "international" * 20, " " * 100, "=" * 77 + "\r\n\t\t x", "\u65e5\u672c" * 30 + "\u2581\U0001f600 12345678901234567890123456789012345", "\r\r\n  \r \r"]
 
 
+def whole_encoding(v, text):
+    """Plain Viterbi over the whole text, without a cut."""
+    table, longest = v.lookup(), max(map(len, v.pieces))
+    text, best = f" {text}", [(0, 0, [])]
+    for hi in range(1, len(text) + 1):
+        ways = []
+        for lo in range(max(0, hi - longest), hi):
+            w, i = table.get(text[lo:hi]) or ((sentencepiece_lattice.UNKNOWN, -ord(text[lo])) if hi - lo == 1 else (None, None))
+            if i is not None:
+                ways.append((best[lo][0] + w, best[lo][1] - 1, [*best[lo][2], i]))
+        best.append(max(ways))
+    return [j for i in best[-1][2] for j in ([i] if i >= 0 else [v.byte_zero + b for b in chr(-i).encode()])]
+
+
+def test_sentencepiece_cuts_no_piece(spark):
+    model = tokenizer_path("piece_bpe_32k.model")
+    v = sentencepiece_lattice.Vocabulary.load(model)
+    cuts = sentencepiece_lattice.Cuts(v.pairs())
+    assert all(cuts.cut(p) == [p] and sentencepiece_lattice.UNITS.fullmatch(p) for p in v.pieces)
+    d = spark.createDataFrame(list(enumerate(WHITE)), "doc_id long, text string")
+    assert rows(sentencepiece_lattice.encode(d, model), "doc_id", "ids") == [(i, whole_encoding(v, t)) for i, t in enumerate(WHITE)]
+    made = [w * 5 + u for w, u in zip(WHITE, WHITE[1:], strict=False)]
+    assert all(sentencepiece_lattice.best_path(f" {t}", v.lookup(), 16) == [j for u in cuts.cut(f" {t}") for j in sentencepiece_lattice.best_path(u, v.lookup(), 16)] for t in made)
+
+
 def test_sentencepiece_query_decodes(spark, tmp_path):
     items = [(i, t) for i, t in ROWS + list(enumerate(WHITE, 100))]
     spark.createDataFrame(items, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
