@@ -4,7 +4,8 @@ Base spans (email, ip, card, phone) are found by pattern in whole texts, leftmos
 The field's nodes are the base spans, which are observed, and all other tokens with a digit or an at sign.  Each node
 has label scores from its shape; neighbours in the text share a transition potential; equal tokens, however far
 apart, and similar ones (one digit apart, or the local part of an address) share a potential that rewards one label.
-Loopy sum-product messages pass until they settle, and a token whose label is sure enough becomes an added span.
+Loopy sum-product messages pass until they settle (a bound that grows with the nodes guards against fields that swing),
+and a token whose label is sure enough becomes an added span.
 
 The scores are trained here: `train` counts shapes, transitions and agreements over all documents (a table of fixed
 size) with base spans as labels.
@@ -176,8 +177,8 @@ class Field:
             out[node.label] += 50.0
         return out
 
-    def marginals(self, found: list[Node], ties: list[tuple[int, int, int]], rounds: int = 12) -> np.ndarray:
-        """Loopy sum-product: all messages at once, halfway to their new values in each round."""
+    def marginals(self, found: list[Node], ties: list[tuple[int, int, int]]) -> np.ndarray:
+        """Loopy sum-product: all messages at once, halfway to their new values in each round, until they settle."""
         own = np.array([self.scores(n) for n in found])
         if ties:
             table = np.stack([self.next, self.equal * np.eye(len(LABELS)), self.similar * np.eye(len(LABELS))])
@@ -187,7 +188,7 @@ class Field:
             back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
             sent = np.zeros((len(src), len(LABELS)))
             belief = own
-            for _ in range(rounds):
+            for _ in range(100 + 8 * len(found)):
                 out = (belief[src] - sent[back])[:, :, None] + pot
                 top = out.max(1, keepdims=True)
                 new = np.log(np.exp(out - top).sum(1)) + top[:, 0]

@@ -116,6 +116,17 @@ def test_pii_field_reaches_a_distant_repeat():
     assert not pii.added_spans("nothing but 12 words", [], pii.build(counts))
 
 
+def test_pii_field_reaches_all_repeats():
+    card, other = "4111111111111111", "4012888888881881"
+    counts = Counter()
+    for i in range(50):
+        pii.count_text(f"pay {card} now\nthen {card} again {i}", counts)
+    text = f"pay {card} now. " + "filler words here " * 20 + "".join(f"list {card} {other} end {card}{other[:4]} " for _ in range(40))
+    base = pii.base_spans(text)
+    added = pii.added_spans(text, base, pii.build(counts))
+    assert sum(text[a:b] == card and k == 2 for k, a, b in added) == 40
+
+
 # 3
 
 
