@@ -237,7 +237,7 @@ def payload_index(spark: SparkSession, d: str) -> DataFrame:
 def answer_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Turns of `conversations` as a model's answers: fenced, wrapped or bare JSON by turn."""
     rows = table(spark, d, "conversations").where("role = 'assistant'")
-    item = F.to_json(F.array(F.struct(F.substring("text", 1, 60).alias("question"), F.substring("text", 1, 400).alias("answer"), F.lit(" Rule ").alias("category"), F.col("turn").alias("source_index"))))
+    item = F.to_json(F.array(F.struct(F.substring_index(text.strip(F.col("text")), "\n", 1).alias("question"), F.col("text").alias("answer"), F.lit(" Rule ").alias("category"), F.col("turn").alias("source_index"))))
     k = F.col("conv_id") % 3
     content = F.when(k == 0, F.concat(F.lit("```json\n"), item, F.lit("\n```"))).when(k == 1, F.concat(F.lit('{"data": '), item, F.lit("}"))).otherwise(F.concat(F.lit("Here: "), item, F.lit(" done")))
     return sources.pairs_of(rows.select("conv_id", "turn", content.alias("content"), F.lit(4).alias("last_index")))

@@ -40,3 +40,9 @@ def test_query_equals_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_gives_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_answers_are_whole_turns(spark, con):
+    got = sorted(r["answer"] for r in QUERIES["answer_pairs"](spark, SF).collect())
+    want = [t.strip() for (t,) in con.sql("SELECT text FROM conversations WHERE role = 'assistant'").fetchall()]
+    assert got == sorted(t for t in want if t)
