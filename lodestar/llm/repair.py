@@ -19,16 +19,14 @@ MAGIC = b"LRP1"
 _HEAD = struct.Struct("<4sIIQQIB")
 
 
-def compress(seq: np.ndarray, first: int, barrier: int, rounds: int = 3, per_round: int = 5000, least: int = 24) -> tuple[np.ndarray, np.ndarray]:
-    """The shortened sequence and the rules: symbol first + k expands to rules[k]."""
+def compress(seq: np.ndarray, first: int, barrier: int, per_round: int = 5000, least: int = 24) -> tuple[np.ndarray, np.ndarray]:
+    """The shortened sequence and the rules: symbol first + k expands to rules[k].  Ends when no pair occurs least times."""
     seq = seq.astype(np.uint32)
     rules = np.empty((0, 2), np.int64)
-    # ids and rules below 65,536 make keys of 32 bits, which sort faster
-    small = first + rounds * per_round <= 1 << 16
-    shift, kind = (np.uint32(16), np.uint32) if small else (U(32), U)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
+        # ids and rules below 65,536 make keys of 32 bits, which sort faster
+        small = first + len(rules) <= 1 << 16
+        shift, kind = (np.uint32(16), np.uint32) if small else (U(32), U)
         wide = seq if small else seq.astype(U)
         key = (wide[:-1] << shift) | wide[1:]
         free = seq != barrier
