@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from test_operators import plain_components, plain_distance, plain_encoding, plain_lines, plain_statistics
+from test_llm_operators import plain_components, plain_distance, plain_encoding, plain_lines, plain_statistics
 
 import corpus_pipeline
 from lodestar.llm import decontaminate, quality, sentencepiece_lattice
