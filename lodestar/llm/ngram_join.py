@@ -11,8 +11,10 @@ the threshold.  Every link between different sets is found:
    into size bands, and a tile holds two neighbouring bands.
 3. min-hash stars and small tiles give first pairs.  A pair is checked by bitmap first: each set has a parity bitmap
    of about 4 bits an element, and the differing bits bound the overlap from above; what passes is intersected exactly.
-4. Tiles whose members aren't yet connected are compared with bitmaps, only across components and in blocks, with
-   ever more pairs for each two components until no pair is left out.  So copies in thousands never make all pairs.
+4. Tiles whose members aren't yet connected are compared with bitmaps, only across components and in blocks.  A block
+   gives a forest of the pairs that bitmaps allow, which is checked exactly.  Tiles of which a pair fails are compared
+   again without the failed pairs, with four times as many forests each round, until all of a tile's forest links.
+   So copies in thousands never make all pairs, and no link is lost.
 
 64-bit hashes stand for shingles; the fingerprint of a set has 128 bits.
 
@@ -41,7 +43,7 @@ STARS = 6
 #: Tiles of up to so many members give all their pairs at once.
 SMALL = 4
 #: Vertices of a tile are compared in blocks of so many.
-BLOCK = 2048
+BLOCK = 1024
 #: Candidate ids are broadcast to the scan up to this number (16 MB of ids) and joined by a shuffle beyond it.
 BROADCAST_IDS = 2_000_000
 
@@ -76,13 +78,13 @@ def _signed(x) -> np.ndarray:
 _SALT = tv._stream(STARS, 101)
 
 
-def _fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _fingerprints(sets: list[np.ndarray], seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Two 64-bit sums and STARS minima for each set."""
     sizes = np.array([len(s) for s in sets])
     one, two, low = np.zeros(len(sets), U), np.zeros(len(sets), U), np.zeros((len(sets), STARS), U)
     full = np.flatnonzero(sizes)
     if len(full):
-        flat = np.concatenate([sets[i] for i in full])
+        flat = np.concatenate([sets[i] for i in full]) ^ U(seed)
         at = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
         with np.errstate(over="ignore"):
             one[full] = tv.mix(np.add.reduceat(tv.mix(flat), at) + sizes[full].astype(U))
@@ -92,7 +94,7 @@ def _fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
     return one, two, low
 
 
-def sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+def sets(docs: DataFrame, id_col: str, text_col: str, n: int, seed: int = 0) -> DataFrame:
     """A row for each document, and a last row of each task with its cell counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +105,7 @@ def sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
                 own = shingle_sets(raw, offsets, n)
                 flat = np.concatenate(own)
                 cells += np.bincount((flat >> U(64 - HIST)).astype(np.int64), minlength=1 << HIST).astype(np.uint32)
-                one, two, low = _fingerprints(own)
+                one, two, low = _fingerprints(own, seed)
                 sizes = np.array([len(s) for s in own], np.int64)
                 minima = pa.ListArray.from_arrays(np.arange(hi - lo + 1, dtype=np.int32) * STARS, pa.array(_signed(low.ravel())))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes), pa.array(_signed(one)), pa.array(_signed(two)), minima, pa.array([bitmap(x) for x in own], pa.binary()), pa.nulls(hi - lo, pa.binary())], schema=schema)
@@ -139,14 +141,14 @@ def _prefix(s: np.ndarray, cells: np.ndarray, percent: int) -> np.ndarray:
 POSTING = np.dtype([("token", "<u8"), ("fp", "<u8"), ("size", "<u4")])
 
 
-def _postings(docs: DataFrame, cells, id_col: str, text_col: str, n: int, percent: int, buckets: int) -> DataFrame:
+def _postings(docs: DataFrame, cells, id_col: str, text_col: str, n: int, percent: int, buckets: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         counts = cells.value
         for batch in batches:
             for _, _, raw, offsets in pieces(batch, "text"):
                 own = shingle_sets(raw, offsets, n)
-                one, _, _ = _fingerprints(own)
+                one, _, _ = _fingerprints(own, seed)
                 for s, fp in zip(own, one, strict=True):
                     if len(s):
                         t = _prefix(s, counts, percent)
@@ -282,14 +284,14 @@ def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _elements(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+def _elements(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, n: int, seed: int) -> DataFrame:
     """Packed set of each vertex in reps (fp, rep), from the text of the document that stands for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, raw, offsets in pieces(batch, "text"):
                 own = shingle_sets(raw, offsets, n)
-                one, _, _ = _fingerprints(own)
+                one, _, _ = _fingerprints(own, seed)
                 want = batch.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
                 hit = np.flatnonzero((_signed(one) == want) & np.array([len(s) > 0 for s in own], bool))
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(one)[hit]), pa.array([own[i].tobytes() for i in hit], pa.binary())], names=["fp", "elements"])
@@ -309,7 +311,7 @@ def _both(pairs: DataFrame, table: DataFrame, *cols: tuple[str, str]) -> DataFra
     return pairs
 
 
-def _verify(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, seed: int) -> DataFrame:
     """Of distinct pairs (a, b) those that link: by bitmaps first, then by the sets of those that bitmaps leave."""
 
     def by_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,114 +329,172 @@ def _verify(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, id_col: str,
     near = _both(pairs, vertices, ("bits", "b"), ("size", "n")).where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     near = materialise(near.select("a", "b", "ba", "bb", "na", "nb").mapInArrow(by_bits, "a long, b long"), "near")
     ends = near.select(F.col("a").alias("fp")).union(near.select("b")).distinct()
-    elements = _elements(docs, vertices.select("fp", "rep").join(ends, "fp"), id_col, text_col, n)
+    elements = _elements(docs, vertices.select("fp", "rep").join(ends, "fp"), id_col, text_col, n, seed)
     return materialise(_both(near, elements, ("elements", "e")).select("a", "b", "ea", "eb").mapInArrow(exactly, "a long, b long"), "links")
 
 
-def _across(tiles: DataFrame, vertices: DataFrame, own: DataFrame, percent: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs across components inside tiles that bitmaps don't rule out, at most `most` for each two components and
-    block (the closest), and for how many blocks that left some out."""
+def _members(tiles: DataFrame) -> DataFrame:
+    """A row for each tile and member: tile (g1, g2), its number of members, fp and size."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for g1, g2, x in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 m = np.frombuffer(x.as_buffer(), MEMBER)
                 n = len(m)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, g1.as_py())), pa.array(np.full(n, g2.as_py())), pa.array(_signed(m["fp"].copy()))], names=["g1", "g2", "fp"])
-
-    members = tiles.select("g1", "g2", "members").mapInArrow(explode, "g1 long, g2 long, fp long")
-    members = members.join(own, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    members = materialise(members, "members")
-    mixed = members.groupBy("g1", "g2").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y").select("g1", "g2", F.ceil(F.col("n") / BLOCK).cast("int").alias("k"))
-    members = members.join(mixed, ["g1", "g2"]).withColumn("block", (F.pmod(F.xxhash64("fp"), F.col("k"))).cast("int"))
-    members = members.join(vertices.select("fp", "size", "bits"), "fp")
-    # a tile of k blocks is compared as k (k + 1) / 2 pairs of blocks; nearly all have one
-    sides = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    members = members.select("g1", "g2", "block", "fp", "component", "size", "bits", F.explode(sides).alias("s")).select("g1", "g2", "s.i", "s.j", "block", "fp", "component", "size", "bits")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, g1.as_py())), pa.array(np.full(n, g2.as_py())), pa.array(np.full(n, n)), pa.array(_signed(m["fp"].copy()))], names=["g1", "g2", "members", "fp"])
+
+    return tiles.select("g1", "g2", "members").mapInArrow(explode, "g1 long, g2 long, members long, fp long")
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members (with component) of the tiles that hold more than one component, once for each pair of blocks (i, j).
+
+    A small tile is one block.  In others the largest component has blocks of its own, which are only compared with
+    those of the rest: a tile of a large component and few others is linear in its members.  Members meet their tile's
+    row by block, never all of a tile in one task."""
+    kinds = members.groupBy("g1", "g2", "members", "component").agg(F.count("*").alias("n"))
+    mixed = kinds.groupBy("g1", "g2", "members").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n"), F.count("*").alias("kinds")).where("kinds > 1")
+    one = F.col("members") <= BLOCK
+    mixed = mixed.select("g1", "g2", F.when(~one, F.col("main")).alias("main"), F.when(one, 0).otherwise(F.ceil(F.col("n") / BLOCK)).cast("int").alias("k"), F.when(one, 1).otherwise(F.ceil((F.col("members") - F.col("n")) / BLOCK)).cast("int").alias("rest"), F.explode(F.sequence(F.lit(0), F.floor(F.col("members") / BLOCK).cast("int"))).alias("salt"))
+    hashed = F.xxhash64("fp")
+    out = members.withColumn("salt", F.pmod(hashed, F.floor(F.col("members") / BLOCK) + 1).cast("int")).join(mixed, ["g1", "g2", "salt"])
+    inner = F.coalesce(F.col("component") == F.col("main"), F.lit(False))
+    out = out.withColumn("inner", inner).withColumn("block", F.when(F.col("inner"), F.pmod(hashed, F.greatest("k", F.lit(1)))).otherwise(F.col("k") + F.pmod(hashed, F.greatest("rest", F.lit(1)))).cast("int"))
+    others = F.sequence(F.when(F.col("inner"), F.col("k")).otherwise(0), F.col("k") + F.col("rest") - 1)
+    sides = F.transform(others, lambda t: F.struct(F.least("block", t).alias("i"), F.greatest("block", t).alias("j")))
+    return out.select("g1", "g2", "block", "fp", "component", F.explode(sides).alias("s")).select("g1", "g2", "s.i", "s.j", "block", "fp", "component")
+
+
+def forest(fp: np.ndarray, comp: np.ndarray, block: np.ndarray, size: np.ndarray, maps: list[np.ndarray], failed: list[set[int]], percent: int, width: int) -> list[tuple[int, int]]:
+    """Pairs across components that bitmaps don't rule out: of each two components that meet, the `width` closest of
+    a member, which are then taken as one.  If all of these pairs link, every pair that bitmaps allow is connected;
+    there are at most `width` times as many as members.  Pairs in `failed` are known not to link."""
+    order = np.lexsort((fp, size))
+    fp, block, size = fp[order], block[order], size[order]
+    _, label = np.unique(comp[order], return_inverse=True)
+    maps, failed = [maps[k] for k in order], [failed[k] for k in order]
+    words = np.array([len(x) for x in maps])
+    kinds, first = np.unique(words, return_index=True)
+    # sizes ascend, and so do the maps' widths: each width's rows lie side by side
+    span = {int(w): (int(lo), int(hi)) for w, lo, hi in zip(kinds, first, [*first[1:], len(words)], strict=True)}
+    table = {w: np.stack(maps[lo:hi]) for w, (lo, hi) in span.items()}
+    folded: dict[tuple[int, int], np.ndarray] = {}
+    two = len(np.unique(block)) > 1
+    out = []
+    highest = np.searchsorted(size, size * 100 // percent, "right")
+    for x in range(len(fp) - 1):
+        hi = int(highest[x])
+        y = x + 1 + np.flatnonzero((label[x + 1 : hi] != label[x]) & (block[x + 1 : hi] != block[x] if two else True))
+        if not len(y):
+            continue
+        mine, gap = maps[x], np.empty(len(y), np.int64)
+        for w in np.unique(words[y]).tolist():
+            if w == len(mine):
+                theirs = table[w]
+            else:
+                theirs = folded.get((w, len(mine)))
+                if theirs is None:
+                    theirs = np.bitwise_xor.reduce(table[w].reshape(len(table[w]), -1, len(mine)), 1)
+                    folded[w, len(mine)] = theirs
+            at = words[y] == w
+            gap[at] = np.bitwise_count(theirs[y[at] - span[w][0]] ^ mine).sum(1)
+        ok = (100 + percent) * gap <= (100 - percent) * (size[y] + size[x])
+        if failed[x]:
+            ok &= np.array([int(f) not in failed[x] for f in fp[y]], bool)
+        y, gap = y[ok], gap[ok]
+        if not len(y):
+            continue
+        near = np.lexsort((gap, label[y]))
+        y = y[near]
+        met = label[y]
+        place = np.arange(len(y)) - np.searchsorted(met, met)
+        out += [(int(fp[x]), int(fp[t])) for t in y[place < width]]
+        label[np.isin(label, np.append(met, label[x]))] = label[x]
+    return out
+
+
+def _across(blocks: DataFrame, vertices: DataFrame, failed: DataFrame | None, percent: int, width: int) -> DataFrame:
+    """Distinct (g1, g2, a, b): the forests of the tiles' blocks."""
+    members = blocks.join(vertices.select("fp", "size", "bits"), "fp")
+    if failed is None:
+        members = members.withColumn("failed", F.lit(None).cast("array<long>"))
+    else:
+        both = failed.select(F.col("a").alias("fp"), "b").unionByName(failed.select(F.col("b").alias("fp"), F.col("a").alias("b")))
+        members = members.join(both.groupBy("fp").agg(F.collect_set("b").alias("failed")), "fp", "left")
 
     def compare(key, group):
-        fp, comp = group.column("fp").to_numpy(), group.column("component").to_numpy()
-        block, size = group.column("block").to_numpy(), group.column("size").to_numpy()
-        i, j = key[2].as_py(), key[3].as_py()
-        order = np.lexsort((fp, size))
         bits = group.column("bits").combine_chunks()
-        maps = [np.frombuffer(bits[int(x)].as_buffer(), np.uint64) for x in order]
-        fp, comp, block, size = fp[order], comp[order], block[order], size[order]
-        a, b, gap = [], [], []
-        widths = np.array([len(x) for x in maps])
-        for x in range(len(fp) - 1):
-            hi = int(np.searchsorted(size, size[x] * 100 // percent, "right"))
-            y = np.arange(x + 1, max(hi, x + 1))
-            y = y[(comp[y] != comp[x]) & ((block[y] != block[x]) if i != j else True)]
-            for w in np.unique(widths[y]):
-                at = y[widths[y] == w]
-                mine = _fold(maps[x], int(min(w, widths[x])))
-                theirs = np.stack([_fold(maps[t], len(mine)) for t in at])
-                d = np.bitwise_count(theirs ^ mine).sum(1).astype(np.int64)
-                ok = (100 + percent) * d <= (100 - percent) * (size[at] + size[x])
-                a += [fp[x]] * int(ok.sum())
-                b += fp[at[ok]].tolist()
-                gap += d[ok].tolist()
-        place = {f: c for f, c in zip(fp.tolist(), comp.tolist(), strict=True)}
-        taken: dict[tuple[int, int], int] = {}
-        out_a, out_b, cut = [], [], False
-        for k in np.argsort(np.array(gap, np.int64), kind="stable"):
-            c = tuple(sorted((place[int(a[k])], place[int(b[k])])))
-            if taken.get(c, 0) >= most:
-                cut = True
-                continue
-            taken[c] = taken.get(c, 0) + 1
-            out_a.append(min(int(a[k]), int(b[k])))
-            out_b.append(max(int(a[k]), int(b[k])))
-        out_a, out_b = out_a + [None] * cut, out_b + [None] * cut
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-    found = materialise(members.groupBy("g1", "g2", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "across")
-    return found.where("a is not null"), found.where("a is null")
+        maps = [np.frombuffer(x.as_buffer(), np.uint64) for x in bits]
+        known = [set(x or ()) for x in group.column("failed").to_pylist()]
+        cols = (group.column(c).to_numpy() for c in ("fp", "component", "block", "size"))
+        found = forest(*cols, maps, known, percent, width)
+        g1, g2 = key[0].as_py(), key[1].as_py()
+        return pa.table({"g1": pa.array([g1] * len(found), pa.int64()), "g2": pa.array([g2] * len(found), pa.int64()), "a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
+
+    members = members.select("g1", "g2", "i", "j", "block", "fp", "component", "size", "bits", "failed")
+    return materialise(members.groupBy("g1", "g2", "i", "j").applyInArrow(compare, "g1 long, g2 long, a long, b long"), "across")
+
+
+def _rows_of_sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> tuple[DataFrame, DataFrame, int]:
+    """All rows of `sets`, its vertices (fp, rep, size, bits), and the seed with which no two sets share a fingerprint.
+
+    Vertices are known by 64 bits; where two sets of one fingerprint differ in the other 64, all is made anew with
+    the next seed, so sets count as equal only if 128 bits are."""
+    seed = 0
+    while True:
+        found = materialise(sets(docs, id_col, text_col, n, seed), f"shingles-{seed}")
+        vertex = found.where("size > 0 and id is not null")
+        reps = materialise(vertex.groupBy("fp").agg(F.min("id").alias("rep"), F.min("fq").alias("x"), F.max("fq").alias("y")), "reps")
+        if reps.where("x <> y").isEmpty():
+            break
+        seed += 1
+    vertices = vertex.select("fp", F.col("id").alias("rep"), "size", "bits").join(reps.select("fp", "rep"), ["fp", "rep"]).dropDuplicates(["fp"])
+    return found, materialise(vertices, "vertices"), seed
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
     """id, n_shingles and component_id (the least id reachable by links) of every row, and its set's fingerprint."""
     spark = docs.sparkSession
-    found = materialise(sets(docs, id_col, text_col, n), "shingles")
+    found, vertices, seed = _rows_of_sets(docs, id_col, text_col, n)
     cells = spark.sparkContext.broadcast(_cell_counts(found))  # 2 MB at any input
     rows = found.where("size >= 0").drop("cells")
     vertex = rows.where("size > 0 and id is not null")
 
-    stars = vertex.select("fp", F.posexplode("low").alias("k", "low")).groupBy("k", "low")
-    stars = vertex.select("fp", F.posexplode("low").alias("k", "low")).join(stars.agg(F.min("fp").alias("lead"), F.max("fp").alias("last")).where("lead <> last"), ["k", "low"])
+    low = vertex.select("fp", F.posexplode("low").alias("k", "low"))
+    stars = low.join(low.groupBy("k", "low").agg(F.min("fp").alias("lead"), F.max("fp").alias("last")).where("lead <> last"), ["k", "low"])
     stars = stars.where("fp <> lead").select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b")).distinct()
 
     width = shuffle_width(spark)
-    postings = _postings(docs, cells, id_col, text_col, n, percent, 4 * width)
+    postings = _postings(docs, cells, id_col, text_col, n, percent, 4 * width, seed)
     met = materialise(_tiles(postings.repartition(width, "bucket").sortWithinPartitions("bucket"), percent), "tiles")
     small = met.where("g1 is null").select("a", "b")
-    tiles = met.where("g1 is not null").select("g1", "g2", "members").dropDuplicates(["g1", "g2"])
-    tiles = materialise(tiles, "groups")
+    members = materialise(_members(met.where("g1 is not null").select("g1", "g2", "members").dropDuplicates(["g1", "g2"])), "members")
     # min() and max() order fingerprints as signed, tiles as unsigned: put both the same way round
     pairs = materialise(stars.unionByName(small.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "pairs")
 
-    reps = vertex.groupBy("fp").agg(F.min("id").alias("rep"))
-    vertices = vertex.select("fp", F.col("id").alias("rep"), "size", "bits").join(reps, ["fp", "rep"]).dropDuplicates(["fp"])
-    vertices = materialise(vertices, "vertices")
-
-    linked = _verify(pairs, vertices, docs, id_col, text_col, n, percent)
-    most = 4
-    while True:
-        own = components(linked, "clusters").withColumnRenamed("v", "fp")
-        more, cut = _across(tiles, vertices, own, percent, most)
-        more = more.join(linked, ["a", "b"], "left_anti")
-        fresh = _verify(more, vertices, docs, id_col, text_col, n, percent)
-        again = not cut.isEmpty()
-        linked = linked.unionByName(fresh)
-        if not again:
+    linked = _verify(pairs, vertices, docs, id_col, text_col, n, percent, seed)
+    own = components(linked, "clusters")
+    failed, forests = None, 1
+    while True:  # a tile is open until all pairs of its forest link; each round connects or rules out a pair of every open tile
+        placed = materialise(members.join(own.withColumnRenamed("v", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "placed")
+        met = _across(_blocks(placed), vertices, failed, percent, forests)
+        if met.isEmpty():
+            break
+        fresh = _verify(met.select("a", "b").distinct(), vertices, docs, id_col, text_col, n, percent, seed)
+        wrong = materialise(met.join(fresh, ["a", "b"], "left_anti"), "wrong")
+        own = components(own.select(F.col("v").alias("a"), F.col("component").alias("b")).unionByName(fresh), "clusters")
+        if wrong.isEmpty():
             break
-        most *= 16
+        members = materialise(members.join(wrong.select("g1", "g2").distinct(), ["g1", "g2"], "left_semi"), "members")
+        pairs = wrong.select("a", "b").distinct()
+        failed = materialise(pairs if failed is None else failed.unionByName(pairs).distinct(), "failed")
+        forests *= 4
     # in ids: a set's members are one component, and so are the rows that share an id
     shared = vertex.groupBy("id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y")
-    shared = vertex.join(shared.select("id", "x"), "id").where("fp <> x").select(F.col("fp").alias("a"), F.col("x").alias("b"))
-    final = components(linked.select("a", "b").unionByName(shared), "components").withColumnRenamed("v", "fp")
-    labelled = vertices.select("fp", "rep").join(final, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    shared = materialise(vertex.join(shared.select("id", "x"), "id").where("fp <> x").select(F.col("fp").alias("a"), F.col("x").alias("b")), "shared")
+    if not shared.isEmpty():
+        own = components(own.select(F.col("v").alias("a"), F.col("component").alias("b")).unionByName(shared), "components")
+    labelled = vertices.select("fp", "rep").join(own.withColumnRenamed("v", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_set = labelled.join(least, "component").select("fp", "component_id")
     out = rows.join(by_set, "fp", "left")
