@@ -1,7 +1,7 @@
 """Re-Pair grammar compression of id sequences, in rounds.
 
-A round counts all adjacent pairs exactly, gives the most frequent ones a new symbol each, and replaces their
-occurrences; where two overlap the more frequent one wins.  Pairs never hold the barrier id, so a document that ends
+A round counts adjacent pairs exactly, gives the most frequent ones a new symbol each, and replaces their
+occurrences; where two overlap the more frequent one wins.  Rounds go on until no pair is frequent.  Pairs never hold the barrier id, so a document that ends
 with it begins and ends at a symbol and can be decoded alone.  Larsson and Moffat, "Off-line dictionary-based
 compression" (2000), in batches.
 """
@@ -19,60 +19,131 @@ MAGIC = b"LRP1"
 _HEAD = struct.Struct("<4sIIQQIB")
 
 
-def compress(seq: np.ndarray, first: int, barrier: int, per_round: int = 5000, least: int = 24) -> tuple[np.ndarray, np.ndarray]:
-    """The shortened sequence and the rules: symbol first + k expands to rules[k].  Ends when no pair occurs least times."""
-    seq = seq.astype(np.uint32)
+def compress(seq: np.ndarray, first: int, barrier: int, least: int = 24) -> tuple[np.ndarray, np.ndarray]:
+    """The shortened sequence and the rules: symbol first + k expands to rules[k].  Ends when no pair occurs least times.
+
+    The sequence is linked both ways and closed up when a third of it is gone.  After the first round only pairs beside
+    new symbols, and frequent ones that weren't replaced, are counted: no other pair can have become frequent.  A pair
+    that gets fewer than half of `least` places, as better ones take them, waits for a later round."""
+    seq = np.append(seq.astype(np.uint32), np.uint32(barrier))  # the last cell ends both directions
     rules = np.empty((0, 2), np.int64)
-    while len(seq) > 1:
-        # ids and rules below 65,536 make keys of 32 bits, which sort faster
-        small = first + len(rules) <= 1 << 16
-        shift, kind = (np.uint32(16), np.uint32) if small else (U(32), U)
-        wide = seq if small else seq.astype(U)
-        key = (wide[:-1] << shift) | wide[1:]
-        free = seq != barrier
-        with np.errstate(over="ignore"):
-            cell = (key * kind(0x9E3779B1)) >> kind(12) if small else (key * U(0x9E3779B97F4A7C15)) >> U(44)
-        # a cell counts its pairs together: no frequent pair is missed
-        often = np.bincount(cell, minlength=1 << 20)[cell] >= least
-        at = np.flatnonzero(often & free[:-1] & free[1:])
-        key = key[at]
+    after, before, alive = _linked(len(seq))
+    active = np.flatnonzero((seq[:-1] != barrier) & (seq[1:] != barrier))
+    gone = 0
+    while len(active):
+        key = _frequent(seq, after, active, first + len(rules), least)
+        active, key = active[key[0]], key[1]
         pair, count = np.unique(key, return_counts=True)
-        pair, count = pair[count >= least].astype(np.int64), count[count >= least]
-        if not len(pair):
+        often = count >= least
+        if not often.any():
             break
-        best = np.lexsort((pair, -count))[:per_round]
-        chosen = np.sort(pair[best].astype(kind))
-        rank = np.empty(len(chosen), np.int64)
-        rank[np.searchsorted(chosen, pair[best].astype(kind))] = np.arange(len(best))
-        where = np.minimum(np.searchsorted(chosen, key), len(chosen) - 1)
-        hit = chosen[where] == key
-        at, r = at[hit], rank[where[hit]]
-        keep = np.ones(len(at), bool)
-        touch = at[1:] == at[:-1] + 1
-        keep[1:] &= ~touch | (r[1:] < r[:-1])
-        keep[:-1] &= ~touch | (r[:-1] <= r[1:])
-        at, r = at[keep], r[keep]
-        seq[at] = first + len(rules) + r
-        stay = np.ones(len(seq), bool)
-        stay[at + 1] = False
-        seq = seq[stay]
-        by_rank = pair[best]
-        by_rank = by_rank.astype(U)
-        low = U((1 << int(shift)) - 1)
-        rules = np.concatenate([rules, np.column_stack([by_rank >> U(shift), by_rank & low]).astype(np.int64)])
-    return seq.astype(np.int64), rules
+        pair, count = pair[often], count[often]
+        order = np.lexsort((pair, -count))
+        rank = np.empty(len(pair), np.int64)
+        rank[order] = np.arange(len(pair))
+        where = np.minimum(np.searchsorted(pair, key), len(pair) - 1)
+        hit = pair[where] == key
+        active, r = active[hit], rank[where[hit]]  # what is not frequent now never will be
+        keep = _apart(active, r, after)
+        used = np.bincount(r[keep], minlength=len(pair))
+        keep &= (used >= max(1, least // 2))[r]
+        at, r = active[keep], r[keep]
+        taken = np.unique(r)
+        symbol = first + len(rules) + np.searchsorted(taken, r)
+        shift = 16 if key.dtype == np.uint32 else 32
+        own = pair[order[taken]].astype(U)
+        rules = np.concatenate([rules, np.column_stack([own >> U(shift), own & U((1 << shift) - 1)]).astype(np.int64)])
+        drop = after[at]
+        over = after[drop]
+        seq[at], after[at], before[over], alive[drop] = symbol, over, at, False
+        gone += len(at)
+        fresh = np.zeros(len(seq), bool)
+        fresh[at] = fresh[before[at]] = True
+        fresh[active[alive[active]]] = True  # frequent pairs that were left
+        active = np.flatnonzero(fresh[:-1])
+        active = active[(seq[active] != barrier) & (seq[after[active]] != barrier)]
+        if 3 * gone > len(seq):
+            place = np.cumsum(alive, dtype=np.int64) - 1
+            active, seq = place[active], seq[alive]
+            after, before, alive = _linked(len(seq))
+            gone = 0
+    return seq[alive][:-1].astype(np.int64), rules
+
+
+def _linked(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Next and previous place of each, the last place standing for both ends, and whether each is there."""
+    after = np.minimum(np.arange(1, n + 1), n - 1)
+    before = np.arange(-1, n - 1)
+    before[0] = n - 1
+    return after, before, np.ones(n, bool)
+
+
+def _frequent(seq: np.ndarray, after: np.ndarray, active: np.ndarray, symbols: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which active places may hold a frequent pair, and the keys of those.  Keys have 32 bits while symbols have 16."""
+    small = symbols <= 1 << 16
+    a, b = seq[active], seq[after[active]]
+    key = (a << np.uint32(16)) | b if small else (a.astype(U) << U(32)) | b
+    bits = 20 if len(active) > 1 << 16 else 16
+    with np.errstate(over="ignore"):
+        cell = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)
+    # a cell counts its pairs together: no frequent pair is missed
+    often = np.bincount(cell, minlength=1 << bits)[cell] >= least
+    return often, key[often]
+
+
+def _apart(at: np.ndarray, r: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Places, ascending, that don't overlap: the better rank stays, and every other one of a run of equal pairs."""
+    keep = np.ones(len(at), bool)
+    touch = after[at[:-1]] == at[1:]
+    head = np.ones(len(at), bool)
+    head[1:] = ~(touch & (r[1:] == r[:-1]))
+    start = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
+    keep &= (np.arange(len(at)) - start) % 2 == 0
+    keep[1:] &= ~touch | (r[1:] <= r[:-1])
+    keep[:-1] &= ~touch | (r[:-1] <= r[1:])
+    return keep
 
 
 def lengths(rules: np.ndarray, first: int) -> np.ndarray:
     """Ids in the expansion of each rule."""
-    out = np.ones(first + len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        out[first + k] = out[a] + out[b]
-    return out[first:]
+    out = [1] * first
+    for a, b in rules.tolist():
+        out.append(out[a] + out[b])
+    return np.array(out[first:], np.int64)
+
+
+def _levels(rules: np.ndarray, first: int) -> list[np.ndarray]:
+    """Rules by depth, the shallowest first."""
+    depth = [0] * first
+    for a, b in rules.tolist():
+        depth.append(1 + max(depth[a], depth[b]))
+    own = np.array(depth[first:], np.int64)
+    order = np.argsort(own, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(own[order])) + 1)
 
 
-def expand(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    """All symbols of a sequence down to ids; a pass for each level of the grammar."""
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, ... of stretches, end to end."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def expand(seq: np.ndarray, rules: np.ndarray, first: int, long: np.ndarray) -> np.ndarray:
+    """All symbols of a sequence down to ids: the rules are expanded once, the deeper from the shallower ones."""
+    seq = seq.astype(np.int64)
+    if not len(seq) or not len(rules):
+        return seq
+    size = np.concatenate([np.ones(first, np.int64), long])
+    start = np.cumsum(size) - size
+    flat = np.arange(int(size.sum()))  # the ids themselves come first
+    for own in _levels(rules, first):
+        a, b = rules[own, 0], rules[own, 1]
+        flat[_spread(start[first + own], size[a])] = flat[_spread(start[a], size[a])]
+        flat[_spread(start[first + own] + size[a], size[b])] = flat[_spread(start[b], size[b])]
+    return flat[_spread(start[seq], size[seq])]
+
+
+def expand_few(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
+    """The same for a short sequence, without the rules it doesn't hold; a pass for each level of the grammar."""
     seq = seq.astype(np.int64)
     while len(seq) and len(rules):
         inner = seq >= first
@@ -139,7 +210,7 @@ class Shard:
 
     def document(self, k: int) -> np.ndarray:
         """Ids of the k-th document alone."""
-        return expand(self.symbols[self.bounds[k] : self.bounds[k + 1]], self.rules, self.first)
+        return expand_few(self.symbols[self.bounds[k] : self.bounds[k + 1]], self.rules, self.first)
 
     def starts(self) -> np.ndarray:
         """Id offsets of the documents, from expansion lengths alone."""
@@ -149,4 +220,4 @@ class Shard:
         return np.concatenate([[0], np.cumsum(size)])[self.bounds]
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.first)
+        return expand(self.symbols, self.rules, self.first, self.lengths)
