@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,32 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar import ship
+from lodestar.shared import CLEANUP, discard, shared_dir
+from lodestar.shared import keep as materialise
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, or, where unset, a local one (tests only)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("lodestar.shared.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="lodestar-")
-        spark.conf.set("lodestar.shared.dir", found)
-    return found.rstrip("/")
-
-
-#: Removes a query's shuffle files when it has ended; what is materialised needs them no longer.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df as a parquet table in the shared folder and read it back: cuts lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestar-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.options(**options).parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["CLEANUP", "discard", "flatten", "give_back", "materialise", "pieces", "shared_dir", "shuffle_width", "table", "text_array"]
 
 
 def give_back() -> None:

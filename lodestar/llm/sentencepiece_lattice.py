@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, materialise, shuffle_width, text_array
+from .common import discard, give_back, materialise, shuffle_width, text_array
 
 #: Most characters of a unit that is folded in columns.
 UNIT = 32
@@ -46,6 +46,8 @@ LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 UNITS = re.compile(rf" *(?:[{LATIN}]+|(?:[^{LATIN}\s]|\r)+)| +|\s")
 #: Distinct units of a block.
 BLOCK_UNITS = 600_000
+#: Units of the documents that are held together as one payload.
+PAYLOAD_UNITS = 300_000
 #: Weight of a character without a piece.
 UNKNOWN = -25_000_000
 #: Tasks of the lattice for each shuffle partition: a unit's edges are some forty times its size, and they are sorted.
@@ -235,8 +237,8 @@ def numbered() -> dict[str, int]:
 
 
 def _blocks(docs: DataFrame, pairs: list[str]) -> DataFrame:
-    """Distinct units of each block (number, unit) and its documents as numbers (payload)."""
-    schema = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("unit", pa.string()), ("payload", pa.binary())])
+    """Distinct units of each block (kind 0: number, unit) and its documents as numbers (kind 1: payload)."""
+    schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("number", pa.int32()), ("unit", pa.string()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 20
@@ -246,13 +248,13 @@ def _blocks(docs: DataFrame, pairs: list[str]) -> DataFrame:
 
         def documents() -> pa.RecordBatch:
             flat = np.concatenate(held) if held else np.empty(0, np.uint32)
-            return pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.array([_payload(keys, counts, flat)], pa.binary())], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([block]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.array([_payload(keys, counts, flat)], pa.binary())], schema=schema)
 
         def units() -> Iterator[pa.RecordBatch]:
             every = list(known)
             for at in range(0, len(every), 20_000):
                 part = every[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), pa.array(part), pa.nulls(len(part), pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(part), np.int32)), pa.array(np.full(len(part), block)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), pa.array(part), pa.nulls(len(part), pa.binary())], schema=schema)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -264,7 +266,7 @@ def _blocks(docs: DataFrame, pairs: list[str]) -> DataFrame:
                     counts.append(len(own))
                     held.append(own)
                     rows += len(own)
-                    if rows > 500_000 or len(known) > BLOCK_UNITS:
+                    if rows > PAYLOAD_UNITS or len(known) > BLOCK_UNITS:
                         yield documents()
                         keys, counts, held, rows = [], [], [], 0
                     if len(known) > BLOCK_UNITS:
@@ -276,7 +278,7 @@ def _blocks(docs: DataFrame, pairs: list[str]) -> DataFrame:
         known, held = numbered(), []
         give_back()
 
-    return docs.mapInArrow(run, "block long, number int, unit string, payload binary")
+    return docs.mapInArrow(run, "kind int, block long, number int, unit string, payload binary")
 
 
 def _packed(paths: DataFrame) -> DataFrame:
@@ -343,21 +345,23 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     longest = max(map(len, vocabulary.pieces))
     width = shuffle_width(spark)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    held = materialise(_blocks(own, vocabulary.pairs()), "units", compression="zstd")
-    units = held.where(F.length("unit") <= UNIT).select("block", "number", "unit").repartition(FINE * width, "unit")
+    held = materialise(_blocks(own, vocabulary.pairs()), "units", by="kind", compression="zstd")
+    whole = held.where("kind = 0")
+    units = whole.where(F.length("unit") <= UNIT).select("block", "number", "unit").repartition(FINE * width, "unit")
     # asking for all columns lets this branch read the same exchange as the join below
     different = units.groupBy("unit").agg(F.min("block").alias("block"), F.min("number").alias("number")).where("block >= 0 and number >= 0")
     paths = viterbi(different.select("unit"), vocabulary.table(spark), longest)
     before = spark.conf.get(SORTED, "true")
     spark.conf.set(SORTED, "false")
     try:
-        every = units.join(paths, "unit").select("block", "number", "path").unionByName(_long_paths(held.where(F.length("unit") > UNIT), vocabulary, longest))
+        every = units.join(paths, "unit").select("block", "number", "path").unionByName(_long_paths(whole.where(F.length("unit") > UNIT), vocabulary, longest))
         found = materialise(_packed(every), "paths", compression="uncompressed")
     finally:
         spark.conf.set(SORTED, before)
+    discard(held, part="kind=0")
     # the units of a block come before its documents
     every = found.select("block", "table", F.lit(None).cast("binary").alias("payload"))
-    every = every.unionByName(held.where("payload is not null").select("block", F.lit(None).cast("binary").alias("table"), "payload"))
+    every = every.unionByName(held.where("kind = 1").select("block", F.lit(None).cast("binary").alias("table"), "payload"))
     every = every.repartition(width, "block").sortWithinPartitions(F.col("block"), F.col("payload").isNotNull())
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
