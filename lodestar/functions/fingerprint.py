@@ -4,76 +4,86 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .text import normal
+from .text import normal, normal_nfkc
 
 BITS = 64
 BANDS = 4
+#: Hashes whose bits are counted at once.
+STEP = 100_000
 _WORD = re.compile(r"[a-z0-9]+")
 
 
-def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """A column that is computed once: a generator of one row keeps the optimizer from repeating it inside lambdas."""
-    return df.withColumn(name, F.explode(F.array(value)))
+def features(normalised: str, size: int = 3) -> list[bytes]:
+    """Of a normal form the ASCII runs of two or more, and n-grams of the rest (all of it where it is shorter)."""
+    rest = _WORD.sub("", normalised)
+    grams = [rest[i : i + size] for i in range(len(rest) - size + 1)] or ([rest] if rest else [])
+    return [x.encode() for x in [*(w for w in _WORD.findall(normalised) if len(w) >= 2), *grams]]
 
 
-def features(df: DataFrame, text: str, out: str, size: int = 3) -> DataFrame:
-    """`out`: of a normal form the ASCII runs of two or more, and n-grams of the rest (all of it where it is shorter)."""
-    df = _held(df, "__rest", F.regexp_replace(text, "[a-z0-9]+", ""))
-    words = F.filter(F.split(text, "[^a-z0-9]+"), lambda x: F.length(x) >= 2)
-    count = F.length("__rest")
-    grams = F.transform(F.sequence(F.lit(1), count - size + 1), lambda i: F.substring("__rest", i, F.lit(size)))
-    rest = F.when(count >= size, grams).when(count > 0, F.array("__rest")).otherwise(F.array().cast("array<string>"))
-    return _held(df, out, F.concat(words, rest)).drop("__rest")
+def votes(hashes: list[bytes]) -> int:
+    """The signed 64-bit number whose bits most of the 8-byte hashes have; none gives 0."""
+    total = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), STEP):
+        own = np.frombuffer(b"".join(hashes[at : at + STEP]), np.uint8).reshape(-1, 8)
+        total += np.unpackbits(own, axis=1).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(hashes)).view(">i8")[0])
 
 
-def feature_hash(feature: Column) -> Column:
-    """The first 64 bits of MD5, signed."""
-    return F.conv(F.substring(F.md5(feature), 1, 16), 16, -10).cast("long")
+def _md5(feature: bytes) -> bytes:
+    return hashlib.md5(feature, usedforsecurity=False).digest()[:8]
 
 
-def simhash_md5(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, simhash, n_features): a bit is set where more features have it than not; no features give 0.
+def _blake2b(feature: bytes) -> bytes:
+    return hashlib.blake2b(feature, digest_size=8).digest()
+
+
+def _prints(texts: pd.Series, digest: Callable[[bytes], bytes]) -> pd.DataFrame:
+    rows = []
+    for text in texts:
+        own = features(text or "")
+        rows.append((votes([digest(x) for x in own]), len(own)))
+    return pd.DataFrame(rows, columns=["simhash", "n_features"])
+
+
+PRINT = StructType([StructField("simhash", LongType()), StructField("n_features", LongType())])
 
-    A document's features are in its own row, so nothing is shuffled and the plan stays small."""
-    own = _held(docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text")), "__normal", normal(F.col("__text")))
-    hashed = _held(features(own, "__normal", "__features"), "h", F.transform("__features", feature_hash)).select(id_col, "h")
 
-    powers = F.array(*(F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(BITS)))
+@F.pandas_udf(PRINT)
+def _print_md5(texts: pd.Series) -> pd.DataFrame:
+    return _prints(texts, _md5)
 
-    def bit(i: Column) -> Column:
-        votes = F.aggregate("h", F.lit(0), lambda s, h: s + F.lit(2) * F.getbit(h, i).cast("int") - 1)
-        return F.when(votes > 0, F.element_at(powers, i + 1)).otherwise(F.lit(0).cast("long"))
 
-    value = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), bit), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
-    return hashed.select(id_col, value.alias("simhash"), F.size("h").cast("long").alias("n_features"))
+@F.pandas_udf(PRINT)
+def _print_blake2b(texts: pd.Series) -> pd.DataFrame:
+    return _prints(texts, _blake2b)
 
 
-def _blake(text: str) -> int:
-    counts = Counter(w for w in _WORD.findall(text) if len(w) >= 2)
-    rest = _WORD.sub("", text)
-    counts.update([rest[i : i + 3] for i in range(len(rest) - 2)] if len(rest) >= 3 else [rest] if rest else [])
-    if not counts:
-        return 0
-    total = [0] * BITS
-    for feature, n in counts.items():
-        h = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "big")
-        for i in range(BITS):
-            total[i] += n if h >> i & 1 else -n
-    value = sum(1 << i for i in range(BITS) if total[i] > 0)
-    return value - (1 << 64) if value >> 63 else value
+def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", compatible: bool = True, md5: bool = False) -> DataFrame:
+    """(id, simhash, n_features) of normal forms: a bit is set where more features have it than not; no features give 0.
+
+    Features are hashed by BLAKE2b or by the first half of MD5, and their bits are counted as a matrix, one document at a
+    time in Arrow batches; nothing is shuffled.  compatible: of NFKC forms.  Null texts count as empty."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = normal_nfkc(text) if compatible else normal(text)
+    own = docs.select(F.col(id_col), text.alias("__normal"))
+    return own.select(F.col(id_col), (_print_md5 if md5 else _print_blake2b)("__normal").alias("p")).select(id_col, "p.simhash", "p.n_features")
+
+
+def simhash_md5(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return simhash(docs, id_col, text_col, md5=True)
 
 
-@F.pandas_udf(LongType())
-def simhash_blake2b(normalised: pd.Series) -> pd.Series:
-    """The BLAKE2b variant of the fingerprint, over normal forms, signed."""
-    return normalised.map(lambda x: _blake(x or ""))
+def simhash_blake2b(normalised: Column | str) -> Column:
+    """The BLAKE2b fingerprint of a normal form, signed."""
+    return _print_blake2b(normalised)["simhash"]
 
 
 def hamming(a: Column, b: Column) -> Column:

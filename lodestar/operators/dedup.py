@@ -10,10 +10,13 @@ from lodestar.functions.text import content_hash, normal, normal_nfkc
 from lodestar.shared import keep
 
 
-def exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", within: list[str] | None = None) -> DataFrame:
-    """id, content_hash, kept_id: the first id of each normal form; only hashes are shuffled, and counted first."""
+def exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", within: list[str] | None = None, compatible: bool = True) -> DataFrame:
+    """id, content_hash, kept_id: the first id of each normal form; null texts count as empty.
+
+    Hashes are made once and kept; only they are shuffled, and reduced before they are.  A hash of many rows is split by
+    adaptive execution in the join."""
     keys = [*(within or []), "content_hash"]
-    hashed = docs.select(F.col(id_col), *(within or []), content_hash(F.col(text_col)).alias("content_hash"))
+    hashed = keep(docs.select(F.col(id_col), *(within or []), content_hash(F.coalesce(F.col(text_col), F.lit("")), compatible).alias("content_hash")), "hashes")
     first = hashed.groupBy(*keys).agg(F.min(id_col).alias("kept_id"))
     return hashed.join(first, keys)
 
@@ -23,7 +26,7 @@ def band_pairs(prints: DataFrame, most: int = 3, id_col: str = "doc_id", within:
 
     Equal fingerprints meet once, as one representative each; zero fingerprints (no features) pair with nothing."""
     within = within or []
-    own = prints.where("simhash <> 0").groupBy(*within, "simhash").agg(F.min(id_col).alias("rep"))
+    own = keep(prints.where("simhash <> 0").groupBy(*within, "simhash").agg(F.min(id_col).alias("rep")), "prints")
     flat = own.select(*within, "simhash", "rep", F.explode(bands(F.col("simhash"))).alias("b")).select(*within, "simhash", "rep", "b.band", "b.value")
     other = flat.withColumnsRenamed({"simhash": "simhash2", "rep": "rep2"})
     near = flat.join(other, [*within, "band", "value"]).where(F.col("simhash") < F.col("simhash2")).where(hamming(F.col("simhash"), F.col("simhash2")) <= most)

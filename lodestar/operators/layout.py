@@ -99,19 +99,26 @@ def strip_noise(blocks: DataFrame) -> DataFrame:
 def stitch(blocks: DataFrame) -> DataFrame:
     """Paragraphs that run over a shard's end are joined: both body, the first not ended, at most a page apart.
 
-    Blocks carry shard_index; chains of fragments join into the first one, which keeps its page."""
+    Blocks carry shard_index.  A joined block keeps its first page, and the next fragment is held against that page, so
+    a chain of one-block shards begins a new block every second page.  Chains are found by a window; where they break
+    is folded within each."""
     doc = Window.partitionBy("document_id").orderBy("shard_index", "ord")
-    before = F.lag(F.struct("shard_index", "block_type", "text", "page")).over(doc)
-    joins = (
-        (before["shard_index"] != F.col("shard_index")) & (before["block_type"] == "body") & (F.col("block_type") == "body")
-        & ~strip(before["text"]).rlike(SENTENCE_END) & (F.col("page") - before["page"] <= 1)
-    )
-    out = blocks.withColumn("__new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1))
-    out = out.withColumn("__group", F.sum("__new").over(doc))
-    order = F.array_sort(F.collect_list(F.struct("shard_index", "ord", "text")))
-    first = F.min_by(F.struct("shard_index", "ord", "page", "block_type", "heading_level", "font_size", "is_bold", "y_ratio"), F.struct("shard_index", "ord"))
-    merged = out.groupBy("document_id", "__group").agg(first.alias("f"), F.array_join(F.transform(order, lambda x: x["text"]), "").alias("text"))
-    return merged.select("document_id", (F.col("__group") - 1).cast("int").alias("ord"), "text", "f.page", "f.block_type", "f.heading_level", "f.font_size", "f.is_bold", "f.y_ratio")
+    before = F.lag(F.struct("shard_index", "block_type", "text")).over(doc)
+    flows = (before["shard_index"] != F.col("shard_index")) & (before["block_type"] == "body") & (F.col("block_type") == "body") & ~before["text"].rlike(SENTENCE_END)
+    out = blocks.withColumn("__new", F.when(F.coalesce(flows, F.lit(False)), 0).otherwise(1))
+    out = out.withColumn("__chain", F.sum("__new").over(doc))
+    fields = ["shard_index", "ord", "page", "block_type", "heading_level", "font_size", "is_bold", "y_ratio", "text"]
+    parts = F.array_sort(F.collect_list(F.struct(*fields)))
+
+    def fold(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        joined = last.withField("text", F.concat(last["text"], x["text"]))
+        return F.when(x["page"] - last["page"] <= 1, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(x)))
+
+    merged = out.groupBy("document_id", "__chain").agg(parts.alias("p"))
+    merged = merged.select("document_id", F.inline(F.aggregate(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(1))), F.slice("p", 1, 1), fold)))
+    order = F.row_number().over(doc) - 1
+    return merged.withColumn("__ord", order).select("document_id", F.col("__ord").cast("int").alias("ord"), "text", "page", "block_type", "heading_level", "font_size", "is_bold", "y_ratio")
 
 
 def plan_shards(documents: DataFrame, per_shard: int = 20) -> DataFrame:

@@ -17,6 +17,7 @@ def _quoted(pattern: str) -> str:
 
 
 def _normal(column: str) -> str:
+    """Normal form in SQL.  DuckDB has no NFKC: the queries apply it, and no text of these tables is changed by it."""
     return f"lower(regexp_replace(regexp_replace({column}, {_quoted(text.DECORATION)}, '', 'g'), {_quoted(text.SPACE + '+')}, '', 'g'))"
 
 
@@ -52,7 +53,10 @@ SELECT doc_id, bit_count(xor(simhash, s))::INT AS distance FROM v, p WHERE bit_c
 )
 def simhash_scan(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    probe = fingerprint.simhash_md5(docs.where("doc_id = 1")).first()["simhash"]
+    probe = fingerprint.simhash_md5(docs.where("doc_id = 1")).first()
+    if probe is None:
+        docs = docs.limit(0)
+    probe = probe["simhash"] if probe else 0
     return retrieval.hamming_scan(fingerprint.simhash_md5(docs), probe, 24, 10, "doc_id").select("doc_id", "distance")
 
 
@@ -233,11 +237,14 @@ def payload_index(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.least(F.greatest(F.coalesce(k, F.lit(0)), F.lit(0)), F.lit(50)).alias("source_index"))
 
 
-@query()
+_ANSWER = f"""a AS (SELECT conv_id, turn, {_strip("string_split(" + _strip('text') + ", chr(10))[1]")} AS question, {_strip('text')} AS answer FROM conversations WHERE role = 'assistant')"""
+
+
+@query(f"WITH {_ANSWER} SELECT conv_id, turn, question, answer, 'rule' AS category, greatest(least(turn, 4), 0)::INT AS source_index FROM a WHERE length(question) >= 4 AND length(answer) >= 2")
 def answer_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Turns of `conversations` as a model's answers: fenced, wrapped or bare JSON by turn."""
     rows = table(spark, d, "conversations").where("role = 'assistant'")
-    item = F.to_json(F.array(F.struct(F.substring_index(text.strip(F.col("text")), "\n", 1).alias("question"), F.col("text").alias("answer"), F.lit(" Rule ").alias("category"), F.col("turn").alias("source_index"))))
+    item = F.to_json(F.array(F.struct(F.substring_index(text.strip(F.col("text")), "\n", 1).alias("question"), F.col("text").alias("answer"), F.lit(" Rule ").alias("category"), F.col("turn").alias("index"))))
     k = F.col("conv_id") % 3
     content = F.when(k == 0, F.concat(F.lit("```json\n"), item, F.lit("\n```"))).when(k == 1, F.concat(F.lit('{"data": '), item, F.lit("}"))).otherwise(F.concat(F.lit("Here: "), item, F.lit(" done")))
     return sources.pairs_of(rows.select("conv_id", "turn", content.alias("content"), F.lit(4).alias("last_index")))

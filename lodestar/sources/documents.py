@@ -7,7 +7,6 @@ Page-layout files and optical recognition need libraries that aren't part of thi
 from __future__ import annotations
 
 import io
-import json
 import re
 import zipfile
 from collections.abc import Callable, Iterator
@@ -17,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions.text import is_heading_like, strip
+
 BLOCK = "document_id string, ord int, text string, page int, block_type string, heading_level int, font_size double, is_bold boolean, y_ratio double"
 #: Units (paragraphs and table rows) on a made-up page.
 UNITS_PER_PAGE = 40
@@ -83,8 +84,6 @@ def read_pages(found: DataFrame, reader: Callable[[bytes], list[dict]]) -> DataF
 
 def recognised_blocks(lines: DataFrame) -> DataFrame:
     """Lines of recognised pages (document_id, page, pos, text) as blocks, in page order: short heading-like ones are set larger."""
-    from lodestar.functions.text import is_heading_like
-
     like = is_heading_like(F.col("text"))
     size = F.when(like, 16.0).otherwise(10.5)
     return lines.select("document_id", (F.col("page") * 100_000 + F.col("pos")).cast("int").alias("ord"), "text", "page", F.lit("body").alias("block_type"), F.lit(0).alias("heading_level"), size.alias("font_size"), F.lit(False).alias("is_bold"), F.lit(0.5).alias("y_ratio"))
@@ -92,46 +91,40 @@ def recognised_blocks(lines: DataFrame) -> DataFrame:
 
 # answers of a language model
 
-PAIRS = "array<struct<question:string,answer:string,category:string,source_index:int>>"
-_WRAPPERS = ("data", "qa_pairs", "result", "items", "list")
+# Keys under which models put their list of pairs, and the fields of a pair.
+WRAPPERS = ("data", "qa_pairs", "result", "items", "list")
+FIELDS = "question string, answer string, category string, index string"
+FENCE = r"(?s)```(?:json)?\s*(.+?)\s*```"
+_STRICT = {"allowSingleQuotes": "false"}
 
 
-def parse_pairs(content: str, last_index: int) -> list[tuple[str, str, str, int]]:
-    """Question and answer pairs from a model's answer: fenced or bare JSON, an array in prose, or an object around it."""
-    text = re.sub(r"^\s*```[a-zA-Z]*\s*|\s*```\s*$", "", content or "").strip()
-    found = None
-    for attempt in (text, text[text.find("[") : text.rfind("]") + 1] if "[" in text else ""):
-        try:
-            found = json.loads(attempt)
-            break
-        except ValueError:
-            continue
-    if isinstance(found, dict):
-        found = next((found[k] for k in _WRAPPERS if isinstance(found.get(k), list)), [found])
-    out = []
-    for item in found if isinstance(found, list) else []:
-        if not isinstance(item, dict):
-            continue
-        question, answer = (str(item.get(k) or "").strip() for k in ("question", "answer"))
-        if len(question) < 4 or len(answer) < 2:
-            continue
-        try:
-            index = int(item.get("source_index", 0))
-        except (TypeError, ValueError):
-            index = 0
-        out.append((question, answer, str(item.get("category") or "").strip().lower() or "general", min(max(index, 0), last_index)))
-    return out
+def _list(c: Column) -> Column:
+    """The elements of a JSON array as JSON texts; null for anything else."""
+    return F.when(F.ltrim(c).startswith("["), F.from_json(c, "array<string>", _STRICT))
 
 
-def pairs_of(answers: DataFrame, content: str = "content", last: str = "last_index") -> DataFrame:
-    """Answers exploded into pairs, in Arrow batches."""
+def answer_items(content: Column) -> Column:
+    """The JSON objects of a model's answer: bare or fenced, an array inside prose, or a list under a wrapper's key."""
+    raw = strip(F.coalesce(F.nullif(F.regexp_extract(content, FENCE, 1), F.lit("")), content))
+    whole = F.from_json(raw, ", ".join(f"{k} string" for k in WRAPPERS), _STRICT | {"columnNameOfCorruptRecord": "__bad"})
+    known = F.when(raw.startswith("{") & F.from_json(raw, "map<string,string>", _STRICT).isNotNull(), F.coalesce(*(_list(whole[k]) for k in WRAPPERS), F.array(raw)))
+    inner = F.regexp_extract(raw, r"(?s)\[.*\]", 0)
+    found = F.coalesce(_list(raw), known, _list(inner), F.array().cast("array<string>"))
+    return F.filter(found, lambda x: F.ltrim(x).startswith("{"))
+
 
-    @F.pandas_udf(PAIRS)
-    def parse(text: pd.Series, most: pd.Series) -> pd.Series:
-        return pd.Series([[{"question": q, "answer": a, "category": c, "source_index": i} for q, a, c, i in parse_pairs(t, int(m))] for t, m in zip(text, most, strict=True)])
+def pairs_of(answers: DataFrame, content: str = "content", last: str = "last_index") -> DataFrame:
+    """Answers exploded into pairs: question, answer, category and source_index, the `index` field held within 0 and last.
 
+    Questions below four characters and answers below two go; a missing category is general, an index that is no whole
+    number 0.  Column functions only."""
     names = [c for c in answers.columns if c not in (content, last)]
-    return answers.withColumn("__p", F.explode(parse(F.col(content), F.col(last)))).select(*names, "__p.*")
+    rows = answers.withColumn("__x", F.explode(answer_items(F.col(content)))).withColumn("__x", F.from_json("__x", FIELDS, _STRICT))
+    question, answer = (strip(F.coalesce(F.col(f"__x.{c}"), F.lit(""))) for c in ("question", "answer"))
+    category = F.coalesce(F.nullif(F.lower(strip(F.col("__x.category"))), F.lit("")), F.lit("general"))
+    index = F.coalesce(F.regexp_extract(F.col("__x.index"), r"^\s*([+-]?[0-9]+)(\.[0-9]+)?\s*$", 1).try_cast("int"), F.lit(0))
+    out = rows.select(*names, question.alias("question"), answer.alias("answer"), category.alias("category"), F.greatest(F.least(index, F.col(last).cast("int")), F.lit(0)).alias("source_index"))
+    return out.where((F.length("question") >= 4) & (F.length("answer") >= 2))
 
 
 def to_source(pairs: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Core operators on small tables: the cases whose results are fixed."""
 
+import hashlib
 import io
+import re
 import zipfile
 
 import numpy as np
@@ -65,7 +67,7 @@ def plain_greedy(items, least, most):
         elif n in kept:
             out.append("exact")
         else:
-            h = fingerprint._blake(n)
+            h = fingerprint.votes([fingerprint._blake2b(x) for x in fingerprint.features(n)])
             if h and most and any(k and any(((h ^ k) >> (16 * b)) & 65535 == 0 for b in range(4)) and bin((h ^ k) & (2**64 - 1)).count("1") <= most for k in prints):
                 out.append("near")
                 continue
@@ -97,6 +99,12 @@ def test_simhash_variants(spark):
     df = spark.createDataFrame([(1, "hello world 你好世界"), (2, ""), (3, None)], "doc_id int, text string")
     got = {r["doc_id"]: r for r in fingerprint.simhash_md5(df).collect()}
     assert got[1]["simhash"] != 0 and got[1]["n_features"] == 3 and got[2]["simhash"] == got[3]["simhash"] == 0
+    for md5, digest in ((True, lambda x: hashlib.md5(x).digest()[:8]), (False, lambda x: hashlib.blake2b(x, digest_size=8).digest())):
+        t = "hello ab 你好世界 z"
+        own = [int.from_bytes(digest(x.encode()), "big") for x in ("helloab", "你好世", "好世界")]
+        want = sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in own) > len(own))
+        got = fingerprint.simhash(spark.createDataFrame([(1, t)], "doc_id int, text string"), md5=md5).first()
+        assert got["simhash"] % (1 << 64) == want and got["n_features"] == 3
     assert one(spark, fingerprint.hamming(F.lit(5).cast("long"), F.lit(-1).cast("long"))) == 62
 
 
@@ -145,6 +153,83 @@ def test_stitch(spark):
     assert [(r["text"], r["page"]) for r in layout.stitch(df).orderBy("ord").collect()] == [("第一段没有结束，在这里结束。", 1), ("新的一段。", 2)]
 
 
+def plain_stitch(rows):
+    """Shards in order; the first block of a shard joins the last block so far, which keeps its page."""
+    shards, out = {}, []
+    for r in rows:
+        shards.setdefault(r[1], []).append([r[3], r[4], r[5]])
+    for k in sorted(shards):
+        head = shards[k][0]
+        if out and out[-1][2] == head[2] == "body" and not out[-1][0].endswith("。") and head[1] - out[-1][1] <= 1:
+            out[-1][0] += head[0]
+            out += shards[k][1:]
+        else:
+            out += shards[k]
+    return [(t, p) for t, p, _ in out]
+
+
+def test_stitch_of_chains(spark):
+    rng = np.random.default_rng(8)
+    schema = "document_id string, shard_index int, ord int, text string, page int, block_type string, heading_level int, font_size double, is_bold boolean, y_ratio double"
+    for shards in (3, 12, 30):
+        rows = []
+        for k in range(shards):
+            for i in range(int(rng.integers(1, 3)) if shards > 3 else 1):
+                rows.append(("d", k, i, f"甲{k}{i}" + "。" * int(rng.random() < 0.1), k + 1, "body" if rng.random() < 0.9 or shards == 3 else "heading", 0, 10.0, False, 0.5))
+        got = [(r["text"], r["page"]) for r in layout.stitch(spark.createDataFrame(rows, schema)).orderBy("ord").collect()]
+        assert got == plain_stitch(rows)
+
+
+def plain_tail(text, n):
+    """The last n characters; from behind their first mark where something follows it."""
+    end = text[-n:] if n > 0 else ""
+    m = re.search("[。！？!?；;\n]", end)
+    return end[m.end() :] if m and m.end() < len(end) else end
+
+
+def plain_parts(text, size, overlap):
+    if len(text) <= size:
+        return [text] if text.strip() else []
+
+    def cut(part, marks):
+        if len(part) <= size:
+            return [part] if part else []
+        if not marks:
+            return [part[i : i + size] for i in range(0, len(part), size)]
+        bits = part.split(marks[0])
+        return [x for i, b in enumerate(bits) for x in cut(b + marks[0] * (i < len(bits) - 1), marks[1:])]
+
+    out, held = [], ""
+    for x in cut(text, ["\n\n", "\n", "。", "！", "？", "；", "…", "，", "、", " "]):
+        if held and len(held) + len(x) > size:
+            out.append(held)
+            held = plain_tail(held, overlap) + x
+        else:
+            held += x
+    return [x for x in [*out, held] if x.strip()]
+
+
+def test_recursive_parts_equal_a_recursion(spark):
+    assert chunking.tail("甲乙。丙丁", 10) == "丙丁" == one(spark, text.tail_overlap(F.col("t"), 10), t="甲乙。丙丁")
+    assert chunking.tail("甲…乙丙", 3) == "…乙丙" == one(spark, text.tail_overlap(F.col("t"), 3), t="甲…乙丙")
+    rng = np.random.default_rng(5)
+    signs = list("甲乙丙丁戊己庚ab") + ["。", "，", "\n", "\n\n", " ", "…", "！"]
+    texts = ["".join(rng.choice(signs, int(rng.integers(0, 400)))) for _ in range(60)] + ["x" * 300, "", "  "]
+    got = {}
+    for r in chunking.split_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), 40, 12).orderBy("doc_id", "part").collect():
+        got.setdefault(r["doc_id"], []).append(r["text"])
+    assert all(got.get(i, []) == plain_parts(t, 40, 12) for i, t in enumerate(texts))
+
+
+def test_normal_forms_and_null_texts(spark):
+    rows = [(1, "Ａb —c"), (2, "abc"), (3, None), (4, ""), (5, "·\u3000\u2003\x1f")]
+    got = {r["doc_id"]: r["kept_id"] for r in dedup.exact(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3}
+    both = f"lower(regexp_replace(regexp_replace(t, '{text.DECORATION}', ''), '{text.SPACE}+', ''))"
+    every = spark.range(0, 0x3100).where("id <> 0").select(F.concat(F.lit("a"), F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')"), F.lit("b")).alias("t"))
+    assert every.where(text.normal(F.col("t")) != F.expr(both.replace("\\", "\\\\"))).isEmpty()
+
+
 def test_chunks_keep_the_text(spark):
     rng = np.random.default_rng(3)
     rows = [("d", i, "章节" if i % 9 == 0 else "句子内容。" * int(rng.integers(1, 200)), i // 5 + 1, "heading" if i % 9 == 0 else "body", 1 if i % 9 == 0 else 0, 10.0, False, 0.5) for i in range(60)]
@@ -210,12 +295,19 @@ def test_retrieval_filters(spark):
     assert retrieval.by_code_or_id(rows.withColumn("script_id", F.lit("i")), "none", "i").count() == 4
 
 
-def test_answers_of_a_model():
-    pair = '{"question": "what is it", "answer": "this", "category": " Rule ", "source_index": 9}'
-    for content in (f"[{pair}]", f"```json\n[{pair}]\n```", f"Here: [{pair}] ok", f'{{"data": [{pair}]}}', pair):
-        assert documents.parse_pairs(content, 2) == [("what is it", "this", "rule", 2)]
-    assert documents.parse_pairs("no json", 2) == [] and documents.parse_pairs('[{"question": "abc", "answer": "xx"}, {"question": "long enough", "answer": "x"}, 5]', 2) == []
-    assert documents.parse_pairs('[{"question": "long enough", "answer": "yes", "source_index": "x"}]', 2) == [("long enough", "yes", "general", 0)]
+def test_answers_of_a_model(spark):
+    def parsed(content, most=2):
+        df = spark.createDataFrame([(content, most)], "content string, last_index int")
+        return [tuple(r) for r in documents.pairs_of(df).select("question", "answer", "category", "source_index").collect()]
+
+    pair = '{"question": "what is it", "answer": "this", "category": " Rule ", "index": 9}'
+    for content in (f"[{pair}]", f"```json\n[{pair}]\n```", f"Here: [{pair}] ok", f'{{"data": [{pair}]}}', f'{{"x": 1, "list": [{pair}]}}', pair):
+        assert parsed(content) == [("what is it", "this", "rule", 2)]
+    assert parsed("no json") == parsed(None) == parsed("") == parsed("[]") == parsed("{'question': 'what is it', 'answer': 'this'}") == []
+    assert parsed('[{"question": "abc", "answer": "xx"}, {"question": "long enough", "answer": "x"}, 5]') == []
+    for index, want in (('"x"', 0), ("1", 1), ('"1"', 1), ("-4", 0), ("null", 0), ("1.7", 1)):
+        assert parsed(f'[{{"question": "long enough", "answer": "yes", "index": {index}}}]') == [("long enough", "yes", "general", want)]
+    assert parsed('[{"question": "long enough", "answer": "yes"}, "x", {"question": "another one", "answer": "no"}]') == [("long enough", "yes", "general", 0), ("another one", "no", "general", 0)]
 
 
 def test_docx(spark, tmp_path):
