@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -31,7 +31,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     before = None
     while True:
-        now = materialise(_star(_star(now, False), True), name)
+        last, now = now, materialise(_star(_star(now, False), True), name)
+        discard(last)
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sign == before:
             break

@@ -6,8 +6,9 @@ and is split into k + 1 pieces: a passage within k edits holds at least one of t
 piece hits in a whole document; around each hit Myers' bit-parallel algorithm (in blocks of 64 bits, many candidates
 at once) gives the least distance of the item to any stretch of the document, and those within the budget are matches.
 
-Items are a stated query set, taken in blocks of `BLOCK_ITEMS` items against all documents; no more than a block is
-broadcast, and an item beyond `MAX_ITEM` bytes is a block of its own.
+Items are a stated query set, taken in blocks of at most `BLOCK_ITEMS` items and `BLOCK_BYTES` bytes (or one longer
+item) against all documents; one block at a time is in the driver and sent along with its pass.  Where there are
+several, each pass writes its rows to the shared folder before the next block is read.
 
 Defined results: null or blank items and documents match nothing; items shorter than `1 / rate` bytes must be there
 exactly, as whole words; repeated items and documents match alike and rows are distinct; a null doc_id or
@@ -24,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, pieces
+from .common import give_back, materialise, pieces
 
 U = np.uint64
 #: Edits allowed for each byte of an item.
 RATE = 0.08
-#: Items of a block.
+#: Items and bytes of a block; a worker's bit tables take 32 to 64 times the bytes.
 BLOCK_ITEMS = 1000
-MAX_ITEM = 1 << 14
+BLOCK_BYTES = 1 << 21
 #: Candidates that Myers' algorithm takes at once.
 BATCH = 4096
 
@@ -94,11 +95,18 @@ class Finder:
             self.auto.make_automaton()
         self.size = np.array([len(f) for f in items.forms], np.int64)
         self.budget = np.array(items.budgets, np.int64)
-        self.words = (self.size + 63) // 64
-        self.table = np.zeros((len(items.forms), 256, int(self.words.max(initial=1))), U)
-        for n, form in enumerate(items.forms):
-            at = np.arange(len(form))
-            np.bitwise_or.at(self.table, (n, np.frombuffer(form, np.uint8), at // 64), U(1) << (at % 64).astype(U))
+        # items of one width, a power of two of 64-bit words, share a table: one long item widens no other's
+        self.width = 1 << np.ceil(np.log2(np.maximum((self.size + 63) // 64, 1))).astype(np.int64)
+        self.place = np.zeros(len(items.forms), np.int64)
+        self.tables: dict[int, np.ndarray] = {}
+        for width in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == width)
+            self.place[own] = np.arange(len(own))
+            table = self.tables[width] = np.zeros((len(own), 256, width), U)
+            for k, n in enumerate(own.tolist()):
+                form = np.frombuffer(items.forms[n], np.uint8)
+                at = np.arange(len(form))
+                np.bitwise_or.at(table, (k, form, at // 64), U(1) << (at % 64).astype(U))
 
     def candidates(self, form: bytes) -> Iterator[tuple[int, int, int]]:
         """(item, from, to): stretches of a normal form around piece hits; near ones of an item are joined."""
@@ -120,20 +128,22 @@ class Finder:
                 lo = hi = x
 
     def distances(self, which: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Least distance of item which[i] to a stretch of texts[i], and where the first such stretch ends."""
+        """Least distance of item which[i] to a stretch of texts[i], and where the first such stretch ends; the items
+        have one width."""
+        words = int(self.width[which[0]])
+        table, which_row = self.tables[words], self.place[which]
         n, longest = len(texts), max(map(len, texts), default=0)
         chars = np.zeros((longest, n), np.uint8)
         for i, t in enumerate(texts):
             chars[: len(t), i] = np.frombuffer(t, np.uint8)
-        words = int(self.words[which].max(initial=1))
-        last, bit = self.words[which] - 1, U(1) << ((self.size[which] - 1) % 64).astype(U)
+        last, bit = (self.size[which] - 1) // 64, U(1) << ((self.size[which] - 1) % 64).astype(U)
         pv, mv = np.full((words, n), ~U(0)), np.zeros((words, n), U)
         score = self.size[which].copy()
         best, where = score.copy(), np.zeros(n, np.int64)
         one, top = U(1), U(63)
         with np.errstate(over="ignore"):
             for j in range(longest):
-                eqs = self.table[which, chars[j]]
+                eqs = table[which_row, chars[j]]
                 up, down = np.zeros(n, U), np.zeros(n, U)
                 for w in range(words):
                     eq, p, m = eqs[:, w], pv[w], mv[w]
@@ -152,47 +162,55 @@ class Finder:
         return best, where
 
 
+    def search(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, tuple]]:
+        """(text, item, distance, end, forms) of the stretches within an item's budget; end is a place in the normal form."""
+        low, at, place = normal_bytes(raw, offsets)
+        data = low.tobytes()
+        row, which, starts, texts = [], [], [], []
+        for i in range(len(offsets) - 1):
+            form = data[at[i] : at[i + 1]].rstrip(b" ")
+            for n, a, b in self.candidates(form):
+                row.append(i)
+                which.append(n)
+                starts.append(a)
+                texts.append(form[a:b])
+        order = sorted(range(len(texts)), key=lambda i: (self.width[which[i]], len(texts[i])))
+        k = 0
+        while k < len(order):
+            width = self.width[which[order[k]]]
+            end = k + 1
+            while end < min(len(order), k + BATCH) and self.width[which[order[end]]] == width:
+                end += 1
+            part = order[k:end]
+            k = end
+            found, ends = self.distances(np.array([which[i] for i in part]), [texts[i] for i in part])
+            for i, d, e in zip(part, found.tolist(), ends.tolist(), strict=True):
+                n, to = which[i], starts[i] + e
+                if d <= self.budget[n] and (self.budget[n] or _whole(data[at[row[i]] : at[row[i] + 1]], to - int(self.size[n]), to)):
+                    yield row[i], n, d, to, (at, place)
+
+
 def find(docs: DataFrame, items: Items, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, item_id, distance, budget, match_end) of each document and item that match; match_end in code points."""
     kind = dict(docs.dtypes)[id_col]
-    kept = [(i, f) for i, f in zip(items.ids, items.forms, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(items)
-        names = pa.array([i for i, _ in kept], pa.int64())
+        names = pa.array(items.ids, pa.int64())
         for batch in batches:
-            for lo, hi, raw, offsets in pieces(batch, text_col):
-                low, at, place = normal_bytes(raw, offsets)
-                data = low.tobytes()
-                row, which, starts, texts = [], [], [], []
-                for i in range(hi - lo):
-                    form = data[at[i] : at[i + 1]].rstrip(b" ")
-                    for n, a, b in finder.candidates(form):
-                        row.append(i)
-                        which.append(n)
-                        starts.append(a)
-                        texts.append(form[a:b])
+            for lo, _, raw, offsets in pieces(batch, text_col):
                 best: dict[tuple[int, int], tuple[int, int]] = {}
-                order = sorted(range(len(texts)), key=lambda i: (finder.words[which[i]], len(texts[i])))
-                for k in range(0, len(order), BATCH):
-                    part = order[k : k + BATCH]
-                    found, ends = finder.distances(np.array([which[i] for i in part]), [texts[i] for i in part])
-                    for i, d, e in zip(part, found.tolist(), ends.tolist(), strict=True):
-                        n = which[i]
-                        if d > finder.budget[n]:
-                            continue
-                        if not finder.budget[n] and not _whole(data[at[row[i]] : at[row[i] + 1]], starts[i] + e - len(items.forms[n]), starts[i] + e):
-                            continue
-                        new = (d, starts[i] + e)
-                        best[row[i], n] = min(best.get((row[i], n), new), new)
+                for r, n, d, end, (at, place) in finder.search(raw, offsets):
+                    best[r, n] = min(best.get((r, n), (d, end)), (d, end))
                 if best:
-                    rows, which_items = [r for r, _ in best], [n for _, n in best]
+                    rows, which = [r for r, _ in best], [n for _, n in best]
                     heads = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
                     ends = [int(heads[place[at[r] + e - 1] + 1] - heads[offsets[r]]) for (r, _), (_, e) in best.items()]
                     yield pa.RecordBatch.from_arrays([
-                        batch.column(0).take(pa.array([lo + r for r in rows])), names.take(pa.array(which_items)), pa.array([d for d, _ in best.values()], pa.int32()),
-                        pa.array([int(finder.budget[n]) for n in which_items], pa.int32()), pa.array(ends, pa.int64()),
+                        batch.column(0).take(pa.array([lo + r for r in rows])), names.take(pa.array(which)), pa.array([d for d, _ in best.values()], pa.int32()),
+                        pa.array([int(finder.budget[n]) for n in which], pa.int32()), pa.array(ends, pa.int64()),
                     ], names=[id_col, "item_id", "distance", "budget", "match_end"])
+        give_back()
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, item_id long, distance int, budget int, match_end long")
 
@@ -201,27 +219,27 @@ def _whole(form: bytes, lo: int, hi: int) -> bool:
     return (lo <= 0 or form[lo - 1] == 32) and (hi >= len(form) or form[hi] == 32)
 
 
-def item_blocks(benchmark: DataFrame, rate: float = RATE) -> Iterator[Items]:
-    """The items in blocks, one at a time through the driver; at most BLOCK_ITEMS items of MAX_ITEM bytes, or one longer."""
-    held: list = []
+def item_blocks(benchmark: DataFrame, rate: float = RATE) -> Iterator[tuple[Items, bool]]:
+    """The items in blocks, one at a time through the driver, and whether a block is the only one."""
+    ids, forms, size, first = [], [], 0, True
     for r in benchmark.select(F.col("item_id").cast("long"), "text").distinct().orderBy("item_id", "text").toLocalIterator():
         form = normal(r[1])
-        if len(form) > MAX_ITEM:
-            yield Items([r[0]], [form], rate)
-            continue
-        held.append((r[0], form))
-        if len(held) == BLOCK_ITEMS:
-            yield Items([i for i, _ in held], [f for _, f in held], rate)
-            held = []
-    if held:
-        yield Items([i for i, _ in held], [f for _, f in held], rate)
+        if ids and (len(ids) == BLOCK_ITEMS or size + len(form) > BLOCK_BYTES):
+            yield Items(ids, forms, rate), False
+            ids, forms, size, first = [], [], 0, False
+        ids.append(r[0])
+        forms.append(form)
+        size += len(form)
+    if ids:
+        yield Items(ids, forms, rate), first
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """All (doc_id, item_id) whose document holds the item within its budget."""
     out = None
-    for items in item_blocks(benchmark, rate):
+    for items, only in item_blocks(benchmark, rate):
         found = find(docs, items)
+        found = found if only else materialise(found, "matches")
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = find(docs, Items([], [], rate))
@@ -230,33 +248,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
 
 def filter_documents(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows of docs that hold no item, all columns as they were; a pass for each block of items, no shuffle."""
-    for items in item_blocks(benchmark, rate):
+    for items, only in item_blocks(benchmark, rate):
 
         def keep(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             finder = Finder(items)
             for batch in batches:
                 for lo, hi, raw, offsets in pieces(batch, "text"):
-                    low, at, _ = normal_bytes(raw, offsets)
-                    data = low.tobytes()
                     clean = np.ones(hi - lo, bool)
-                    row, which, starts, texts = [], [], [], []
-                    for i in range(hi - lo):
-                        form = data[at[i] : at[i + 1]].rstrip(b" ")
-                        for n, a, b in finder.candidates(form):
-                            row.append(i)
-                            which.append(n)
-                            starts.append(a)
-                            texts.append(form[a:b])
-                    order = sorted(range(len(texts)), key=lambda i: (finder.words[which[i]], len(texts[i])))
-                    for k in range(0, len(order), BATCH):
-                        part = order[k : k + BATCH]
-                        found, ends = finder.distances(np.array([which[i] for i in part]), [texts[i] for i in part])
-                        for i, d, e in zip(part, found.tolist(), ends.tolist(), strict=True):
-                            n = which[i]
-                            if d <= finder.budget[n] and (finder.budget[n] or _whole(data[at[row[i]] : at[row[i] + 1]], starts[i] + e - len(items.forms[n]), starts[i] + e)):
-                                clean[row[i]] = False
+                    for r, *_ in finder.search(raw, offsets):
+                        clean[r] = False
                     yield batch.slice(lo, hi - lo).filter(pa.array(clean))
             give_back()
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        kept = docs.mapInArrow(keep, docs.schema)
+        docs = kept if only else materialise(kept, "clean")
     return docs

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import give_back, materialise, pieces, shuffle_width
+from .common import discard, give_back, materialise, pieces, shuffle_width
 from .components import components
 
 U = np.uint64
@@ -296,12 +296,14 @@ def _elements(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, n: i
                 hit = np.flatnonzero((_signed(one) == want) & np.array([len(s) > 0 for s in own], bool))
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(one)[hit]), pa.array([own[i].tobytes() for i in hit], pa.binary())], names=["fp", "elements"])
 
-    reps = materialise(reps, "reps")
+    kept = reps = materialise(reps, "reps")
     if reps.count() <= BROADCAST_IDS:
         reps = F.broadcast(reps)
     text = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
     found = text.join(reps, "rep").select("fp", "text").mapInArrow(run, "fp long, elements binary")
-    return materialise(found.dropDuplicates(["fp"]), "elements")
+    out = materialise(found.dropDuplicates(["fp"]), "elements")
+    discard(kept)
+    return out
 
 
 def _both(pairs: DataFrame, table: DataFrame, *cols: tuple[str, str]) -> DataFrame:
@@ -330,7 +332,9 @@ def _verify(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, id_col: str,
     near = materialise(near.select("a", "b", "ba", "bb", "na", "nb").mapInArrow(by_bits, "a long, b long"), "near")
     ends = near.select(F.col("a").alias("fp")).union(near.select("b")).distinct()
     elements = _elements(docs, vertices.select("fp", "rep").join(ends, "fp"), id_col, text_col, n, seed)
-    return materialise(_both(near, elements, ("elements", "e")).select("a", "b", "ea", "eb").mapInArrow(exactly, "a long, b long"), "links")
+    out = materialise(_both(near, elements, ("elements", "e")).select("a", "b", "ea", "eb").mapInArrow(exactly, "a long, b long"), "links")
+    discard(near, elements)
+    return out
 
 
 def _members(tiles: DataFrame) -> DataFrame:
@@ -474,10 +478,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
     linked = _verify(pairs, vertices, docs, id_col, text_col, n, percent, seed)
     own = components(linked, "clusters")
+    discard(met, pairs, linked)
     failed, forests = None, 1
     while True:  # a tile is open until all pairs of its forest link; each round connects or rules out a pair of every open tile
         placed = materialise(members.join(own.withColumnRenamed("v", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "placed")
         met = _across(_blocks(placed), vertices, failed, percent, forests)
+        discard(placed)
         if met.isEmpty():
             break
         fresh = _verify(met.select("a", "b").distinct(), vertices, docs, id_col, text_col, n, percent, seed)
@@ -485,9 +491,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         own = components(own.select(F.col("v").alias("a"), F.col("component").alias("b")).unionByName(fresh), "clusters")
         if wrong.isEmpty():
             break
-        members = materialise(members.join(wrong.select("g1", "g2").distinct(), ["g1", "g2"], "left_semi"), "members")
+        done, members = members, materialise(members.join(wrong.select("g1", "g2").distinct(), ["g1", "g2"], "left_semi"), "members")
         pairs = wrong.select("a", "b").distinct()
-        failed = materialise(pairs if failed is None else failed.unionByName(pairs).distinct(), "failed")
+        known, failed = failed, materialise(pairs if failed is None else failed.unionByName(pairs).distinct(), "failed")
+        discard(done, known, met, fresh, wrong)
         forests *= 4
     # in ids: a set's members are one component, and so are the rows that share an id
     shared = vertex.groupBy("id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y")

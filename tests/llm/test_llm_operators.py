@@ -284,11 +284,11 @@ def test_myers_distance():
     forms = [bytes(rng.choice(list(b"abc"), n).astype(np.uint8)) for n in (1, 5, 63, 64, 65, 130, 200)]
     finder = decontaminate.Finder(decontaminate.Items(list(range(len(forms))), forms))
     texts = [bytes(rng.choice(list(b"abc"), rng.integers(0, 150)).astype(np.uint8)) for _ in forms]
-    got, _ = finder.distances(np.arange(len(forms)), texts)
-    assert got.tolist() == [plain_distance(f, t) for f, t in zip(forms, texts, strict=True)]
+    got = [int(finder.distances(np.array([i]), [texts[i]])[0][0]) for i in range(len(forms))]
+    assert got == [plain_distance(f, t) for f, t in zip(forms, texts, strict=True)]
 
 
-def test_decontamination(spark, docs, none):
+def test_decontamination(spark, docs, none, monkeypatch):
     rng = np.random.default_rng(7)
     items = [(i, " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(20))) for i in range(12)] + [(None, "a null id with a passage of its own kind here"), (20, None), (21, ""), (0, "again")]
     made = []
@@ -310,6 +310,10 @@ def test_decontamination(spark, docs, none):
     assert want and {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(d, b).collect()} == want
     kept = decontaminate.filter_documents(d, b)
     assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in made} - {i for i, _ in want}
+    for name, value in (("BLOCK_ITEMS", 5), ("BLOCK_BYTES", 300)):  # several blocks, each in a pass of its own
+        monkeypatch.setattr(decontaminate, name, value)
+        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(d, b).collect()} == want
+        assert {r["doc_id"] for r in decontaminate.filter_documents(d, b).collect()} == {i for i, _ in made} - {i for i, _ in want}
     assert decontaminate.matches(docs, b.limit(0)).count() == 0 and decontaminate.matches(none, b).count() == 0
     assert decontaminate.filter_documents(docs, b).columns == docs.columns
 
