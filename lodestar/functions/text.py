@@ -6,6 +6,8 @@ for the other silently.
 
 from __future__ import annotations
 
+import mimetypes
+import re
 import unicodedata
 
 import pandas as pd
@@ -79,6 +81,16 @@ def title_key(c: Column) -> Column:
     return F.coalesce(key, F.lit(""))
 
 
+def title_key_of(title: str) -> str:
+    """title_key of one title, for plans that are built around it."""
+    blank = "".join(c for c in DROPPED if not c.isprintable() or c.isspace())
+    key = re.sub(TITLE_EXTENSION.removeprefix("(?i)"), "", (title or "").strip(blank).lower(), flags=re.IGNORECASE)
+    for _ in range(3):
+        key = re.sub(TITLE_NUMBER, "", key)
+        key = re.sub(TITLE_COPY.removeprefix("(?i)"), "", key, flags=re.IGNORECASE).strip(blank)
+    return key
+
+
 def keyword(text: str) -> str:
     """A search keyword without list and quote signs; % and _ stay wildcards."""
     return "".join(c for c in text if c not in '*,()"\\').strip()
@@ -129,13 +141,54 @@ def clean_list(c: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(c, strip), lambda x: x != ""))
 
 
-def safe_filename(c: Column) -> Column:
-    """The last path element with unsafe signs as _, dots collapsed, at most 200 characters."""
-    name = F.element_at(F.split(F.regexp_replace(c, r"\\", "/"), "/"), -1)
-    name = F.regexp_replace(F.regexp_replace(name, r"[^\p{L}\p{N}._\- ()（）]", "_"), r"\.{2,}", ".")
+@F.pandas_udf(StringType())
+def nfc(s: pd.Series) -> pd.Series:
+    """NFC of each text, in Arrow batches."""
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+
+def safe_filename(c: Column, most: int = 200) -> Column:
+    """The last path element, unsafe signs as _, dots collapsed, cut before its extension; null where nothing is left."""
+    name = F.element_at(F.split(F.regexp_replace(strip(c), r"\\", "/"), "/"), -1)
+    name = F.regexp_replace(F.regexp_replace(name, r'[:*?"<>|\x00-\x1f]', "_"), r"\.{2,}", ".")
     name = F.regexp_replace(name, r"^[. ]+|[. ]+$", "")
-    return F.coalesce(F.nullif(F.substring(name, 1, 200), F.lit("")), F.lit("file"))
+    ext = F.regexp_extract(name, r"[^.].*?(\.[^.]*)$", 1)
+    name = F.when(F.length(name) > most, F.concat(F.substring(name, F.lit(1), F.lit(most) - F.length(ext)), ext)).otherwise(name)
+    return F.nullif(name, F.lit(""))
 
 
 def extension(c: Column) -> Column:
-    return F.lower(F.regexp_extract(c, r"\.([A-Za-z0-9]{1,10})$", 1))
+    """What follows the last dot of a name, lower case; names that only begin with dots have none."""
+    return F.lower(F.regexp_extract(c, r"[^.].*?\.([^.]*)$", 1))
+
+
+UNTYPED = "application/octet-stream"
+
+
+def content_type(name: Column, told: Column) -> Column:
+    """The type as told, else that of the extension in the standard table."""
+    known = F.create_map(*(F.lit(x) for ext, kind in sorted(mimetypes.types_map.items()) for x in (ext[1:], kind)))
+    own = F.nullif(F.nullif(told, F.lit("")), F.lit(UNTYPED))
+    return F.coalesce(own, F.try_element_at(known, extension(name)), F.lit(UNTYPED))
+
+
+def object_key(user: Column, name: Column, at: Column, unique: Column, prefix: str = "uploads") -> Column:
+    """prefix/user/year/month/unique.extension"""
+    ext = extension(name)
+    tail = F.when(ext == "", unique).otherwise(F.concat(unique, F.lit("."), ext))
+    return F.concat_ws("/", F.lit(prefix.strip("/")), user.cast("string"), F.date_format(at, "yyyy/MM"), tail)
+
+
+# Fixed value: the instruction that Chinese models of this family expect before a query.
+QUERY_PREFIX = "为这个句子生成表示以用于检索相关文章："
+
+
+def query_text(c: Column, model: str) -> Column:
+    """A query as its embedding model expects it."""
+    low = model.lower()
+    return F.concat(F.lit(QUERY_PREFIX), c) if "bge" in low and "zh" in low else c
+
+
+def asked(c: Column, most: int = 500) -> tuple[Column, Column]:
+    """What is kept of a user's question, and the hash of the whole of it."""
+    return F.substring(c, 1, most), content_hash(c)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import clean_list, keyword, strip, title_key
+from lodestar.functions.text import clean_list, keyword, strip, title_key_of
 
 
 def like_any(columns: list[str], word: str, exact_in: str | None = None) -> Column:
@@ -101,14 +101,22 @@ def search_names(rows: DataFrame, word: str, limit: int = 20) -> DataFrame:
 
 
 def find_existing(rows: DataFrame, title: str) -> DataFrame:
-    """The row that a new title most likely repeats."""
-    key = title_key(F.lit(title))
-    same = F.col("title").ilike(title) | (title_key(F.col("title")) == key) | F.exists("aliases", lambda a: a == key)
-    return rows.where(F.coalesce(same, F.lit(False)) & F.col("deleted_at").isNull()).orderBy(*sorts()["hot"]).limit(1)
+    """The row that a new title most likely repeats: a stored title that equals it or its key (case aside; % and _ stay
+    wildcards), or an alias that equals the key.  Of several the most played one."""
+    raw = keyword(title)
+    key = F.lit(title_key_of(title))
+    same = F.col("title").ilike(raw) | F.col("title").ilike(keyword(title_key_of(title))) | F.exists("aliases", lambda a: a == key)
+    found = rows.where(F.coalesce(same, F.lit(False)) & F.col("deleted_at").isNull() & F.lit(bool(raw)))
+    return found.orderBy(F.desc("play_count"), F.desc_nulls_last("rating"), "id").limit(1)
 
 
-def by_ids(rows: DataFrame, ids: list[str], ident: str = "id") -> DataFrame:
-    """Rows of the ids given; repeats and blanks don't count, an empty list finds nothing."""
+def by_ids(rows: DataFrame, ids: list[str] | DataFrame, ident: str = "id") -> DataFrame:
+    """Rows of the ids given (a list, or a table with that column); repeats, blanks and deleted rows don't count."""
+    if "deleted_at" in rows.columns:
+        rows = rows.where(F.col("deleted_at").isNull())
+    if isinstance(ids, DataFrame):
+        own = ids.select(strip(F.col(ident).cast("string")).alias("__id")).where("__id <> ''").distinct()
+        return rows.join(own, F.col(ident).cast("string") == F.col("__id"), "left_semi")
     own = list(dict.fromkeys(i.strip() for i in ids if i and i.strip()))
     return rows.where(F.col(ident).isin(own)) if own else rows.limit(0)
 
@@ -121,6 +129,11 @@ def option_rows(tree: dict[str, list[dict]]) -> list[dict]:
     return [{"category_code": c, "sort_order": (k + 1) * 10} | o for c, options in tree.items() for k, o in enumerate(options)]
 
 
+def with_defaults(rows: DataFrame, defaults: dict[str, object]) -> DataFrame:
+    """Columns that are missing or null take their default."""
+    return rows.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in rows.columns else F.lit(v) for c, v in defaults.items()})
+
+
 def or_seed(rows: DataFrame, seed: DataFrame) -> DataFrame:
     """Rows, or the seed where there are none."""
     return seed if rows.isEmpty() else rows
@@ -141,6 +154,14 @@ def search_options(options: DataFrame, word: str, hot: bool = False) -> DataFram
     return (found.where("is_hot") if hot else found).orderBy("category_code", "sort_order", "code")
 
 
+def find_options(options: DataFrame, word: str = "", category: str | None = None, hot: bool = False, inactive: bool = False) -> DataFrame:
+    """Options whose label or description holds a word, or that have it as an alias; in dictionary order."""
+    found = options if inactive else options.where("is_active")
+    found = found.where(F.col("category_code") == category) if category else found
+    found = found.where("is_hot") if hot else found
+    return found.where(like_any(["label", "description"], word, "aliases")).orderBy("category_code", "sort_order", "code")
+
+
 def label_of(rows: DataFrame, options: DataFrame, column: str, category: str, out: str) -> DataFrame:
     """The label of a code; null for an unknown one."""
     own = options.where(F.col("category_code") == category).select(F.col("code").alias(column), F.col("label").alias(out))
@@ -184,6 +205,22 @@ def range_violations(rows: DataFrame, pairs: list[tuple[str, str, int]], ident:
     return rows.select(ident, wrong.alias("wrong")).where(F.size("wrong") > 0)
 
 
+def gender_violations(rows: DataFrame, ident: str = "id") -> DataFrame:
+    """Rows whose roles add up to more than the most players; rows without male and female counts, or without a most, are right."""
+    total = sum((F.coalesce(F.col(c), F.lit(0)) for c in ("male_count", "female_count", "flexible_count")), F.lit(0))
+    told = F.col("male_count").isNotNull() | F.col("female_count").isNotNull()
+    return rows.select(ident, total.alias("total"), "player_max", told.alias("told")).where("told and total > player_max").drop("told")
+
+
+def unknown_columns(rows: DataFrame, known: list[str], ident: str = "id") -> DataFrame:
+    """(id, problem) of rows with a value in a column that isn't known."""
+    extra = sorted(set(rows.columns) - set(known))
+    if not extra:
+        return rows.select(ident, F.lit("").alias("problem")).limit(0)
+    names = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), c) for c in extra)))
+    return rows.select(ident, F.concat(F.lit("unknown fields: "), F.array_join(names, ", ")).alias("problem"), F.size(names).alias("n")).where("n > 0").drop("n")
+
+
 def merge_rows(old: DataFrame, new: DataFrame, ident: str, scalars: list[str], arrays: list[str], fill_only: bool = False) -> DataFrame:
     """New values merged into old rows: fill_only keeps what is there, else new scalars win; arrays are united in order."""
     o, n = old.alias("o"), new.alias("n")
@@ -249,10 +286,13 @@ def items(rows: DataFrame, options: DataFrame, labels: dict[str, str], arrays: d
     ).fillna({"play_count": 0, "rating_count": 0})
 
 
-def seed_violations(rows: DataFrame, options: DataFrame, columns: dict[str, str], pairs: list[tuple[str, str, int]]) -> DataFrame:
-    """(id, problem) of rows to be loaded: codes used twice, unknown dictionary codes, ranges, ratings beyond 0 to 10."""
+def seed_violations(rows: DataFrame, options: DataFrame, columns: dict[str, str], pairs: list[tuple[str, str, int]], known: list[str] | None = None) -> DataFrame:
+    """(id, problem) of rows to be loaded: fields that aren't known, codes used twice, unknown dictionary codes, ranges,
+    ratings beyond 0 to 10."""
     twice = rows.groupBy("code").agg(F.count("*").alias("n")).where("n > 1").select("code")
     out = rows.join(twice, "code", "left_semi").select("id", F.lit("code used twice").alias("problem"))
+    if known is not None:
+        out = out.unionByName(unknown_columns(rows, known))
     out = out.unionByName(unknown_codes(rows, options, columns).select("id", F.concat(F.lit("unknown "), "column", F.lit(": "), "codes").alias("problem")))
     out = out.unionByName(range_violations(rows, pairs).select("id", F.concat(F.lit("range: "), F.array_join("wrong", ", ")).alias("problem")))
     return out.unionByName(rows.where("rating < 0 or rating > 10").select("id", F.lit("rating").alias("problem")))

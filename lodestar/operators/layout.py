@@ -15,6 +15,10 @@ LEVELS = 6
 #: Bands at the top and bottom of a page where repeated lines are looked for, and what counts as its edge.
 EDGE, EDGE_STEP = 0.12, 0.03
 LARGER = 1.15
+#: Share of bold characters that makes a paragraph bold, and the bit of a span's flags that says so.
+BOLD_SHARE, BOLD_FLAG = 0.6, 16
+# Fixed value: a line that ends so goes on in the next one.
+UNFINISHED = r"[，,、；;：:（(\[【“\"'/\\—-]$"
 
 
 def block_class(text: Column, size: Column, bold: Column, body: Column) -> tuple[Column, Column]:
@@ -37,6 +41,47 @@ def block_class(text: Column, size: Column, bold: Column, body: Column) -> tuple
     return kind, level
 
 
+def paragraphs(lines: DataFrame) -> DataFrame:
+    """Lines of a page's blocks (document_id, page, block_no, line_no, spans of text, size and flags) as paragraphs:
+    (document_id, page, block_no, part, text, font_size, is_bold).
+
+    A line begins a paragraph where its size differs by LARGER from the line before, or where it looks like a heading
+    behind an ended sentence.  Lines join without a blank, as Chinese is set, but for two that meet in ASCII letters or
+    digits, or by a line break before a heading.  Sizes are medians over characters.  Windows over a block's lines and
+    one aggregate; blank lines don't count."""
+    seen = F.filter("spans", lambda s: strip(s["text"]) != "")
+    sizes = F.flatten(F.transform(seen, lambda s: F.array_repeat(s["size"].cast("double"), F.length(s["text"]))))
+    bold = F.aggregate(seen, F.lit(0), lambda n, s: n + F.when(s["flags"].bitwiseAND(BOLD_FLAG) != 0, F.length(s["text"])).otherwise(0))
+    text = strip(F.array_join(F.transform("spans", lambda s: F.coalesce(s["text"], F.lit(""))), ""))
+    own = lines.select("document_id", "page", "block_no", "line_no", text.alias("text"), sizes.alias("sizes"), bold.alias("bold")).where("text <> ''")
+    own = own.withColumn("size", _median("sizes"))
+    block = Window.partitionBy("document_id", "page", "block_no").orderBy("line_no")
+    before, last = F.lag("text").over(block), F.lag("size").over(block)
+    ratio = F.when((last > 0) & (F.col("size") > 0), F.col("size") / last)
+    heads = is_heading_like(F.col("text")) & before.rlike(SENTENCE_END)
+    breaks = (ratio >= LARGER) | (ratio <= 1 / LARGER) | (ratio.isNotNull() & heads)
+    own = own.withColumn("part", F.sum(F.when(F.coalesce(breaks, F.lit(False)), 1).otherwise(0)).over(block))
+    own = own.withColumn("before", F.lag("text").over(Window.partitionBy("document_id", "page", "block_no", "part").orderBy("line_no")))
+    ascii_ends = F.col("before").rlike("[A-Za-z0-9]$") & F.col("text").rlike("^[A-Za-z0-9]")
+    link = (
+        F.when(F.col("before").isNull(), "").when(F.col("before").rlike(SENTENCE_END) & is_heading_like(F.col("text")), "\n")
+        .when(F.col("before").rlike(UNFINISHED), "").when(ascii_ends, " ").otherwise("")
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", F.concat(link, "text").alias("text"), "sizes")))
+    out = own.groupBy("document_id", "page", "block_no", "part").agg(ordered.alias("l"), F.sum("bold").alias("bold"))
+    out = out.withColumn("sizes", F.flatten(F.transform("l", lambda x: x["sizes"])))
+    return out.select(
+        "document_id", "page", "block_no", F.col("part").cast("int").alias("part"), F.array_join(F.transform("l", lambda x: x["text"]), "").alias("text"),
+        F.coalesce(_median("sizes"), F.lit(0.0)).alias("font_size"), F.coalesce(F.try_divide(F.col("bold"), F.size("sizes")) >= BOLD_SHARE, F.lit(False)).alias("is_bold"),
+    )
+
+
+def _median(numbers: str) -> Column:
+    """Of an array; the mean of the two in the middle."""
+    n, s = F.size(numbers), F.array_sort(F.col(numbers))
+    return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
+
+
 def calibrate(blocks: DataFrame) -> DataFrame:
     """Classify again against the document's median size, and number the levels in use from 1.  Documents without
     sizes stay as they are."""

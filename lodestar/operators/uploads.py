@@ -51,11 +51,33 @@ def orphans(files: DataFrame) -> DataFrame:
     return files.select("object_key").distinct().join(references(files), "object_key", "left_anti")
 
 
-def resumable(tasks: DataFrame, wanted: DataFrame) -> DataFrame:
+def _inside(rows: DataFrame, prefix: str | None) -> DataFrame:
+    return rows.where(F.startswith("object_key", F.lit(f"{prefix}/"))) if prefix else rows
+
+
+def _latest(rows: DataFrame, wanted: DataFrame, found: str, keys: list[str]) -> DataFrame:
+    own = wanted.where(F.coalesce(F.trim("file_hash"), F.lit("")) != "").select(*keys).distinct()
+    return rows.join(own, keys, "left_semi").groupBy(*keys).agg(F.max_by(found, F.struct("created_at", found)).alias(found))
+
+
+def resumable(tasks: DataFrame, wanted: DataFrame, prefix: str | None = None) -> DataFrame:
     """The latest unfinished task of the same user, hash and size for each wanted upload with a hash."""
-    own = wanted.where(F.coalesce(F.trim("file_hash"), F.lit("")) != "")
-    found = tasks.where(F.col("status") == "uploading").join(own, ["user_id", "file_hash", "file_size"], "left_semi")
-    return found.groupBy("user_id", "file_hash", "file_size").agg(F.max_by("task_id", F.struct("created_at", "task_id")).alias("task_id"))
+    return _latest(_inside(tasks.where(F.col("status") == "uploading"), prefix), wanted, "task_id", ["user_id", "file_hash", "file_size"])
+
+
+def instant(files: DataFrame, wanted: DataFrame, prefix: str | None = None) -> DataFrame:
+    """Wanted uploads that need no bytes: the latest file of the same user and hash, if its size is the wanted one."""
+    live = _inside(files.where(F.col("deleted_at").isNull()), prefix)
+    found = _latest(live, wanted, "file_id", ["user_id", "file_hash"])
+    sizes = live.select("file_id", F.col("file_size").alias("__size"))
+    own = wanted.select("user_id", "file_hash", "file_size").distinct()
+    return own.join(found, ["user_id", "file_hash"]).join(sizes, "file_id").where(F.col("file_size") == F.col("__size")).drop("__size")
+
+
+def listed_parts(parts: DataFrame, per_page: int = 1000) -> DataFrame:
+    """Stored parts of each task in the order of their numbers, with the page of a listing that holds them."""
+    at = F.row_number().over(Window.partitionBy("task_id").orderBy("part_number")) - 1
+    return parts.withColumn("position", at).withColumn("page", F.floor(F.col("position") / per_page).cast("int"))
 
 
 def user_files(files: DataFrame, user: str, word: str | None = None) -> DataFrame:

@@ -43,6 +43,37 @@ def purge(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return rows.join(gone.select(key).distinct(), key, "left_anti")
 
 
+def insert(table: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
+    """New rows behind the table, created and updated now; columns that they lack are null."""
+    told = {c: now for c in ("created_at", "updated_at") if c in table.columns and c not in rows.columns}
+    return table.unionByName(rows.withColumns(told), allowMissingColumns=True)
+
+
+def touched(old: DataFrame, new: DataFrame, key: str, now: Column) -> DataFrame:
+    """new, where rows that differ from old in any column but updated_at are updated now."""
+    own = [c for c in new.columns if c not in (key, "updated_at")]
+    before = old.select(key, F.struct(*own).alias("__old"))
+    same = F.col("__old").eqNullSafe(F.struct(*own))
+    return new.join(before, key, "left").withColumn("updated_at", F.when(same, F.col("updated_at")).otherwise(now)).drop("__old")
+
+
+def purge_documents(documents: DataFrame, chunks: DataFrame, qa: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, chunks and questions without the rows of the documents in gone (id), whose counters become 0."""
+    own = gone.select(F.col("id").alias("document_id")).distinct()
+    zero = documents.join(own.select(F.col("document_id").alias("id"), F.lit(True).alias("__gone")), "id", "left")
+    zero = update_where(zero, F.col("__gone"), **{c: F.lit(0).cast(dict(documents.dtypes)[c]) for c in ("total_chunks", "total_qa", "dropped_chunks") if c in documents.columns}).drop("__gone")
+    return zero, purge(chunks, own, "document_id"), purge(qa, own, "document_id")
+
+
+def question_page(questions: DataFrame, code: str, status: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
+    """A page of a guide's questions, those asked most and newest first, with the total; unknown states don't filter."""
+    from lodestar.operators.catalog import page_with_total
+
+    own = questions.where(F.lower(F.trim("script_code")) == code.strip().lower())
+    own = own.where(F.col("status") == status) if status in ("pending", "answered", "dismissed") else own
+    return page_with_total(own, [F.desc("ask_count"), F.desc("created_at"), F.asc("question_hash")], limit, offset)
+
+
 def next_version(documents: DataFrame, key: str) -> DataFrame:
     return documents.groupBy(key).agg((F.coalesce(F.max("version"), F.lit(0)) + 1).alias("next_version"))
 

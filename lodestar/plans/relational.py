@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import formats
+from lodestar.functions.text import DECORATION, SPACE, content_hash
 from lodestar.operators import catalog, requests, uploads, upsert
 
 from .registry import query, table
@@ -167,12 +168,12 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
     u = table(spark, d, "conversations").where("role = 'user'")
     return u.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.timestamp_seconds(F.col("conv_id") * 100 + F.col("turn")).alias("ts"), (F.col("conv_id") % 5).cast("string").alias("script_id"),
-        (F.col("conv_id") % 5).cast("string").alias("script_code"), F.col("text").alias("question"), F.sha2(F.lower(F.substring("text", 1, 4)), 256).alias("question_hash"),
+        (F.col("conv_id") % 5).cast("string").alias("script_code"), F.col("text").alias("question"), content_hash(F.col("text")).alias("question_hash"),
         (F.length("text") % 100 / F.lit(100.0) - 0.2).alias("best_similarity"), F.col("conv_id").cast("string").alias("created_by"),
     )
 
 
-_QUESTIONS = """u AS (SELECT conv_id * 1000 + turn AS seq, (conv_id % 5)::VARCHAR AS script_code, text AS question, sha256(lower(substring(text, 1, 4))) AS question_hash,
+_QUESTIONS = f"""u AS (SELECT conv_id * 1000 + turn AS seq, (conv_id % 5)::VARCHAR AS script_code, text AS question, sha256(lower(regexp_replace(regexp_replace(text, '{DECORATION}', '', 'g'), '{SPACE}+', '', 'g'))) AS question_hash,
   length(text) % 100 / 100.0::DOUBLE - 0.2::DOUBLE AS sim, conv_id::VARCHAR AS created_by FROM conversations WHERE role = 'user'),
 q AS (SELECT script_code, question_hash, count(*) AS ask_count, greatest(max(coalesce(sim, 0)), 0) AS best, arg_min(question, seq) AS question, arg_min(created_by, seq) AS created_by, min(seq) AS first_seq FROM u GROUP BY ALL)"""
 
@@ -230,18 +231,21 @@ def import_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT c_custkey AS script_id, c_mktsegment, c_acctbal FROM customer), j AS (SELECT o_custkey, arg_max(CASE o_orderstatus WHEN 'F' THEN 'failed' ELSE 'completed' END, (o_orderdate, o_orderkey)) AS job_status, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS error_message FROM orders WHERE o_custkey % 11 <> 0 GROUP BY o_custkey),
-g AS (SELECT o_custkey, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS gaps FROM orders GROUP BY o_custkey)
-SELECT c.script_id, job_status, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'no guide' WHEN job_status IS NULL THEN 'no job' WHEN job_status = 'failed' THEN 'failed: ' || error_message WHEN NOT (c_acctbal > 3000) THEN 'document not active' WHEN gaps > 0 THEN 'chunk vectors missing' ELSE 'ok' END AS verdict
-FROM c LEFT JOIN j ON j.o_custkey = c.script_id LEFT JOIN g ON g.o_custkey = c.script_id"""
+    """WITH c AS (SELECT c_custkey AS script_id, c_mktsegment, c_acctbal FROM customer), j AS (SELECT o_custkey, arg_max(CASE o_orderstatus WHEN 'F' THEN 'failed' ELSE 'completed' END, (o_orderdate, o_orderkey)) AS job_status, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS error_message FROM orders GROUP BY o_custkey),
+q AS (SELECT o_custkey, count(*) FILTER (WHERE l_returnflag = 'R') AS gaps FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 45 GROUP BY o_custkey),
+g AS (SELECT o_custkey, count(*) FILTER (WHERE o_totalprice > 480000) AS gaps FROM orders GROUP BY o_custkey)
+SELECT c.script_id, job_status, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'no guide' WHEN job_status IS NULL THEN 'no job' WHEN job_status = 'failed' THEN 'failed: ' || error_message WHEN NOT (c_acctbal > 3000) THEN 'document not active' WHEN g.gaps > 0 THEN 'chunk vectors missing' WHEN q.gaps > 0 THEN 'question vectors missing' ELSE 'ok' END AS verdict
+FROM c LEFT JOIN j ON j.o_custkey = c.script_id LEFT JOIN g ON g.o_custkey = c.script_id LEFT JOIN q ON q.o_custkey = c.script_id"""
 )
 def health_verdict(spark: SparkSession, d: str) -> DataFrame:
     c, o = table(spark, d, "customer"), table(spark, d, "orders")
     scripts = c.select(F.col("c_custkey").alias("id"), F.when(F.col("c_mktsegment") != "MACHINERY", "k").alias("guide_key"))
-    jobs = o.where("o_custkey % 11 <> 0").select(F.col("o_custkey").alias("script_id"), F.when(F.col("o_orderstatus") == "F", "failed").otherwise("completed").alias("status"), F.col("o_orderpriority").alias("error_message"), F.col("o_orderdate").alias("created_at"), F.col("o_orderkey").alias("id"))
+    jobs = o.select(F.col("o_custkey").alias("script_id"), F.when(F.col("o_orderstatus") == "F", "failed").otherwise("completed").alias("status"), F.col("o_orderpriority").alias("error_message"), F.col("o_orderdate").alias("created_at"), F.col("o_orderkey").alias("id"))
     docs = c.select(F.col("c_custkey").alias("script_id"), (F.col("c_acctbal") > 3000).alias("is_active"), F.lit(None).cast("date").alias("deleted_at"), F.lit(0).alias("created_at"), F.col("c_custkey").alias("id"))
-    chunks = o.select(F.col("o_custkey").alias("script_id"), F.when(F.col("o_orderpriority") != "1-URGENT", F.lit(1)).alias("embedding"))
-    return requests.health(scripts, jobs, docs, chunks, chunks.limit(0)).select("script_id", "job_status", "verdict")
+    chunks = o.select(F.col("o_custkey").alias("script_id"), F.when(~(F.col("o_totalprice") > 480_000), F.lit(1)).alias("embedding"))
+    qa = table(spark, d, "lineitem").where("l_quantity > 45").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    qa = qa.select(F.col("o_custkey").alias("script_id"), F.when(F.col("l_returnflag") != "R", F.lit(1)).alias("embedding"))
+    return requests.health(scripts, jobs, docs, chunks, qa).select("script_id", "job_status", "verdict")
 
 
 @query("SELECT event_type AS match_key, 'T' || user_id % 40 AS script_title, count(*) AS n FROM events WHERE event_type <> 'error' AND value > 5 GROUP BY ALL")
@@ -324,9 +328,9 @@ def upload_progress(spark: SparkSession, d: str) -> DataFrame:
     return uploads.progress(*_uploads(spark, d)).select("task_id", "uploaded_bytes", "n_parts", "progress")
 
 
-@query("SELECT p_brand AS object_key FROM (SELECT p_brand, count(*) FILTER (WHERE p_size > 3) AS n FROM part GROUP BY p_brand, p_type, p_size % 2 HAVING true) GROUP BY p_brand HAVING sum(n) = 0")
+@query("SELECT DISTINCT p_type || p_size AS object_key FROM part WHERE p_size <= 3")
 def orphaned_objects(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "part").select(F.col("p_brand").alias("object_key"), F.when(F.col("p_size") <= 3, F.lit("2020-01-01")).alias("deleted_at"))
+    f = table(spark, d, "part").select(F.concat("p_type", F.col("p_size").cast("string")).alias("object_key"), F.when(F.col("p_size") <= 3, F.lit("2020-01-01")).alias("deleted_at"))
     return uploads.orphans(f)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import fingerprint, text
-from lodestar.operators import chunking, dedup, layout, retrieval, titles
+from lodestar.operators import chunking, dedup, ingest, layout, retrieval, titles
 from lodestar.sources import documents as sources
 
 from .registry import query, table
@@ -248,3 +248,34 @@ def answer_pairs(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("conv_id") % 3
     content = F.when(k == 0, F.concat(F.lit("```json\n"), item, F.lit("\n```"))).when(k == 1, F.concat(F.lit('{"data": '), item, F.lit("}"))).otherwise(F.concat(F.lit("Here: "), item, F.lit(" done")))
     return sources.pairs_of(rows.select("conv_id", "turn", content.alias("content"), F.lit(4).alias("last_index")))
+
+
+def letter_vectors(texts: list[str]) -> list[list[float]]:
+    """A model's stand-in: counts of letters, the same for the same text."""
+    return [[float(t.count(c)) for c in "aeiourstnd"] + [1.0] for t in texts]
+
+
+@query()
+def semantic_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.semantic_pieces(table(spark, d, "documents"), letter_vectors).select("doc_id", "part", "strategy", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@query()
+def stitched_shards(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of ten lines as shards."""
+    return layout.stitch(_lines(spark, d).withColumn("shard_index", F.col("page"))).select("document_id", "ord", "page", F.md5("text").alias("text_md5"))
+
+
+@query()
+def page_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of documents as lines of a page's blocks, each word a span."""
+    words = F.transform(F.split("text", " "), lambda w: F.struct(F.concat(w, F.lit(" ")).alias("text"), (F.length(w) % 4 + 9).cast("double").alias("size"), (F.length(w) % 3 * 8).cast("int").alias("flags")))
+    lines = _lines(spark, d).select("document_id", "page", F.floor(F.col("ord") / 5).cast("int").alias("block_no"), F.col("ord").alias("line_no"), words.alias("spans"))
+    return layout.paragraphs(lines).select("document_id", "page", "block_no", "part", F.md5("text").alias("text_md5"), "font_size", "is_bold")
+
+
+@query()
+def ingested_documents(spark: SparkSession, d: str) -> DataFrame:
+    """From shards of lines to kept passages: counts of each document."""
+    shards = _lines(spark, d).withColumn("shard_index", F.floor(F.col("page") / 2).cast("int")).withColumn("document_id", F.col("document_id").cast("string"))
+    return ingest.passages(shards)[1]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import vector
-from lodestar.operators import chunking, retrieval
+from lodestar.operators import chunking, index, retrieval
 
 from .registry import query, table
 
@@ -80,3 +80,42 @@ def semantic_breakpoints(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, len(embedding) AS n FROM embeddings")
 def vector_norms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.round(vector.norm(F.col("embedding")), 6).alias("norm"), F.size("embedding").cast("long").alias("n"))
+
+
+@query(
+    f"""WITH {_Q}, d AS (SELECT n_nationkey AS id FROM nation WHERE n_regionkey <> 1 AND n_nationkey % 7 <> 0)
+SELECT vec_id AS id, round(sim, 4) AS similarity FROM s JOIN d ON d.id = label WHERE sim >= 0.1 AND label <> 2 ORDER BY sim DESC, vec_id LIMIT 8"""
+)
+def vector_match(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings")
+    docs = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), (F.col("n_regionkey") != 1).alias("is_active"), F.when(F.col("n_nationkey") % 7 == 0, F.lit(1)).alias("deleted_at"))
+    own = rows.select(F.col("vec_id").alias("id"), F.col("label").alias("document_id"), "embedding").where("label <> 2")
+    return retrieval.match(own, docs, _probe(rows), 8, 0.1).select("id", F.round("similarity", 4).alias("similarity"))
+
+
+@query(
+    """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], q) AS sim FROM q, embeddings)
+SELECT query_id, id, round(sim, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id)::INT AS rank FROM s) WHERE rank <= 8"""
+)
+def vector_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Every hundredth vector as a query against all of them, over an index of inverted lists."""
+    rows = table(spark, d, "embeddings").withColumn("id", F.col("vec_id"))
+    own = index.build(rows.select("id", "embedding"), n_lists=16)
+    found = index.search(own, rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 8)
+    return found.select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query(
+    f"""{_HITS}, k AS (SELECT kind, id, pos, round(raw, 4) AS raw FROM h)
+SELECT string_agg('[' || id || '] ' || kind || ' > r' || pos || ' p.' || pos || '-' || (pos + 1) || chr(10) || kind || id, chr(10) || chr(10) ORDER BY id) AS context, arg_min(kind || id, id) AS direct_answer FROM k"""
+)
+def answer_context(spark: SparkSession, d: str) -> DataFrame:
+    hits = _hits(spark, d).select(F.col("id").alias("pos"), F.array("kind", F.concat(F.lit("r"), F.col("pos").cast("string"))).alias("section_path"), F.col("pos").alias("page_start"), (F.col("pos") + 1).alias("page_end"), F.concat("kind", F.col("id").cast("string")).alias("text"))
+    return retrieval.answer_context(hits)
+
+
+@query("SELECT label, '[' || string_agg(printf('%.4f', e), ',' ORDER BY vec_id) || ']' AS firsts FROM (SELECT vec_id, label, embedding[1]::DOUBLE AS e FROM embeddings) GROUP BY label")
+def stored_vectors(spark: SparkSession, d: str) -> DataFrame:
+    first = F.format_string("%.4f", F.get(F.from_json(vector.stored(F.col("embedding")), "array<double>"), F.lit(0)))
+    rows = table(spark, d, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", first.alias("e")))).alias("v"))
+    return rows.select("label", F.concat(F.lit("["), F.array_join(F.transform("v", lambda x: x["e"]), ","), F.lit("]")).alias("firsts"))

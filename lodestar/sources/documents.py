@@ -24,9 +24,17 @@ UNITS_PER_PAGE = 40
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, length, content) of files in any store that Spark reads."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
+def files(spark: SparkSession, path: str, pattern: str = "*", most: int | None = None) -> DataFrame:
+    """(path, length, content) of files in any store that Spark reads; larger files than `most` bytes are left out
+    before they are read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    found = found.where(F.col("length") <= most) if most else found
+    return found.select("path", "length", "content")
+
+
+def digests(found: DataFrame) -> DataFrame:
+    """(path, length, file_hash): SHA-256 of each file's bytes."""
+    return found.select("path", "length", F.sha2("content", 256).alias("file_hash"))
 
 
 def _paragraph(p: ElementTree.Element) -> tuple[str, float, bool, str]:
@@ -37,6 +45,16 @@ def _paragraph(p: ElementTree.Element) -> tuple[str, float, bool, str]:
     return text, max(sizes, default=0.0), bold, style
 
 
+# Names of title and subtitle styles.
+STYLES = {"title": 1, "标题": 1, "subtitle": 2, "副标题": 2}
+
+
+def style_level(style: str) -> int:
+    """The level in a style's name, 1 to 6: its number, or that of a title; 0 for none."""
+    found = re.search(r"(?i)(?:heading|标题)\s*(\d+)", style) or re.search(r"(\d+)", style)
+    return max(1, min(6, int(found[1]))) if found else STYLES.get(style.strip().lower(), 0)
+
+
 def docx_units(content: bytes) -> list[tuple[str, float, bool, str]]:
     """Paragraphs in order, then table rows with their cells joined by bars; empty cells and units drop out."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -57,13 +75,12 @@ def read_docx(found: DataFrame, units_per_page: int = UNITS_PER_PAGE) -> DataFra
         for frame in frames:
             rows = []
             for path, content in zip(frame["path"], frame["content"], strict=True):
-                try:
+                try:  # a file that can't be read has no blocks
                     units = docx_units(content)
                 except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
                     continue
                 for i, (text, size, bold, style) in enumerate(units):
-                    level = re.search(r"\d", style)
-                    n = min(int(level[0]), 6) if level else 0
+                    n = style_level(style)
                     rows.append((path, i, text, i // units_per_page + 1, "heading" if n else "body", n, size, bold, 0.5))
             yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in BLOCK.split(", ")])
 
@@ -128,14 +145,15 @@ def pairs_of(answers: DataFrame, content: str = "content", last: str = "last_ind
 
 
 def to_source(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Pairs with the hash of their source passage; an index that is out of range means the batch's first one."""
+    """Pairs with the columns of their source passage; an index that is out of range means the batch's first one."""
     n = chunks.groupBy("batch_id").agg(F.count("*").alias("__n"))
     own = pairs.join(n, "batch_id").withColumn("pos", F.when(F.col("source_index").between(0, F.col("__n") - 1), F.col("source_index")).otherwise(0))
-    return own.join(chunks.select("batch_id", "pos", "content_hash", "page_start", "page_end"), ["batch_id", "pos"]).drop("__n")
+    return own.join(chunks, ["batch_id", "pos"]).drop("__n", "pos")
 
 
-def generate(chunks: DataFrame, model: Callable[[list[str]], str], per_batch: int = 3) -> DataFrame:
-    """(batch_id, content, last_index): a model's answers to batches of passages; one that fails answers nothing."""
+def generate_batches(rows: DataFrame, model: Callable[[list[str]], str]) -> DataFrame:
+    """(batch_id, content, last_index): a model's answer to each batch of passages (batch_id, pos, text); one that fails
+    answers nothing."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("pos")
@@ -143,14 +161,19 @@ def generate(chunks: DataFrame, model: Callable[[list[str]], str], per_batch: in
             content = model(group["text"].tolist())
         except Exception:  # noqa: BLE001  an answer that is missing leaves the batch without pairs
             content = "[]"
-        return pd.DataFrame([(int(group["batch_id"].iloc[0]), content, len(group) - 1)], columns=["batch_id", "content", "last_index"])
+        return pd.DataFrame([(group["batch_id"].iloc[0], content, len(group) - 1)], columns=["batch_id", "content", "last_index"])
+
+    return rows.select("batch_id", "pos", "text").groupBy("batch_id").applyInPandas(run, f"batch_id {dict(rows.dtypes)['batch_id']}, content string, last_index int")
 
-    rows = chunks.withColumn("pos", (F.col("chunk_index") % per_batch).cast("int")).withColumn("batch_id", F.floor(F.col("chunk_index") / per_batch).cast("int"))
-    return rows.groupBy("batch_id").applyInPandas(run, "batch_id int, content string, last_index int")
+
+def generate(chunks: DataFrame, model: Callable[[list[str]], str], per_batch: int = 3) -> DataFrame:
+    """The same over one document's passages by chunk_index."""
+    return generate_batches(chunks.withColumn("pos", (F.col("chunk_index") % per_batch).cast("int")).withColumn("batch_id", F.floor(F.col("chunk_index") / per_batch).cast("int")), model)
 
 
-def embed(rows: DataFrame, model: Callable[[list[str]], list[list[float]]], text: Column, size: int = 32, most: int = 480) -> DataFrame:
-    """`embedding` by a model, in batches; texts are cut to what the model reads."""
+def embed(rows: DataFrame, model: Callable[[list[str]], list[list[float]]], text: Column, size: int = 32, most: int = 480, dimension: int | None = None) -> DataFrame:
+    """`embedding` by a model, in batches; texts are cut to what the model reads.  A wrong number of vectors, or of
+    their elements where a dimension is given, is an error."""
 
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
@@ -158,6 +181,8 @@ def embed(rows: DataFrame, model: Callable[[list[str]], list[list[float]]], text
         found = [v for i in range(0, len(own), size) for v in model(own[i : i + size])]
         if len(found) != len(own):
             raise ValueError(f"{len(found)} vectors for {len(own)} texts")
+        if dimension and any(len(v) != dimension for v in found):
+            raise ValueError(f"a vector has not {dimension} elements")
         return pd.Series(found)
 
     return rows.withColumn("embedding", run(F.substring(text, 1, most)))

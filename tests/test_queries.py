@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from lodestar.plans import relational, texts, vectors  # noqa: F401
+from lodestar.plans import lifecycle, relational, texts, vectors  # noqa: F401
 from lodestar.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
