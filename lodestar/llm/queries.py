@@ -26,7 +26,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    return remove_repeats(table(spark, sf_dir, "documents"), with_text=True).drop("kept", "spans")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -389,7 +389,8 @@ def covered_stretches(docs: DataFrame, size: int = SIZE, k: int = K) -> DataFram
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, k: int = K, with_text: bool = False) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (binary) and spans (byte offsets)."""
+    """id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (binary), text (the same as a string, with
+    U+FFFD where a cut parts a character) and spans (byte offsets)."""
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     own = own.select("id", "text", F.xxhash64("id", "text").alias("uid"))
     gone = covered_stretches(own.select("uid", "text"), size, k)
@@ -398,7 +399,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_array(batch, "text")
-            out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans")}
+            out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "text", "spans")}
             for text, rows in zip(texts, batch.column(2), strict=True):
                 data = text.as_buffer().to_pybytes()
                 kept, spans = data, []
@@ -413,13 +414,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                 if with_text:
                     out["kept"].append(kept)
+                    out["text"].append(kept.decode("utf-8", "replace"))
                     out["spans"].append(spans)
             cols = {id_col: batch.column(0)} | {c: pa.array(out[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")} | {"kept_sha256": pa.array(out["kept_sha256"], pa.string())}
             if with_text:
-                cols |= {"kept": pa.array(out["kept"], pa.binary()), "spans": pa.array(out["spans"], pa.list_(pa.int64()))}
+                cols |= {"kept": pa.array(out["kept"], pa.binary()), "text": pa.array(out["text"], pa.string()), "spans": pa.array(out["spans"], pa.list_(pa.int64()))}
             yield pa.RecordBatch.from_pydict(cols)
         give_back()
 
     met = own.join(_maybe_broadcast(gone), "uid", "left").select("id", "text", "rows")
-    schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<long>" * with_text
+    schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, text string, spans array<long>" * with_text
     return met.mapInArrow(cut, schema)
