@@ -10,7 +10,7 @@ the threshold.  Every link between different sets is found:
    n - ceil(t n) + 1 (prefix filter).  Prefixes meet by shingle, as packed arrays; the sets that share one are cut
    into size bands, and a tile holds two neighbouring bands.
 3. min-hash stars and small tiles give first pairs.  A pair is checked by bitmap first: each set has a parity bitmap
-   of about 4 bits an element, and the differing bits bound the overlap from above; what passes is intersected exactly.
+   of 8 bits or more an element, and the differing bits bound the overlap from above; what passes is intersected exactly.
 4. Tiles whose members aren't yet connected are compared with bitmaps, only across components and in blocks.  A block
    gives a forest of the pairs that bitmaps allow, which is checked exactly.  Tiles of which a pair fails are compared
    again without the failed pairs, with four times as many forests each round, until all of a tile's forest links.
@@ -250,8 +250,9 @@ def _meet(held: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
 
 
 def _bits(size: int) -> int:
-    """Bits of a set's bitmap: a power of two, about 4 for each element."""
-    return max(64, 1 << int(4 * size - 1).bit_length())
+    """Bits of a set's bitmap: a power of two, 8 to 16 for each element, so that few cells are hit twice; in small sets,
+    where chance weighs more, up to 1024."""
+    return max(1024, 1 << int(8 * size - 1).bit_length())
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -371,7 +372,7 @@ def _blocks(members: DataFrame) -> DataFrame:
 
 def forest(fp: np.ndarray, comp: np.ndarray, block: np.ndarray, size: np.ndarray, maps: list[np.ndarray], failed: list[set[int]], percent: int, width: int) -> list[tuple[int, int]]:
     """Pairs across components that bitmaps don't rule out: of each two components that meet, the `width` closest of
-    a member, which are then taken as one.  If all of these pairs link, every pair that bitmaps allow is connected;
+    a member; the two then count as one.  If all of these pairs link, every pair that bitmaps allow is connected;
     there are at most `width` times as many as members.  Pairs in `failed` are known not to link."""
     order = np.lexsort((fp, size))
     fp, block, size = fp[order], block[order], size[order]
@@ -386,34 +387,36 @@ def forest(fp: np.ndarray, comp: np.ndarray, block: np.ndarray, size: np.ndarray
     two = len(np.unique(block)) > 1
     out = []
     highest = np.searchsorted(size, size * 100 // percent, "right")
-    for x in range(len(fp) - 1):
-        hi = int(highest[x])
-        y = x + 1 + np.flatnonzero((label[x + 1 : hi] != label[x]) & (block[x + 1 : hi] != block[x] if two else True))
-        if not len(y):
-            continue
-        mine, gap = maps[x], np.empty(len(y), np.int64)
-        for w in np.unique(words[y]).tolist():
-            if w == len(mine):
-                theirs = table[w]
-            else:
-                theirs = folded.get((w, len(mine)))
-                if theirs is None:
-                    theirs = np.bitwise_xor.reduce(table[w].reshape(len(table[w]), -1, len(mine)), 1)
-                    folded[w, len(mine)] = theirs
-            at = words[y] == w
-            gap[at] = np.bitwise_count(theirs[y[at] - span[w][0]] ^ mine).sum(1)
-        ok = (100 + percent) * gap <= (100 - percent) * (size[y] + size[x])
-        if failed[x]:
-            ok &= np.array([int(f) not in failed[x] for f in fp[y]], bool)
-        y, gap = y[ok], gap[ok]
-        if not len(y):
-            continue
-        near = np.lexsort((gap, label[y]))
-        y = y[near]
-        met = label[y]
-        place = np.arange(len(y)) - np.searchsorted(met, met)
-        out += [(int(fp[x]), int(fp[t])) for t in y[place < width]]
-        label[np.isin(label, np.append(met, label[x]))] = label[x]
+    # pairs well within the bound go first; those near it are only needed where these leave components apart
+    for share in (0.9, 1.0):
+        for x in range(len(fp) - 1):
+            hi = int(highest[x])
+            y = x + 1 + np.flatnonzero((label[x + 1 : hi] != label[x]) & (block[x + 1 : hi] != block[x] if two else True))
+            if not len(y):
+                continue
+            mine, gap = maps[x], np.empty(len(y), np.int64)
+            for w in np.unique(words[y]).tolist():
+                if w == len(mine):
+                    theirs = table[w]
+                else:
+                    theirs = folded.get((w, len(mine)))
+                    if theirs is None:
+                        theirs = np.bitwise_xor.reduce(table[w].reshape(len(table[w]), -1, len(mine)), 1)
+                        folded[w, len(mine)] = theirs
+                at = words[y] == w
+                gap[at] = np.bitwise_count(theirs[y[at] - span[w][0]] ^ mine).sum(1)
+            ok = (100 + percent) * gap <= share * (100 - percent) * (size[y] + size[x])
+            if failed[x]:
+                ok &= np.array([int(f) not in failed[x] for f in fp[y]], bool)
+            y, gap = y[ok], gap[ok]
+            if not len(y):
+                continue
+            near = np.lexsort((gap, label[y]))
+            y = y[near]
+            met = label[y]
+            place = np.arange(len(y)) - np.searchsorted(met, met)
+            out += [(int(fp[x]), int(fp[t])) for t in y[place < width]]
+            label[np.isin(label, np.append(met, label[x]))] = label[x]
     return out
 
 
