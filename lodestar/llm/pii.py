@@ -5,10 +5,10 @@ The field's nodes are the base spans, which are observed, and all other tokens w
 has label scores from its shape; neighbours in the text share a transition potential; equal tokens, however far
 apart, and similar ones (one digit apart, or the local part of an address) share a potential that rewards one label.
 Loopy sum-product messages pass until they settle (a bound that grows with the nodes guards against fields that swing),
-and a token whose label is sure enough becomes an added span.
+and a token whose label is sure enough, and that is tied to a base span, becomes an added span.
 
-The scores are trained here: `train` counts shapes, transitions and agreements over all documents (a table of fixed
-size) with base spans as labels.
+The potentials are fitted here: `train` counts the contexts of nodes over all documents (label, shapes, neighbours,
+ties: a table of bounded size) with base spans as labels, and `fit` finds the potentials of most pseudo-likelihood.
 
 Defined results: null and empty texts have no spans; equal texts get equal spans, so ties and repeated rows are
 harmless; a null id is kept; without documents the potentials are flat and nothing is added; extra columns are ignored.
@@ -204,58 +204,123 @@ class Field:
         return p / p.sum(1, keepdims=True)
 
 
-def count_text(text: str, counts: Counter) -> None:
+#: Ties to base spans beyond so many count as so many, in the fit alone; messages use all.
+TIES = 3
+#: The Gaussian that holds the fitted potentials: near 0, those of equal and similar tokens near these means.
+VARIANCE = 25.0
+MEANS = (8.0, 7.0)
+
+
+def contexts(text: str) -> Iterator[tuple]:
+    """What the fit needs of each node: label, neighbours' labels (-1: none), ties to base spans by label, shapes.
+
+    A node without a label that is tied to a base span may be what base patterns miss: it teaches nothing and is left out."""
     base = base_spans(text)
     if not base and not DIGIT.search(text) and "@" not in text:
         return
     found = nodes(text, base)
-    for n in found:
-        counts["label", n.label] += 1
-        for s in shape(n.text):
-            counts["shape", s, n.label] += 1
+    tied = [[[0] * NONE, [0] * NONE] for _ in found]
     for a, b, kind in edges(found):
-        if kind == 0:
-            counts["next", found[a].label, found[b].label] += 1
-        elif NONE not in (found[a].label, found[b].label):  # what base patterns don't know says nothing here
-            counts["tie", kind, found[a].label == found[b].label] += 1
+        for i, j in ((a, b), (b, a)):
+            if kind and found[j].label != NONE:
+                own = tied[i][kind - 1]
+                own[found[j].label] = min(own[found[j].label] + 1, TIES)
+    for i, n in enumerate(found):
+        if n.label == NONE and any(map(any, tied[i])):
+            continue
+        left = found[i - 1].label if i else -1
+        right = found[i + 1].label if i + 1 < len(found) else -1
+        yield n.label, left, right, tuple(tied[i][0]), tuple(tied[i][1]), tuple(shape(n.text))
 
 
-def build(counts: Counter) -> Field:
-    k = len(LABELS)
-    label = np.array([counts["label", i] for i in range(k)], float) + 1
-    names = {x[1] for x in counts if x[0] == "shape"}
-    shapes = {s: np.log((np.array([counts["shape", s, i] for i in range(k)]) + 0.5) / (label + 1)) for s in names}
-    pair = np.array([[counts["next", i, j] for j in range(k)] for i in range(k)], float) + 1
-    nxt = np.log(pair / pair.sum(1, keepdims=True) / (label / label.sum()))
+def fit(counts: dict[tuple, int], steps: int = 400) -> Field:
+    """The potentials of most pseudo-likelihood: of each node's label given its shapes, its neighbours and its ties.
 
-    def tie(kind: int, most: float) -> float:
-        yes, no = counts["tie", kind, True], counts["tie", kind, False]
-        return float(np.clip(np.log((yes + 1) / (no + 1) * (k - 1)), 0, most))
-
-    return Field(np.log(label / label.sum()), shapes, 0.5 * nxt, tie(1, 8.0), tie(2, 6.0))
+    Each node counts twice: by its shapes and neighbours, and, with a prior of its own, by its ties alone, as base spans
+    are known by their shapes already: so ties get the weight that they have where a shape says nothing.  Gradient ascent with adaptive steps; the
+    likelihood is concave."""
+    k = len(LABELS)
+    rows = list(counts)
+    names = sorted({s for r in rows for s in r[5]})
+    place = {s: i for i, s in enumerate(names)}
+    if not rows:
+        return Field(np.zeros(k), {}, np.zeros((k, k)), *MEANS)
+    y, left, right = (np.array([r[i] for r in rows]) for i in range(3))
+    weight = np.array(list(counts.values()), float)
+    weight /= weight.sum()
+    equal, similar = (np.pad(np.array([r[i] for r in rows], float), ((0, 0), (0, 1))) for i in (3, 4))
+    own = np.array([[place[s] for s in r[5]] for r in rows])
+    target = np.eye(k)[y]
+    at = {"prior": np.zeros(k), "untied": np.zeros(k), "shapes": np.zeros((len(names), k)), "next": np.zeros((k + 1, k + 1)), "tie": np.array(MEANS)}
+    square = {n: np.zeros_like(v) for n, v in at.items()}
+    pull = 1.0 / (VARIANCE * max(1.0, float(sum(counts.values()))))
+
+    def gap(scores: np.ndarray) -> np.ndarray:
+        p = np.exp(scores - scores.max(1, keepdims=True))
+        return (target - p / p.sum(1, keepdims=True)) * weight[:, None]
+
+    for step in range(steps):
+        a = gap(at["prior"] + at["shapes"][own].sum(1) + at["next"][left, :k] + at["next"][:k, right].T)
+        b = gap(at["untied"] + at["tie"][0] * equal + at["tie"][1] * similar)
+        up = {n: -pull * (v - MEANS if n == "tie" else v) for n, v in at.items()}
+        up["prior"] = up["prior"] + a.sum(0)
+        up["untied"] = up["untied"] + b.sum(0)
+        up["tie"] = up["tie"] + np.array([(b * equal).sum(), (b * similar).sum()])
+        for j in range(own.shape[1]):
+            np.add.at(up["shapes"], own[:, j], a)
+        np.add.at(up["next"], left, np.pad(a, ((0, 0), (0, 1))))
+        np.add.at(up["next"].T, right, np.pad(a, ((0, 0), (0, 1))))
+        up["next"][k] = up["next"][:, k] = 0.0
+        for n in at:
+            square[n] = 0.95 * square[n] + 0.05 * up[n] ** 2
+            at[n] = at[n] + 0.1 * (1 - step / steps) * up[n] / (np.sqrt(square[n]) + 1e-9)
+    return Field(at["prior"], {s: at["shapes"][i] for s, i in place.items()}, at["next"][:k, :k], float(max(at["tie"][0], 0.0)), float(max(at["tie"][1], 0.0)))
 
 
 def train(docs: DataFrame, text_col: str = "text") -> Field:
-    """Counts of each task, of fixed size, are added up; no text leaves its task."""
+    """Counts of the contexts of all documents, of bounded kinds, are added up; no text leaves its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 for text in text_array(batch.slice(at, 1024), text_col).to_pylist():
-                    count_text(text, counts)
+                    counts.update(contexts(text))
         yield pa.RecordBatch.from_pydict({"key": pa.array([json.dumps(x) for x in counts], pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
 
     rows = docs.select(F.col(text_col)).mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
-    return build(Counter({tuple(json.loads(r[0])): r[1] for r in rows}))
+
+    def key(x: str) -> tuple:
+        return tuple(tuple(v) if isinstance(v, list) else v for v in json.loads(x))
+
+    return fit(dict(sorted((key(r[0]), r[1]) for r in rows)))
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], field: Field, sure: float = 0.9) -> list[tuple[int, int, int]]:
     found = nodes(text, base)
     if all(n.label != NONE for n in found):
         return []
-    p = field.marginals(found, edges(found))
-    return [(int(p[i, :NONE].argmax()), n.start, n.end) for i, n in enumerate(found) if n.label == NONE and p[i, :NONE].max() >= sure]
+    ties = edges(found)
+    p = field.marginals(found, ties)
+    seen = _evidence(found, ties)
+    return [(int(p[i, :NONE].argmax()), n.start, n.end) for i, n in enumerate(found) if seen[i] and n.label == NONE and p[i, :NONE].max() >= sure]
+
+
+def _evidence(found: list[Node], ties: list[tuple[int, int, int]]) -> list[bool]:
+    """Which nodes are tied to a base span, through others or by themselves: shapes alone add nothing."""
+    up = list(range(len(found)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for a, b, kind in ties:
+        if kind:
+            up[root(a)] = root(b)
+    told = {root(i) for i, n in enumerate(found) if n.label != NONE}
+    return [root(i) in told for i in range(len(found))]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

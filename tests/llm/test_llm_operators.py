@@ -105,28 +105,90 @@ def test_pii_patterns_at_random():
 
 def test_pii_field_reaches_a_distant_repeat():
     card = "4111111111111111"
-    texts = [f"pay {card} now\nthen {card} again {i}" for i in range(50)]
     counts = Counter()
-    for t in texts:
-        pii.count_text(t, counts)
+    for i in range(50):
+        counts.update(pii.contexts(f"pay {card} now\nthen {card} again {i}"))
+    field = pii.fit(counts)
     text = f"pay {card} now. " + "filler words here " * 200 + f"list {card} 4012888888881881 end"
     base = pii.base_spans(text)
-    added = pii.added_spans(text, base, pii.build(counts))
+    added = pii.added_spans(text, base, field)
     assert any(text[a:b] == card and k == 2 for k, a, b in added)
-    assert not pii.added_spans("nothing but 12 words", [], pii.build(counts))
+    assert not pii.added_spans("nothing but 12 words", [], field)
 
 
 def test_pii_field_reaches_all_repeats():
     card, other = "4111111111111111", "4012888888881881"
     counts = Counter()
     for i in range(50):
-        pii.count_text(f"pay {card} now\nthen {card} again {i}", counts)
+        counts.update(pii.contexts(f"pay {card} now\nthen {card} again {i}"))
     text = f"pay {card} now. " + "filler words here " * 20 + "".join(f"list {card} {other} end {card}{other[:4]} " for _ in range(40))
     base = pii.base_spans(text)
-    added = pii.added_spans(text, base, pii.build(counts))
+    added = pii.added_spans(text, base, pii.fit(counts))
     assert sum(text[a:b] == card and k == 2 for k, a, b in added) == 40
 
 
+def enumerated(field, found, ties):
+    """Marginals by all labellings of a small graph."""
+    k, own = len(pii.LABELS), [field.scores(n) for n in found]
+    total = np.zeros((len(found), k))
+    for labels in np.ndindex(*[k] * len(found)):
+        score = sum(own[i][y] for i, y in enumerate(labels))
+        for a, b, kind in ties:
+            score += field.next[labels[a], labels[b]] if kind == 0 else (field.equal, field.similar)[kind - 1] * (labels[a] == labels[b])
+        total[range(len(found)), list(labels)] += np.exp(score)
+    return total / total.sum(1, keepdims=True)
+
+
+def test_pii_messages_against_enumeration():
+    rng = np.random.default_rng(12)
+    names = ["12", "4111111111111111", "a1@b", "10.0.0.1x", "+4912"]
+    for loops in (False, True):
+        gaps = []
+        for _ in range(12):
+            k = len(pii.LABELS)
+            field = pii.Field(rng.normal(size=k), {s: rng.normal(size=k) * 0.3 for n in names for s in pii.shape(n)}, rng.normal(size=(k, k)) * 0.5, 1.5, 0.8)
+            found = [pii.Node(pii.NONE, i, i, str(rng.choice(names))) for i in range(5)]
+            ties = [(i - 1, i, 0) for i in range(1, 5)] + ([(0, 3, 1), (1, 4, 2)] if loops else [])
+            gaps.append(np.abs(field.marginals(found, ties) - enumerated(field, found, ties)).max())
+        assert max(gaps) < 1e-2 if not loops else np.median(gaps) < 0.08  # exact on chains, near on loops
+
+
+def planted(rng, n):
+    """Texts with base spans, variants of some of them that base patterns miss, and other tokens with digits."""
+    digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+    made = []
+    for _ in range(n):
+        card = next(c for c in iter(lambda: "4" + digits(15), None) if pii.luhn(c))
+        at = int(rng.integers(1, 16))
+        phone, local = "+" + digits(11), "".join(rng.choice(list("abcdefgh"), 7))
+        items = [(card, None), (phone, None), (f"{local}@mail.org", None), (digits(int(rng.integers(1, 9))), None), (digits(16), None), (digits(11), None)]
+        more = [(card[:at] + str((int(card[at]) + 3) % 10) + card[at + 1 :], 2), (phone[1:], 3), (f"{local}@mail", 0)]
+        items += [m for m in more if rng.random() < 0.6]
+        text, want = "", set()
+        for i in rng.permutation(len(items)):
+            text += " ".join(rng.choice(["tea", "of", "stone"], 8)) + " "
+            if items[i][1] is not None:
+                want.add((items[i][1], len(text), len(text) + len(items[i][0])))
+            text += items[i][0] + " "
+        made.append((text, want))
+    return made
+
+
+def test_pii_added_spans_on_planted_variants():
+    made = planted(np.random.default_rng(3), 300)
+    counts = Counter()
+    for text, _ in made:
+        counts.update(pii.contexts(text))
+    field = pii.fit(counts)
+    hit = false = missed = 0
+    for text, want in made:
+        base = pii.base_spans(text)
+        want = {w for w in want if not any(a < w[2] and b > w[1] for _, a, b in base)}
+        got = set(pii.added_spans(text, base, field))
+        hit, false, missed = hit + len(got & want), false + len(got - want), missed + len(want - got)
+    assert hit / (hit + false) >= 0.97 and hit / (hit + missed) >= 0.6
+
+
 # 3
 
 
@@ -202,6 +264,46 @@ def test_toxicity(spark, docs, none):
     assert toxicity.toxicity(none, labels).count() == 0
 
 
+def plain_hits(lexicon, text):
+    """Weight, hits and words by looking for every entry at every place."""
+    t = toxicity.fold(text)
+
+    def starts(key):
+        return [i for i in range(len(t)) if t.startswith(key, i) and not (i and t[i - 1].isalnum())]
+
+    def closed(i, key):
+        return i + len(key) >= len(t) or not t[i + len(key)].isalnum()
+
+    best = {}
+    for entry, weight in lexicon.weights.items():
+        key = entry.rstrip("$")
+        for i in starts(key):
+            whole = lexicon.weights.get(f"{key}$", 0.0) if closed(i, key) else 0.0
+            own = whole or lexicon.weights.get(key, 0.0)
+            if own > best.get(i, 0.0):
+                best[i] = own
+    for phrase in map(toxicity.fold, lexicon.exceptions):
+        for i in starts(phrase):
+            if closed(i, phrase):
+                best = {k: v for k, v in best.items() if not i <= k < i + len(phrase)}
+    return sum(best.values()), len(best), len(t.split())
+
+
+def test_toxicity_equals_a_plain_scorer():
+    lexicon = toxicity.Lexicon({"idio": 2.0, "idiot$": 3.5, "scum": 1.5, "sc$": 0.5, "moron$": 2.5}, curve=(-1.0, 0.7, 0.9, 0.4), mean=(0.2, 0.3, 0.1), spread=(1.0, 2.0, 0.5))
+    matcher = toxicity.Matcher(lexicon)
+    rng = np.random.default_rng(14)
+    bits = ["idiot", "1d1ot", "іdіоt", "idiotic", "pond scum", "scum", "scummy", "xscum", "sc", "MORON", "m0r0n!", "ＩＤＩＯＴ", "tea", "trash can", "-", "é"]
+    for _ in range(300):
+        text = " ".join(rng.choice(bits, int(rng.integers(0, 12))))
+        weight, hits, words = plain_hits(lexicon, text)
+        want = (np.log1p(weight), np.log1p(100 * weight / (words + 20)), np.log1p(hits))
+        assert np.allclose(matcher.features(text), want), text
+        z = [(x - m) / d for x, m, d in zip(want, lexicon.mean, lexicon.spread, strict=True)]
+        score = 1 / (1 + np.exp(-(lexicon.curve[0] + sum(c * x for c, x in zip(lexicon.curve[1:], z, strict=True)))))
+        assert np.isclose(matcher.score(np.array([want]))[0], score)
+
+
 # 5
 
 
@@ -419,6 +521,20 @@ def test_forest_finds_anomalies():
     rng = np.random.default_rng(8)
     good, bad = rng.uniform(0, 0.1, (500, 5)), rng.uniform(0, 0.1, (60, 5))
     bad[:, 2] = rng.uniform(0.6, 1, 60)
+    grown = quality.grow(good)
+
+    def path(tree, x):
+        node, steps = 0, 0
+        while grown.feature[tree][node] >= 0:
+            node = grown.left[tree][node] + int(x[grown.feature[tree][node]] >= grown.value[tree][node])
+            steps += 1
+        rest = grown.length[tree][node] - steps  # a leaf of several points stands for the mean path among them
+        assert rest == 0 or rest >= 1 and steps == grown.depth
+        return steps + rest
+
+    for x in [*good[:20], *bad[:20]]:
+        mean = sum(path(t, x) for t in range(len(grown.feature))) / len(grown.feature)
+        assert np.isclose(grown.score(x[None])[0], 2.0 ** (-mean / grown.norm))
     forest = quality.calibrate(quality.grow(good), np.vstack([good, bad]), np.r_[np.ones(500, bool), np.zeros(60, bool)])
     assert (forest.score(bad) >= forest.cut).mean() > 0.95 and (forest.score(good) >= forest.cut).mean() < 0.03
 
