@@ -15,7 +15,9 @@ The windows of one anchor lie side by side and span its segment.
    suffix, extended to the left as well, give long matches; then levels of equal size merge, geometrically
    (`SuffixLevels`).  What neighbours alone can't decide, in classes of three or more, is settled exactly by
    fingerprints of windows.
-4. Covered stretches meet their documents and are cut out.
+4. `_hot_windows`, `_hot_settle`: an anchor string with more than HOT different surroundings would make one task large,
+   so the fingerprints of its windows are dealt over all tasks, repeated ones reduced before.
+5. Covered stretches meet their documents and are cut out.
 
 Fingerprints have 64 bits each and are only compared below an equal anchor string's fingerprint.
 
@@ -26,8 +28,8 @@ their own and lose what they share; a null id is kept; extra columns are ignored
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import give_back, materialise, pieces, shuffle_width, text_array
+from .common import discard, give_back, materialise, pieces, shuffle_width, text_array
 
 U = np.uint64
 SIZE = 400
 K = 32
+#: Members of an anchor string's class beyond which its windows are spread over all tasks instead.
+HOT = 1000
 #: Lists of stretches, one row for each document that has any, are broadcast up to so many bytes and joined by a shuffle beyond.
 BROADCAST_BYTES = 24 << 20
 BROADCAST_ROWS = 300_000
@@ -47,6 +51,7 @@ BROADCAST_ROWS = 300_000
 ANCHOR = np.dtype([("kmer", "<u8"), ("seg", "<u8"), ("uid", "<u8"), ("lo", "<u4"), ("span", "<u2"), ("at", "<u2")])
 WANT = np.dtype([("kmer", "<u8"), ("lo", "<u4"), ("span", "<u2"), ("at", "<u2")])
 STRETCH = np.dtype([("lo", "<u4"), ("hi", "<u4")])
+WINDOW = np.dtype([("hash", "<u8"), ("uid", "<u8"), ("lo", "<u4"), ("known", "u1")])
 #: Set in `span` where the anchor's own segment is settled already.
 KNOWN = 1 << 15
 
@@ -159,8 +164,8 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
         yield held
 
 
-def _settle(found: DataFrame, size: int) -> DataFrame:
-    """Kind 1: stretches of equal segments; kind 2: segments whose bytes are needed."""
+def _settle(found: DataFrame, size: int, hot: int) -> DataFrame:
+    """Kind 1: stretches of equal segments; kind 2: segments whose bytes are needed; kind 3: those of hot classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _by_bucket(batches):
@@ -174,16 +179,19 @@ def _settle(found: DataFrame, size: int) -> DataFrame:
             yield from _stretches(e[twice & ~known], size)
             alone = ~twice & ~known
             kinds = np.bincount(cls[head], minlength=cls[-1] + 1)
-            open_class = np.bincount(cls, weights=alone, minlength=len(kinds)) > 0
-            need = e[head & ((kinds > 1) & open_class)[cls]]
+            open_class = (kinds > 1) & (np.bincount(cls, weights=alone, minlength=len(kinds)) > 0)
+            chosen = np.flatnonzero(head & open_class[cls])
+            need = e[chosen]
             want = np.empty(len(need), WANT)
             for name in WANT.names:
                 want[name] = need[name]
             # the flag now says that the segment is settled and only serves as a partner
-            want["span"] = np.where((twice | known)[head & ((kinds > 1) & open_class)[cls]], want["span"] | KNOWN, want["span"])
-            yield from _found(2, list(_packed(need["uid"], want)))
+            want["span"] = np.where((twice | known)[chosen], want["span"] | KNOWN, want["span"])
+            many = (kinds > hot)[cls[chosen]]
+            for kind, part in ((2, ~many), (3, many)):
+                yield from _found(kind, list(_packed(need["uid"][part], want[part])))
 
-    return found.where("kind = 0").select("bucket", "rows").mapInArrow(run, FOUND)
+    return found.select("bucket", "rows").mapInArrow(run, FOUND)
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -196,9 +204,9 @@ def _common(a: bytes, b: bytes) -> int:
 class SuffixLevels:
     """A logarithmic family of sparse suffix arrays.
 
-    A level is a sorted list of (suffix, member).  `add` sorts a batch's suffixes, scans them against their neighbours
-    in the batch and in each level, calls match(member, member, left, right) where the two extend to `size` bytes in
-    all, and merges levels of equal size."""
+    A level is a sorted list of (suffix, member).  `add` sorts a batch's suffixes and merge-scans them with each level:
+    where neighbours of the merged list extend to `size` bytes in all, it calls match(member, member, left, right).
+    Then levels of equal size merge."""
 
     def __init__(self, lefts: list[bytes], size: int, match) -> None:
         self.lefts, self.size, self.match, self.levels = lefts, size, match, []
@@ -210,21 +218,23 @@ class SuffixLevels:
             if left + right >= self.size:
                 self.match(a[1], b[1], left, right)
 
+    def _scan(self, suffixes: list[tuple[bytes, int]], first: int) -> None:
+        """Neighbours of which one at least is new and, where `first` is given, one is not."""
+        for a, b in zip(suffixes[:-1], suffixes[1:], strict=True):
+            if (a[1] < first) != (b[1] < first) or not first:
+                self._pair(a, b)
+
     def add(self, batch: list[tuple[bytes, int]]) -> None:
+        """Members are numbered upwards from batch to batch."""
         batch = sorted(batch)
-        for a, b in zip(batch[:-1], batch[1:], strict=True):
-            self._pair(a, b)
+        first = min((m for _, m in batch), default=0)
+        self._scan(batch, 0)
         for level in self.levels:
-            for item in batch:
-                at = bisect_left(level, item)
-                if at:
-                    self._pair(level[at - 1], item)
-                if at < len(level):
-                    self._pair(item, level[at])
+            self._scan(sorted(level + batch), first)  # two sorted runs: one linear merge
         self.levels.append(batch)
         while len(self.levels) > 1 and len(self.levels[-1]) * 2 > len(self.levels[-2]):
             last = self.levels.pop()
-            self.levels[-1] = sorted(self.levels[-1] + last)  # two sorted runs: one linear merge
+            self.levels[-1] = sorted(self.levels[-1] + last)
 
 
 def _segments(docs: DataFrame, want: DataFrame, buckets: int, size: int) -> DataFrame:
@@ -349,6 +359,68 @@ def _match_exact(m, raw, starts, span, size, covered) -> None:
         i = j
 
 
+def _hot_windows(docs: DataFrame, want: DataFrame, buckets: int, size: int) -> DataFrame:
+    """Kind 4: fingerprints of all windows of the wanted segments, by bucket of the fingerprint; kind 1: stretches of
+    those that repeat inside a task, of which only one travels on.  So a class of any size is spread over all tasks."""
+
+    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        w = np.concatenate(held)
+        w = w[np.argsort(w["hash"], kind="stable")]
+        head = np.r_[True, w["hash"][1:] != w["hash"][:-1]]
+        group = np.cumsum(head) - 1
+        twice = np.bincount(group)[group] > 1
+        yield from _window_stretches(w[twice & (w["known"] == 0)], size)
+        w["known"][twice] = 1
+        w = w[head]
+        yield from _found(4, list(_packed(w["hash"] % U(buckets), w)), True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            texts = text_array(batch, "text")
+            uids = batch.column(0).to_numpy(zero_copy_only=False).view(U)
+            for i, packed in enumerate(batch.column(2)):
+                raw = np.frombuffer(texts[i].as_buffer().to_pybytes(), np.uint8)
+                for x in np.frombuffer(packed.as_buffer(), WANT):
+                    lo, n = int(x["lo"]), (int(x["span"]) & (KNOWN - 1)) + 1
+                    w = np.empty(n, WINDOW)
+                    at = np.arange(n)
+                    with np.errstate(over="ignore"):
+                        w["hash"] = tv.mix(tv.mix(tv.stretch_hash(tv.prefix_sums(raw[lo : lo + n - 1 + size]), at, at + size)) + x["kmer"])
+                    w["uid"], w["lo"], w["known"] = uids[i], lo + at, int(x["span"]) >= KNOWN
+                    held.append(w)
+                    rows += n
+                if rows > 500_000:
+                    yield from flush(held)
+                    held, rows = [], 0
+        if held:
+            yield from flush(held)
+        held = []
+        give_back()
+
+    return docs.join(want, "uid").select("uid", "text", "rows").mapInArrow(run, FOUND)
+
+
+def _window_stretches(w: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
+    s = np.empty(len(w), STRETCH)
+    s["lo"], s["hi"] = w["lo"], w["lo"] + size
+    yield from _found(1, list(_packed(w["uid"], s)))
+
+
+def _hot_settle(windows: DataFrame, size: int) -> DataFrame:
+    """Kind 1: stretches of windows whose fingerprint occurs again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _by_bucket(batches):
+            w = np.frombuffer(b"".join(held), WINDOW)
+            w = w[np.argsort(w["hash"], kind="stable")]
+            group = np.cumsum(np.r_[True, w["hash"][1:] != w["hash"][:-1]]) - 1
+            yield from _window_stretches(w[(np.bincount(group)[group] > 1) & (w["known"] == 0)], size)
+        give_back()
+
+    return windows.mapInArrow(run, FOUND)
+
+
 def _gathered(found: DataFrame, merge: bool) -> DataFrame:
     """(uid, rows): what was found for each document as one binary; stretches are merged where they touch."""
 
@@ -375,25 +447,34 @@ def _maybe_broadcast(lists: DataFrame) -> DataFrame:
     return F.broadcast(lists) if n[0] <= BROADCAST_ROWS and (n[1] or 0) <= BROADCAST_BYTES else lists
 
 
-def covered_stretches(docs: DataFrame, size: int = SIZE, k: int = K) -> DataFrame:
+def covered_stretches(docs: DataFrame, size: int = SIZE, k: int = K, hot: int | None = None) -> DataFrame:
     """(uid, rows): packed stretches to remove, for documents (uid, text) that have any."""
     width = shuffle_width(docs.sparkSession)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(width, "bucket").sortWithinPartitions("bucket")
+
     first = materialise(_anchors(docs, 4 * width, size, k), "anchors")
-    buckets = first.where("kind = 0").repartition(width, "bucket").sortWithinPartitions("bucket")
-    second = materialise(_settle(buckets, size), "settled")
+    second = materialise(_settle(dealt(first.where("kind = 0").select("kind", "bucket", "rows")), size, HOT if hot is None else hot), "settled")
     want = materialise(_gathered(second.where("kind = 2").select("uid", "rows"), False), "wanted")
     segments = _segments(docs, _maybe_broadcast(want), 4 * width, size)
-    third = materialise(_match(segments.repartition(width, "bucket").sortWithinPartitions("bucket"), size), "matched")
-    every = first.where("kind = 1").unionByName(second.where("kind = 1")).unionByName(third).select("uid", "rows")
-    return materialise(_gathered(every, True), "stretches")
+    found = [first, second, materialise(_match(dealt(segments), size), "matched")]
+    if not second.where("kind = 3").isEmpty():
+        much = materialise(_gathered(second.where("kind = 3").select("uid", "rows"), False), "wanted")
+        windows = materialise(_hot_windows(docs, _maybe_broadcast(much), 4 * width, size), "windows")
+        found += [windows, materialise(_hot_settle(dealt(windows.where("kind = 4").select("bucket", "rows")), size), "hot")]
+    every = [x.where("kind = 1").select("uid", "rows") for x in found]
+    out = materialise(_gathered(reduce(DataFrame.unionByName, every), True), "stretches")
+    discard(want, *found)
+    return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, k: int = K, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, k: int = K, with_text: bool = False, hot: int | None = None) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (binary), text (the same as a string, with
     U+FFFD where a cut parts a character) and spans (byte offsets)."""
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     own = own.select("id", "text", F.xxhash64("id", "text").alias("uid"))
-    gone = covered_stretches(own.select("uid", "text"), size, k)
+    gone = covered_stretches(own.select("uid", "text"), size, k, hot)
     kind = dict(docs.dtypes)[id_col]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
