@@ -1,5 +1,6 @@
 """The pipeline's rows against plain versions of its stages."""
 
+import hashlib
 import re
 
 import pytest
@@ -56,8 +57,44 @@ def test_registry():
     assert set(oracle_sql()) <= set(names)
 
 
+def write_tables(spark, path, documents, labels=(), benchmark=()):
+    columns = "doc_id long, text string, lang string, source string, n_chars long, size string, fp string, kept boolean, rows binary, id string"
+    spark.createDataFrame([(i, t, "en", "s", len(t or ""), "size", "fp", False, b"r", "id") for i, t in documents], columns).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(list(benchmark), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return path
+
+
 def test_run_equals_its_stages(spark):
-    assert corpus_pipeline.run(spark, SF).count() > 0
+    docs = table(spark, SF, "documents")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.materialise(stage(spark, docs, SF), "t")
+    want = sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"], r["text_md5"]) for r in docs.collect())
+    assert want and sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"], r["text_md5"]) for r in corpus_pipeline.run(spark, SF).collect()) == want
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    own = " ".join(f"word{i} in a text" for i in range(12))
+    other = " ".join(f"other{i} lines stand here" for i in range(12))
+    leaked = "a passage of the benchmark that somebody has copied into a document of the corpus"
+    documents = [(1, own), (1, own), (2, None), (3, ""), (4, " \n "), (5, other), (6, other + " more"), (None, " ".join(f"nobody{i} is here" for i in range(9))), (7, f"{' '.join(f'filler{i} of words' for i in range(9))} {leaked}"), (8, "w" * 200_000 + " " + " ".join(f"long{i} words" for i in range(20)))]
+    path = write_tables(spark, str(tmp_path), documents, [(1, 1, 0), (None, 0, 1), (4, None, None)], [(0, leaked), (1, None), (None, "")])
+    docs = table(spark, path, "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = corpus_pipeline.materialise(stage(spark, docs, path), "t")
+        assert after.columns == docs.columns and all(r["size"] == "size" and r["fp"] == "fp" and r["rows"] == b"r" and r["id"] == "id" for r in after.collect())
+        if name != "quality rules":  # each stage by itself keeps what has no words
+            assert {2, 3, 4} <= {r["doc_id"] for r in stage(spark, table(spark, path, "documents"), path).collect()}
+        docs = after
+    got = corpus_pipeline.run(spark, path).collect()
+    assert sorted((r["doc_id"] for r in got), key=repr) == sorted([1, 1, 5, None, 8], key=repr)
+    texts = {i: t for i, t in documents}
+    assert all(r["text_md5"] == hashlib.md5(texts[r["doc_id"]].encode()).hexdigest() for r in got)
+
+
+def test_empty_tables(spark, tmp_path):
+    path = write_tables(spark, str(tmp_path), [])
+    assert corpus_pipeline.run(spark, path).count() == 0
 
 
 def test_line_dedup_sql(spark):
