@@ -12,9 +12,10 @@ the threshold.  Every link between different sets is found:
 3. min-hash stars and small tiles give first pairs.  A pair is checked by bitmap first: each set has a parity bitmap
    of 8 bits or more an element, and the differing bits bound the overlap from above; what passes is intersected exactly.
 4. Tiles whose members aren't yet connected are compared with bitmaps, only across components and in blocks.  A block
-   gives a forest of the pairs that bitmaps allow, which is checked exactly.  Tiles of which a pair fails are compared
-   again without the failed pairs, with four times as many forests each round, until all of a tile's forest links.
-   So copies in thousands never make all pairs, and no link is lost.
+   gives one pair for each two components with pairs well within the bound, and of the pairs near the bound the closest
+   of each member; all are checked exactly.  Tiles of which pairs were left, or of which a pair of the first kind
+   fails, are compared again without the failed pairs, with ever more pairs for each member, until none is left.  So
+   copies in thousands never make all pairs, and no link is lost.
 
 64-bit hashes stand for shingles; the fingerprint of a set has 128 bits.
 
@@ -44,6 +45,10 @@ STARS = 6
 SMALL = 4
 #: Vertices of a tile are compared in blocks of so many.
 BLOCK = 1024
+#: Pairs whose differing bits are at most this share of what is allowed all but certainly link.
+SURE = 0.9
+#: Pairs nearer the bound that a member gives in the first round; eight times as many in each further one.
+NEAR = 16
 #: Candidate ids are broadcast to the scan up to this number (16 MB of ids) and joined by a shuffle beyond it.
 BROADCAST_IDS = 2_000_000
 
@@ -370,10 +375,12 @@ def _blocks(members: DataFrame) -> DataFrame:
     return out.select("g1", "g2", "block", "fp", "component", F.explode(sides).alias("s")).select("g1", "g2", "s.i", "s.j", "block", "fp", "component")
 
 
-def forest(fp: np.ndarray, comp: np.ndarray, block: np.ndarray, size: np.ndarray, maps: list[np.ndarray], failed: list[set[int]], percent: int, width: int) -> list[tuple[int, int]]:
-    """Pairs across components that bitmaps don't rule out: of each two components that meet, the `width` closest of
-    a member; the two then count as one.  If all of these pairs link, every pair that bitmaps allow is connected;
-    there are at most `width` times as many as members.  Pairs in `failed` are known not to link."""
+def candidates(fp: np.ndarray, comp: np.ndarray, block: np.ndarray, size: np.ndarray, maps: list[np.ndarray], failed: list[set[int]], percent: int, most: int) -> tuple[list[tuple[int, int, bool]], bool]:
+    """Pairs (a, b, sure) across components that bitmaps don't rule out, and whether some were left for another round.
+
+    First pairs that are well within the bound: of each two components that meet one pair, and the two then count as
+    one.  Then, across what is still apart, pairs near the bound, which often don't link: for each member its `most`
+    closest.  So there are at most most + 1 for each member.  Pairs in `failed` are known not to link."""
     order = np.lexsort((fp, size))
     fp, block, size = fp[order], block[order], size[order]
     _, label = np.unique(comp[order], return_inverse=True)
@@ -387,8 +394,8 @@ def forest(fp: np.ndarray, comp: np.ndarray, block: np.ndarray, size: np.ndarray
     two = len(np.unique(block)) > 1
     out = []
     highest = np.searchsorted(size, size * 100 // percent, "right")
-    # pairs well within the bound go first; those near it are only needed where these leave components apart
-    for share in (0.9, 1.0):
+    cut = False
+    for sure in (True, False):
         for x in range(len(fp) - 1):
             hi = int(highest[x])
             y = x + 1 + np.flatnonzero((label[x + 1 : hi] != label[x]) & (block[x + 1 : hi] != block[x] if two else True))
@@ -405,23 +412,26 @@ def forest(fp: np.ndarray, comp: np.ndarray, block: np.ndarray, size: np.ndarray
                         folded[w, len(mine)] = theirs
                 at = words[y] == w
                 gap[at] = np.bitwise_count(theirs[y[at] - span[w][0]] ^ mine).sum(1)
-            ok = (100 + percent) * gap <= share * (100 - percent) * (size[y] + size[x])
+            ok = (100 + percent) * gap <= (SURE if sure else 1.0) * (100 - percent) * (size[y] + size[x])
             if failed[x]:
                 ok &= np.array([int(f) not in failed[x] for f in fp[y]], bool)
             y, gap = y[ok], gap[ok]
             if not len(y):
                 continue
-            near = np.lexsort((gap, label[y]))
-            y = y[near]
-            met = label[y]
-            place = np.arange(len(y)) - np.searchsorted(met, met)
-            out += [(int(fp[x]), int(fp[t])) for t in y[place < width]]
-            label[np.isin(label, np.append(met, label[x]))] = label[x]
-    return out
-
-
-def _across(blocks: DataFrame, vertices: DataFrame, failed: DataFrame | None, percent: int, width: int) -> DataFrame:
-    """Distinct (g1, g2, a, b): the forests of the tiles' blocks."""
+            if sure:
+                near = np.lexsort((gap, label[y]))
+                met, first = np.unique(label[y[near]], return_index=True)
+                out += [(int(fp[x]), int(fp[t]), True) for t in y[near[first]]]
+                label[np.isin(label, np.append(met, label[x]))] = label[x]
+            else:
+                near = np.argsort(gap, kind="stable")[:most]
+                cut |= len(y) > most
+                out += [(int(fp[x]), int(fp[t]), False) for t in y[near]]
+    return out, cut
+
+
+def _across(blocks: DataFrame, vertices: DataFrame, failed: DataFrame | None, percent: int, most: int) -> DataFrame:
+    """(g1, g2, a, b, sure): the blocks' candidates; a null pair says that some were left for another round."""
     members = blocks.join(vertices.select("fp", "size", "bits"), "fp")
     if failed is None:
         members = members.withColumn("failed", F.lit(None).cast("array<long>"))
@@ -434,12 +444,14 @@ def _across(blocks: DataFrame, vertices: DataFrame, failed: DataFrame | None, pe
         maps = [np.frombuffer(x.as_buffer(), np.uint64) for x in bits]
         known = [set(x or ()) for x in group.column("failed").to_pylist()]
         cols = (group.column(c).to_numpy() for c in ("fp", "component", "block", "size"))
-        found = forest(*cols, maps, known, percent, width)
+        found, cut = candidates(*cols, maps, known, percent, most)
+        rows = [(min(a, b), max(a, b), s) for a, b, s in found] + [(None, None, False)] * cut
         g1, g2 = key[0].as_py(), key[1].as_py()
-        return pa.table({"g1": pa.array([g1] * len(found), pa.int64()), "g2": pa.array([g2] * len(found), pa.int64()), "a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
+        kinds = (pa.int64(), pa.int64(), pa.bool_())
+        return pa.table({"g1": pa.array([g1] * len(rows), pa.int64()), "g2": pa.array([g2] * len(rows), pa.int64())} | {c: pa.array([r[i] for r in rows], kinds[i]) for i, c in enumerate(("a", "b", "sure"))})
 
     members = members.select("g1", "g2", "i", "j", "block", "fp", "component", "size", "bits", "failed")
-    return materialise(members.groupBy("g1", "g2", "i", "j").applyInArrow(compare, "g1 long, g2 long, a long, b long"), "across")
+    return materialise(members.groupBy("g1", "g2", "i", "j").applyInArrow(compare, "g1 long, g2 long, a long, b long, sure boolean"), "across")
 
 
 def _rows_of_sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> tuple[DataFrame, DataFrame, int]:
@@ -482,23 +494,25 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     linked = _verify(pairs, vertices, docs, id_col, text_col, n, percent, seed)
     own = components(linked, "clusters")
     discard(met, pairs, linked)
-    failed, forests = None, 1
-    while True:  # a tile is open until all pairs of its forest link; each round connects or rules out a pair of every open tile
+    failed, most = None, NEAR
+    while True:  # each round closes a tile, or connects or rules out pairs of it
         placed = materialise(members.join(own.withColumnRenamed("v", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "placed")
-        met = _across(_blocks(placed), vertices, failed, percent, forests)
+        met = _across(_blocks(placed), vertices, failed, percent, most)
         discard(placed)
         if met.isEmpty():
             break
-        fresh = _verify(met.select("a", "b").distinct(), vertices, docs, id_col, text_col, n, percent, seed)
-        wrong = materialise(met.join(fresh, ["a", "b"], "left_anti"), "wrong")
+        fresh = _verify(met.where("a is not null").select("a", "b").distinct(), vertices, docs, id_col, text_col, n, percent, seed)
         own = components(own.select(F.col("v").alias("a"), F.col("component").alias("b")).unionByName(fresh), "clusters")
-        if wrong.isEmpty():
+        wrong = materialise(met.join(fresh, ["a", "b"], "left_anti"), "wrong")
+        # a tile is done unless pairs were left, or a pair that was taken as a link isn't one
+        again = wrong.where("sure or a is null").select("g1", "g2").distinct()
+        if again.isEmpty():
             break
-        done, members = members, materialise(members.join(wrong.select("g1", "g2").distinct(), ["g1", "g2"], "left_semi"), "members")
-        pairs = wrong.select("a", "b").distinct()
+        done, members = members, materialise(members.join(again, ["g1", "g2"], "left_semi"), "members")
+        pairs = wrong.where("a is not null").select("a", "b").distinct()
         known, failed = failed, materialise(pairs if failed is None else failed.unionByName(pairs).distinct(), "failed")
         discard(done, known, met, fresh, wrong)
-        forests *= 4
+        most *= 8
     # in ids: a set's members are one component, and so are the rows that share an id
     shared = vertex.groupBy("id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y")
     shared = materialise(vertex.join(shared.select("id", "x"), "id").where("fp <> x").select(F.col("fp").alias("a"), F.col("x").alias("b")), "shared")
