@@ -21,7 +21,6 @@ bytes); equal texts get equal ids; a null id is kept; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections import defaultdict
@@ -41,9 +40,6 @@ from .common import discard, give_back, materialise, shuffle_width, text_array
 
 #: Most characters of a unit that is folded in columns.
 UNIT = 32
-LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
-#: A coarser cut for plain versions, exact for a vocabulary whose pieces all match it as a whole.
-UNITS = re.compile(rf" *(?:[{LATIN}]+|(?:[^{LATIN}\s]|\r)+)| +|\s")
 #: Distinct units of a block.
 BLOCK_UNITS = 600_000
 #: Units of the documents that are held together as one payload.
