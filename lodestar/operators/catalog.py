@@ -239,6 +239,43 @@ def merge_rows(old: DataFrame, new: DataFrame, ident: str, scalars: list[str], a
     return joined.select(ident, *map(scalar, scalars), *map(array, arrays))
 
 
+def patch_rows(old: DataFrame, changes: DataFrame, ident: str, fields: list[str], fixed: tuple[str, ...] = ("id", "code")) -> tuple[DataFrame, DataFrame]:
+    """Rows after changes that say in `told` (array of names) which of their fields are set: a field that isn't told
+    stays, one that is told as null becomes null.  Second, (id, problem) of changes to fixed or unknown fields, to rows
+    that aren't there, and changes that tell nothing; such a change is left out as a whole."""
+    told = F.array_distinct(F.coalesce("told", F.array().cast("array<string>")))
+    own = changes.withColumn("told", told).join(old.select(ident, F.lit(True).alias("__known")), ident, "left")
+    wrong = F.array_sort(F.array_except("told", F.array(*map(F.lit, fields))))
+    barred = F.array_intersect("told", F.array(*map(F.lit, fixed)))
+    problem = (
+        F.when(F.col("__known").isNull(), "not found").when(F.size("told") == 0, "nothing to change").when(F.size(barred) > 0, F.concat(F.lit("fixed: "), F.array_join(F.array_sort(barred), ", ")))
+        .when(F.size(wrong) > 0, F.concat(F.lit("unknown: "), F.array_join(wrong, ", ")))
+    )
+    own = own.withColumn("problem", problem)
+    good = own.where("problem is null").select(ident, F.col("told").alias("__told"), *(F.col(c).alias(f"__{c}") for c in fields))
+    joined = old.join(good, ident, "left")
+    out = joined.select(*(F.when(F.array_contains("__told", c), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in old.columns))
+    return out, own.where("problem is not null").select(ident, "problem")
+
+
+def null_gaps(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(name, total, missing) of each column, in one pass."""
+    out = rows.agg(F.count("*").alias("total"), *(F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(columns)))
+    return out.select("total", F.inline(F.array(*(F.struct(F.lit(c).alias("name"), F.col(f"m{i}").alias("missing")) for i, c in enumerate(columns))))).select("name", "total", "missing")
+
+
+def length_profile(rows: DataFrame, within: str, length: str, short: int = 150) -> DataFrame:
+    """Of each group: n, the elements at half and at nine tenths of the sorted lengths, and the whole percent of short ones.
+
+    Lengths are counted first, so the window runs over different lengths, not over rows."""
+    counts = rows.groupBy(within, F.col(length).cast("long").alias("v")).agg(F.count("*").alias("c"))
+    w = Window.partitionBy(within).orderBy("v")
+    placed = counts.withColumn("to", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(within)))
+    at = [F.min(F.when(F.col("to") > F.floor(F.col("n") * q), F.col("v"))) for q in (0.5, 0.9)]
+    share = F.sum(F.when(F.col("v") < short, F.col("c")).otherwise(0)) * 100 / F.first("n")
+    return placed.groupBy(within).agg(F.first("n").alias("n"), at[0].alias("p50"), at[1].alias("p90"), F.floor(share).alias("short_percent"))
+
+
 def merge_json(old: Column, new: Column) -> Column:
     """One level of two JSON objects, the new one's keys winning; values keep their JSON text."""
     kind = "map<string,variant>"

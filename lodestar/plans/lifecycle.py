@@ -384,6 +384,24 @@ def merged_rows(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", "title", F.array_join("tags", ",").alias("tags"))
 
 
+def _patched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    p, n = table(spark, d, "part"), F.col("p_size")
+    old = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("author"))
+    told = F.when(n == 1, F.array().cast("array<string>")).when(n == 2, F.array(F.lit("code"), F.lit("title"))).when(n == 3, F.array(F.lit("colour"))).when(n < 20, F.array(F.lit("author"))).otherwise(F.array(F.lit("title"), F.lit("author")))
+    changes = p.select(F.when(n == 4, -1 - F.col("p_partkey")).otherwise(F.col("p_partkey")).alias("id"), F.col("p_type").alias("title"), F.when(n % 2 == 0, "new").alias("author"), told.alias("told"))
+    return catalog.patch_rows(old, changes, "id", ["title", "author"])
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size >= 20 THEN p_type ELSE p_name END AS title, CASE WHEN p_size <= 4 THEN p_brand WHEN p_size % 2 = 0 THEN 'new' END AS author FROM part")
+def patched_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _patched(spark, d)[0]
+
+
+@query("SELECT CASE WHEN p_size = 4 THEN -1 - p_partkey ELSE p_partkey END AS id, CASE p_size WHEN 1 THEN 'nothing to change' WHEN 2 THEN 'fixed: code' WHEN 3 THEN 'unknown: colour' ELSE 'not found' END AS problem FROM part WHERE p_size <= 4")
+def refused_patches(spark: SparkSession, d: str) -> DataFrame:
+    return _patched(spark, d)[1]
+
+
 @query("SELECT event_id, json_extract_string(props, '$.k')::INT AS k, user_id AS u FROM events")
 def merged_json(spark: SparkSession, d: str) -> DataFrame:
     new = F.to_json(F.struct(F.col("user_id").alias("u")))

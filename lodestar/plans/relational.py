@@ -146,11 +146,7 @@ SELECT 'quality' AS name, count(*) AS total, count(*) FILTER (WHERE quality IS N
 )
 def null_gaps(spark: SparkSession, d: str) -> DataFrame:
     j = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
-
-    def gap(c: str) -> DataFrame:
-        return j.agg(F.count("*").alias("total"), F.count_if(F.col(c).isNull()).alias("missing")).select(F.lit(c).alias("name"), "total", "missing")
-
-    return gap("quality").unionByName(gap("toxic"))
+    return catalog.null_gaps(j, ["quality", "toxic"])
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC) AS n FROM events) WHERE n = 1")

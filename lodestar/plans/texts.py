@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import fingerprint, text
-from lodestar.operators import chunking, dedup, ingest, layout, retrieval, titles
+from lodestar.operators import catalog, chunking, dedup, ingest, layout, retrieval, titles
 from lodestar.sources import documents as sources
 
 from .registry import query, table
@@ -213,11 +213,7 @@ def recursive_parts(spark: SparkSession, d: str) -> DataFrame:
 SELECT lang, n, v[n // 2 + 1] AS p50, v[floor(n * 0.9)::BIGINT + 1] AS p90, short * 100 // n AS short_percent FROM s"""
 )
 def length_distribution(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "documents").select("lang", F.length("text").cast("long").alias("v"))
-    w = Window.partitionBy("lang").orderBy("v")
-    ranked = n.withColumn("r", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy("lang")))
-    at = [F.max(F.when(F.col("r") == F.floor(F.col("n") * q), F.col("v"))) for q in (0.5, 0.9)]
-    return ranked.groupBy("lang").agg(F.count("*").alias("n"), at[0].alias("p50"), at[1].alias("p90"), F.floor(F.count_if(F.col("v") < 150) * 100 / F.count("*")).alias("short_percent"))
+    return catalog.length_profile(table(spark, d, "documents").withColumn("v", F.length("text")), "lang", "v")
 
 
 @query("SELECT doc_id, source, sha256(text) AS question_hash, '【' || lang || ' > ' || source || '】' || chr(10) || substring(text, 1, 480) AS embed_text FROM (SELECT doc_id, source, lang, " + _strip("text") + " AS text FROM documents)")
