@@ -239,6 +239,19 @@ def merge_rows(old: DataFrame, new: DataFrame, ident: str, scalars: list[str], a
     return joined.select(ident, *map(scalar, scalars), *map(array, arrays))
 
 
+def link_rows(old: DataFrame, new: DataFrame, ident: str, scalars: list[str], aliases: str = "aliases", title: str = "title") -> DataFrame:
+    """Old rows that a new import is linked to: empty fields are filled, nothing is overwritten, and the title key under
+    which it came becomes an alias unless it is the title's own."""
+    from lodestar.functions.text import title_key
+
+    filled = merge_rows(old, new, ident, scalars, [], fill_only=True)
+    keys = new.select(ident, title_key(F.col(title)).alias("__key"))
+    told = old.select(ident, F.coalesce(aliases, F.array().cast("array<string>")).alias("__was"), title_key(F.col(title)).alias("__own"))
+    both = filled.join(told, ident).join(keys, ident, "left")
+    more = F.coalesce((F.col("__key") != "") & (F.col("__key") != F.col("__own")), F.lit(False))
+    return both.withColumn(aliases, F.when(more, F.array_union("__was", F.array("__key"))).otherwise(F.col("__was"))).drop("__was", "__own", "__key")
+
+
 def patch_rows(old: DataFrame, changes: DataFrame, ident: str, fields: list[str], fixed: tuple[str, ...] = ("id", "code")) -> tuple[DataFrame, DataFrame]:
     """Rows after changes that say in `told` (array of names) which of their fields are set: a field that isn't told
     stays, one that is told as null becomes null.  Second, (id, problem) of changes to fixed or unknown fields, to rows

@@ -64,6 +64,26 @@ def hybrid(qa: DataFrame, chunks: DataFrame, query: Column, k: int = 8, least: f
     return both.orderBy(F.desc("score"), F.when(F.col("kind") == "qa", 0).otherwise(1), "pos")
 
 
+def search(qa: DataFrame, chunks: DataFrame, query: Column, mode: str = "hybrid", k: int = 8, least: float = 0.25, category: str | None = None) -> DataFrame:
+    """Hits (kind, id, raw, score, pos) among questions, passages or both; a category counts for questions alone."""
+    if mode not in ("chunk", "qa", "hybrid"):
+        raise ValueError(f"no such mode: {mode}")
+    qa = qa.where(optional(category=category))
+    if mode == "hybrid":
+        return hybrid(qa, chunks, query, k, least)
+    return hybrid(qa, chunks.limit(0), query, k, least, boost=1.0) if mode == "qa" else hybrid(qa.limit(0), chunks, query, k, least, quota=k)
+
+
+def ask(qa: DataFrame, chunks: DataFrame, query: Column, n: int = 6, k: int = 8, least: float = 0.25) -> DataFrame:
+    """One row: the context of an answer, the direct answer, how similar the best source is, and whether that is too
+    little to answer from.  Both tables: id, embedding, section_path, page_start, page_end and text."""
+    hits = hybrid(qa, chunks, query, k, least, quota=n)
+    told = ["id", "section_path", "page_start", "page_end", "text"]
+    every = qa.select(F.lit("qa").alias("kind"), *told).unionByName(chunks.select(F.lit("chunk").alias("kind"), *told))
+    sources = ask_sources(hits, n, k).select("kind", "id", F.row_number().over(Window.orderBy(F.when(F.col("kind") == "qa", 0).otherwise(1), "pos")).alias("pos"))  # n rows or so
+    return answer_context(every.join(F.broadcast(sources), ["kind", "id"])).crossJoin(needs_person(hits))  # one row each
+
+
 def ask_sources(hits: DataFrame, n: int = 6, k: int = 8) -> DataFrame:
     """Sources of an answer from hybrid hits: up to k questions, then passages to fill up, one at least if there is one."""
     kind = Window.partitionBy("kind").orderBy("pos")

@@ -384,6 +384,14 @@ def merged_rows(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", "title", F.array_join("tags", ",").alias("tags"))
 
 
+@query("SELECT c_custkey AS id, CASE WHEN c_acctbal < 0 AND s_suppkey IS NOT NULL THEN 'S' ELSE CASE WHEN c_acctbal < 0 THEN NULL ELSE c_mktsegment END END AS author, CASE WHEN s_suppkey IS NOT NULL THEN 'old,' || lower(s_name) ELSE 'old' END AS aliases FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey")
+def linked_rows(spark: SparkSession, d: str) -> DataFrame:
+    old = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")).otherwise(" ").alias("author"), F.array(F.lit("old")).alias("aliases"))
+    new = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.concat("s_name", F.lit(".pdf")).alias("title"), F.lit("S").alias("author"))
+    out = catalog.link_rows(old, new, "id", ["author"])
+    return out.select("id", "author", F.array_join("aliases", ",").alias("aliases"))
+
+
 def _patched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     p, n = table(spark, d, "part"), F.col("p_size")
     old = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("author"))

@@ -403,3 +403,11 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
 
     rows = pipelines.file_stream(spark, f"{d}/events.parquet*", table(spark, d, "events").schema).select("user_id", "event_type", "ts")
     return pipelines.run_once(pipelines.dedup_stream(rows, ["user_id", "event_type"], late="60 days").select("user_id", "event_type"))
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    from lodestar.streaming import pipelines
+
+    rows = pipelines.file_stream(spark, f"{d}/events.parquet*", table(spark, d, "events").schema).select("event_type", "ts")
+    return pipelines.run_once(pipelines.windowed_counts(rows, "event_type"), "complete")

@@ -119,3 +119,34 @@ def stored_vectors(spark: SparkSession, d: str) -> DataFrame:
     first = F.format_string("%.4f", F.get(F.from_json(vector.stored(F.col("embedding")), "array<double>"), F.lit(0)))
     rows = table(spark, d, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", first.alias("e")))).alias("v"))
     return rows.select("label", F.concat(F.lit("["), F.array_join(F.transform("v", lambda x: x["e"]), ","), F.lit("]")).alias("firsts"))
+
+
+def _told(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Column]:
+    rows = table(spark, d, "embeddings")
+    kind = F.when(F.col("vec_id") % 2 == 0, "qa").otherwise("chunk")
+    own = rows.select(F.col("vec_id").alias("id"), "embedding", F.array(kind, F.concat(F.lit("l"), F.col("label").cast("string"))).alias("section_path"), F.col("label").alias("page_start"), (F.col("label") + 1).alias("page_end"), F.concat(kind, F.col("vec_id").cast("string")).alias("text"), F.col("label").cast("string").alias("category"))
+    return own.where("id % 2 = 0 and id > 0"), own.where("id % 2 = 1"), _probe(rows)
+
+
+_RANKED = f"""WITH {_Q}, r AS (SELECT CASE WHEN vec_id % 2 = 0 THEN 'qa' ELSE 'chunk' END AS kind, vec_id AS id, label, round(sim, 4) AS raw,
+  row_number() OVER (PARTITION BY vec_id % 2 ORDER BY sim DESC, vec_id)::INT AS pos FROM s WHERE sim >= 0.05 AND vec_id > 0)"""
+
+
+@query(
+    f"""{_RANKED}, n AS (SELECT least(count(*), 2) AS used FROM r WHERE kind = 'qa' AND pos <= 2),
+h AS (SELECT *, row_number() OVER (ORDER BY kind = 'chunk', pos) AS k FROM r, n WHERE pos <= CASE WHEN kind = 'qa' THEN used ELSE least(2, greatest(1, 4 - used)) END)
+SELECT string_agg('[' || k || '] ' || kind || ' > l' || label || ' p.' || label || '-' || (label + 1) || chr(10) || kind || id, chr(10) || chr(10) ORDER BY k) AS context, arg_min(kind || id, k) AS direct_answer,
+(SELECT max(raw) FROM r) AS best_similarity, (SELECT max(raw) FROM r) < 0.5 AS needs_person FROM h"""
+)
+def asked_answer(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.ask(*_told(spark, d), 4, 2, 0.05)
+
+
+@query(f"{_RANKED} SELECT kind, id, raw, raw AS score, pos FROM r WHERE kind = 'chunk' AND pos <= 5")
+def search_passages(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.search(*_told(spark, d), "chunk", 5, 0.05)
+
+
+@query(f"WITH {_Q}, r AS (SELECT vec_id AS id, round(sim, 4) AS raw, row_number() OVER (ORDER BY sim DESC, vec_id)::INT AS pos FROM s WHERE sim >= 0.05 AND vec_id > 0 AND vec_id % 2 = 0 AND label = 3) SELECT 'qa' AS kind, id, raw, raw AS score, pos FROM r WHERE pos <= 5")
+def search_questions(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.search(*_told(spark, d), "qa", 5, 0.05, "3")
