@@ -46,9 +46,9 @@ SMALL = 4
 #: Vertices of a tile are compared in blocks of so many.
 BLOCK = 1024
 #: Pairs whose differing bits are at most this share of what is allowed all but certainly link.
-SURE = 0.9
+SURE = 0.8
 #: Pairs nearer the bound that a member gives in the first round; eight times as many in each further one.
-NEAR = 16
+NEAR = 256
 #: Candidate ids are broadcast to the scan up to this number (16 MB of ids) and joined by a shuffle beyond it.
 BROADCAST_IDS = 2_000_000
 
