@@ -10,7 +10,7 @@ the threshold.  Every link between different sets is found:
    n - ceil(t n) + 1 (prefix filter).  Prefixes meet by shingle, as packed arrays; the sets that share one are cut
    into size bands, and a tile holds two neighbouring bands.
 3. min-hash stars and small tiles give first pairs.  A pair is checked by bitmap first: each set has a parity bitmap
-   of 8 bits or more an element, and the differing bits bound the overlap from above; what passes is intersected exactly.
+   of 4 bits or more an element, and the differing bits bound the overlap from above; what passes is intersected exactly.
 4. Tiles whose members aren't yet connected are compared with bitmaps, only across components and in blocks.  A block
    gives one pair for each two components with pairs well within the bound, and of the pairs near the bound the closest
    of each member; all are checked exactly.  Tiles of which pairs were left, or of which a pair of the first kind
@@ -255,9 +255,13 @@ def _meet(held: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
 
 
 def _bits(size: int) -> int:
-    """Bits of a set's bitmap: a power of two, 8 to 16 for each element, so that few cells are hit twice; in small sets,
-    where chance weighs more, up to 1024."""
-    return max(1024, 1 << int(8 * size - 1).bit_length())
+    """Bits of a set's bitmap: a power of two, 4 or more for each element, and 8 or more up to 4096 bits and 1024 at
+    least, as chance weighs more in small sets.  It never falls as the size grows."""
+
+    def power(n: int) -> int:
+        return 1 << int(n - 1).bit_length()
+
+    return max(1024, power(4 * size), min(power(8 * size), 4096))
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -504,8 +508,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         fresh = _verify(met.where("a is not null").select("a", "b").distinct(), vertices, docs, id_col, text_col, n, percent, seed)
         own = components(own.select(F.col("v").alias("a"), F.col("component").alias("b")).unionByName(fresh), "clusters")
         wrong = materialise(met.join(fresh, ["a", "b"], "left_anti"), "wrong")
-        # a tile is done unless pairs were left, or a pair that was taken as a link isn't one
-        again = wrong.where("sure or a is null").select("g1", "g2").distinct()
+        # a tile is done unless pairs were left, or a pair that was taken as a link leaves its ends apart
+        apart = wrong.where("sure")
+        for side in ("a", "b"):
+            apart = apart.join(own.select(F.col("v").alias(side), F.col("component").alias(f"{side}2")), side, "left")
+        apart = apart.where(F.coalesce("a2", "a") != F.coalesce("b2", "b"))
+        again = materialise(wrong.where("a is null").unionByName(apart.select(*wrong.columns)).select("g1", "g2").distinct(), "again")
         if again.isEmpty():
             break
         done, members = members, materialise(members.join(again, ["g1", "g2"], "left_semi"), "members")
