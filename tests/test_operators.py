@@ -221,6 +221,79 @@ def test_recursive_parts_equal_a_recursion(spark):
     assert all(got.get(i, []) == plain_parts(t, 40, 12) for i, t in enumerate(texts))
 
 
+def plain_chunks(blocks, lim):
+    """Passages (text, first page, last page, path, kind) by the rules, step by step over one document."""
+    rough, lines, path, kind, pages, old, level = [], [], [], "body", [], "", 0
+
+    def shut(carry):
+        nonlocal lines, pages, old
+        text = "\n".join([old] * bool(old) + lines).strip()
+        done = bool(lines) and bool(text)
+        if done:
+            rough.append([text, pages[0], max(pages), path, kind])
+        old = plain_tail(text, lim.overlap) if carry and done and len(text) <= lim.split_above else ""
+        lines, pages = [], []
+
+    def length():
+        return len(old) + sum(len(x) + 1 for x in lines)
+
+    for text, page, own, what, depth in blocks:
+        text = text.strip()
+        if not text:
+            continue
+        head = what == "heading" and depth > 0
+        if head:
+            if (lines or old) and (level == 0 or depth < level or depth == level and length() >= lim.size // 2):
+                shut(False)
+            level = depth
+        if not lines:
+            path, kind = own, what
+        lines.append(text)
+        pages.append(page)
+        if not head and length() >= lim.size:
+            shut(True)
+    shut(False)
+    cut = []
+    for r in rough:
+        cut += [r] if len(r[0]) <= lim.split_above else [[x.strip(), *r[1:]] for x in plain_parts(r[0], lim.size, lim.overlap)] or [r]
+    out, late = [], None
+
+    def add(to, more):
+        if len(to[0]) + len(more[0]) > lim.most:
+            return False
+        to[0], to[2] = f"{to[0]}\n{more[0]}", max(to[2], more[2])
+        return True
+
+    for c in map(list, cut):
+        if late:
+            if add(c, late):
+                c[1] = late[1]
+            elif out:
+                add(out[-1], late)
+            late = None
+        if len(c[0]) < lim.least:
+            if not (out and add(out[-1], c)):
+                late = c
+        else:
+            out += [c] if len(c[0]) <= lim.most else [[x, *c[1:]] for x in plain_parts(c[0], lim.size, lim.overlap)]
+    if late and out:
+        add(out[-1], late)
+    return [tuple(c) for c in out]
+
+
+def test_chunks_equal_a_plain_version():
+    rng = np.random.default_rng(21)
+    lim = chunking.Limits(size=60, overlap=15, split_above=100, least=20, most=150)
+    for _ in range(200):
+        blocks = []
+        for i in range(int(rng.integers(0, 30))):
+            depth = int(rng.integers(0, 4)) if rng.random() < 0.3 else 0
+            text = " " * int(rng.random() < 0.1) if rng.random() < 0.05 else "".join(rng.choice(list("甲乙丙丁。，ab \n"), int(rng.choice([3, 12, 40, 130, 300], p=[0.3, 0.3, 0.25, 0.1, 0.05]))))
+            blocks.append((text, i // 4 + 1, [f"h{depth}{i}"], "heading" if depth else "body", depth))
+        got = [(p.text, p.page_start, p.page_end, p.section_path, p.block_type) for p in chunking.chunk(blocks, lim)]
+        assert got == plain_chunks(blocks, lim)
+
+
 def test_normal_forms_and_null_texts(spark):
     rows = [(1, "Ａb —c"), (2, "abc"), (3, None), (4, ""), (5, "·\u3000\u2003\x1f")]
     got = {r["doc_id"]: r["kept_id"] for r in dedup.exact(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
