@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import LIST_ITEM, SENTENCE_END, compare_key, is_heading_like, is_noise, strip
+from lodestar.shared import keep
 
 LEVELS = 6
 #: Bands at the top and bottom of a page where repeated lines are looked for, and what counts as its edge.
@@ -125,10 +126,11 @@ def edge_candidates(blocks: DataFrame) -> DataFrame:
     return out.where(near).withColumn("key", compare_key(F.col("text"))).where((F.col("key") != "") & (F.length("key") <= 120)).drop("__body", "__lo", "__hi").withColumnRenamed("__side", "side")
 
 
-def templates(blocks: DataFrame) -> DataFrame:
+def templates(blocks: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """(document_id, key, pages, span, density) of edge lines that repeat: on many pages, or densely on a stretch."""
+    edges = edge_candidates(blocks) if edges is None else edges
     total = blocks.groupBy("document_id").agg(F.countDistinct("page").alias("n_pages"))
-    out = edge_candidates(blocks).groupBy("document_id", "key").agg(F.countDistinct("page").alias("pages"), (F.max("page") - F.min("page") + 1).alias("span")).join(total, "document_id")
+    out = edges.groupBy("document_id", "key").agg(F.countDistinct("page").alias("pages"), (F.max("page") - F.min("page") + 1).alias("span")).join(total, "document_id")
     out = out.withColumn("density", F.col("pages") / F.col("span"))
     often = F.col("pages") >= F.greatest(F.lit(2), F.floor(0.6 * F.col("n_pages")))
     dense = (F.col("pages") >= F.greatest(F.lit(3), F.floor(0.05 * F.col("n_pages")))) & (F.col("density") >= 0.45)
@@ -136,8 +138,9 @@ def templates(blocks: DataFrame) -> DataFrame:
 
 
 def strip_noise(blocks: DataFrame) -> DataFrame:
-    """Blocks without noise lines and without edge lines that repeat."""
-    repeated = edge_candidates(blocks).join(templates(blocks), ["document_id", "key"], "left_semi").select("document_id", "ord")
+    """Blocks without noise lines and without edge lines that repeat; the edge lines are made once and kept."""
+    edges = keep(edge_candidates(blocks).select("document_id", "ord", "page", "key"), "edges")
+    repeated = edges.join(templates(blocks, edges), ["document_id", "key"], "left_semi").select("document_id", "ord")
     return blocks.where(~is_noise(F.col("text"))).join(repeated, ["document_id", "ord"], "left_anti")
 
 
