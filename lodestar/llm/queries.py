@@ -72,6 +72,12 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import damage, digest
+
+    return digest(damage(table(spark, sf_dir, "conversations")))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .resampling import resample
 
@@ -90,6 +96,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import line_dedup, resampling
+    from . import conversations, line_dedup, resampling
 
-    return {"op1_line_dedup": line_dedup.SQL, "op13_resampling": resampling.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op11_conversations": conversations.SQL, "op13_resampling": resampling.SQL}
