@@ -78,6 +78,12 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(damage(table(spark, sf_dir, "conversations")))
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lattice_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .resampling import resample
 
@@ -96,6 +102,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import conversations, line_dedup, resampling
+    from . import conversations, lattice_dedup, line_dedup, resampling
 
-    return {"op1_line_dedup": line_dedup.SQL, "op11_conversations": conversations.SQL, "op13_resampling": resampling.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op11_conversations": conversations.SQL, "op12_embedding_dedup": lattice_dedup.SQL, "op13_resampling": resampling.SQL}
