@@ -1,87 +1,256 @@
-"""An inverted-list index over vectors: exact top-k by cosine, with most rows left out by a bound.
+"""A vector index of product-quantised codes with exact re-ranking.
 
-`build` fits centroids (k-means over a bounded sample), puts every row into the list of its nearest one and keeps each
-list's radius.  `search` looks into the nearest lists of each query first; the k-th distance found there rules out every
-list whose centroid is farther away than that distance plus the radius, and the lists that remain are looked into as
-well.  So results are those of a full scan (`recall` without the second step is that of an approximate index); the gain
-depends on how well the vectors cluster.
+`build` fits centroids of lists and, for the residuals, codebooks of PART dimensions each (k-means over a bounded
+sample), and keeps two tables: `codes` (list, id, one byte for each codebook, and how far the decoded vector lies from
+the true one) and `rows` (the vectors themselves).  `search` reads the codes alone: the decoded distance less that error
+is a bound from below, with it one from above, so of each query only rows whose lower bound does not exceed its k-th
+upper bound are looked up in `rows` and compared exactly.  Results are those of a full scan; with `probes` only the
+lists nearest to a query are looked into.  Jegou et al., "Product Quantization for Nearest Neighbor Search" (2011).
+
+Queries are taken in groups of GROUP bytes; a group is sent to all tasks and the codes are read once for it.  A task
+holds the group's best bounds and the rows that these still allow.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import vector
 from lodestar.shared import keep
 
-#: Rows that the centroids are fitted on, at most.
-SAMPLE = 100_000
-#: Slack of the bound: distances are rounded.
+#: Rows that centroids and codebooks are fitted on, at most.
+SAMPLE = 20_000
+#: Dimensions of a codebook, and its entries.
+PART, WORDS = 2, 256
+#: Slack of the bounds: distances are rounded.
 SLACK = 1e-6
+#: Bytes of a group of queries as single-precision vectors.
+GROUP = 8 << 20
+#: Candidates that a task holds before it drops those that later bounds rule out.
+HELD = 1 << 20
 
 
-@dataclass
+@dataclass(frozen=True)
 class Index:
-    """rows: list, id, v (of length 1) and the other columns; lists: list, centroid, radius, n.  Both are kept tables."""
+    """rows: id, v (of length 1) and the other columns; codes: list, id, code, error; both are tables.  centroids: a row
+    for each list; books: (codebooks, entries, PART), of dimensions padded with zeros."""
 
     rows: DataFrame
-    lists: DataFrame
+    codes: DataFrame
+    centroids: np.ndarray
+    books: np.ndarray
+    id_col: str = "id"
+
+
+def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 10) -> np.ndarray:
+    """Lloyd's rounds over a sample; an entry that nothing is nearest to moves to the row that is worst served."""
+    rng = np.random.default_rng(seed)
+    c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
+    for _ in range(rounds):
+        near, gap = _nearest(x, c)
+        n = np.bincount(near, minlength=len(c))
+        sums = np.zeros_like(c)
+        np.add.at(sums, near, x)
+        c[n > 0] = sums[n > 0] / n[n > 0, None]
+        empty = np.flatnonzero(n == 0)
+        c[empty] = x[np.argsort(-gap, kind="stable")[: len(empty)]]
+    return c
+
+
+def _nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest of c to each row of x, and the squared distance."""
+    near, gap = np.empty(len(x), np.int64), np.empty(len(x))
+    for lo in range(0, len(x), 4096):
+        d = (c**2).sum(1) - 2 * (x[lo : lo + 4096] @ c.T)
+        near[lo : lo + 4096] = d.argmin(1)
+        gap[lo : lo + 4096] = d.min(1) + (x[lo : lo + 4096] ** 2).sum(1)
+    return near, gap
+
+
+def _parts(x: np.ndarray) -> np.ndarray:
+    """(rows, codebooks, PART): dimensions in groups, the last filled up with zeros."""
+    return np.pad(x, ((0, 0), (0, -x.shape[1] % PART))).reshape(len(x), -1, PART)
+
 
+def _decoded(centroids: np.ndarray, books: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    rest = books[np.arange(len(books))[None, :], codes].reshape(len(codes), -1)
+    return centroids[lists] + rest[:, : centroids.shape[1]]
 
-def _unit(c: Column) -> Column:
-    size = vector.norm(c)
-    return F.transform(c, lambda x: x.cast("double") / size)
 
+def _stack(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
-def _distance(a: Column, b: Column) -> Column:
-    gap = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
-    return F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x))
+
+def _unit(rows: DataFrame, vec_col: str) -> DataFrame:
+    """Rows that have a vector of a length above 0, as `v` of length 1."""
+    usable = F.col(vec_col).isNotNull() & (vector.norm(F.col(vec_col)) > 0)
+    size = vector.norm(F.col(vec_col))
+    return rows.where(usable).withColumn("v", F.transform(vec_col, lambda x: x.cast("double") / size)).drop(vec_col)
 
 
 def build(rows: DataFrame, n_lists: int = 64, id_col: str = "id", vec_col: str = "embedding", sample: int = SAMPLE, seed: int = 7) -> Index:
     """Rows without a vector, or with one of length 0, aren't found by cosine and don't enter."""
-    own = rows.where(F.col(vec_col).isNotNull() & (vector.norm(F.col(vec_col)) > 0)).withColumn("v", _unit(F.col(vec_col))).drop(vec_col)
-    fit = own.orderBy(F.xxhash64(id_col), id_col).limit(sample).select(array_to_vector("v").alias("features"))
-    model = KMeans(k=n_lists, seed=seed, maxIter=12, featuresCol="features").fit(fit)
-    centroids = own.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "list int, centroid array<double>")
-    placed = model.transform(own.withColumn("features", array_to_vector("v"))).withColumnRenamed("prediction", "list").drop("features")
-    placed = placed.join(F.broadcast(centroids), "list").withColumn("away", _distance(F.col("v"), F.col("centroid"))).drop("centroid")
-    kept = keep(placed.repartition("list", F.pmod(F.xxhash64(id_col), F.lit(8))), "index-rows")
-    sizes = kept.groupBy("list").agg(F.max("away").alias("radius"), F.count("*").alias("n"))
-    return Index(kept.drop("away"), keep(centroids.join(sizes, "list"), "index-lists"))
-
-
-def search(index: Index, queries: DataFrame, k: int = 8, probes: int = 4, exact: bool = True, id_col: str = "id", query_id: str = "query_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, id, similarity, rank) of the k rows nearest to each query (query_id, embedding); ties go to the lower id."""
-    q = queries.where(F.col(vec_col).isNotNull() & (vector.norm(F.col(vec_col)) > 0)).select(query_id, _unit(F.col(vec_col)).alias("q"))
-    every = index.lists.agg(F.collect_list(F.struct("list", "centroid", "radius")).alias("lists"))  # one row, n_lists long
-    near = q.crossJoin(F.broadcast(every)).withColumn("lists", F.array_sort(F.transform("lists", lambda x: F.struct(_distance(F.col("q"), x["centroid"]).alias("d"), x["list"].alias("list"), x["radius"].alias("radius")))))
-    near = keep(near, "near")
-    first = _best(index, near.select(query_id, "q", F.explode(F.slice("lists", 1, probes)).alias("l")), k, id_col, query_id)
-    if not exact:
-        return _ranked(first, id_col, query_id, k)
-    first = keep(first, "first")
-    bound = first.groupBy(query_id).agg(F.count("*").alias("n"), F.max("d").alias("worst"))
-    left = near.join(bound, query_id, "left").select(query_id, "q", F.explode(F.slice("lists", probes + 1, 1 << 20)).alias("l"), "n", "worst")
-    left = left.where((F.coalesce("n", F.lit(0)) < k) | (F.col("l.d") - F.col("l.radius") <= F.col("worst") + SLACK)).drop("n", "worst")
-    return _ranked(first.unionByName(_best(index, left, k, id_col, query_id)), id_col, query_id, k)
-
-
-def _best(index: Index, lists: DataFrame, k: int, id_col: str, query_id: str) -> DataFrame:
-    met = lists.select(query_id, "q", F.col("l.list").alias("list")).join(index.rows.select("list", id_col, "v"), "list")
-    met = met.select(query_id, id_col, _distance(F.col("q"), F.col("v")).alias("d"), vector.dot(F.col("q"), F.col("v")).alias("similarity"))
-    w = Window.partitionBy(query_id).orderBy(F.desc("similarity"), id_col)
-    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
-
-
-def _ranked(found: DataFrame, id_col: str, query_id: str, k: int) -> DataFrame:
-    w = Window.partitionBy(query_id).orderBy(F.desc("similarity"), id_col)
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_id, id_col, "similarity", "rank")
+    spark = rows.sparkSession
+    own = keep(_unit(rows, vec_col), "index-rows")
+    fit = np.array([r[0] for r in own.select("v").orderBy(F.xxhash64(id_col), id_col).limit(sample).collect()], np.float64)
+    if not len(fit):
+        return Index(own, spark.createDataFrame([], f"list int, {id_col} {dict(own.dtypes)[id_col]}, code binary, error double"), np.zeros((1, 1)), np.zeros((1, 1, PART)), id_col)
+    centroids = _kmeans(fit, n_lists, seed)
+    shared = spark.sparkContext.broadcast(_parts(fit - centroids[_nearest(fit, centroids)[0]]))
+
+    def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for part in frame["id"]:
+                book = _kmeans(shared.value[:, part], WORDS, seed + int(part))
+                yield pd.DataFrame({"part": [part], "book": [book.ravel().tolist()]})
+
+    m = shared.value.shape[1]
+    found = spark.range(0, m, 1, m).mapInPandas(train, "part long, book array<double>").collect()  # m small codebooks
+    books = np.zeros((m, min(WORDS, len(fit)), PART))
+    for r in found:
+        books[r["part"]] = np.array(r["book"]).reshape(-1, PART)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = _stack(batch.column(1))
+            lists = _nearest(v, centroids)[0]
+            rest = _parts(v - centroids[lists])
+            codes = np.stack([_nearest(rest[:, j], books[j])[0] for j in range(m)], axis=1).astype(np.uint8)
+            error = np.linalg.norm(v - _decoded(centroids, books, lists, codes), axis=1)
+            packed = pa.array(np.ascontiguousarray(codes).view(f"V{m}").ravel().tolist(), pa.binary())
+            yield pa.record_batch([pa.array(lists.astype(np.int32)), batch.column(0), packed, pa.array(error)], names=["list", id_col, "code", "error"])
+
+    kind = dict(own.dtypes)[id_col]
+    coded = own.select(id_col, "v").mapInArrow(encode, f"list int, `{id_col}` {kind}, code binary, error double")
+    return Index(own, keep(coded.sortWithinPartitions("list"), "index-codes"), centroids, books, id_col)
+
+
+def write(index: Index, path: str) -> None:
+    """Keep an index as three tables under a path."""
+    index.rows.write.parquet(f"{path}/rows")
+    index.codes.write.parquet(f"{path}/codes")
+    model = [("centroids", list(index.centroids.shape), index.centroids.ravel().tolist()), ("books", list(index.books.shape), index.books.ravel().tolist())]
+    index.rows.sparkSession.createDataFrame(model, "name string, shape array<long>, numbers array<double>").write.parquet(f"{path}/model")
+
+
+def read(spark: SparkSession, path: str, id_col: str = "id") -> Index:
+    model = {r["name"]: np.array(r["numbers"]).reshape(r["shape"]) for r in spark.read.parquet(f"{path}/model").collect()}
+    return Index(spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/codes"), model["centroids"], model["books"], id_col)
+
+
+class _Best:
+    """The k least upper bounds of each query, and the rows that they leave."""
+
+    def __init__(self, n: int, k: int):
+        self.upper = np.full((n, k), np.inf)
+        self.parts: list[tuple] = []
+        self.held = 0
+
+    def add(self, low: np.ndarray, high: np.ndarray, ids: pa.Array, allowed: np.ndarray | None) -> None:
+        """low, high: bounds by query and row."""
+        if allowed is not None:
+            high = np.where(allowed, high, np.inf)
+            low = np.where(allowed, low, np.inf)
+        k = self.upper.shape[1]
+        both = np.hstack([self.upper, high])
+        self.upper = np.partition(both, k - 1, axis=1)[:, :k]
+        q, at = np.nonzero((low <= self.worst()[:, None]) & np.isfinite(low))
+        self.parts.append((q, ids.take(pa.array(at)), low[q, at], high[q, at]))
+        self.held += len(q)
+        if self.held > HELD:
+            self.parts = [self.left()]
+            self.held = len(self.parts[0][0])
+
+    def worst(self) -> np.ndarray:
+        return self.upper.max(1) + SLACK
+
+    def left(self) -> tuple:
+        q, low, high = (np.concatenate([p[i] for p in self.parts]) for i in (0, 2, 3))
+        ids = pa.concat_arrays([p[1] for p in self.parts])
+        at = np.flatnonzero(low <= self.worst()[q])
+        return q[at], ids.take(pa.array(at)), low[at], high[at]
+
+
+def candidates(index: Index, q: np.ndarray, k: int, probes: int | None = None) -> DataFrame:
+    """(n, id): the rows that must be compared exactly with the n-th query; q: unit vectors as rows."""
+    spark = index.rows.sparkSession
+    near = None
+    codes = index.codes
+    if probes is not None and probes < len(index.centroids):
+        away = (index.centroids**2).sum(1) - 2 * (q @ index.centroids.T)
+        near = np.zeros(away.shape, bool)
+        np.put_along_axis(near, np.argsort(away, axis=1, kind="stable")[:, :probes], True, axis=1)
+        codes = codes.where(F.col("list").isin(np.flatnonzero(near.any(0)).tolist()))
+    shared = spark.sparkContext.broadcast((q, near, index.centroids, index.books))
+    id_col, kind = index.id_col, dict(index.codes.dtypes)[index.id_col]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, near, centroids, books = shared.value
+        best, step = _Best(len(q), k), max(1, (4 << 20) // max(1, len(q)))
+        m = len(books)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                lists = part.column(0).to_numpy()
+                raw = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(-1, m)
+                v = _decoded(centroids, books, lists, raw)
+                away = np.sqrt(np.maximum(0, 1 + (v**2).sum(1)[None, :] - 2 * (q @ v.T)))
+                error = part.column(3).to_numpy()[None, :]
+                best.add(away - error, away + error, part.column(1), near[:, lists] if near is not None else None)
+        if best.parts:
+            at, ids, low, high = best.left()
+            yield pa.record_batch([pa.array(at), ids, pa.array(low), pa.array(high)], names=["n", id_col, "low", "high"])
+
+    found = codes.select("list", id_col, "code", "error").mapInArrow(scan, f"n long, `{id_col}` {kind}, low double, high double")
+    each = Window.partitionBy("n")
+    found = found.withColumn("place", F.row_number().over(each.orderBy("high")))
+    found = found.withColumn("worst", F.max(F.when(F.col("place") <= k, F.col("high"))).over(each))
+    return found.where(F.col("low") <= F.col("worst") + 2 * SLACK).select("n", id_col)
+
+
+def search(index: Index, queries: DataFrame, k: int = 8, probes: int = 4, exact: bool = True, query_id: str = "query_id", vec_col: str = "embedding") -> DataFrame:
+    """(query_id, id, similarity, rank) of the k rows nearest to each query (query_id, embedding); ties go to the lower id.
+
+    exact: over all lists; otherwise over each query's `probes` nearest ones."""
+    id_col = index.id_col
+    kind = dict(index.rows.dtypes)[id_col]
+    own = keep(_unit(queries.select(query_id, vec_col), vec_col), "queries")
+    per = max(1, GROUP // (4 * index.centroids.shape[1]))
+    n_groups = -(-own.count() // per)
+    out = None
+    for g in range(n_groups):
+        mine = own if n_groups == 1 else own.where(F.pmod(F.xxhash64(query_id), F.lit(n_groups)) == g)
+        rows = mine.collect()  # about GROUP bytes
+        if not rows:
+            continue
+        q = np.array([r["v"] for r in rows], np.float64)
+        names = mine.sparkSession.createDataFrame([(i, r[query_id]) for i, r in enumerate(rows)], f"n long, {query_id} {dict(own.dtypes)[query_id]}")
+        shared = mine.sparkSession.sparkContext.broadcast(q)
+
+        def compare(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    sim = np.einsum("ij,ij->i", shared.value[batch.column(0).to_numpy()], _stack(batch.column(2)))
+                    yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sim)], names=["n", id_col, "similarity"])
+
+        met = candidates(index, q, k, None if exact else probes).join(index.rows.select(id_col, "v"), id_col).select("n", id_col, "v")
+        met = met.mapInArrow(compare, f"n long, `{id_col}` {kind}, similarity double")
+        rank = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("similarity"), id_col))
+        met = met.withColumn("rank", rank).where(F.col("rank") <= k).join(F.broadcast(names), "n")
+        out = met if out is None else out.unionByName(met)
+    if out is None:
+        schema = f"{query_id} {dict(own.dtypes)[query_id]}, {id_col} {kind}, similarity double, rank int"
+        return queries.sparkSession.createDataFrame([], schema)
+    return out.select(query_id, id_col, "similarity", "rank")
 
 
 def recall(found: DataFrame, truth: DataFrame, query_id: str = "query_id", id_col: str = "id") -> float:

@@ -122,6 +122,27 @@ def test_index_finds_what_a_scan_finds(spark, spread):
     assert index.search(own, queries.limit(0), 5).count() == 0
 
 
+def test_index_reads_few_vectors_and_can_be_kept(spark, tmp_path):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    index.write(index.build(rows, n_lists=16), str(tmp_path / "index"))
+    own = index.read(spark, str(tmp_path / "index"))
+    queries = rows.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+    v = {r["id"]: np.array(r["embedding"], float) for r in rows.collect()}
+    m = np.array([v[i] / np.linalg.norm(v[i]) for i in sorted(v)])
+    want = {(q, int(i)) for q in v if q % 100 == 0 for i in np.lexsort((sorted(v), -(m @ m[q])))[:8]}
+    assert {(r["query_id"], r["id"]) for r in index.search(own, queries, 8).collect()} == want
+    looked_at = index.candidates(own, m[::100], 8).count()
+    assert looked_at < len(m) * len(m[::100]) / 3
+    truth = spark.createDataFrame(sorted(want), "query_id long, id long")
+    assert index.recall(index.search(own, queries, 8, probes=12, exact=False), truth) >= 0.9
+
+
+def test_index_without_vectors(spark):
+    none = spark.createDataFrame([(1, None), (2, [0.0, 0.0])], "id long, embedding array<double>")
+    some = spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, embedding array<double>")
+    assert index.search(index.build(none), some, 3).collect() == []
+
+
 def test_ingest(spark):
     schema = "document_id string, shard_index int, ord int, text string, page int, block_type string, heading_level int, font_size double, is_bold boolean, y_ratio double"
     rows = []
