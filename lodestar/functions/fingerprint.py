@@ -81,9 +81,9 @@ def simhash_md5(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return simhash(docs, id_col, text_col, md5=True)
 
 
-def simhash_blake2b(normalised: Column | str) -> Column:
-    """The BLAKE2b fingerprint of a normal form, signed."""
-    return _print_blake2b(normalised)["simhash"]
+def simhash_of(normalised: Column | str, md5: bool = False) -> Column:
+    """The fingerprint of a normal form, signed: of BLAKE2b or MD5 hashes."""
+    return (_print_md5 if md5 else _print_blake2b)(normalised)["simhash"]
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import itertools
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.fingerprint import bands, hamming, simhash_blake2b
+from lodestar.functions.fingerprint import BANDS, hamming, simhash_of
 from lodestar.functions.text import content_hash, normal, normal_nfkc
-from lodestar.shared import keep
+from lodestar.shared import discard, keep
 
 
 def exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", within: list[str] | None = None, compatible: bool = True) -> DataFrame:
@@ -21,47 +24,89 @@ def exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", withi
     return hashed.join(first, keys)
 
 
+def key_masks(most: int, n: int) -> list[int]:
+    """Bits that two fingerprints must share, in one of these ways, if they share a band and differ in `most` bits at most.
+
+    Beside the band the other 48 bits are cut into blocks, of which all but `most` are the same; a key is a band with so
+    many blocks.  The shortest keys are taken that are still long enough for n fingerprints to be spread over them."""
+    enough = math.log2(max(n, 1)) + 2
+    for blocks in (0, *range(most + 1, most + 4)):
+        same = max(0, blocks - most)
+        masks = []
+        for band in range(BANDS):
+            own = 0xFFFF << (16 * band)
+            rest = [i for i in range(64) if not own >> i & 1]
+            cuts = [sum(1 << i for i in rest[len(rest) * b // blocks : len(rest) * (b + 1) // blocks]) for b in range(blocks)]
+            masks += [own | sum(some) for some in itertools.combinations(cuts, same)]
+        if min(m.bit_count() for m in masks) >= enough:
+            break
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def near_prints(prints: DataFrame, most: int, within: list[str], keep_cols: list[str]) -> DataFrame:
+    """Rows x and y (as simhash, keep_cols and simhash2, keep_cols with a 2) of one namespace whose fingerprints share a
+    16-bit band and differ in 1 to `most` bits; each pair comes once, x being the lesser fingerprint."""
+    n = prints.groupBy(*within).count().agg(F.max("count")).first()[0] or 0
+    masks = key_masks(most, n)
+    keys = F.array(*(F.struct(F.lit(j).alias("way"), F.col("simhash").bitwiseAND(F.lit(m)).alias("part")) for j, m in enumerate(masks)))
+    flat = prints.select(*within, "simhash", *keep_cols, F.explode(keys).alias("k")).select(*within, "simhash", *keep_cols, "k.way", "k.part")
+    other = flat.withColumnsRenamed({c: f"{c}2" for c in ("simhash", *keep_cols)})
+    differ = F.col("simhash").bitwiseXOR(F.col("simhash2"))
+    met = flat.join(other, [*within, "way", "part"]).where((F.col("simhash") < F.col("simhash2")) & (F.bit_count(differ) <= most))
+    ways = F.array(*(F.lit(m) for m in masks))
+    first = F.array_position(F.transform(ways, lambda m: differ.bitwiseAND(m) == 0), True) - 1
+    return met.where(F.col("way") == first).drop("way", "part")
+
+
 def band_pairs(prints: DataFrame, most: int = 3, id_col: str = "doc_id", within: list[str] | None = None) -> DataFrame:
     """(a, b, distance), a < b: fingerprints that share a 16-bit band and differ in `most` bits at most.
 
     Equal fingerprints meet once, as one representative each; zero fingerprints (no features) pair with nothing."""
     within = within or []
     own = keep(prints.where("simhash <> 0").groupBy(*within, "simhash").agg(F.min(id_col).alias("rep")), "prints")
-    flat = own.select(*within, "simhash", "rep", F.explode(bands(F.col("simhash"))).alias("b")).select(*within, "simhash", "rep", "b.band", "b.value")
-    other = flat.withColumnsRenamed({"simhash": "simhash2", "rep": "rep2"})
-    near = flat.join(other, [*within, "band", "value"]).where(F.col("simhash") < F.col("simhash2")).where(hamming(F.col("simhash"), F.col("simhash2")) <= most)
-    return near.select(*within, F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"), hamming(F.col("simhash"), F.col("simhash2")).alias("distance")).distinct()
+    near = near_prints(own, most, within, ["rep"])
+    return near.select(*within, F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"), hamming(F.col("simhash"), F.col("simhash2")).alias("distance"))
 
 
-def greedy(items: DataFrame, least: int = 150, most: int = 3, within: str = "document_id", order: str = "ord", text_col: str = "text", compatible: bool = True) -> DataFrame:
-    """Verdict of each item in its order: kept, short, exact or near.
+def greedy(items: DataFrame, least: int = 150, most: int = 3, within: str = "document_id", order: str = "ord", text_col: str = "text", compatible: bool = True, md5: bool = False) -> DataFrame:
+    """Verdict of each item in its order (kept, short, exact or near), with its content_hash and simhash.
 
-    Only kept items are compared with, so an item near a dropped one alone stays.  Kept items are the first maximal
-    independent set of the pairs in order, found in rounds: an undecided item without an undecided or kept earlier
-    neighbour is kept, and neighbours of kept items go, until all are decided."""
-    text = normal_nfkc(F.col(text_col)) if compatible else normal(F.col(text_col))
+    Only kept items are compared with, so an item near a dropped one alone stays.  In each round the items that no open
+    pair has as its later one are kept, their partners go, and with these go their pairs; what is left without a pair is
+    kept.  Null texts are empty."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = normal_nfkc(text) if compatible else normal(text)
     base = items.select(within, order, text.alias("norm"))
-    base = keep(base.select(within, order, F.length("norm").alias("n"), F.sha2("norm", 256).alias("hash"), simhash_blake2b("norm").alias("simhash")), "greedy")
-    first = Window.partitionBy(within, "hash").orderBy(order)
-    long = base.where(F.col("n") >= least).withColumn("rep", F.first(order).over(first))
-    reps = long.where(F.col("rep") == F.col(order)).select(within, order, "simhash")
-    if most > 0:
-        flat = reps.where("simhash <> 0").select(within, order, "simhash", F.explode(bands(F.col("simhash"))).alias("b")).select(within, order, "simhash", "b.band", "b.value")
-        late = flat.withColumnsRenamed({order: "late", "simhash": "simhash2"})
-        pairs = flat.join(late, [within, "band", "value"]).where((F.col(order) < F.col("late")) & (hamming(F.col("simhash"), F.col("simhash2")) <= most))
-        pairs = keep(pairs.select(within, F.col(order).alias("early"), "late").distinct(), "pairs")
-        state = keep(reps.select(within, order, F.lit("open").alias("state")), "state")
-        while not state.where("state = 'open'").isEmpty():
-            early = state.select(within, F.col(order).alias("early"), F.col("state").alias("early_state"))
-            seen = pairs.join(early, [within, "early"]).groupBy(within, "late").agg(F.max(F.when(F.col("early_state") == "kept", 1).otherwise(0)).alias("hit"), F.max(F.when(F.col("early_state") == "open", 1).otherwise(0)).alias("wait"))
-            joined = state.join(seen.withColumnRenamed("late", order), [within, order], "left")
-            fresh = F.when(F.col("state") != "open", F.col("state")).when(F.col("hit") == 1, F.lit("near")).when(F.col("wait") == 1, F.lit("open")).otherwise(F.lit("kept"))
-            state = keep(joined.select(within, order, fresh.alias("state")), "state")
-    else:
-        state = reps.select(within, order, F.lit("kept").alias("state"))
-    decided = long.join(state.withColumnRenamed(order, "rep"), [within, "rep"])
-    verdict = F.when(F.col("state") == "near", "near").when(F.col(order) == F.col("rep"), "kept").otherwise("exact")
-    return decided.select(within, order, verdict.alias("verdict")).unionByName(base.where(F.col("n") < least).select(within, order, F.lit("short").alias("verdict")))
+    base = keep(base.select(within, order, F.length("norm").alias("n"), F.sha2("norm", 256).alias("content_hash"), simhash_of("norm", md5).alias("simhash")), "greedy")
+    long = base.where(F.col("n") >= least)
+    first = long.groupBy(within, "content_hash").agg(F.min(order).alias("rep"), F.first("simhash").alias("simhash"))
+    near = _near_items(first.where("simhash <> 0"), most, within) if most > 0 else None
+    decided = long.join(first.drop("simhash"), [within, "content_hash"])
+    decided = decided.join(near, [within, "rep"], "left") if near is not None else decided.withColumn("near", F.lit(None).cast("boolean"))
+    verdict = F.when(F.col("near"), "near").when(F.col(order) == F.col("rep"), "kept").otherwise("exact")
+    out = decided.select(within, order, verdict.alias("verdict"), "content_hash", "simhash")
+    return out.unionByName(base.where(F.col("n") < least).select(within, order, F.lit("short").alias("verdict"), "content_hash", "simhash"))
+
+
+def _near_items(reps: DataFrame, most: int, within: str) -> DataFrame:
+    """(within, rep, near = true) of the items that go because of a kept earlier one."""
+    same = reps.groupBy(within, "simhash").agg(F.min("rep").alias("rep"))  # later ones of a fingerprint go as that of the first is near itself
+    twins = reps.join(same.withColumnRenamed("rep", "early"), [within, "simhash"]).where(F.col("early") < F.col("rep")).select(within, "early", F.col("rep").alias("late"))
+    pairs = near_prints(reps, most, [within], ["rep"]).select(within, F.least("rep", "rep2").alias("early"), F.greatest("rep", "rep2").alias("late"))
+    pairs = keep(twins.unionByName(pairs), "pairs")
+    gone: DataFrame | None = None
+    while not pairs.isEmpty():
+        late = pairs.select(within, F.col("late").alias("early")).distinct()
+        now = pairs.join(late, [within, "early"], "left_anti").select(within, "late").distinct()
+        now = keep(now, "near")
+        left = pairs.join(now, [within, "late"], "left_anti").join(now.withColumnRenamed("late", "early"), [within, "early"], "left_anti")
+        last, pairs = pairs, keep(left, "pairs")
+        discard(last)
+        gone = now if gone is None else gone.unionByName(now)
+    discard(pairs)
+    if gone is None:
+        gone = reps.limit(0).select(within, F.col("rep").alias("late"))
+    return gone.select(within, F.col("late").alias("rep"), F.lit(True).alias("near"))
 
 
 def stats(verdicts: DataFrame, within: str = "document_id") -> DataFrame:

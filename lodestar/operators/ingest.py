@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import formats, text
-from lodestar.functions.fingerprint import simhash
 from lodestar.operators import chunking, dedup, layout, upsert
 from lodestar.shared import keep
 from lodestar.sources import documents as sources
@@ -39,10 +38,8 @@ def passages(shards: DataFrame, limits: chunking.Limits = chunking.Limits(), spl
     cut = keep(chunking.chunk_blocks(layout.section_paths(layout.calibrate(clean)), limits, split), "passages")
     items = cut.select("document_id", F.col("chunk_index").alias("ord"), "text")
     verdicts = dedup.greedy(items, limits.least, most)
-    kept = cut.join(verdicts.where("verdict = 'kept'").select("document_id", F.col("ord").alias("chunk_index")), ["document_id", "chunk_index"])
-    key = F.concat_ws(":", "document_id", "chunk_index")
-    prints = simhash(kept.select(key.alias("__key"), "text"), "__key").select("__key", "simhash")
-    kept = kept.withColumn("content_hash", text.content_hash(F.col("text"))).withColumn("__key", key).join(prints, "__key").drop("__key")
+    told = verdicts.where("verdict = 'kept'").select("document_id", F.col("ord").alias("chunk_index"), "content_hash", "simhash")
+    kept = cut.join(told, ["document_id", "chunk_index"])
     noise = blocks.groupBy("document_id").agg(F.count("*").alias("b"), F.max("page").alias("total_pages")).join(clean.groupBy("document_id").agg(F.count("*").alias("c")), "document_id", "left")
     noise = noise.select("document_id", "total_pages", (F.col("b") - F.coalesce("c", F.lit(0))).alias("noise"))
     counts = noise.join(dedup.stats(verdicts), "document_id", "left").fillna(0, ["total", "kept"])

@@ -105,6 +105,33 @@ def job_progress(events: DataFrame, counters: tuple[str, ...] = COUNTERS) -> Dat
     )
 
 
+def job_states(events: DataFrame, counters: tuple[str, ...] = COUNTERS) -> DataFrame:
+    """Progress events folded as far as that goes on later: sums, and the last status and detail with their places."""
+    told = F.col("status").isNotNull()
+    return events.groupBy("job_id").agg(
+        *(F.sum(F.coalesce(f"d_{c}", F.lit(0))).alias(c) for c in counters),
+        F.max(F.when(told, F.struct("seq", "status"))).alias("last_status"),
+        F.max(F.when(F.col("stage_detail").isNotNull(), F.struct("seq", "stage_detail"))).alias("last_detail"),
+        F.min(F.when(told & (F.col("status") != "pending"), F.col("ts"))).alias("started_at"),
+        F.max(F.when(F.col("status").isin("completed", "failed", "skipped"), F.col("ts"))).alias("finished_at"),
+    )
+
+
+def merged_states(before: DataFrame | None, states: DataFrame, counters: tuple[str, ...] = COUNTERS) -> DataFrame:
+    """job_states of two disjoint sets of events as those of both."""
+    if before is None:
+        return states
+    return before.unionByName(states).groupBy("job_id").agg(
+        *(F.sum(c).alias(c) for c in counters), F.max("last_status").alias("last_status"), F.max("last_detail").alias("last_detail"),
+        F.min("started_at").alias("started_at"), F.max("finished_at").alias("finished_at"),
+    )
+
+
+def progress_of(states: DataFrame, counters: tuple[str, ...] = COUNTERS) -> DataFrame:
+    """job_progress from job_states."""
+    return states.select("job_id", *counters, F.col("last_status.status").alias("status"), F.substring("last_detail.stage_detail", 1, 500).alias("stage_detail"), "started_at", "finished_at")
+
+
 def answer_transitions(questions: DataFrame, answers: DataFrame) -> DataFrame:
     """Answers (id, answer, answered_by, answered_at) applied: dismissed ones conflict, missing ones aren't found."""
     joined = answers.alias("a").join(questions.alias("q"), "id", "left")

@@ -9,7 +9,7 @@ from lodestar.functions import formats
 from lodestar.functions.text import DECORATION, SPACE, content_hash
 from lodestar.operators import catalog, requests, uploads, upsert
 
-from .registry import query, table
+from .registry import ORACLES, query, table
 
 
 @query("SELECT p_partkey, p_name, p_brand FROM part WHERE p_name ILIKE '%ring%' OR p_brand ILIKE '%ring%' OR p_type ILIKE '%ring%'")
@@ -259,12 +259,16 @@ i AS (SELECT c_custkey AS script_id, c_name FROM customer WHERE c_acctbal > 5000
 
 
 def _requests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    o, c = table(spark, d, "orders"), table(spark, d, "customer")
-    title = F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.when(F.col("o_orderkey") % 2 == 0, ".PDF").otherwise(" copy"))
-    r = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey").cast("string")).alias("script_id"), title.alias("script_title"), F.when(F.col("o_orderstatus") == "F", "pending").otherwise("completed").alias("status"))
+    c = table(spark, d, "customer")
     scripts = c.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("title"), F.array().cast("array<string>").alias("aliases"))
     indexed = c.where("c_acctbal > 5000").select(F.col("c_custkey").cast("string").alias("script_id"))
-    return requests.match_key(r), scripts, indexed
+    return _request_rows(table(spark, d, "orders")), scripts, indexed
+
+
+def _request_rows(o: DataFrame) -> DataFrame:
+    title = F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.when(F.col("o_orderkey") % 2 == 0, ".PDF").otherwise(" copy"))
+    r = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey").cast("string")).alias("script_id"), title.alias("script_title"), F.when(F.col("o_orderstatus") == "F", "pending").otherwise("completed").alias("status"))
+    return requests.match_key(r)
 
 
 @query(f"WITH {_REQ} SELECT r.id, r.script_id::VARCHAR AS script_id FROM r JOIN i ON i.script_id = r.script_id WHERE status = 'pending'")
@@ -411,3 +415,47 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
 
     rows = pipelines.file_stream(spark, f"{d}/events.parquet*", table(spark, d, "events").schema).select("event_type", "ts")
     return pipelines.run_once(pipelines.windowed_counts(rows, "event_type"), "complete")
+
+
+@query("SELECT o_orderkey AS task_id, 'failed' AS status, 'expired' AS error_message FROM orders WHERE o_orderstatus <> 'F' AND o_orderdate + INTERVAL 48 HOUR < (SELECT max(o_orderdate) FROM orders)")
+def stream_expired_uploads(spark: SparkSession, d: str) -> DataFrame:
+    """stale_uploads by timers, with the newest update as the clock."""
+    from lodestar.streaming import pipelines, stateful
+
+    orders = pipelines.file_stream(spark, f"{d}/orders.parquet*", table(spark, d, "orders").schema)
+    status = F.when(F.col("o_orderstatus") == "F", "completed").otherwise("uploading")
+    tasks = orders.select(F.col("o_orderkey").alias("task_id"), status.alias("status"), F.lit(None).cast("string").alias("error_message"), F.col("o_orderdate").alias("updated_at"))
+    with stateful.state_store(spark, idle=True):
+        return pipelines.run_once(stateful.expired(tasks, 48))
+
+
+@query(ORACLES["complete_by_key"])
+def stream_complete_by_key(spark: SparkSession, d: str) -> DataFrame:
+    """Requests as they come against the indexed scripts of now; completions are written by the request's id."""
+    from lodestar.streaming import pipelines, tables
+
+    _, scripts, indexed = _requests(spark, d)
+    orders = pipelines.file_stream(spark, f"{d}/orders.parquet*", table(spark, d, "orders").schema)
+    told = requests.complete_by_key(_request_rows(orders), scripts, indexed)
+    into = tables.VersionedTable(spark, tables.scratch(spark, "completed"))
+
+    def merge(before: DataFrame | None, rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("seq", F.lit(0))
+        return upsert.upsert((before if before is not None else rows.drop("seq").limit(0)).withColumn("seq", F.lit(0)), rows, ["id"]).drop("seq")
+
+    return tables.run_into(told, into, merge, tables.scratch(spark, "checkpoint"))
+
+
+@query(ORACLES["job_progress"])
+def stream_job_progress(spark: SparkSession, d: str) -> DataFrame:
+    """Progress events in four files, two of them folded before the stream is stopped and two after it is started again."""
+    from lodestar.streaming import pipelines, tables
+
+    events = _jobs(spark, d)
+    folder, checkpoint = tables.scratch(spark, "events"), tables.scratch(spark, "checkpoint")
+    into = tables.VersionedTable(spark, tables.scratch(spark, "jobs"))
+    for half in (0, 1):
+        events.where(F.col("seq") % 2 == half).repartition(2, "seq").write.mode("append").parquet(folder)
+        stream = pipelines.file_stream(spark, folder, events.schema, max_files=1)
+        states = tables.run_into(stream, into, lambda before, rows: upsert.merged_states(before, upsert.job_states(rows)), checkpoint)
+    return upsert.progress_of(states)

@@ -70,10 +70,38 @@ def simhash_pairs(spark: SparkSession, d: str) -> DataFrame:
     return dedup.band_pairs(fingerprint.simhash_md5(table(spark, d, "documents")), 6)
 
 
-@query()
+_GREEDY = f"""WITH RECURSIVE {_SIMHASH},
+it AS MATERIALIZED (SELECT source AS document_id, doc_id AS ord, length(coalesce(t, '')) AS n, sha256(coalesce(t, '')) AS h, simhash AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i
+  FROM documents JOIN n USING (doc_id) JOIN v USING (doc_id)),
+st AS (
+  SELECT DISTINCT document_id, 0::BIGINT AS i, NULL::BIGINT AS ord, ''::VARCHAR AS verdict, []::VARCHAR[] AS hs, []::BIGINT[] AS ss FROM it
+  UNION ALL
+  SELECT document_id, i, ord, verdict, CASE WHEN verdict = 'kept' THEN list_append(hs, h) ELSE hs END, CASE WHEN verdict = 'kept' AND s <> 0 THEN list_append(ss, s) ELSE ss END
+  FROM (SELECT it.*, hs, ss, CASE WHEN n < 150 THEN 'short' WHEN list_contains(hs, h) THEN 'exact'
+      WHEN s <> 0 AND len(list_filter(ss, lambda x: bit_count(xor(x, s)) <= 3)) > 0 THEN 'near' ELSE 'kept' END AS verdict
+    FROM st JOIN it ON it.document_id = st.document_id AND it.i = st.i + 1))"""
+
+
+def _by_source(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("source").alias("document_id"), F.col("doc_id").alias("ord"), "text")
+
+
+@query(
+    f"""{_GREEDY} SELECT document_id, count(*) AS total, {', '.join(f"count(*) FILTER (WHERE verdict = '{x}') AS {x}" for x in ('kept', 'exact', 'near', 'short'))},
+round(count(*) FILTER (WHERE verdict <> 'kept') / count(*), 4) AS dedup_rate FROM st WHERE i > 0 GROUP BY document_id"""
+)
 def greedy_dedup_stats(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "documents").select(F.col("source").alias("document_id"), F.col("doc_id").alias("ord"), "text")
-    return dedup.stats(dedup.greedy(items))
+    return dedup.stats(dedup.greedy(_by_source(table(spark, d, "documents")), md5=True))
+
+
+@query(f"{_GREEDY} SELECT document_id AS within, ord, verdict FROM st WHERE i > 0")
+def stream_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """The verdicts of greedy_dedup_stats over a stream, with hashes and fingerprints in state that expires."""
+    from lodestar.streaming import pipelines, stateful
+
+    docs = pipelines.file_stream(spark, f"{d}/documents.parquet*", table(spark, d, "documents").schema)
+    with stateful.state_store(spark, idle=False):
+        return pipelines.run_once(stateful.near_duplicates(_by_source(docs), md5=True))
 
 
 @query(f"SELECT doc_id, len(s) AS n_sentences, max_len AS longest FROM (SELECT doc_id, s, coalesce(list_max(list_transform(s, lambda x: length(x))), 0) AS max_len FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, {_quoted(f'([{text.SENTENCE_MARKS}])')}, '\\1' || chr(30), 'g'), chr(30)), lambda x: {_strip('x')}), lambda x: x <> '') AS s FROM documents))")

@@ -29,12 +29,13 @@ def windowed_counts(rows: DataFrame, key: str, ts: str = "ts", size: str = "1 da
     return rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(w, key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), key, "n")
 
 
-def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run_once(stream: DataFrame, mode: str = "append", root: str | None = None) -> DataFrame:
     """All that is there now through the stream and out as a table: checkpoint and result are in the shared folder.
 
-    In complete mode each micro-batch's result takes the place of the one before."""
+    In complete mode each micro-batch's result takes the place of the one before.  root: the folder of an earlier run of
+    the same stream, which this one goes on from."""
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/lodestar-stream-{uuid.uuid4().hex}"
+    root = root or f"{shared_dir(spark)}/lodestar-stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{root}/rows").start()

@@ -1,8 +1,12 @@
 """Core operators on small tables: the cases whose results are fixed."""
 
+import datetime
 import hashlib
 import io
+import itertools
+import math
 import re
+import time
 import zipfile
 
 import numpy as np
@@ -12,7 +16,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import fingerprint, formats, text
 from lodestar.operators import catalog, chunking, dedup, layout, requests, retrieval, titles, uploads, upsert
 from lodestar.sources import documents
-from lodestar.streaming import pipelines
+from lodestar.streaming import pipelines, stateful, tables
 
 
 def one(spark, column, **values):
@@ -430,3 +434,96 @@ def test_jobs_and_counts(spark):
     docs = spark.createDataFrame([("d", 9)], "id string, total_chunks int")
     parts = spark.createDataFrame([("d", None), ("d", 1)], "document_id string, embedding int")
     assert upsert.recount(docs, parts, parts.limit(0)).select("total_chunks", "embedded_chunks", "total_qa").first() == (2, 1, 0)
+
+
+def test_masks_find_all_pairs_that_share_a_band(spark):
+    rng = np.random.default_rng(9)
+    base = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 40)]
+    prints = []
+    for i in range(600):
+        h = base[i % 40] & (2**64 - 1)
+        for b in rng.choice(64, int(rng.integers(0, 8)), replace=False):
+            h ^= 1 << int(b)
+        prints.append((i, h - 2**64 if h >> 63 else h))
+    df = spark.createDataFrame(prints, "doc_id long, simhash long")
+    for most, n in ((3, 10), (3, 10**6), (3, 10**9), (6, 10**6), (0, 10**6), (1, 10**9)):
+        masks = [m & (2**64 - 1) for m in dedup.key_masks(most, n)]
+        rep = {}
+        for i, h in prints:
+            rep[h & (2**64 - 1)] = min(i, rep.get(h & (2**64 - 1), i))
+        for x, y in itertools.combinations(sorted(rep), 2):
+            d = x ^ y
+            if d.bit_count() <= most and any(not d >> (16 * b) & 65535 for b in range(4)):
+                assert any(not d & m for m in masks)
+        if n > 1000:
+            assert min(m.bit_count() for m in masks) >= min(40, math.log2(n)) or most == 0
+    want = {(min(rep[x], rep[y]), max(rep[x], rep[y]), (x ^ y).bit_count()) for x, y in itertools.combinations(rep, 2) if (x ^ y).bit_count() <= 6 and any(not (x ^ y) >> (16 * b) & 65535 for b in range(4))}
+    got = [tuple(r) for r in dedup.band_pairs(df, 6).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_null_texts_are_short_items(spark):
+    df = spark.createDataFrame([("d", 0, None), ("d", 1, ""), ("d", 2, "long enough text")], "document_id string, ord int, text string")
+    assert {r["ord"]: r["verdict"] for r in dedup.greedy(df, 10).collect()} == {0: "short", 1: "short", 2: "kept"}
+
+
+def test_near_duplicate_stream_goes_on_and_forgets(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(30)]
+    items = []
+    for i in range(60):
+        text = " ".join(rng.choice(words, 12)) if i % 3 else items[-1][2] + (" x" if i % 2 else "") if items else "start"
+        items.append(("ab"[i % 2] if i % 5 else "a", i, text))
+    df = spark.createDataFrame(items, "document_id string, ord int, text string")
+    want = {(r["document_id"], r["ord"]): r["verdict"] for r in dedup.greedy(df, 5, 8).collect()}
+    (tmp_path / "in").mkdir()
+    stream = pipelines.file_stream(spark, f"{tmp_path}/in", df.schema)
+    with stateful.state_store(spark, idle=False):
+        for part in (df.where("ord < 25"), df.where("ord >= 25")):
+            part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            out = pipelines.run_once(stateful.near_duplicates(stream, 5, 8), root=f"{tmp_path}/out")
+        assert {(r["within"], r["ord"]): r["verdict"] for r in out.collect()} == want
+        assert {"kept", "exact"} <= set(want.values())
+        # what was seen is forgotten after its time
+        for _ in range(2):
+            df.where("ord = 1").coalesce(1).write.mode("append").parquet(f"{tmp_path}/late")
+            late = pipelines.file_stream(spark, f"{tmp_path}/late", df.schema)
+            out = pipelines.run_once(stateful.near_duplicates(late, 5, 8, ttl_ms=200), root=f"{tmp_path}/late-out")
+            time.sleep(1)
+    assert [r["verdict"] for r in out.collect()] == ["kept", "kept"]
+
+
+def test_tasks_expire_by_the_clock_of_the_stream(spark, tmp_path):
+    day = datetime.datetime(2024, 1, 1)
+    at = lambda h: day + datetime.timedelta(hours=h)
+    first = [(1, "uploading", None, at(0)), (2, "uploading", "slow", at(0)), (3, "uploading", None, at(0)), (4, "completed", None, at(0)), (5, "uploading", None, at(20))]
+    then = [(3, "completed", None, at(10)), (1, "uploading", None, at(5)), (6, "uploading", None, at(30)), (7, "completed", None, at(30))]
+    schema = "task_id long, status string, error_message string, updated_at timestamp"
+    with stateful.state_store(spark, idle=True):
+        for part in (first, then):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = pipelines.file_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema)
+            out = pipelines.run_once(stateful.expired(stream, 24, late="20 hours"), root=f"{tmp_path}/out")
+    assert sorted(tuple(r) for r in out.collect()) == []  # the clock stands at hour 10
+    with stateful.state_store(spark, idle=True):
+        spark.createDataFrame([(8, "completed", None, at(50))], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = pipelines.file_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema)
+        out = pipelines.run_once(stateful.expired(stream, 24, late="20 hours"), root=f"{tmp_path}/out")
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "failed", "expired"), (2, "failed", "slow")]
+
+
+def test_a_repeated_batch_counts_once(spark, tmp_path):
+    table = tables.VersionedTable(spark, str(tmp_path / "jobs"))
+    fields = "job_id long, seq long, ts timestamp, status string, stage_detail string, " + ", ".join(f"d_{c} int" for c in upsert.COUNTERS)
+    t0 = datetime.datetime(2024, 1, 1)
+    rows = [(i % 3, i, t0 + datetime.timedelta(minutes=i), [None, "pending", "running", "completed"][i % 4], f"d{i}" if i % 2 else None, *([i] * len(upsert.COUNTERS))) for i in range(30)]
+    df = spark.createDataFrame(rows, fields)
+    fold = tables.merging(table, lambda before, new: upsert.merged_states(before, upsert.job_states(new)))
+    assert table.read() is None
+    for number, (lo, hi) in enumerate(((0, 10), (10, 20), (20, 30))):
+        batch = df.where(f"seq >= {lo} and seq < {hi}")
+        fold(batch, number)
+        fold(batch, number)  # as after a failure between write and commit
+    got, want = upsert.progress_of(table.read()), upsert.job_progress(df)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    assert len(table._versions()) == 2
