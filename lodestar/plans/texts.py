@@ -9,6 +9,7 @@ from lodestar.functions import fingerprint, text
 from lodestar.operators import catalog, chunking, dedup, ingest, layout, retrieval, titles
 from lodestar.sources import documents as sources
 
+from . import chunk_sql
 from .registry import query, table
 
 
@@ -226,12 +227,15 @@ def title_keys(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.title_key(name).alias("key"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_LINES}, b AS (SELECT document_id AS doc, ord, text, page, '' AS path, CASE WHEN level > 0 THEN 'heading' ELSE 'body' END AS kind, level FROM k), {chunk_sql.chunks("b", chunking.Limits())}
+SELECT doc AS document_id, chunk_index::INT AS chunk_index, page_start::INT AS page_start, page_end::INT AS page_end, how AS split_strategy, length(text)::INT AS char_count, md5(text) AS text_md5 FROM chunks"""
+)
 def chunked_documents(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_blocks(layout.section_paths(_lines(spark, d))).select("document_id", "chunk_index", "page_start", "page_end", "split_strategy", "char_count", F.md5("text").alias("text_md5"))
 
 
-@query()
+@query(f"WITH RECURSIVE d AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents), {chunk_sql.parts('d', 800, 120)} SELECT id AS doc_id, part::INT AS part, length(text)::INT AS n_chars, md5(text) AS text_md5 FROM parts")
 def recursive_parts(spark: SparkSession, d: str) -> DataFrame:
     return chunking.split_texts(table(spark, d, "documents")).select("doc_id", "part", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 

@@ -9,12 +9,14 @@ import re
 import time
 import zipfile
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import fingerprint, formats, text
 from lodestar.operators import catalog, chunking, dedup, layout, requests, retrieval, titles, uploads, upsert
+from lodestar.plans import chunk_sql
 from lodestar.sources import documents
 from lodestar.streaming import pipelines, stateful, tables
 
@@ -191,111 +193,79 @@ def plain_tail(text, n):
     return end[m.end() :] if m and m.end() < len(end) else end
 
 
-def plain_parts(text, size, overlap):
-    if len(text) <= size:
-        return [text] if text.strip() else []
+def test_places_for_cuts():
+    text = "ab\n\ncd。ef，gh ij。" + "x" * 9 + "，y"
+    assert chunking.cut_places(text, 100).tolist() == [0, len(text)]
+    assert [text[i:j] for i, j in itertools.pairwise(chunking.cut_places(text, 10))] == ["ab\n\n", "cd。", "ef，gh ij。", "x" * 9 + "，", "y"]
+    assert [text[i:j] for i, j in itertools.pairwise(chunking.cut_places(text, 8))] == ["ab\n\n", "cd。", "ef，", "gh ij。", "x" * 8, "x，", "y"]
 
-    def cut(part, marks):
-        if len(part) <= size:
-            return [part] if part else []
-        if not marks:
-            return [part[i : i + size] for i in range(0, len(part), size)]
-        bits = part.split(marks[0])
-        return [x for i, b in enumerate(bits) for x in cut(b + marks[0] * (i < len(bits) - 1), marks[1:])]
 
-    out, held = [], ""
-    for x in cut(text, ["\n\n", "\n", "。", "！", "？", "；", "…", "，", "、", " "]):
-        if held and len(held) + len(x) > size:
-            out.append(held)
-            held = plain_tail(held, overlap) + x
-        else:
-            held += x
-    return [x for x in [*out, held] if x.strip()]
-
-
-def test_recursive_parts_equal_a_recursion(spark):
+def test_recursive_parts_by_their_properties(spark):
     assert chunking.tail("甲乙。丙丁", 10) == "丙丁" == one(spark, text.tail_overlap(F.col("t"), 10), t="甲乙。丙丁")
     assert chunking.tail("甲…乙丙", 3) == "…乙丙" == one(spark, text.tail_overlap(F.col("t"), 3), t="甲…乙丙")
     rng = np.random.default_rng(5)
     signs = list("甲乙丙丁戊己庚ab") + ["。", "，", "\n", "\n\n", " ", "…", "！"]
-    texts = ["".join(rng.choice(signs, int(rng.integers(0, 400)))) for _ in range(60)] + ["x" * 300, "", "  "]
+    texts = ["".join(rng.choice(signs, int(rng.integers(0, 400)))) for _ in range(60)] + ["x" * 300, "", "  ", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     got = {}
-    for r in chunking.split_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), 40, 12).orderBy("doc_id", "part").collect():
+    for r in chunking.split_texts(df, 40, 12).orderBy("doc_id", "part").collect():
         got.setdefault(r["doc_id"], []).append(r["text"])
-    assert all(got.get(i, []) == plain_parts(t, 40, 12) for i, t in enumerate(texts))
-
-
-def plain_chunks(blocks, lim):
-    """Passages (text, first page, last page, path, kind) by the rules, step by step over one document."""
-    rough, lines, path, kind, pages, old, level = [], [], [], "body", [], "", 0
-
-    def shut(carry):
-        nonlocal lines, pages, old
-        text = "\n".join([old] * bool(old) + lines).strip()
-        done = bool(lines) and bool(text)
-        if done:
-            rough.append([text, pages[0], max(pages), path, kind])
-        old = plain_tail(text, lim.overlap) if carry and done and len(text) <= lim.split_above else ""
-        lines, pages = [], []
-
-    def length():
-        return len(old) + sum(len(x) + 1 for x in lines)
-
-    for text, page, own, what, depth in blocks:
-        text = text.strip()
-        if not text:
-            continue
-        head = what == "heading" and depth > 0
-        if head:
-            if (lines or old) and (level == 0 or depth < level or depth == level and length() >= lim.size // 2):
-                shut(False)
-            level = depth
-        if not lines:
-            path, kind = own, what
-        lines.append(text)
-        pages.append(page)
-        if not head and length() >= lim.size:
-            shut(True)
-    shut(False)
-    cut = []
-    for r in rough:
-        cut += [r] if len(r[0]) <= lim.split_above else [[x.strip(), *r[1:]] for x in plain_parts(r[0], lim.size, lim.overlap)] or [r]
-    out, late = [], None
-
-    def add(to, more):
-        if len(to[0]) + len(more[0]) > lim.most:
-            return False
-        to[0], to[2] = f"{to[0]}\n{more[0]}", max(to[2], more[2])
-        return True
-
-    for c in map(list, cut):
-        if late:
-            if add(c, late):
-                c[1] = late[1]
-            elif out:
-                add(out[-1], late)
-            late = None
-        if len(c[0]) < lim.least:
-            if not (out and add(out[-1], c)):
-                late = c
-        else:
-            out += [c] if len(c[0]) <= lim.most else [[x, *c[1:]] for x in plain_parts(c[0], lim.size, lim.overlap)]
-    if late and out:
-        add(out[-1], late)
-    return [tuple(c) for c in out]
-
-
-def test_chunks_equal_a_plain_version():
+    for i, t in enumerate(texts):
+        found, places, at, before = got.get(i, []), set(chunking.cut_places(t or "", 40).tolist()), 0, ""
+        if "\n\n\n" not in (t or "") and not any(not p.strip() for p in found):
+            for part in found:
+                held = chunking.tail(before, 12)
+                at = t.index(part[len(held) :], at)  # blank parts may stand between two
+                assert part.startswith(held) and {at, at + len(part) - len(held)} <= places
+                at, before = at + len(part) - len(held), part
+        assert all(len(p) <= 52 and p.strip() for p in found)
+    con = duckdb.connect()
+    con.register("d", df.fillna("").withColumnRenamed("doc_id", "id").toPandas())
+    want = con.sql(f"WITH RECURSIVE {chunk_sql.parts('d', 40, 12)} SELECT id, text FROM parts ORDER BY id, part").fetchall()
+    assert want == [(i, p) for i in sorted(got) for p in got[i]]
+
+
+@pytest.mark.parametrize("limits", [chunking.Limits(60, 15, 100, 20, 150), chunking.Limits(40, 30, 200, 30, 90), chunking.Limits(30, 0, 50, 10, 60)])
+def test_chunks_equal_sql(spark, limits):
     rng = np.random.default_rng(21)
-    lim = chunking.Limits(size=60, overlap=15, split_above=100, least=20, most=150)
-    for _ in range(200):
-        blocks = []
+    rows = []
+    for doc in range(60):
         for i in range(int(rng.integers(0, 30))):
             depth = int(rng.integers(0, 4)) if rng.random() < 0.3 else 0
-            text = " " * int(rng.random() < 0.1) if rng.random() < 0.05 else "".join(rng.choice(list("甲乙丙丁。，ab \n"), int(rng.choice([3, 12, 40, 130, 300], p=[0.3, 0.3, 0.25, 0.1, 0.05]))))
-            blocks.append((text, i // 4 + 1, [f"h{depth}{i}"], "heading" if depth else "body", depth))
-        got = [(p.text, p.page_start, p.page_end, p.section_path, p.block_type) for p in chunking.chunk(blocks, lim)]
-        assert got == plain_chunks(blocks, lim)
+            text = [" ", None][i % 2] if rng.random() < 0.05 else "".join(rng.choice(list("甲乙丙丁。，ab \n"), int(rng.choice([3, 12, 40, 130, 300], p=[0.3, 0.3, 0.25, 0.1, 0.05]))))
+            kind = "heading" if depth else ["body", None][rng.random() < 0.03]
+            rows.append((f"d{doc}", i, text, None if rng.random() < 0.05 else i // 4, f"h{depth}{i}", kind, None if rng.random() < 0.03 else depth))
+    df = spark.createDataFrame(rows, "document_id string, ord int, text string, page int, path string, block_type string, heading_level int").repartition(5)
+    out = chunking.chunk_blocks(df.withColumn("section_path", F.array("path")), limits)
+    got = [(r["document_id"], r["chunk_index"], r["text"], r["page_start"], r["page_end"], r["section_path"][0], r["block_type"], r["split_strategy"]) for r in out.orderBy("document_id", "chunk_index").collect()]
+    con = duckdb.connect()
+    con.register("p", df.toPandas())
+    b = "SELECT document_id AS doc, ord, text, TRY_CAST(page AS BIGINT) AS page, path, coalesce(block_type, 'body') AS kind, TRY_CAST(heading_level AS BIGINT) AS level FROM p"
+    want = con.sql(f"WITH RECURSIVE b AS ({b}), {chunk_sql.chunks('b', limits)} SELECT doc, chunk_index, text, page_start, page_end, path, kind, how FROM chunks ORDER BY doc, chunk_index").fetchall()
+    assert got == want and len({r[7] for r in got}) >= 2
+
+
+def test_chunks_keep_all_text_and_stay_within_bounds(spark):
+    lim = chunking.Limits(size=50, overlap=0, split_above=80, least=1, most=120)
+    rows = [("d", i, f"block {i} " + "word. " * (i % 12), i + 1, "body", 0) for i in range(80)] + [("e", 0, "alone", 1, "heading", 1)]
+    df = spark.createDataFrame(rows, "document_id string, ord int, text string, page int, block_type string, heading_level int").withColumn("section_path", F.array(F.lit("s")))
+    out = chunking.chunk_blocks(df, lim).orderBy("document_id", "chunk_index").collect()
+    assert "".join("".join(r["text"].split()) for r in out if r["document_id"] == "d") == "".join("".join(t.split()) for d, _, t, *_ in rows if d == "d")
+    assert all(r["char_count"] <= lim.most and r["page_start"] <= r["page_end"] for r in out)
+    assert [r["text"] for r in out if r["document_id"] == "e"] == ["alone"]
+
+
+def test_a_splitter_that_fails_loses_nothing(spark):
+    def split(t):
+        if "bad" in t:
+            raise RuntimeError("no model")
+        return [t[:40], t[40:]]
+
+    lim = chunking.Limits(size=50, overlap=0, split_above=60, least=1, most=100)
+    rows = [("good", 0, "x" * 70, 1, "body", 0), ("bad", 0, "bad " * 20, 1, "body", 0)]
+    df = spark.createDataFrame(rows, "document_id string, ord int, text string, page int, block_type string, heading_level int").withColumn("section_path", F.array(F.lit("s")))
+    out = {(r["document_id"], r["split_strategy"]) for r in chunking.chunk_blocks(df, lim, split).collect()}
+    assert out == {("good", "semantic"), ("bad", "recursive")}
 
 
 def test_normal_forms_and_null_texts(spark):
