@@ -96,10 +96,17 @@ def keyword(text: str) -> str:
     return "".join(c for c in text if c not in '*,()"\\').strip()
 
 
+@F.pandas_udf(StringType())
+def plain_ascii(s: pd.Series) -> pd.Series:
+    """NFKD of each text without what isn't ASCII, so letters lose their marks; in Arrow batches."""
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
+
+
 def slug(c: Column) -> Column:
-    """ASCII words joined by hyphens, 48 characters at most; letters outside ASCII are dropped."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return F.regexp_replace(F.substring(plain, 1, 48), "-+$", "")
+    """ASCII words joined by hyphens, 48 characters at most; letters lose their marks, other letters are dropped.
+
+    Titles in other scripts go through operators.slugs.transliterate first."""
+    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(plain_ascii(c)), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 48)
 
 
 def library_code(title: Column, ident: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import formats, text
 from lodestar.operators import catalog, layout, requests, retrieval, titles, uploads, upsert
+from lodestar.operators import slugs as slug
 
 from .registry import query, table
 
@@ -197,14 +198,14 @@ def query_texts(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """WITH d AS (SELECT o_orderkey AS document_id, o_orderdate AS doc_at FROM orders WHERE o_orderstatus <> 'F'), q AS (SELECT l_orderkey AS document_id, l_linenumber, l_partkey, l_suppkey, l_shipdate FROM lineitem),
 n AS (SELECT q.*, doc_at, CASE WHEN l_linenumber % 5 > 0 THEN l_linenumber END AS chunk FROM q JOIN d USING (document_id))
-SELECT document_id, l_partkey AS part, (row_number() OVER (ORDER BY doc_at, document_id, chunk NULLS LAST, l_shipdate, l_linenumber, l_partkey, l_suppkey) - 1)::INT AS pos FROM n"""
+SELECT l_suppkey::VARCHAR AS script_code, document_id, l_partkey AS part, (row_number() OVER (PARTITION BY l_suppkey ORDER BY doc_at, document_id, chunk NULLS LAST, l_shipdate, l_linenumber, l_partkey, l_suppkey) - 1)::INT AS pos FROM n"""
 )
 def title_order(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.struct("o_orderdate", "o_orderkey").alias("created_at"), (F.col("o_orderstatus") != "F").alias("is_active"), F.lit(None).cast("timestamp").alias("deleted_at"))
     l = table(spark, d, "lineitem")
-    qa = l.select(F.lit("s").alias("script_code"), F.col("l_orderkey").alias("document_id"), F.when(F.col("l_linenumber") % 5 > 0, F.col("l_linenumber")).alias("chunk_id"), F.col("l_shipdate").alias("created_at"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.col("l_partkey").alias("part"))
+    qa = l.select(F.col("l_suppkey").cast("string").alias("script_code"), F.col("l_orderkey").alias("document_id"), F.when(F.col("l_linenumber") % 5 > 0, F.col("l_linenumber")).alias("chunk_id"), F.col("l_shipdate").alias("created_at"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.col("l_partkey").alias("part"))
     chunks = l.select(F.col("l_linenumber").alias("id"), F.col("l_linenumber").alias("chunk_index")).distinct()
-    return titles.title_list(qa, docs, chunks).select("document_id", "part", "pos")
+    return titles.title_list(qa, docs, chunks).select("script_code", "document_id", "part", "pos")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'kept' END AS title FROM documents")
@@ -413,7 +414,7 @@ def refused_patches(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id, json_extract_string(props, '$.k')::INT AS k, user_id AS u FROM events")
 def merged_json(spark: SparkSession, d: str) -> DataFrame:
     new = F.to_json(F.struct(F.col("user_id").alias("u")))
-    merged = F.from_json(catalog.merge_json(F.concat(F.lit('{"u": "old", '), F.substring("props", 2, 1000)), new), "k int, u long")
+    merged = F.from_json(catalog.merge_json(F.concat(F.lit('{"u": "old", '), F.expr("substr(props, 2)")), new), "k int, u long")
     return table(spark, d, "events").select("event_id", merged["k"].alias("k"), merged["u"].alias("u"))
 
 
@@ -443,10 +444,25 @@ def gender_violations(spark: SparkSession, d: str) -> DataFrame:
 # texts and layout
 
 
-@query("SELECT s_suppkey, 'supplier-' || lpad(s_suppkey::VARCHAR, 9, '0') AS slug, CASE WHEN s_nationkey = 3 THEN 'id' || s_suppkey ELSE 'supplier-' || lpad(s_suppkey::VARCHAR, 9, '0') END AS code FROM supplier")
+#: Terms and their syllables, as a library would keep them in a table.
+_TERMS = [("雾", ["wu"]), ("都", ["du"]), ("雾都", ["wu", "du"]), ("疑影", ["yi", "ying"]), ("山", ["shan"]), ("母", ["mu"]), ("鬼", ["gui"]), ("重", ["zhong"]), ("重庆", ["chong", "qing"]), ("都城", ["du", "cheng"])]
+_NAMES = ["Café Ñandú ", "雾都疑影", "山母鬼", "老重庆 重 ", "雾都城", "标题"]
+_NAMED = f"""t AS (SELECT s_suppkey, CASE s_suppkey % 7 {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_NAMES))} ELSE s_name END || CASE WHEN s_suppkey % 7 < 5 THEN (s_suppkey % 40)::VARCHAR ELSE '' END AS title FROM supplier),
+d AS (SELECT list({{'n': length(term), 'term': term, 'said': said}} ORDER BY length(term) DESC) AS terms FROM (VALUES {', '.join(f"('{t}', '-{'-'.join(x)}-')" for t, x in _TERMS)}) AS v(term, said)),
+r AS (SELECT DISTINCT title, 1::BIGINT AS place, ''::VARCHAR AS said FROM t UNION ALL
+  SELECT title, place + coalesce(best.n, 1), said || coalesce(best.said, substring(title, place, 1)) FROM (
+    SELECT r.*, list_filter(terms, lambda x: starts_with(substring(title, place), x.term))[1] AS best FROM r, d WHERE place <= length(title))),
+s AS (SELECT title, substring(trim(regexp_replace(regexp_replace(lower(strip_accents(said)), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-'), 1, 48) AS slug FROM r WHERE place > length(title))"""
+
+
+@query(f"WITH RECURSIVE {_NAMED} SELECT s_suppkey, slug, lower(CASE WHEN slug = '' THEN 'ID' || s_suppkey ELSE slug END) AS code FROM t JOIN s USING (title)")
 def slugs(spark: SparkSession, d: str) -> DataFrame:
-    title = F.when(F.col("s_nationkey") == 3, "标题").otherwise(F.col("s_name"))
-    return table(spark, d, "supplier").select("s_suppkey", text.slug(F.col("s_name")).alias("slug"), text.library_code(title, F.concat(F.lit("ID"), F.col("s_suppkey").cast("string"))).alias("code"))
+    k = F.col("s_suppkey") % 7
+    name = F.coalesce(F.get(F.array(*map(F.lit, _NAMES)), k.cast("int")), F.col("s_name"))
+    rows = table(spark, d, "supplier").select("s_suppkey", F.concat(name, F.when(k < 5, (F.col("s_suppkey") % 40).cast("string")).otherwise("")).alias("title"))
+    terms = spark.createDataFrame(_TERMS, "term string, syllables array<string>")
+    read = slug.transliterate(rows, terms, "title", "said")
+    return read.select("s_suppkey", text.slug(F.col("said")).alias("slug"), text.library_code(F.col("said"), F.concat(F.lit("ID"), F.col("s_suppkey").cast("string"))).alias("code"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_nationkey = c_custkey % 25 THEN c_nationkey::VARCHAR ELSE c_nationkey || ',' || c_custkey % 25 END AS parts FROM customer")

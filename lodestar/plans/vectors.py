@@ -114,11 +114,13 @@ def answer_context(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.answer_context(hits)
 
 
-@query("SELECT label, '[' || string_agg(printf('%.4f', e), ',' ORDER BY vec_id) || ']' AS firsts FROM (SELECT vec_id, label, embedding[1]::DOUBLE AS e FROM embeddings) GROUP BY label")
+@query("SELECT vec_id, printf('%.4f', embedding[1]::DOUBLE) AS first, printf('%.4f', embedding[-1]::DOUBLE) AS last, len(embedding)::INT AS n FROM embeddings")
 def stored_vectors(spark: SparkSession, d: str) -> DataFrame:
-    first = F.format_string("%.4f", F.get(F.from_json(vector.stored(F.col("embedding")), "array<double>"), F.lit(0)))
-    rows = table(spark, d, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", first.alias("e")))).alias("v"))
-    return rows.select("label", F.concat(F.lit("["), F.array_join(F.transform("v", lambda x: x["e"]), ","), F.lit("]")).alias("firsts"))
+    """Vectors through their stored text and back."""
+    back = F.from_json(vector.stored(F.col("embedding")), "array<double>")
+    rows = table(spark, d, "embeddings").select("vec_id", back.alias("v"))
+    ends = (F.format_string("%.4f", F.element_at("v", i)).alias(name) for i, name in ((1, "first"), (-1, "last")))
+    return rows.select("vec_id", *ends, F.size("v").alias("n"))
 
 
 def _told(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Column]:

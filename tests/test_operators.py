@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import fingerprint, formats, text
-from lodestar.operators import catalog, chunking, dedup, layout, requests, retrieval, titles, uploads, upsert
+from lodestar.operators import catalog, chunking, dedup, layout, requests, retrieval, slugs, titles, uploads, upsert
 from lodestar.plans import chunk_sql
 from lodestar.sources import documents
 from lodestar.streaming import pipelines, stateful, tables
@@ -497,3 +497,13 @@ def test_a_repeated_batch_counts_once(spark, tmp_path):
     got, want = upsert.progress_of(table.read()), upsert.job_progress(df)
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
     assert len(table._versions()) == 2
+
+
+def test_slugs_of_other_scripts(spark):
+    terms = spark.createDataFrame([("雾", ["wu"]), ("雾都", ["wu", "du"]), ("疑影", ["yi", "ying"]), ("山", ["shan"]), ("母", ["mu"]), ("鬼", ["gui"]), ("都疑", ["no"]), ("", ["no"]), ("山", ["zzz"])], "term string, syllables array<string>")
+    titles_ = {"雾都疑影": "wu-du-yi-ying", "山母鬼3": "shan-mu-gui-3", "Café 3": "cafe-3", "雾x母": "wu-x-mu", "？！": "", "": "", None: None, "字": "", "ﬁn ²": "fin-2", "a" * 47 + " bc": "a" * 47 + "-"}
+    rows = spark.createDataFrame([(t,) for t in titles_] * 2, "title string").withColumns({"term": F.lit("x"), "at": F.lit(1), "n": F.lit(2)})
+    got = slugs.slugs(rows, terms)
+    assert got.count() == 2 * len(titles_) and got.columns == [*rows.columns, "slug"]
+    assert {r["title"]: r["slug"] for r in got.collect()} == titles_
+    assert slugs.slugs(rows, terms.limit(0)).where("title = 'Café 3'").first()["slug"] == "cafe-3"
