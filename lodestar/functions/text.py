@@ -17,6 +17,7 @@ from pyspark.sql.types import StringType
 
 # Character classes and patterns that results depend on (Java and RE2 syntax, white space spelt out).
 SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+NOT_SPACE = "[^" + SPACE[1:]
 DECORATION = r"[…·•▪◦●○■□◆▲★☆※\x{3000}\-—–_=~`|]+"
 SENTENCE_MARKS = "。！？!?；;…\n"
 TAIL_MARKS = "。！？!?；;\n"

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import LIST_ITEM, SENTENCE_END, compare_key, is_heading_like, is_noise, strip
+from lodestar.functions.text import LIST_ITEM, NOT_SPACE, SENTENCE_END, compare_key, is_heading_like, is_noise, strip
 from lodestar.shared import keep
 
 LEVELS = 6
@@ -48,39 +48,49 @@ def paragraphs(lines: DataFrame) -> DataFrame:
 
     A line begins a paragraph where its size differs by LARGER from the line before, or where it looks like a heading
     behind an ended sentence.  Lines join without a blank, as Chinese is set, but for two that meet in ASCII letters or
-    digits, or by a line break before a heading.  Sizes are medians over characters.  Windows over a block's lines and
-    one aggregate; blank lines don't count."""
-    seen = F.filter("spans", lambda s: strip(s["text"]) != "")
-    sizes = F.flatten(F.transform(seen, lambda s: F.array_repeat(s["size"].cast("double"), F.length(s["text"]))))
-    bold = F.aggregate(seen, F.lit(0), lambda n, s: n + F.when(s["flags"].bitwiseAND(BOLD_FLAG) != 0, F.length(s["text"])).otherwise(0))
+    digits, or by a line break before a heading.  Sizes are medians over characters, from one count for each size.
+    Windows over a block's lines and one aggregate on the same shuffle; blank lines don't count."""
+    seen = F.filter("spans", lambda s: s["text"].rlike(NOT_SPACE))
     text = strip(F.array_join(F.transform("spans", lambda s: F.coalesce(s["text"], F.lit(""))), ""))
-    own = lines.select("document_id", "page", "block_no", "line_no", text.alias("text"), sizes.alias("sizes"), bold.alias("bold")).where("text <> ''")
-    own = own.withColumn("size", _median("sizes"))
-    block = Window.partitionBy("document_id", "page", "block_no").orderBy("line_no")
+    key = ["document_id", "page", "block_no"]
+    own = lines.select(*key, "line_no", text.alias("text"), F.transform(seen, lambda s: F.struct(s["size"].cast("double").alias("size"), F.length(s["text"]).alias("n"), (s["flags"].bitwiseAND(BOLD_FLAG) != 0).alias("bold"))).alias("seen"))
+    bold = F.aggregate("seen", F.lit(0), lambda n, s: n + F.when(s["bold"], s["n"]).otherwise(0))
+    own = own.where("text <> ''").select(*key, "line_no", "text", _counted(F.col("seen")).alias("counts"), bold.alias("bold"))
+    own = own.withColumn("size", _median(F.col("counts")))
+    block = Window.partitionBy(*key).orderBy("line_no")
     before, last = F.lag("text").over(block), F.lag("size").over(block)
-    ratio = F.when((last > 0) & (F.col("size") > 0), F.col("size") / last)
-    heads = is_heading_like(F.col("text")) & before.rlike(SENTENCE_END)
-    breaks = (ratio >= LARGER) | (ratio <= 1 / LARGER) | (ratio.isNotNull() & heads)
-    own = own.withColumn("part", F.sum(F.when(F.coalesce(breaks, F.lit(False)), 1).otherwise(0)).over(block))
-    own = own.withColumn("before", F.lag("text").over(Window.partitionBy("document_id", "page", "block_no", "part").orderBy("line_no")))
+    own = own.withColumns({"before": before, "last": last, "heads": is_heading_like(F.col("text"))}).withColumn("ended", F.col("before").rlike(SENTENCE_END))
+    ratio = F.when((F.col("last") > 0) & (F.col("size") > 0), F.col("size") / F.col("last"))
+    breaks = (ratio >= LARGER) | (ratio <= 1 / LARGER) | (ratio.isNotNull() & F.col("heads") & F.col("ended"))
+    own = own.withColumn("begins", F.col("before").isNull() | F.coalesce(breaks, F.lit(False)))
+    own = own.withColumn("part", F.sum(F.when(F.col("begins"), 1).otherwise(0)).over(block) - 1)
     ascii_ends = F.col("before").rlike("[A-Za-z0-9]$") & F.col("text").rlike("^[A-Za-z0-9]")
-    link = (
-        F.when(F.col("before").isNull(), "").when(F.col("before").rlike(SENTENCE_END) & is_heading_like(F.col("text")), "\n")
-        .when(F.col("before").rlike(UNFINISHED), "").when(ascii_ends, " ").otherwise("")
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", F.concat(link, "text").alias("text"), "sizes")))
-    out = own.groupBy("document_id", "page", "block_no", "part").agg(ordered.alias("l"), F.sum("bold").alias("bold"))
-    out = out.withColumn("sizes", F.flatten(F.transform("l", lambda x: x["sizes"])))
-    return out.select(
-        "document_id", "page", "block_no", F.col("part").cast("int").alias("part"), F.array_join(F.transform("l", lambda x: x["text"]), "").alias("text"),
-        F.coalesce(_median("sizes"), F.lit(0.0)).alias("font_size"), F.coalesce(F.try_divide(F.col("bold"), F.size("sizes")) >= BOLD_SHARE, F.lit(False)).alias("is_bold"),
-    )
-
-
-def _median(numbers: str) -> Column:
-    """Of an array; the mean of the two in the middle."""
-    n, s = F.size(numbers), F.array_sort(F.col(numbers))
-    return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
+    link = F.when(F.col("begins"), "").when(F.col("ended") & F.col("heads"), "\n").when(F.col("before").rlike(UNFINISHED), "").when(ascii_ends, " ").otherwise("")
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", F.concat(link, "text").alias("text"), "counts")))
+    out = own.groupBy(*key, "part").agg(ordered.alias("l"), F.sum("bold").alias("bold"))
+    counts = F.flatten(F.transform("l", lambda x: x["counts"]))
+    out = out.select(*key, F.col("part").cast("int").alias("part"), F.array_join(F.transform("l", lambda x: x["text"]), "").alias("text"), _counted(counts).alias("counts"), "bold")
+    total = F.aggregate("counts", F.lit(0), lambda n, x: n + x["n"])
+    return out.select(*key, "part", "text", F.coalesce(_median(F.col("counts")), F.lit(0.0)).alias("font_size"), F.coalesce(F.try_divide(F.col("bold"), total) >= BOLD_SHARE, F.lit(False)).alias("is_bold"))
+
+
+def _counted(sizes: Column) -> Column:
+    """Each different size of an array of (size, n, ...) once, ascending, with the sum of its n."""
+    some = F.array_sort(F.array_distinct(F.transform(sizes, lambda x: x["size"])))
+    return F.transform(some, lambda z: F.struct(z.alias("size"), F.aggregate(F.filter(sizes, lambda x: x["size"] == z), F.lit(0), lambda n, x: n + x["n"]).alias("n")))
+
+
+def _median(counts: Column) -> Column:
+    """Of sizes that are counted and ascending; the mean of the two in the middle."""
+    total = F.aggregate(counts, F.lit(0), lambda n, x: n + x["n"])
+    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
+
+    def step(s: Column, x: Column) -> Column:
+        n = s["n"] + x["n"]
+        low = F.coalesce(s["low"], F.when(n > F.floor((total - 1) / 2), x["size"]))
+        return F.struct(n.alias("n"), low.alias("low"), F.coalesce(s["high"], F.when(n > F.floor(total / 2), x["size"])).alias("high"))
+
+    return F.aggregate(counts, start, step, lambda s: (s["low"] + s["high"]) / 2)
 
 
 def calibrate(blocks: DataFrame) -> DataFrame:

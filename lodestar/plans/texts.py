@@ -294,7 +294,28 @@ def stitched_shards(spark: SparkSession, d: str) -> DataFrame:
     return layout.stitch(_lines(spark, d).withColumn("shard_index", F.col("page"))).select("document_id", "ord", "page", F.md5("text").alias("text_md5"))
 
 
-@query()
+def _heading_like(c: str) -> str:
+    return f"({c} <> '' AND length({c}) <= 40 AND regexp_matches({c}, {_quoted('|'.join(f'(?:{p})' for p in text.HEADINGS))}))"
+
+
+def _ended(c: str) -> str:
+    return f"regexp_matches({c}, {_quoted(text.SENTENCE_END)})"
+
+
+@query(
+    f"""WITH {_LINES}, w AS (
+  SELECT document_id, page, ord // 5 AS block_no, ord, {_strip("text || ' '")} AS t, list_filter(string_split(text, ' '), lambda x: {_strip('x')} <> '') AS ws FROM k),
+m AS (SELECT document_id, page, block_no, ord, t, flatten(list_transform(ws, lambda x: list_transform(range(length(x) + 1), lambda i: (length(x) % 4 + 9)::DOUBLE))) AS sizes,
+             coalesce(list_sum(list_transform(ws, lambda x: CASE WHEN length(x) % 3 = 2 THEN length(x) + 1 ELSE 0 END)), 0) AS bold FROM w WHERE t <> ''),
+n AS (SELECT *, list_aggregate(sizes, 'median') AS size FROM m),
+o AS (SELECT *, lag(t) OVER b AS before, lag(size) OVER b AS last FROM n WINDOW b AS (PARTITION BY document_id, page, block_no ORDER BY ord)),
+q AS (SELECT *, before IS NULL OR size / last >= 1.15 OR size / last <= 1 / 1.15::DOUBLE OR ({_heading_like('t')} AND {_ended('before')}) AS begins FROM o),
+r AS (SELECT *, sum(begins::INT) OVER (PARTITION BY document_id, page, block_no ORDER BY ord) - 1 AS part,
+        CASE WHEN begins THEN '' WHEN {_ended('before')} AND {_heading_like('t')} THEN chr(10) WHEN regexp_matches(before, {_quoted(layout.UNFINISHED)}) THEN ''
+             WHEN regexp_matches(before, '[A-Za-z0-9]$') AND regexp_matches(t, '^[A-Za-z0-9]') THEN ' ' ELSE '' END AS link FROM q)
+SELECT document_id, page, block_no::INT AS block_no, part::INT AS part, md5(string_agg(link || t, '' ORDER BY ord)) AS text_md5,
+       list_aggregate(flatten(list(sizes)), 'median') AS font_size, sum(bold) / sum(len(sizes)) >= 0.6 AS is_bold FROM r GROUP BY ALL"""
+)
 def page_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     """Lines of documents as lines of a page's blocks, each word a span."""
     words = F.transform(F.split("text", " "), lambda w: F.struct(F.concat(w, F.lit(" ")).alias("text"), (F.length(w) % 4 + 9).cast("double").alias("size"), (F.length(w) % 3 * 8).cast("int").alias("flags")))
