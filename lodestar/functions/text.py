@@ -17,12 +17,13 @@ from pyspark.sql.types import StringType
 
 # Character classes and patterns that results depend on (Java and RE2 syntax, white space spelt out).
 SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-NOT_SPACE = "[^" + SPACE[1:]
+#: The characters of SPACE.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 DECORATION = r"[…·•▪◦●○■□◆▲★☆※\x{3000}\-—–_=~`|]+"
 SENTENCE_MARKS = "。！？!?；;…\n"
 TAIL_MARKS = "。！？!?；;\n"
 #: Every character that DECORATION or SPACE matches, for a single pass of translate().
-DROPPED = "…·•▪◦●○■□◆▲★☆※\u3000-—–_=~`|" + "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F]))
+DROPPED = "…·•▪◦●○■□◆▲★☆※-—–_=~`|" + BLANKS
 SENTENCE_END = r"[。！？!?；;”\"）)\]】]$"
 HEADINGS = (
     r"^第[一二三四五六七八九十百零〇0-9]+[章节回幕part部分篇]",
@@ -41,7 +42,7 @@ KEYWORD_DROPPED = r'[*,()"\\]'
 
 def strip(c: Column) -> Column:
     """Without white space at either end, Unicode white space included."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(c, F.lit(BLANKS))
 
 
 def normal(c: Column) -> Column:

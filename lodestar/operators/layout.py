@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import LIST_ITEM, NOT_SPACE, SENTENCE_END, compare_key, is_heading_like, is_noise, strip
+from lodestar.functions.text import LIST_ITEM, SENTENCE_END, compare_key, is_heading_like, is_noise, strip
 from lodestar.shared import keep
 
 LEVELS = 6
@@ -50,7 +50,7 @@ def paragraphs(lines: DataFrame) -> DataFrame:
     behind an ended sentence.  Lines join without a blank, as Chinese is set, but for two that meet in ASCII letters or
     digits, or by a line break before a heading.  Sizes are medians over characters, from one count for each size.
     Windows over a block's lines and one aggregate on the same shuffle; blank lines don't count."""
-    seen = F.filter("spans", lambda s: s["text"].rlike(NOT_SPACE))
+    seen = F.filter("spans", lambda s: strip(s["text"]) != "")
     text = strip(F.array_join(F.transform("spans", lambda s: F.coalesce(s["text"], F.lit(""))), ""))
     key = ["document_id", "page", "block_no"]
     own = lines.select(*key, "line_no", text.alias("text"), F.transform(seen, lambda s: F.struct(s["size"].cast("double").alias("size"), F.length(s["text"]).alias("n"), (s["flags"].bitwiseAND(BOLD_FLAG) != 0).alias("bold"))).alias("seen"))
@@ -68,8 +68,8 @@ def paragraphs(lines: DataFrame) -> DataFrame:
     link = F.when(F.col("begins"), "").when(F.col("ended") & F.col("heads"), "\n").when(F.col("before").rlike(UNFINISHED), "").when(ascii_ends, " ").otherwise("")
     ordered = F.array_sort(F.collect_list(F.struct("line_no", F.concat(link, "text").alias("text"), "counts")))
     out = own.groupBy(*key, "part").agg(ordered.alias("l"), F.sum("bold").alias("bold"))
-    counts = F.flatten(F.transform("l", lambda x: x["counts"]))
-    out = out.select(*key, F.col("part").cast("int").alias("part"), F.array_join(F.transform("l", lambda x: x["text"]), "").alias("text"), _counted(counts).alias("counts"), "bold")
+    out = out.select(*key, F.col("part").cast("int").alias("part"), F.array_join(F.transform("l", lambda x: x["text"]), "").alias("text"), F.flatten(F.transform("l", lambda x: x["counts"])).alias("counts"), "bold")
+    out = out.withColumn("counts", _counted(F.col("counts")))
     total = F.aggregate("counts", F.lit(0), lambda n, x: n + x["n"])
     return out.select(*key, "part", "text", F.coalesce(_median(F.col("counts")), F.lit(0.0)).alias("font_size"), F.coalesce(F.try_divide(F.col("bold"), total) >= BOLD_SHARE, F.lit(False)).alias("is_bold"))
 
