@@ -309,6 +309,28 @@ def visible(rows: DataFrame, user: str | None, owner: str = "user_id", public: s
     return rows.where(own | F.col(public) if public else own)
 
 
+def visible_through(rows: DataFrame, parents: DataFrame, key: str, user: str | None, ident: str = "id", owner: str = "user_id", public: str | None = None) -> DataFrame:
+    """Rows whose parent the user may see, as the parts of an upload: an EXISTS over the parents."""
+    seen = visible(parents, user, owner, public).select(F.col(ident).alias(key))
+    return rows.join(seen, key, "left_semi")
+
+
+def attach(old: DataFrame, new: DataFrame, ident: str, extra: str = "extra", status: str = "status") -> DataFrame:
+    """Old rows that an import is linked to: its guide (dmGuide or dm_guide in `extra`) is attached, whatever was there,
+    the other keys of `extra` stay, and drafts and rows that were offline or without a status are published.
+
+    Rows without an import stay as they are."""
+    told = F.coalesce(F.get_json_object("__extra", "$.dmGuide"), F.get_json_object("__extra", "$.dm_guide"))
+    kind = "map<string,variant>"
+    own = F.from_json("__extra", kind)
+    guide = F.coalesce(F.try_element_at(own, F.lit("dmGuide")), F.try_element_at(own, F.lit("dm_guide")))
+    joined = old.join(new.select(ident, F.col(extra).alias("__extra"), F.lit(True).alias("__linked")), ident, "left")
+    merged = F.when(told.isNotNull(), merge_json(F.col(extra), F.to_json(F.create_map(F.lit("dmGuide"), guide)))).otherwise(F.col(extra))
+    hidden = F.coalesce(F.col(status).isin("draft", "offline"), F.lit(True))
+    shown = F.when(F.col("__linked") & hidden, F.lit("published")).otherwise(F.col(status))
+    return joined.withColumns({extra: merged, status: shown}).select(*old.columns)
+
+
 def distinct_rank(order: list[Column], *partition: str) -> Column:
     return F.dense_rank().over(Window.partitionBy(*partition).orderBy(*order))
 

@@ -61,6 +61,16 @@ def with_profiles(rows: DataFrame, profiles: DataFrame, roles: dict[str, str]) -
     return rows
 
 
+def question_page(questions: DataFrame, profiles: DataFrame, code: str, status: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
+    """A page of a guide's questions with the nicknames of those who asked and answered, in the page's order (pos)."""
+    from lodestar.operators import upsert
+
+    page = upsert.question_page(questions, code, status, min(100, max(1, limit)), max(0, offset))
+    order = Window.orderBy(F.desc("ask_count"), F.desc("created_at"), F.asc("question_hash"))  # a page, a hundred rows at most
+    page = page.withColumn("pos", F.row_number().over(order) - 1)
+    return with_profiles(page, profiles, {"created_by": "asked_by", "answered_by": "answered_by_name"})
+
+
 def current_document(documents: DataFrame, object_key: str | None) -> DataFrame:
     """Of each script the document of an object key, else the newest."""
     w = Window.partitionBy("script_id").orderBy(F.desc(F.coalesce(F.col("object_key") == F.lit(object_key), F.lit(False))), F.desc("created_at"), F.desc("id"))

@@ -246,6 +246,42 @@ def visible_rows(spark: SparkSession, d: str) -> DataFrame:
     return catalog.visible(e, 8).select("event_id", "user_id")
 
 
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey = 7)")
+def visible_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of the uploads of one user."""
+    tasks = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"))
+    parts = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("task_id"), "l_linenumber")
+    return catalog.visible_through(parts, tasks, "task_id", 7).select(F.col("task_id").alias("l_orderkey"), "l_linenumber")
+
+
+@query(
+    """WITH o AS (SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'draft' WHEN 1 THEN 'offline' WHEN 2 THEN 'published' END AS status, CASE WHEN p_size % 3 > 0 THEN p_size END AS old_guide FROM part),
+n AS (SELECT s_suppkey AS id, CASE WHEN s_nationkey % 3 > 0 THEN s_nationkey END AS guide FROM supplier)
+SELECT o.id, CASE WHEN n.id IS NOT NULL AND (status IS NULL OR status <> 'published') THEN 'published' ELSE status END AS status, coalesce(guide, old_guide)::VARCHAR AS guide, 'a' || o.id AS other FROM o LEFT JOIN n USING (id)"""
+)
+def attached_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Imports attach their guides to the rows that they are linked to, and publish them."""
+    n = F.col("p_size")
+    told = F.struct(F.concat(F.lit("a"), F.col("p_partkey").cast("string")).alias("other"), F.when(n % 3 > 0, n).alias("dmGuide"))
+    old = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(n % 4 == 0, "draft").when(n % 4 == 1, "offline").when(n % 4 == 2, "published").alias("status"), F.to_json(told).alias("extra"))
+    k = F.col("s_nationkey")
+    new = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.to_json(F.when(k % 2 == 0, F.create_map(F.lit("dmGuide"), F.when(k % 3 > 0, k))).otherwise(F.create_map(F.lit("dm_guide"), F.when(k % 3 > 0, k)))).alias("extra"))
+    out = catalog.attach(old, new, "id")
+    return out.select("id", "status", F.get_json_object("extra", "$.dmGuide").alias("guide"), F.get_json_object("extra", "$.other").alias("other"))
+
+
+@query(
+    """WITH q AS (SELECT user_id % 3 AS g, event_type AS question_hash, count(*) AS ask_count, max(ts) AS created_at, min(user_id) AS a, max(user_id) AS z FROM events GROUP BY ALL), f AS (SELECT * FROM q WHERE g = 1)
+SELECT (row_number() OVER (ORDER BY ask_count DESC, created_at DESC, question_hash) - 1)::INT AS pos, question_hash, ask_count, (SELECT count(*) FROM f) AS total, x.c_name AS asked_by, y.c_name AS answered_by_name
+FROM f LEFT JOIN customer AS x ON x.c_custkey = a LEFT JOIN customer AS y ON y.c_custkey = z"""
+)
+def questions_with_profiles(spark: SparkSession, d: str) -> DataFrame:
+    who = [F.min("user_id").alias("created_by"), F.max("user_id").alias("answered_by")]
+    q = table(spark, d, "events").groupBy((F.col("user_id") % 3).cast("string").alias("script_code"), F.col("event_type").alias("question_hash")).agg(F.count("*").alias("ask_count"), F.max("ts").alias("created_at"), *who)
+    profiles = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("nickname"))
+    return requests.question_page(q.withColumn("status", F.lit("pending")), profiles, "1").select("pos", "question_hash", "ask_count", "total", "asked_by", "answered_by_name")
+
+
 # uploads
 
 

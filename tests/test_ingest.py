@@ -2,15 +2,17 @@
 
 import math
 import statistics
+import sys
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from lodestar.functions import text
 from lodestar.operators import chunking, index, ingest, layout
 from lodestar.plans.texts import letter_vectors
-from lodestar.sources import documents
+from lodestar.sources import documents, pages
 
 ENDS, OPEN = "。！？!?；;”\"）)]】", "，,、；;：:（([【“\"'/\\—-"
 
@@ -100,6 +102,55 @@ def test_semantic_pieces_equal_a_plain_version(spark):
     assert all(got.get(i, []) == plain_semantic(t or "", limits) for i, t in enumerate(texts))
 
 
+def test_a_model_that_fails_leaves_its_texts_to_separators(spark):
+    def model(batch):
+        if any("bad" in x for x in batch):
+            raise RuntimeError("no model")
+        return letter_vectors(batch)
+
+    good, bad = "Tea. Stone! River? ".replace(". ", "。").replace("! ", "！") * 6, "bad。" * 60
+    limits = chunking.Limits(size=60, overlap=0, most=120)
+    df = spark.createDataFrame([(1, good), (2, bad)], "doc_id int, text string")
+    out = chunking.semantic_pieces(df, model, limits=limits).collect()
+    assert {(r["doc_id"], r["strategy"]) for r in out} == {(1, "semantic"), (2, "recursive")}
+    assert "".join(r["text"] for r in sorted(out, key=lambda r: r["part"]) if r["doc_id"] == 2) == bad
+
+
+class Fragile:
+    """A made-up reader: the page that reads `broken` raises."""
+
+    def open(self, path):
+        inner = pages.FormFeedText().open(path)
+        whole = inner.page
+
+        def page(n):
+            if "broken" in inner.pages[n - 1]:
+                raise ValueError("broken page")
+            return whole(n)
+
+        inner.page = page
+        return inner
+
+
+def test_page_ranges_are_partitions(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("\f".join("broken" if n == 3 else f"page {n}\nline two\n\nother block {n}" for n in range(1, 46)))
+    (tmp_path / "b.txt").write_text("only page")
+    (tmp_path / "empty.txt").write_text("")
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    a, b, e, gone = (str(tmp_path / x) for x in ("a.txt", "b.txt", "empty.txt", "gone.txt"))
+    docs = spark.createDataFrame([(a, 45), (b, 1), (e, 1), (gone, 2), (f"file://{b}", 1), (a + "none", 0)], "path string, total_pages int")
+    lines = pages.read_shards(docs, Fragile())
+    assert lines.rdd.getNumPartitions() == 6  # 20 and 25 pages of a, and one each
+    got = lines.collect()
+    assert sorted({r["page"] for r in got if r["document_id"] == a}) == [n for n in range(1, 46) if n != 3]
+    assert {(r["shard_index"], r["page"] <= 20) for r in got if r["document_id"] == a} == {(0, True), (1, False)}
+    assert [r["page"] for r in got if r["document_id"] in (b, f"file://{b}")] == [1, 1] and not any(r["document_id"] in (e, gone) for r in got)
+    text = {(r["page"], r["block_no"]): r["text"] for r in layout.paragraphs(lines.where(F.col("document_id") == a)).collect()}
+    assert text[(7, 0)] == "page 7 line two" and text[(7, 1)] == "other block 7"
+    assert pages.read_shards(docs, Fragile(), most_tasks=2).rdd.getNumPartitions() == 2
+    assert pages.read_shards(docs.limit(0), Fragile()).count() == 0
+
+
 @pytest.mark.parametrize("spread", [0.1, 3.0])
 def test_index_finds_what_a_scan_finds(spark, spread):
     rng = np.random.default_rng(2)
