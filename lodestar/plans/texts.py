@@ -26,6 +26,14 @@ def _strip(column: str) -> str:
     return f"regexp_replace({column}, {_quoted(f'^{text.SPACE}+|{text.SPACE}+$')}, '', 'g')"
 
 
+def _heading_like(c: str) -> str:
+    return f"({c} <> '' AND length({c}) <= 40 AND regexp_matches({c}, {_quoted('|'.join(f'(?:{p})' for p in text.HEADINGS))}))"
+
+
+def _ended(c: str) -> str:
+    return f"regexp_matches({c}, {_quoted(text.SENTENCE_END)})"
+
+
 @query(f"WITH h AS (SELECT doc_id, sha256({_normal('text')}) AS content_hash FROM documents) SELECT doc_id, content_hash, min(doc_id) OVER (PARTITION BY content_hash) AS kept_id FROM h")
 def exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return dedup.exact(table(spark, d, "documents")).select("doc_id", "content_hash", "kept_id")
@@ -283,25 +291,43 @@ def letter_vectors(texts: list[str]) -> list[list[float]]:
     return [[float(t.count(c)) for c in "aeiourstnd"] + [1.0] for t in texts]
 
 
-@query()
+_COUNTS = ", ".join(f"(length(win) - length(replace(win, '{c}', '')))::DOUBLE" for c in "aeiourstnd")
+_SENTENCES = f"list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), {_quoted(f'([{text.SENTENCE_MARKS}])')}, '\\1' || chr(30), 'g'), chr(30)), lambda x: {_strip('x')}), lambda x: x <> '')"
+
+
+@query(
+    f"""WITH RECURSIVE se AS (SELECT doc_id, i AS pos, s[i] AS sentence, len(s) AS n FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents), unnest(range(1, len(s) + 1)) AS t(i)),
+wi AS (SELECT *, substring(coalesce(lag(sentence) OVER w, '') || sentence || coalesce(lead(sentence) OVER w, ''), 1, 480) AS win FROM se WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+ve AS (SELECT doc_id, pos, sentence, n, [{_COUNTS}, 1.0::DOUBLE] AS v FROM wi),
+di AS (SELECT *, lead(v) OVER (PARTITION BY doc_id ORDER BY pos) AS nx FROM ve),
+dd AS (SELECT *, CASE WHEN nx IS NOT NULL THEN 1 - list_dot_product(v, nx) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(nx, nx))) END AS distance FROM di WHERE n >= 4),
+le AS (SELECT doc_id, list_sort(list(distance) FILTER (WHERE distance IS NOT NULL)) AS ds, (count(distance) - 1) * 0.88::DOUBLE AS p FROM dd GROUP BY doc_id),
+lv AS (SELECT doc_id, CASE WHEN ds[floor(p)::INT + 1] = ds[ceil(p)::INT + 1] THEN ds[floor(p)::INT + 1] ELSE (ceil(p) - p) * ds[floor(p)::INT + 1] + (p - floor(p)) * ds[ceil(p)::INT + 1] END AS level FROM le),
+sg AS (SELECT doc_id, pos, sentence, coalesce(sum(coalesce(distance > level, false)::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS segment FROM dd JOIN lv USING (doc_id)),
+pc AS MATERIALIZED (SELECT doc_id, segment, string_agg(sentence, '' ORDER BY pos) AS text FROM sg GROUP BY ALL),
+lo AS (SELECT doc_id || ':' || segment AS id, text FROM pc WHERE length(text) > 3000),
+sh AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM se WHERE n >= 4)),
+{chunk_sql.parts("lo", 800, 120, "lp")},
+{chunk_sql.parts("sh", 800, 120, "sp")},
+al AS (SELECT doc_id, segment, coalesce(part, 0) AS part, coalesce(lp.text, pc.text) AS text, 'semantic' AS strategy FROM pc LEFT JOIN lp ON lp.id = doc_id || ':' || segment UNION ALL SELECT id, 0, part, text, 'recursive' FROM sp)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY segment, part) - 1)::INT AS part, strategy, length(text)::INT AS n_chars, md5(text) AS text_md5 FROM al"""
+)
 def semantic_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.semantic_pieces(table(spark, d, "documents"), letter_vectors).select("doc_id", "part", "strategy", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_LINES}, b AS (SELECT document_id, page AS shard, page, text, CASE WHEN level > 0 THEN 'heading' ELSE 'body' END AS kind, row_number() OVER (PARTITION BY document_id ORDER BY page, ord) AS n FROM k),
+f AS MATERIALIZED (SELECT *, coalesce(lag(shard) OVER w <> shard AND lag(kind) OVER w = 'body' AND kind = 'body' AND NOT {_ended('lag(text) OVER w')}, false) AS flows FROM b WINDOW w AS (PARTITION BY document_id ORDER BY n)),
+r AS (SELECT document_id, n, page, 0 AS ord FROM f WHERE n = 1 UNION ALL
+  SELECT f.document_id, f.n, CASE WHEN flows AND f.page - r.page <= 1 THEN r.page ELSE f.page END, r.ord + CASE WHEN flows AND f.page - r.page <= 1 THEN 0 ELSE 1 END FROM r JOIN f ON f.document_id = r.document_id AND f.n = r.n + 1)
+SELECT r.document_id, r.ord::INT AS ord, min(r.page) AS page, md5(string_agg(f.text, '' ORDER BY r.n)) AS text_md5 FROM r JOIN f USING (document_id, n) GROUP BY r.document_id, r.ord"""
+)
 def stitched_shards(spark: SparkSession, d: str) -> DataFrame:
     """Pages of ten lines as shards."""
     return layout.stitch(_lines(spark, d).withColumn("shard_index", F.col("page"))).select("document_id", "ord", "page", F.md5("text").alias("text_md5"))
 
 
-def _heading_like(c: str) -> str:
-    return f"({c} <> '' AND length({c}) <= 40 AND regexp_matches({c}, {_quoted('|'.join(f'(?:{p})' for p in text.HEADINGS))}))"
-
-
-def _ended(c: str) -> str:
-    return f"regexp_matches({c}, {_quoted(text.SENTENCE_END)})"
-
-
 @query(
     f"""WITH {_LINES}, w AS (
   SELECT document_id, page, ord // 5 AS block_no, ord, {_strip("text || ' '")} AS t, list_filter(string_split(text, ' '), lambda x: {_strip('x')} <> '') AS ws FROM k),
