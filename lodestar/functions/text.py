@@ -175,8 +175,8 @@ UNTYPED = "application/octet-stream"
 
 
 def content_type(name: Column, told: Column) -> Column:
-    """The type as told, else that of the extension in the standard table."""
-    known = F.create_map(*(F.lit(x) for ext, kind in sorted(mimetypes.types_map.items()) for x in (ext[1:], kind)))
+    """The type as told, else that of the extension in Python's own table, whatever files of types the machine has."""
+    known = F.create_map(*(F.lit(x) for ext, kind in sorted(mimetypes.MimeTypes().types_map[True].items()) for x in (ext[1:], kind)))
     own = F.nullif(F.nullif(told, F.lit("")), F.lit(UNTYPED))
     return F.coalesce(own, F.try_element_at(known, extension(name)), F.lit(UNTYPED))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.formats import category_text, page_range
 from lodestar.functions.text import strip
 
 UNTITLED = "untitled"
@@ -19,6 +20,14 @@ def title_list(qa: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFr
     return out.withColumn("pos", F.row_number().over(order) - 1).drop("__doc", "__chunk")
 
 
+def answers_of(qa: DataFrame, scripts: DataFrame, params: DataFrame) -> DataFrame:
+    """Questions and answers of the one script whose code a parameter table (script_code, one row) names, by category and
+    age: category, question, answer, pages.  A script that is deleted or not there has none."""
+    own = scripts.where(F.col("deleted_at").isNull() & (F.col("code") == params.select("script_code").scalar()))
+    out = qa.join(own.select(F.col("id").alias("script_id")), "script_id").orderBy("category", "created_at")
+    return out.select(category_text(F.col("category")).alias("category"), "question", "answer", page_range(F.col("page_start"), F.col("page_end")).alias("pages"))
+
+
 def tree_nodes(rows: DataFrame, within: str = "script_code") -> DataFrame:
     """(within, path, title, parent, depth, first_pos, qa_count): every prefix of every path once; order of first
     appearance is first_pos; rows without a path share one untitled node.  rows: within, pos, section_path."""

@@ -208,6 +208,19 @@ def title_order(spark: SparkSession, d: str) -> DataFrame:
     return titles.title_list(qa, docs, chunks).select("script_code", "document_id", "part", "pos")
 
 
+@query(
+    """SELECT l_returnflag AS category, 'q' || l_linenumber AS question, l_linestatus AS answer, CASE WHEN l_linenumber % 3 > 0 THEN l_linenumber || '-' || (l_linenumber + 1) END AS pages
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'F' AND o_orderpriority || o_custkey = (SELECT max(o_orderpriority || o_custkey) FROM orders WHERE o_orderstatus <> 'F')"""
+)
+def answers_of_script(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    code = F.concat("o_orderpriority", F.col("o_custkey").cast("string"))
+    scripts = o.select(F.col("o_orderkey").alias("id"), code.alias("code"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("deleted_at"))
+    n = F.col("l_linenumber")
+    qa = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("script_id"), F.col("l_returnflag").alias("category"), F.col("l_shipdate").alias("created_at"), F.concat(F.lit("q"), n.cast("string")).alias("question"), F.col("l_linestatus").alias("answer"), F.when(n % 3 > 0, n).alias("page_start"), (n + 1).alias("page_end"))
+    return titles.answers_of(qa, scripts, o.where("o_orderstatus <> 'F'").agg(F.max(code).alias("script_code")))
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'kept' END AS title FROM documents")
 def backfilled_titles(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, " ").otherwise("kept").alias("title"), F.array("lang", "source").alias("section_path"))
