@@ -53,7 +53,7 @@ def test_stages(spark):
 
 def test_registry():
     names = queries()
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names} == set(range(1, 11)) and len(names) == 10
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names} == set(range(1, 14)) and len(names) == 13
     assert set(oracle_sql()) <= set(names)
 
 
