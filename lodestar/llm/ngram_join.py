@@ -11,11 +11,12 @@ the threshold.  Every link between different sets is found:
    into size bands, and a tile holds two neighbouring bands.
 3. min-hash stars and small tiles give first pairs.  A pair is checked by bitmap first: each set has a parity bitmap
    of 4 bits or more an element, and the differing bits bound the overlap from above; what passes is intersected exactly.
-4. Tiles whose members aren't yet connected are compared with bitmaps, only across components and in blocks.  A block
-   gives one pair for each two components with pairs well within the bound, and of the pairs near the bound the closest
-   of each member; all are checked exactly.  Tiles of which pairs were left, or of which a pair of the first kind
-   fails, are compared again without the failed pairs, with ever more pairs for each member, until none is left.  So
-   copies in thousands never make all pairs, and no link is lost.
+4. Tiles whose members aren't yet connected are compared with bitmaps, only across components and in blocks.  First a
+   block gives one pair for each two components with pairs well within the bound; these are checked exactly and join
+   most of what belongs together.  Then, over the tiles that are still mixed, a block names the members that have any
+   partner which bitmaps don't rule out, and these come back with their sets: pairs are intersected in the block, and
+   only the links that tie its components together leave it.  So neither copies in thousands nor thousands of
+   documents just below the bound make rows of pairs, and no link is lost.
 
 64-bit hashes stand for shingles; the fingerprint of a set has 128 bits.
 
@@ -47,8 +48,8 @@ SMALL = 4
 BLOCK = 1024
 #: Pairs whose differing bits are at most this share of what is allowed all but certainly link.
 SURE = 0.8
-#: Pairs nearer the bound that a member gives in the first round; eight times as many in each further one.
-NEAR = 256
+#: Elements of a set that count as one member of a block: long sets make smaller blocks.
+WEIGHT = 1024
 #: Candidate ids are broadcast to the scan up to this number (16 MB of ids) and joined by a shuffle beyond it.
 BROADCAST_IDS = 2_000_000
 
@@ -348,16 +349,17 @@ def _verify(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, id_col: str,
 
 
 def _members(tiles: DataFrame) -> DataFrame:
-    """A row for each tile and member: tile (g1, g2), its number of members, fp and size."""
+    """A row for each tile and member: tile (g1, g2), its members' weight in all, fp and weight."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for g1, g2, x in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 m = np.frombuffer(x.as_buffer(), MEMBER)
                 n = len(m)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, g1.as_py())), pa.array(np.full(n, g2.as_py())), pa.array(np.full(n, n)), pa.array(_signed(m["fp"].copy()))], names=["g1", "g2", "members", "fp"])
+                weight = 1 + m["size"].astype(np.int64) // WEIGHT
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, g1.as_py())), pa.array(np.full(n, g2.as_py())), pa.array(np.full(n, weight.sum())), pa.array(_signed(m["fp"].copy())), pa.array(weight)], names=["g1", "g2", "members", "fp", "weight"])
 
-    return tiles.select("g1", "g2", "members").mapInArrow(explode, "g1 long, g2 long, members long, fp long")
+    return tiles.select("g1", "g2", "members").mapInArrow(explode, "g1 long, g2 long, members long, fp long, weight long")
 
 
 def _blocks(members: DataFrame) -> DataFrame:
@@ -366,7 +368,7 @@ def _blocks(members: DataFrame) -> DataFrame:
     A small tile is one block.  In others the largest component has blocks of its own, which are only compared with
     those of the rest: a tile of a large component and few others is linear in its members.  Members meet their tile's
     row by block, never all of a tile in one task."""
-    kinds = members.groupBy("g1", "g2", "members", "component").agg(F.count("*").alias("n"))
+    kinds = members.groupBy("g1", "g2", "members", "component").agg(F.sum("weight").alias("n"))
     mixed = kinds.groupBy("g1", "g2", "members").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n"), F.count("*").alias("kinds")).where("kinds > 1")
     one = F.col("members") <= BLOCK
     mixed = mixed.select("g1", "g2", F.when(~one, F.col("main")).alias("main"), F.when(one, 0).otherwise(F.ceil(F.col("n") / BLOCK)).cast("int").alias("k"), F.when(one, 1).otherwise(F.ceil((F.col("members") - F.col("n")) / BLOCK)).cast("int").alias("rest"), F.explode(F.sequence(F.lit(0), F.floor(F.col("members") / BLOCK).cast("int"))).alias("salt"))
@@ -379,83 +381,112 @@ def _blocks(members: DataFrame) -> DataFrame:
     return out.select("g1", "g2", "block", "fp", "component", F.explode(sides).alias("s")).select("g1", "g2", "s.i", "s.j", "block", "fp", "component")
 
 
-def candidates(fp: np.ndarray, comp: np.ndarray, block: np.ndarray, size: np.ndarray, maps: list[np.ndarray], failed: list[set[int]], percent: int, most: int) -> tuple[list[tuple[int, int, bool]], bool]:
-    """Pairs (a, b, sure) across components that bitmaps don't rule out, and whether some were left for another round.
-
-    First pairs that are well within the bound: of each two components that meet one pair, and the two then count as
-    one.  Then, across what is still apart, pairs near the bound, which often don't link: for each member its `most`
-    closest.  So there are at most most + 1 for each member.  Pairs in `failed` are known not to link."""
-    order = np.lexsort((fp, size))
-    fp, block, size = fp[order], block[order], size[order]
-    _, label = np.unique(comp[order], return_inverse=True)
-    maps, failed = [maps[k] for k in order], [failed[k] for k in order]
-    words = np.array([len(x) for x in maps])
-    kinds, first = np.unique(words, return_index=True)
-    # sizes ascend, and so do the maps' widths: each width's rows lie side by side
-    span = {int(w): (int(lo), int(hi)) for w, lo, hi in zip(kinds, first, [*first[1:], len(words)], strict=True)}
-    table = {w: np.stack(maps[lo:hi]) for w, (lo, hi) in span.items()}
-    folded: dict[tuple[int, int], np.ndarray] = {}
-    two = len(np.unique(block)) > 1
-    out = []
-    highest = np.searchsorted(size, size * 100 // percent, "right")
-    cut = False
-    for sure in (True, False):
-        for x in range(len(fp) - 1):
-            hi = int(highest[x])
-            y = x + 1 + np.flatnonzero((label[x + 1 : hi] != label[x]) & (block[x + 1 : hi] != block[x] if two else True))
-            if not len(y):
-                continue
-            mine, gap = maps[x], np.empty(len(y), np.int64)
-            for w in np.unique(words[y]).tolist():
-                if w == len(mine):
-                    theirs = table[w]
-                else:
-                    theirs = folded.get((w, len(mine)))
-                    if theirs is None:
-                        theirs = np.bitwise_xor.reduce(table[w].reshape(len(table[w]), -1, len(mine)), 1)
-                        folded[w, len(mine)] = theirs
-                at = words[y] == w
-                gap[at] = np.bitwise_count(theirs[y[at] - span[w][0]] ^ mine).sum(1)
-            ok = (100 + percent) * gap <= (SURE if sure else 1.0) * (100 - percent) * (size[y] + size[x])
-            if failed[x]:
-                ok &= np.array([int(f) not in failed[x] for f in fp[y]], bool)
-            y, gap = y[ok], gap[ok]
-            if not len(y):
-                continue
-            if sure:
-                near = np.lexsort((gap, label[y]))
-                met, first = np.unique(label[y[near]], return_index=True)
-                out += [(int(fp[x]), int(fp[t]), True) for t in y[near[first]]]
-                label[np.isin(label, np.append(met, label[x]))] = label[x]
-            else:
-                near = np.argsort(gap, kind="stable")[:most]
-                cut |= len(y) > most
-                out += [(int(fp[x]), int(fp[t]), False) for t in y[near]]
-    return out, cut
-
-
-def _across(blocks: DataFrame, vertices: DataFrame, failed: DataFrame | None, percent: int, most: int) -> DataFrame:
-    """(g1, g2, a, b, sure): the blocks' candidates; a null pair says that some were left for another round."""
-    members = blocks.join(vertices.select("fp", "size", "bits"), "fp")
-    if failed is None:
-        members = members.withColumn("failed", F.lit(None).cast("array<long>"))
-    else:
-        both = failed.select(F.col("a").alias("fp"), "b").unionByName(failed.select(F.col("b").alias("fp"), F.col("a").alias("b")))
-        members = members.join(both.groupBy("fp").agg(F.collect_set("b").alias("failed")), "fp", "left")
-
-    def compare(key, group):
-        bits = group.column("bits").combine_chunks()
-        maps = [np.frombuffer(x.as_buffer(), np.uint64) for x in bits]
-        known = [set(x or ()) for x in group.column("failed").to_pylist()]
-        cols = (group.column(c).to_numpy() for c in ("fp", "component", "block", "size"))
-        found, cut = candidates(*cols, maps, known, percent, most)
-        rows = [(min(a, b), max(a, b), s) for a, b, s in found] + [(None, None, False)] * cut
-        g1, g2 = key[0].as_py(), key[1].as_py()
-        kinds = (pa.int64(), pa.int64(), pa.bool_())
-        return pa.table({"g1": pa.array([g1] * len(rows), pa.int64()), "g2": pa.array([g2] * len(rows), pa.int64())} | {c: pa.array([r[i] for r in rows], kinds[i]) for i, c in enumerate(("a", "b", "sure"))})
-
-    members = members.select("g1", "g2", "i", "j", "block", "fp", "component", "size", "bits", "failed")
-    return materialise(members.groupBy("g1", "g2", "i", "j").applyInArrow(compare, "g1 long, g2 long, a long, b long, sure boolean"), "across")
+class _Block:
+    """Members of a pair of blocks in the order of size, and the partners that bitmaps leave to each."""
+
+    def __init__(self, fp: np.ndarray, comp: np.ndarray, block: np.ndarray, size: np.ndarray, maps: list[np.ndarray], percent: int):
+        self.order = np.lexsort((fp, size))
+        self.fp, self.block, self.size, self.percent = fp[self.order], block[self.order], size[self.order], percent
+        _, self.label = np.unique(comp[self.order], return_inverse=True)
+        self.maps = [maps[k] for k in self.order]
+        self.words = np.array([len(x) for x in self.maps])
+        kinds, first = np.unique(self.words, return_index=True)
+        # sizes ascend, and so do the maps' widths: each width's rows lie side by side
+        self.span = {int(w): (int(lo), int(hi)) for w, lo, hi in zip(kinds, first, [*first[1:], len(self.words)], strict=True)}
+        self.table = {w: np.stack(self.maps[lo:hi]) for w, (lo, hi) in self.span.items()}
+        self.folded: dict[tuple[int, int], np.ndarray] = {}
+        self.two = len(np.unique(self.block)) > 1
+        self.highest = np.searchsorted(self.size, self.size * 100 // percent, "right")
+
+    def partners(self, x: int, share: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+        """Later members of other components that may link with x, and by how many bits they differ from it; share: of the
+        bits that are allowed."""
+        hi = int(self.highest[x])
+        apart = self.label[x + 1 : hi] != self.label[x]
+        y = x + 1 + np.flatnonzero(apart & (self.block[x + 1 : hi] != self.block[x]) if self.two else apart)
+        mine, gap = self.maps[x], np.empty(len(y), np.int64)
+        for w in np.unique(self.words[y]).tolist():
+            theirs = self.table[w]
+            if w != len(mine):
+                if (w, len(mine)) not in self.folded:
+                    self.folded[w, len(mine)] = np.bitwise_xor.reduce(theirs.reshape(len(theirs), -1, len(mine)), 1)
+                theirs = self.folded[w, len(mine)]
+            at = self.words[y] == w
+            gap[at] = np.bitwise_count(theirs[y[at] - self.span[w][0]] ^ mine).sum(1)
+        ok = (100 + self.percent) * gap <= share * (100 - self.percent) * (self.size[y] + self.size[x])
+        return y[ok], gap[ok]
+
+    def unite(self, x: int, labels: np.ndarray) -> None:
+        self.label[np.isin(self.label, np.append(labels, self.label[x]))] = self.label[x]
+
+    def sure(self) -> list[tuple[int, int]]:
+        """Of each two components that meet well within the bound one pair; the two then count as one."""
+        out = []
+        for x in range(len(self.fp) - 1):
+            y, gap = self.partners(x, SURE)
+            if len(y):
+                near = np.lexsort((gap, self.label[y]))
+                met, first = np.unique(self.label[y[near]], return_index=True)
+                out += [(int(self.fp[x]), int(self.fp[t])) for t in y[near[first]]]
+                self.unite(x, met)
+        return out
+
+    def open(self) -> np.ndarray:
+        """Members with a partner, by their place in what came in."""
+        hit = np.zeros(len(self.fp), bool)
+        for x in range(len(self.fp) - 1):
+            y, _ = self.partners(x)
+            hit[y] = True
+            hit[x] |= len(y) > 0
+        return self.order[hit]
+
+    def linked(self, elements: list[np.ndarray]) -> list[tuple[int, int]]:
+        """Links between components, found by exact intersection, the closest bitmaps first; each makes two components one."""
+        sets = [elements[k] for k in self.order]
+        out = []
+        for x in range(len(self.fp) - 1):
+            y, gap = self.partners(x)
+            for t in y[np.argsort(gap, kind="stable")]:
+                if self.label[t] != self.label[x] and links(sets[x], sets[t], self.percent):
+                    out.append((int(self.fp[x]), int(self.fp[t])))
+                    self.unite(x, self.label[t : t + 1])
+        return out
+
+
+def _block_of(group: pa.Table, percent: int) -> _Block:
+    maps = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("bits").combine_chunks()]
+    return _Block(*(group.column(c).to_numpy() for c in ("fp", "component", "block", "size")), maps, percent)
+
+
+def _pair_table(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([min(p) for p in found], pa.int64()), "b": pa.array([max(p) for p in found], pa.int64())})
+
+
+def _sure_pairs(blocks: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) of the blocks that all but certainly link and tie components together."""
+    members = blocks.join(vertices.select("fp", "size", "bits"), "fp").select("g1", "g2", "i", "j", "block", "fp", "component", "size", "bits")
+    found = members.groupBy("g1", "g2", "i", "j").applyInArrow(lambda group: _pair_table(_block_of(group, percent).sure()), "a long, b long")
+    return materialise(found.distinct(), "sure")
+
+
+def _links_across(blocks: DataFrame, vertices: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, seed: int) -> DataFrame:
+    """(a, b): links that tie the components of each block together, by exact intersection of all pairs across them that
+    bitmaps leave."""
+    columns = ["g1", "g2", "i", "j", "block", "fp", "component", "size", "bits"]
+    kinds = "g1 long, g2 long, i int, j int, block int, fp long, component long, size long, bits binary"
+    members = blocks.join(vertices.select("fp", F.col("size").cast("long").alias("size"), "bits"), "fp").select(F.col("g1"), F.col("g2"), F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("block").cast("int").alias("block"), "fp", "component", "size", "bits")
+    left = members.groupBy("g1", "g2", "i", "j").applyInArrow(lambda group: group.select(columns).take(pa.array(_block_of(group, percent).open())), kinds)
+    left = materialise(left, "open")
+    elements = _elements(docs, vertices.select("fp", "rep").join(left.select("fp").distinct(), "fp"), id_col, text_col, n, seed)
+
+    def intersect(group: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x.as_buffer(), U) for x in group.column("elements").combine_chunks()]
+        return _pair_table(_block_of(group, percent).linked(sets))
+
+    found = left.join(elements, "fp").select(*columns, "elements").groupBy("g1", "g2", "i", "j").applyInArrow(intersect, "a long, b long")
+    out = materialise(found.distinct(), "across")
+    discard(left, elements)
+    return out
 
 
 def _rows_of_sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> tuple[DataFrame, DataFrame, int]:
@@ -498,29 +529,25 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     linked = _verify(pairs, vertices, docs, id_col, text_col, n, percent, seed)
     own = components(linked, "clusters")
     discard(met, pairs, linked)
-    failed, most = None, NEAR
-    while True:  # each round closes a tile, or connects or rules out pairs of it
+
+    def mixed(own: DataFrame) -> tuple[DataFrame, DataFrame]:
         placed = materialise(members.join(own.withColumnRenamed("v", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "placed")
-        met = _across(_blocks(placed), vertices, failed, percent, most)
-        discard(placed)
-        if met.isEmpty():
-            break
-        fresh = _verify(met.where("a is not null").select("a", "b").distinct(), vertices, docs, id_col, text_col, n, percent, seed)
-        own = components(own.select(F.col("v").alias("a"), F.col("component").alias("b")).unionByName(fresh), "clusters")
-        wrong = materialise(met.join(fresh, ["a", "b"], "left_anti"), "wrong")
-        # a tile is done unless pairs were left, or a pair that was taken as a link leaves its ends apart
-        apart = wrong.where("sure")
-        for side in ("a", "b"):
-            apart = apart.join(own.select(F.col("v").alias(side), F.col("component").alias(f"{side}2")), side, "left")
-        apart = apart.where(F.coalesce("a2", "a") != F.coalesce("b2", "b"))
-        again = materialise(wrong.where("a is null").unionByName(apart.select(*wrong.columns)).select("g1", "g2").distinct(), "again")
-        if again.isEmpty():
-            break
-        done, members = members, materialise(members.join(again, ["g1", "g2"], "left_semi"), "members")
-        pairs = wrong.where("a is not null").select("a", "b").distinct()
-        known, failed = failed, materialise(pairs if failed is None else failed.unionByName(pairs).distinct(), "failed")
-        discard(done, known, met, fresh, wrong)
-        most *= 8
+        return placed, _blocks(placed)
+
+    def joined(own: DataFrame, fresh: DataFrame) -> DataFrame:
+        return components(own.select(F.col("v").alias("a"), F.col("component").alias("b")).unionByName(fresh), "clusters")
+
+    placed, blocks = mixed(own)
+    sure = _sure_pairs(blocks, vertices, percent)
+    if not sure.isEmpty():
+        fresh = _verify(sure, vertices, docs, id_col, text_col, n, percent, seed)
+        own = joined(own, fresh)
+        discard(placed, fresh)
+        placed, blocks = mixed(own)
+    fresh = _links_across(blocks, vertices, docs, id_col, text_col, n, percent, seed)
+    if not fresh.isEmpty():
+        own = joined(own, fresh)
+    discard(placed, sure, fresh)
     # in ids: a set's members are one component, and so are the rows that share an id
     shared = vertex.groupBy("id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y")
     shared = materialise(vertex.join(shared.select("id", "x"), "id").where("fp <> x").select(F.col("fp").alias("a"), F.col("x").alias("b")), "shared")

@@ -360,6 +360,26 @@ def test_ngram_join_of_edited_copies(spark, monkeypatch):
     assert got == want
 
 
+def test_texts_just_below_the_bound_make_no_rows_of_pairs(spark, monkeypatch):
+    """Texts that pairwise reach 73 % and never link: rows grow with the texts, not with their pairs."""
+    rows, real = {}, ngram_join.materialise
+
+    def watched(df, name, *more):
+        out = real(df, name, *more)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialise", watched)
+    made = {}
+    for n in (60, 240):
+        rows.clear()
+        texts = [(i, " ".join(f"x{i}y{k}" if k % 35 == 10 else f"word{k}" for k in range(200))) for i in range(n)]
+        got = ngram_join.classes(spark.createDataFrame([*texts, (n, texts[0][1] + " more")], "doc_id long, text string")).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == {i: i % n for i in range(n + 1)}
+        made[n] = rows["open"] + rows["across"] + rows["sure"]
+    assert made[240] <= 6 * made[60] and made[240] <= 3 * 240
+
+
 def test_bitmaps_never_rule_out_a_link():
     rng = np.random.default_rng(4)
     for _ in range(300):
