@@ -13,9 +13,10 @@ the threshold.  Every link between different sets is found:
    of 4 bits or more an element, and the differing bits bound the overlap from above; what passes is intersected exactly.
 4. Tiles whose members aren't yet connected are compared with bitmaps, only across components and in blocks.  First a
    block gives one pair for each two components with pairs well within the bound; these are checked exactly and join
-   most of what belongs together.  Then, over the tiles that are still mixed, a block names the members that have any
-   partner which bitmaps don't rule out, and these come back with their sets: pairs are intersected in the block, and
-   only the links that tie its components together leave it.  So neither copies in thousands nor thousands of
+   most of what belongs together.  Then, over the tiles that are still mixed, a block gives the pairs that bitmaps don't
+   rule out, as long as they are PAIRS for each member at most; beyond that it names the members of such pairs, which
+   come back with their sets: pairs are intersected in the block, and only the links that tie its components together
+   leave it.  So neither copies in thousands nor thousands of
    documents just below the bound make rows of pairs, and no link is lost.
 
 64-bit hashes stand for shingles; the fingerprint of a set has 128 bits.
@@ -48,6 +49,8 @@ SMALL = 4
 BLOCK = 1024
 #: Pairs whose differing bits are at most this share of what is allowed all but certainly link.
 SURE = 0.8
+#: Pairs near the bound that a block gives for each member; beyond that they are intersected in the block.
+PAIRS = 4
 #: Elements of a set that count as one member of a block: long sets make smaller blocks.
 WEIGHT = 1024
 #: Candidate ids are broadcast to the scan up to this number (16 MB of ids) and joined by a shuffle beyond it.
@@ -431,14 +434,18 @@ class _Block:
                 self.unite(x, met)
         return out
 
-    def open(self) -> np.ndarray:
-        """Members with a partner, by their place in what came in."""
-        hit = np.zeros(len(self.fp), bool)
+    def open(self, most: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """Pairs that bitmaps leave, if they are `most` for each member at most; else the members of such pairs, by their place
+        in what came in."""
+        hit, pairs, few = np.zeros(len(self.fp), bool), [], True
         for x in range(len(self.fp) - 1):
             y, _ = self.partners(x)
             hit[y] = True
             hit[x] |= len(y) > 0
-        return self.order[hit]
+            few = few and len(pairs) + len(y) <= most * len(self.fp)
+            if few:
+                pairs += [(int(self.fp[x]), int(self.fp[t])) for t in y]
+        return (self.order[:0], pairs) if few else (self.order[hit], [])
 
     def linked(self, elements: list[np.ndarray]) -> list[tuple[int, int]]:
         """Links between components, found by exact intersection, the closest bitmaps first; each makes two components one."""
@@ -475,8 +482,19 @@ def _links_across(blocks: DataFrame, vertices: DataFrame, docs: DataFrame, id_co
     columns = ["g1", "g2", "i", "j", "block", "fp", "component", "size", "bits"]
     kinds = "g1 long, g2 long, i int, j int, block int, fp long, component long, size long, bits binary"
     members = blocks.join(vertices.select("fp", F.col("size").cast("long").alias("size"), "bits"), "fp").select(F.col("g1"), F.col("g2"), F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("block").cast("int").alias("block"), "fp", "component", "size", "bits")
-    left = members.groupBy("g1", "g2", "i", "j").applyInArrow(lambda group: group.select(columns).take(pa.array(_block_of(group, percent).open())), kinds)
-    left = materialise(left, "open")
+
+    def sift(group: pa.Table) -> pa.Table:
+        at, pairs = _block_of(group, percent).open(PAIRS)
+        found = _pair_table(pairs)
+        kept = group.select(columns).take(pa.array(at))
+        return pa.concat_tables([kept, found], promote_options="default").select([*columns, "a", "b"])
+
+    left = materialise(members.groupBy("g1", "g2", "i", "j").applyInArrow(sift, f"{kinds}, a long, b long"), "open")
+    pairs = left.where("a is not null").select("a", "b").distinct()
+    few = _verify(pairs, vertices, docs, id_col, text_col, n, percent, seed)
+    left = left.where("a is null").drop("a", "b")
+    if left.isEmpty():
+        return few
     elements = _elements(docs, vertices.select("fp", "rep").join(left.select("fp").distinct(), "fp"), id_col, text_col, n, seed)
 
     def intersect(group: pa.Table) -> pa.Table:
@@ -484,8 +502,8 @@ def _links_across(blocks: DataFrame, vertices: DataFrame, docs: DataFrame, id_co
         return _pair_table(_block_of(group, percent).linked(sets))
 
     found = left.join(elements, "fp").select(*columns, "elements").groupBy("g1", "g2", "i", "j").applyInArrow(intersect, "a long, b long")
-    out = materialise(found.distinct(), "across")
-    discard(left, elements)
+    out = materialise(found.unionByName(few).distinct(), "across")
+    discard(elements, few)
     return out
 
 

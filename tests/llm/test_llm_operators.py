@@ -376,8 +376,8 @@ def test_texts_just_below_the_bound_make_no_rows_of_pairs(spark, monkeypatch):
         texts = [(i, " ".join(f"x{i}y{k}" if k % 35 == 10 else f"word{k}" for k in range(200))) for i in range(n)]
         got = ngram_join.classes(spark.createDataFrame([*texts, (n, texts[0][1] + " more")], "doc_id long, text string")).collect()
         assert {r["doc_id"]: r["component_id"] for r in got} == {i: i % n for i in range(n + 1)}
-        made[n] = rows["open"] + rows["across"] + rows["sure"]
-    assert made[240] <= 6 * made[60] and made[240] <= 3 * 240
+        made[n] = sum(rows.get(k, 0) for k in ("sure", "open", "near", "across"))
+    assert all(made[n] <= 12 * n for n in made)  # 28,680 pairs of the 240
 
 
 def test_bitmaps_never_rule_out_a_link():
