@@ -12,6 +12,13 @@ from lodestar.functions.fingerprint import BANDS, hamming, simhash_of
 from lodestar.functions.text import content_hash, normal, normal_nfkc
 from lodestar.shared import discard, keep
 
+#: What a row with a key costs, in pairs that are compared.
+ROW = 16
+#: Numbers of fingerprints whose keys are tried.
+SPREAD = (1, 1 << 18, 1 << 22, 1 << 26, 1 << 30)
+#: Rows of a key that one task takes, pairs that a task compares, and tasks at most.
+TILE, PAIRS, TASKS = 4096, 4e6, 20_000
+
 
 def exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", within: list[str] | None = None, compatible: bool = True) -> DataFrame:
     """id, content_hash, kept_id: the first id of each normal form; null texts count as empty.
@@ -43,19 +50,52 @@ def key_masks(most: int, n: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def cheapest_masks(prints: DataFrame, most: int, within: list[str]) -> tuple[list[int], float]:
+    """The masks with the fewest pairs to compare (a row with a key counts as ROW of them), as counted over all
+    fingerprints, and how many they are: keys get longer as long as that makes them fewer."""
+    best, least, n = [], math.inf, prints.count()
+    for size in SPREAD:
+        masks = key_masks(most, size)
+        if masks == best:
+            continue
+        if ROW * n * len(masks) >= least:
+            break
+        cost = _groups(_keyed(prints, masks, within, []), within).agg(F.sum(F.col("n").cast("double") * (F.col("n") + ROW))).first()[0] or 0.0
+        if cost >= least:
+            break
+        best, least = masks, cost
+    return best, least
+
+
+def _keyed(prints: DataFrame, masks: list[int], within: list[str], keep_cols: list[str]) -> DataFrame:
+    keys = F.array(*(F.struct(F.lit(j).alias("way"), F.col("simhash").bitwiseAND(F.lit(m)).alias("part")) for j, m in enumerate(masks)))
+    return prints.select(*within, "simhash", *keep_cols, F.explode(keys).alias("k")).select(*within, "simhash", *keep_cols, "k.way", "k.part")
+
+
+def _groups(keyed: DataFrame, within: list[str]) -> DataFrame:
+    return keyed.groupBy(*within, "way", "part").agg(F.count("*").alias("n"))
+
+
 def near_prints(prints: DataFrame, most: int, within: list[str], keep_cols: list[str]) -> DataFrame:
     """Rows x and y (as simhash, keep_cols and simhash2, keep_cols with a 2) of one namespace whose fingerprints share a
-    16-bit band and differ in 1 to `most` bits; each pair comes once, x being the lesser fingerprint."""
-    n = prints.groupBy(*within).count().agg(F.max("count")).first()[0] or 0
-    masks = key_masks(most, n)
-    keys = F.array(*(F.struct(F.lit(j).alias("way"), F.col("simhash").bitwiseAND(F.lit(m)).alias("part")) for j, m in enumerate(masks)))
-    flat = prints.select(*within, "simhash", *keep_cols, F.explode(keys).alias("k")).select(*within, "simhash", *keep_cols, "k.way", "k.part")
-    other = flat.withColumnsRenamed({c: f"{c}2" for c in ("simhash", *keep_cols)})
+    16-bit band and differ in 1 to `most` bits; each pair comes once, x being the lesser fingerprint.
+
+    Tasks are dealt by pairs to compare, as rows are few bytes: by these Spark would put all in one task, or gather the
+    keys in the driver to broadcast them.  Of a key with more than TILE rows each task takes the pairs of one stripe of
+    its rows with all of them."""
+    masks, cost = cheapest_masks(prints, most, within)
+    keyed = _keyed(prints, masks, within, keep_cols)
+    wide = _groups(keyed, within).where(F.col("n") > TILE).select(*within, "way", "part", F.ceil(F.col("n") / TILE).cast("int").alias("stripes"))
+    keyed = keyed.join(F.broadcast(wide), [*within, "way", "part"], "left").withColumn("stripes", F.coalesce("stripes", F.lit(1)))
+    keys = [*within, "way", "part", "stripe"]
+    tasks = max(1, min(TASKS, round(cost / PAIRS)))
+    flat = keyed.withColumn("stripe", F.pmod(F.xxhash64("simhash"), "stripes").cast("int")).drop("stripes").repartition(tasks, *keys)
+    other = keyed.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.col("stripes") - 1))).drop("stripes").repartition(tasks, *keys)
+    other = other.withColumnsRenamed({c: f"{c}2" for c in ("simhash", *keep_cols)})
     differ = F.col("simhash").bitwiseXOR(F.col("simhash2"))
-    met = flat.join(other, [*within, "way", "part"]).where((F.col("simhash") < F.col("simhash2")) & (F.bit_count(differ) <= most))
-    ways = F.array(*(F.lit(m) for m in masks))
-    first = F.array_position(F.transform(ways, lambda m: differ.bitwiseAND(m) == 0), True) - 1
-    return met.where(F.col("way") == first).drop("way", "part")
+    met = flat.hint("merge").join(other.hint("merge"), keys).where((F.col("simhash") < F.col("simhash2")) & (F.bit_count(differ) <= most))
+    first = F.coalesce(*(F.when(differ.bitwiseAND(F.lit(m)) == 0, j) for j, m in enumerate(masks)))
+    return met.where(F.col("way") == first).drop("way", "part", "stripe")
 
 
 def band_pairs(prints: DataFrame, most: int = 3, id_col: str = "doc_id", within: list[str] | None = None) -> DataFrame:
