@@ -1,7 +1,9 @@
+import datetime
 import itertools
 import random
 
 from lodestar.operators import dedup
+from lodestar.streaming import pipelines, stateful
 
 
 def test_pairs_of_a_large_key_are_dealt_out_and_never_gathered(spark, monkeypatch):
@@ -17,3 +19,16 @@ def test_pairs_of_a_large_key_are_dealt_out_and_never_gathered(spark, monkeypatc
     plan = own._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=merge" in plan  # the keys of all rows aren't broadcast, small as the table is that they come from
     assert own.select("simhash").rdd.getNumPartitions() > 4
+
+
+def test_a_task_that_has_ended_does_not_expire_by_an_older_update_that_comes_later(spark, tmp_path):
+    at = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
+    schema = "task_id long, status string, error_message string, updated_at timestamp"
+    parts = [[(1, "completed", None, at(5)), (2, "uploading", None, at(4))], [(1, "uploading", None, at(3)), (2, "uploading", "slow", at(3))], [(3, "completed", None, at(60))]]
+    with stateful.state_store(spark, idle=True):
+        for part in parts:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = pipelines.file_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema)
+            tasks = stateful.expired(stream, 24, late="10 hours")
+            out = pipelines.run_once(tasks, root=f"{tmp_path}/out")
+    assert sorted(tuple(r) for r in out.collect()) == [(2, "failed", "expired")]
