@@ -29,6 +29,6 @@ def literal(values: list[float]) -> Column:
     return F.array(*(F.lit(float(x)) for x in values))
 
 
-def stored(a: Column) -> Column:
-    """The text form of a stored vector: seven significant digits."""
-    return F.concat(F.lit("["), F.array_join(F.transform(a, lambda x: F.format_string("%.7g", x.cast("double"))), ","), F.lit("]"))
+def stored(a: Column, digits: int = 7) -> Column:
+    """The text form of a stored vector: so many significant digits; nine bring single precision back as it was."""
+    return F.concat(F.lit("["), F.array_join(F.transform(a, lambda x: F.format_string(f"%.{digits}g", x.cast("double"))), ","), F.lit("]"))

@@ -2,7 +2,10 @@ import datetime
 import itertools
 import random
 
+import numpy as np
+
 from lodestar.operators import dedup
+from lodestar.plans import vectors
 from lodestar.streaming import pipelines, stateful
 
 
@@ -32,3 +35,11 @@ def test_a_task_that_has_ended_does_not_expire_by_an_older_update_that_comes_lat
             tasks = stateful.expired(stream, 24, late="10 hours")
             out = pipelines.run_once(tasks, root=f"{tmp_path}/out")
     assert sorted(tuple(r) for r in out.collect()) == [(2, "failed", "expired")]
+
+
+def test_stored_vectors_come_back_as_they_were(spark, tmp_path):
+    near = [0.12335, 0.12345, 1.00005, -0.99995, 0.03125, 0.09375, -0.03125, -0.00001, 0.0, 1e-12, 3.5, 12345.678]
+    rows = [(i, [float(np.float32(x)), 1.0, float(np.float32(-x))], 0) for i, x in enumerate(near)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["vec_id"]: (r["first"], r["last"], r["n"]) for r in vectors.stored_vectors(spark, str(tmp_path)).collect()}
+    assert got == {i: (f"{v[0]:.4f}", f"{v[2]:.4f}", 3) for i, v, _ in rows}
