@@ -8,7 +8,8 @@ upper bound are looked up in `rows` and compared exactly.  Results are those of
 lists nearest to a query are looked into.  Jegou et al., "Product Quantization for Nearest Neighbor Search" (2011).
 
 Queries are taken in groups of GROUP bytes; a group is sent to all tasks and the codes are read once for it.  A task
-holds the group's best bounds and the rows that these still allow.
+holds the group's best bounds and HELD rows that these still allow; more are given away, and fall by the bounds of all
+tasks.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ PART, WORDS = 2, 256
 SLACK = 1e-6
 #: Bytes of a group of queries as single-precision vectors.
 GROUP = 8 << 20
-#: Candidates that a task holds before it drops those that later bounds rule out.
-HELD = 1 << 20
+#: Candidates that a task holds before it drops those that later bounds rule out and gives the others away, and pairs
+#: of a query and a row that it looks at together.
+HELD, LOOKED = 1 << 18, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -166,9 +168,6 @@ class _Best:
         q, at = np.nonzero((low <= self.worst()[:, None]) & np.isfinite(low))
         self.parts.append((q, ids.take(pa.array(at)), low[q, at], high[q, at]))
         self.held += len(q)
-        if self.held > HELD:
-            self.parts = [self.left()]
-            self.held = len(self.parts[0][0])
 
     def worst(self) -> np.ndarray:
         return self.upper.max(1) + SLACK
@@ -179,6 +178,15 @@ class _Best:
         at = np.flatnonzero(low <= self.worst()[q])
         return q[at], ids.take(pa.array(at)), low[at], high[at]
 
+    def given(self, most: int) -> Iterator[tuple]:
+        """What is left, if more than `most` rows are held, in pieces of HELD rows; it is held no longer."""
+        if self.held <= most:
+            return
+        found = self.left()
+        self.parts, self.held = [], 0
+        for lo in range(0, len(found[0]), HELD):
+            yield tuple(x[lo : lo + HELD] for x in found)
+
 
 def candidates(index: Index, q: np.ndarray, k: int, probes: int | None = None) -> DataFrame:
     """(n, id): the rows that must be compared exactly with the n-th query; q: unit vectors as rows."""
@@ -195,7 +203,7 @@ def candidates(index: Index, q: np.ndarray, k: int, probes: int | None = None) -
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, near, centroids, books = shared.value
-        best, step = _Best(len(q), k), max(1, (4 << 20) // max(1, len(q)))
+        best, step = _Best(len(q), k), max(1, LOOKED // max(1, len(q)))
         m = len(books)
         for batch in batches:
             for lo in range(0, batch.num_rows, step):
@@ -206,9 +214,12 @@ def candidates(index: Index, q: np.ndarray, k: int, probes: int | None = None) -
                 away = np.sqrt(np.maximum(0, 1 + (v**2).sum(1)[None, :] - 2 * (q @ v.T)))
                 error = part.column(3).to_numpy()[None, :]
                 best.add(away - error, away + error, part.column(1), near[:, lists] if near is not None else None)
-        if best.parts:
-            at, ids, low, high = best.left()
-            yield pa.record_batch([pa.array(at), ids, pa.array(low), pa.array(high)], names=["n", id_col, "low", "high"])
+                yield from map(packed, best.given(HELD))
+        yield from map(packed, best.given(0))
+
+    def packed(found: tuple) -> pa.RecordBatch:
+        at, ids, low, high = found
+        return pa.record_batch([pa.array(at), ids, pa.array(low), pa.array(high)], names=["n", id_col, "low", "high"])
 
     found = codes.select("list", id_col, "code", "error").mapInArrow(scan, f"n long, `{id_col}` {kind}, low double, high double")
     each = Window.partitionBy("n")

@@ -3,8 +3,9 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 
-from lodestar.operators import dedup
+from lodestar.operators import dedup, index
 from lodestar.plans import vectors
 from lodestar.streaming import pipelines, stateful
 
@@ -43,3 +44,17 @@ def test_stored_vectors_come_back_as_they_were(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r["vec_id"]: (r["first"], r["last"], r["n"]) for r in vectors.stored_vectors(spark, str(tmp_path)).collect()}
     assert got == {i: (f"{v[0]:.4f}", f"{v[2]:.4f}", 3) for i, v, _ in rows}
+
+
+def test_a_task_of_the_index_holds_few_candidates(monkeypatch):
+    monkeypatch.setattr(index, "HELD", 50)
+    best, given = index._Best(4, 2), []
+    low = np.zeros((4, 30))
+    for lo in range(0, 300, 30):
+        best.add(low, low + 1, pa.array(range(lo, lo + 30)), None)
+        for found in best.given(50):
+            assert len(found[0]) <= 50
+            given += list(zip(found[0].tolist(), found[1].to_pylist(), strict=True))
+        assert best.held <= 50
+    given += [x for found in best.given(0) for x in zip(found[0].tolist(), found[1].to_pylist(), strict=True)]
+    assert sorted(given) == [(q, i) for q in range(4) for i in range(300)]
