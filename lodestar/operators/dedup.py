@@ -130,6 +130,7 @@ def greedy(items: DataFrame, least: int = 150, most: int = 3, within: str = "doc
 
 def _near_items(reps: DataFrame, most: int, within: str) -> DataFrame:
     """(within, rep, near = true) of the items that go because of a kept earlier one."""
+    reps = keep(reps, "reps")  # it is read for each count of keys
     same = reps.groupBy(within, "simhash").agg(F.min("rep").alias("rep"))  # later ones of a fingerprint go as that of the first is near itself
     twins = reps.join(same.withColumnRenamed("rep", "early"), [within, "simhash"]).where(F.col("early") < F.col("rep")).select(within, "early", F.col("rep").alias("late"))
     pairs = near_prints(reps, most, [within], ["rep"]).select(within, F.least("rep", "rep2").alias("early"), F.greatest("rep", "rep2").alias("late"))
@@ -146,6 +147,8 @@ def _near_items(reps: DataFrame, most: int, within: str) -> DataFrame:
     discard(pairs)
     if gone is None:
         gone = reps.limit(0).select(within, F.col("rep").alias("late"))
+    else:
+        discard(reps)
     return gone.select(within, F.col("late").alias("rep"), F.lit(True).alias("near"))
 
 
