@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,20 +38,42 @@ def votes(hashes: list[bytes]) -> int:
     return int(np.packbits(2 * total > len(hashes)).view(">i8")[0])
 
 
+def all_votes(hashes: list[bytes], sizes: list[int]) -> list[int]:
+    """`votes` of many texts at once, whose hashes follow each other, so many of each text."""
+    if len(sizes) == 1:
+        return [votes(hashes)]
+    n = np.array(sizes)
+    out, some = np.zeros(len(n), np.int64), n > 0
+    if some.any():
+        bits = np.unpackbits(np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 8), axis=1)
+        total = np.add.reduceat(bits, (np.cumsum(n) - n)[some], axis=0, dtype=np.int64)
+        out[some] = np.packbits(2 * total > n[some, None], axis=1).view(">i8")[:, 0]
+    return out.tolist()
+
+
+@lru_cache(1 << 16)
 def _md5(feature: bytes) -> bytes:
     return hashlib.md5(feature, usedforsecurity=False).digest()[:8]
 
 
+@lru_cache(1 << 16)
 def _blake2b(feature: bytes) -> bytes:
     return hashlib.blake2b(feature, digest_size=8).digest()
 
 
 def _prints(texts: pd.Series, digest: Callable[[bytes], bytes]) -> pd.DataFrame:
-    rows = []
+    prints, counts, hashes, sizes = [], [], [], []
     for text in texts:
-        own = features(text or "")
-        rows.append((votes([digest(x) for x in own]), len(own)))
-    return pd.DataFrame(rows, columns=["simhash", "n_features"])
+        own = [digest(x) for x in features(text or "")]
+        if sizes and len(hashes) + len(own) > STEP:
+            prints += all_votes(hashes, sizes)
+            hashes, sizes = [], []
+        hashes += own
+        sizes.append(len(own))
+        counts.append(len(own))
+    if sizes:
+        prints += all_votes(hashes, sizes)
+    return pd.DataFrame({"simhash": pd.Series(prints, dtype="int64"), "n_features": pd.Series(counts, dtype="int64")})
 
 
 PRINT = StructType([StructField("simhash", LongType()), StructField("n_features", LongType())])

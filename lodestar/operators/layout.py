@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import LIST_ITEM, SENTENCE_END, compare_key, is_heading_like, is_noise, strip
+from lodestar.functions.text import LIST_ITEM, SENTENCE_END, compare_key, ends, is_heading_like, is_noise, strip
 from lodestar.shared import keep
 
 LEVELS = 6
@@ -35,7 +35,7 @@ def block_class(text: Column, size: Column, bold: Column, body: Column) -> tuple
         .when(short & (ratio >= 1.15), 3)
         .when(numbered & short & (bold | (ratio >= 1.05)), 4)
         .when(numbered & (F.length(own) <= 24), 5)
-        .when(bold & short & (ratio >= 1.0) & ~own.rlike(SENTENCE_END), 6)
+        .when(bold & short & (ratio >= 1.0) & ~ends(own, SENTENCE_END), 6)
         .otherwise(0)
     )
     kind = F.when((own != "") & own.rlike(LIST_ITEM), "list").when(level > 0, "heading").otherwise("body")
@@ -162,7 +162,7 @@ def stitch(blocks: DataFrame) -> DataFrame:
     is folded within each."""
     doc = Window.partitionBy("document_id").orderBy("shard_index", "ord")
     before = F.lag(F.struct("shard_index", "block_type", "text")).over(doc)
-    flows = (before["shard_index"] != F.col("shard_index")) & (before["block_type"] == "body") & (F.col("block_type") == "body") & ~before["text"].rlike(SENTENCE_END)
+    flows = (before["shard_index"] != F.col("shard_index")) & (before["block_type"] == "body") & (F.col("block_type") == "body") & ~ends(before["text"], SENTENCE_END)
     out = blocks.withColumn("__new", F.when(F.coalesce(flows, F.lit(False)), 0).otherwise(1))
     out = out.withColumn("__chain", F.sum("__new").over(doc))
     fields = ["shard_index", "ord", "page", "block_type", "heading_level", "font_size", "is_bold", "y_ratio", "text"]
