@@ -37,3 +37,26 @@ def test_blocks_are_cut_by_one_python_step(spark):
     assert max(r["char_count"] for r in out.collect()) <= 920
     odd = chunking.Limits(size=800, most=500)
     assert all(r["split_strategy"] == "fallback" for r in chunking.chunk_blocks(blocks, odd).collect())
+
+
+def test_semantic_pieces_shuffle_nothing_and_embed_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def model(batch):
+        made.add(len(batch))
+        return [[float(t.count("a")), 1.0] for t in batch]
+
+    docs = spark.createDataFrame([(1, "aa。b。aaa。c。d。a。"), (2, "short。text。"), (3, None)], "doc_id int, text string").coalesce(1)
+    out = chunking.semantic_pieces(docs, model)
+    rows = out.collect()
+    assert "Exchange" not in plan(out) and "Window" not in plan(out)
+    assert made.value == 6
+    assert "".join(r["text"] for r in rows if r["doc_id"] == 1) == "aa。b。aaa。c。d。a。"
+    assert {r["doc_id"]: r["strategy"] for r in rows} == {1: "semantic", 2: "recursive"}
+
+
+def test_distances_of_odd_vectors():
+    far, empty = chunking._neighbour_distances([[1.0, 0.0], [0.0, 2.0], [0.0, 0.0], [1.0], [None], [3.0], [], [2.0, 2.0], [2.0, 2.0]])
+    assert list(far[:7]) == [1.0, 0, 0, 0, 0, 0, 0] and abs(far[7]) < 1e-12
+    assert list(empty) == [False] * 6 + [True, False, False]
+    assert chunking._neighbour_distances([[]])[0].tolist() == []
