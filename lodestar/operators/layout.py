@@ -6,10 +6,14 @@ windows partitioned by document (or page), so documents are spread over the clus
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from lodestar.functions.text import LIST_ITEM, SENTENCE_END, compare_key, ends, is_heading_like, is_noise, strip
+from lodestar.functions.text import BLANKS, LIST_ITEM, SENTENCE_END, compare_key, ends, is_heading_like, is_noise, strip
 from lodestar.shared import keep
 
 LEVELS = 6
@@ -48,49 +52,85 @@ def paragraphs(lines: DataFrame) -> DataFrame:
 
     A line begins a paragraph where its size differs by LARGER from the line before, or where it looks like a heading
     behind an ended sentence.  Lines join without a blank, as Chinese is set, but for two that meet in ASCII letters or
-    digits, or by a line break before a heading.  Sizes are medians over characters, from one count for each size.
-    Windows over a block's lines and one aggregate on the same shuffle; blank lines don't count."""
-    seen = F.filter("spans", lambda s: strip(s["text"]) != "")
-    text = strip(F.array_join(F.transform("spans", lambda s: F.coalesce(s["text"], F.lit(""))), ""))
+    digits, or by a line break before a heading.  Sizes are medians over characters, from one count for each size,
+    counted in Arrow batches.  Windows over a block's lines and one aggregate on the same shuffle; blank lines don't count."""
     key = ["document_id", "page", "block_no"]
-    own = lines.select(*key, "line_no", text.alias("text"), F.transform(seen, lambda s: F.struct(s["size"].cast("double").alias("size"), F.length(s["text"]).alias("n"), (s["flags"].bitwiseAND(BOLD_FLAG) != 0).alias("bold"))).alias("seen"))
-    bold = F.aggregate("seen", F.lit(0), lambda n, s: n + F.when(s["bold"], s["n"]).otherwise(0))
-    own = own.where("text <> ''").select(*key, "line_no", "text", _counted(F.col("seen")).alias("counts"), bold.alias("bold"))
-    own = own.withColumn("size", _median(F.col("counts")))
+    own = lines.select(*key, "line_no", _measured("spans").alias("m")).select(*key, "line_no", "m.*").where("text <> ''")
     block = Window.partitionBy(*key).orderBy("line_no")
     before, last = F.lag("text").over(block), F.lag("size").over(block)
-    own = own.withColumns({"before": before, "last": last, "heads": is_heading_like(F.col("text"))}).withColumn("ended", F.col("before").rlike(SENTENCE_END))
+    own = own.withColumns({"before": before, "last": last, "heads": is_heading_like(F.col("text"))}).withColumn("ended", ends(F.col("before"), SENTENCE_END))
     ratio = F.when((F.col("last") > 0) & (F.col("size") > 0), F.col("size") / F.col("last"))
     breaks = (ratio >= LARGER) | (ratio <= 1 / LARGER) | (ratio.isNotNull() & F.col("heads") & F.col("ended"))
     own = own.withColumn("begins", F.col("before").isNull() | F.coalesce(breaks, F.lit(False)))
     own = own.withColumn("part", F.sum(F.when(F.col("begins"), 1).otherwise(0)).over(block) - 1)
-    ascii_ends = F.col("before").rlike("[A-Za-z0-9]$") & F.col("text").rlike("^[A-Za-z0-9]")
-    link = F.when(F.col("begins"), "").when(F.col("ended") & F.col("heads"), "\n").when(F.col("before").rlike(UNFINISHED), "").when(ascii_ends, " ").otherwise("")
+    ascii_ends = ends(F.col("before"), "[A-Za-z0-9]$") & F.substring("text", 1, 1).rlike("[A-Za-z0-9]")
+    link = F.when(F.col("begins"), "").when(F.col("ended") & F.col("heads"), "\n").when(ends(F.col("before"), UNFINISHED), "").when(ascii_ends, " ").otherwise("")
     ordered = F.array_sort(F.collect_list(F.struct("line_no", F.concat(link, "text").alias("text"), "counts")))
     out = own.groupBy(*key, "part").agg(ordered.alias("l"), F.sum("bold").alias("bold"))
     out = out.select(*key, F.col("part").cast("int").alias("part"), F.array_join(F.transform("l", lambda x: x["text"]), "").alias("text"), F.flatten(F.transform("l", lambda x: x["counts"])).alias("counts"), "bold")
-    out = out.withColumn("counts", _counted(F.col("counts")))
-    total = F.aggregate("counts", F.lit(0), lambda n, x: n + x["n"])
-    return out.select(*key, "part", "text", F.coalesce(_median(F.col("counts")), F.lit(0.0)).alias("font_size"), F.coalesce(F.try_divide(F.col("bold"), total) >= BOLD_SHARE, F.lit(False)).alias("is_bold"))
-
-
-def _counted(sizes: Column) -> Column:
-    """Each different size of an array of (size, n, ...) once, ascending, with the sum of its n."""
-    some = F.array_sort(F.array_distinct(F.transform(sizes, lambda x: x["size"])))
-    return F.transform(some, lambda z: F.struct(z.alias("size"), F.aggregate(F.filter(sizes, lambda x: x["size"] == z), F.lit(0), lambda n, x: n + x["n"]).alias("n")))
-
-
-def _median(counts: Column) -> Column:
-    """Of sizes that are counted and ascending; the mean of the two in the middle."""
-    total = F.aggregate(counts, F.lit(0), lambda n, x: n + x["n"])
-    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
-
-    def step(s: Column, x: Column) -> Column:
-        n = s["n"] + x["n"]
-        low = F.coalesce(s["low"], F.when(n > F.floor((total - 1) / 2), x["size"]))
-        return F.struct(n.alias("n"), low.alias("low"), F.coalesce(s["high"], F.when(n > F.floor(total / 2), x["size"])).alias("high"))
-
-    return F.aggregate(counts, start, step, lambda s: (s["low"] + s["high"]) / 2)
+    middle = _middle("counts")
+    share = F.try_divide(F.col("bold"), F.col("m.n"))
+    out = out.select(*key, "part", "text", "bold", middle.alias("m"))
+    return out.select(*key, "part", "text", F.coalesce("m.size", F.lit(0.0)).alias("font_size"), F.coalesce(share >= BOLD_SHARE, F.lit(False)).alias("is_bold"))
+
+
+def _counts(row: np.ndarray, size: np.ndarray, n: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row's sizes (NaN last, null ones left out by the caller) each one once, ascending, as row, size and sum of
+    n; and each row's sum and median, the mean of the two in the middle (NaN where it has none)."""
+    order = np.lexsort((size, row))
+    row, size, n = row[order], size[order], n[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | ((size[1:] != size[:-1]) & ~(np.isnan(size[1:]) & np.isnan(size[:-1])))
+    first = np.flatnonzero(new)
+    n = np.add.reduceat(n, first) if len(first) else n
+    row, size = row[first], size[first]
+    total = np.zeros(rows, np.int64)
+    np.add.at(total, row, n)
+    upto, before = np.cumsum(n), np.cumsum(total) - total
+    middle = np.full(rows, np.nan)
+    some = total > 0
+    low, high = (np.searchsorted(upto, (before + half)[some], "right") for half in ((total - 1) // 2, total // 2))
+    middle[some] = (size[low] + size[high]) / 2
+    return row, size, n, total, middle
+
+
+def _lists(row: np.ndarray, rows: int) -> pa.Array:
+    return pa.array(np.searchsorted(row, np.arange(rows + 1)), pa.int32())
+
+
+_COUNT = StructType([StructField("size", DoubleType()), StructField("n", LongType())])
+_MEASURES = StructType([StructField("text", StringType()), StructField("counts", ArrayType(_COUNT)), StructField("size", DoubleType()), StructField("bold", LongType())])
+
+
+@F.arrow_udf(_MEASURES)
+def _measured(spans: pa.Array) -> pa.Array:
+    """A line's text, the characters of each size, their median and the bold ones; blank spans count as text alone."""
+    rows, row = len(spans), pc.list_parent_indices(spans).to_numpy(zero_copy_only=False)
+    flat = pc.list_flatten(spans)
+    words, size, flags = (pc.struct_field(flat, c) for c in ("text", "size", "flags"))
+    words = pc.fill_null(words, "")
+    ends_at = _lists(row, rows)
+    text = pc.utf8_trim(pc.binary_join(pa.ListArray.from_arrays(ends_at, words), ""), BLANKS)
+    text = pc.if_else(spans.is_valid(), text, None)
+    n = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    seen = pc.greater(pc.utf8_length(pc.utf8_trim(words, BLANKS)), 0).to_numpy(zero_copy_only=False)
+    heavy = seen & (pc.fill_null(pc.cast(flags, pa.int64()), 0).to_numpy(zero_copy_only=False) & BOLD_FLAG != 0)
+    bold = np.bincount(row[heavy], n[heavy], rows).astype(np.int64)
+    size = pc.cast(size, pa.float64())
+    sized = seen & size.is_valid().to_numpy(zero_copy_only=False)
+    at, sizes, n, total, middle = _counts(row[sized], size.to_numpy(zero_copy_only=False)[sized], n[sized], rows)
+    counts = pa.ListArray.from_arrays(_lists(at, rows), pa.StructArray.from_arrays([pa.array(sizes), pa.array(n)], ["size", "n"]))
+    return pa.StructArray.from_arrays([text, counts, pa.array(middle, mask=total == 0), pa.array(bold)], ["text", "counts", "size", "bold"])
+
+
+@F.arrow_udf(_COUNT)
+def _middle(counts: pa.Array) -> pa.Array:
+    """Median size of counted sizes, and how many characters they are."""
+    flat = pc.list_flatten(counts)
+    row = pc.list_parent_indices(counts).to_numpy(zero_copy_only=False)
+    size, n = (pc.struct_field(flat, c).to_numpy(zero_copy_only=False) for c in ("size", "n"))
+    _, _, _, total, middle = _counts(row, size, n, len(counts))
+    return pa.StructArray.from_arrays([pa.array(middle, mask=total == 0), pa.array(total)], ["size", "n"])
 
 
 def calibrate(blocks: DataFrame) -> DataFrame:

@@ -1,11 +1,12 @@
 """Steps that were made too often, or with too much work a row."""
 
 import re
+import time
 
 from pyspark.sql import functions as F
 
 from lodestar.functions import fingerprint, text
-from lodestar.operators import chunking
+from lodestar.operators import chunking, layout
 
 
 def plan(df):
@@ -60,3 +61,18 @@ def test_distances_of_odd_vectors():
     assert list(far[:7]) == [1.0, 0, 0, 0, 0, 0, 0] and abs(far[7]) < 1e-12
     assert list(empty) == [False] * 6 + [True, False, False]
     assert chunking._neighbour_distances([[]])[0].tolist() == []
+
+
+def test_sizes_of_a_line_are_counted_in_one_pass(spark):
+    schema = "document_id int, page int, block_no int, line_no int, spans array<struct<text:string,size:double,flags:int>>"
+    odd = [("ab", 9.0, 16), (None, 50.0, 16), ("  ", 70.0, 16), ("c", None, 16), ("d", 12.0, None), ("", 80.0, 0), ("e", 12.0, 0)]
+    rows = [(1, 1, 1, 1, odd), (1, 1, 1, 2, None), (1, 1, 1, 3, []), (1, 1, 1, 4, [(" ", 9.0, 0)]), (1, 1, 2, 1, [("x", None, 0)])]
+    many = [(2, 1, 1, 1, [("w", float(k), 0) for k in range(30_000)])]
+    out = layout.paragraphs(spark.createDataFrame(rows + many, schema))
+    start = time.monotonic()
+    got = {(r["document_id"], r["block_no"]): r for r in out.collect()}
+    assert time.monotonic() - start < 60
+    assert len(got) == 3 and got[1, 1]["text"] == "ab  cde"
+    assert (got[1, 1]["font_size"], got[1, 1]["is_bold"]) == (10.5, True)
+    assert (got[1, 2]["font_size"], got[1, 2]["is_bold"]) == (0.0, False)
+    assert got[2, 1]["font_size"] == 14_999.5
