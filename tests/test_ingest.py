@@ -102,6 +102,20 @@ def test_semantic_pieces_equal_a_plain_version(spark):
     assert all(got.get(i, []) == plain_semantic(t or "", limits) for i, t in enumerate(texts))
 
 
+def test_windows_are_embedded_whole(spark):
+    given = spark.sparkContext.accumulator(0)
+
+    def model(batch):
+        given.add(sum(map(len, batch)))
+        return letter_vectors(batch)
+
+    s = ["z" * 490 + end * 10 + "。" for end in "aaaaxxxxx"]
+    out = chunking.semantic_pieces(spark.createDataFrame([(1, "".join(s))], "doc_id int, text string").coalesce(1), model).collect()
+    got = [r["text"] for r in sorted(out, key=lambda r: r["part"])]
+    assert got == ["".join(s[:5]), "".join(s[5:])] == plain_semantic("".join(s), chunking.Limits())
+    assert given.value == sum(len("".join(s[max(0, i - 1) : i + 2])) for i in range(9))
+
+
 def test_a_model_that_fails_leaves_its_texts_to_separators(spark):
     def model(batch):
         if any("bad" in x for x in batch):
